@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, slices, small_batches, stored
 
@@ -175,19 +176,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features:
     return Model(keys, weights, bias)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score, which replaces one of that name."""
+def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs, or the columns of keep, with a column score, which replaces one of that name."""
     small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c != "score"])
     names = docs.columns
+    kept = [i for i, c in enumerate(names) if keep is None or c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model(part.column(names.index("text"))))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(model(part.column(names.index("text"))))], names=[*(names[i] for i in kept), "score"])
 
-    schema = docs.schema.add("score", "double")
-    return docs.mapInArrow(run, schema)
+    fields = [docs.schema.fields[i] for i in kept]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(col: str = "doc_id"):
@@ -197,5 +199,5 @@ def held_out(col: str = "doc_id"):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of held-out ids are not read."""
     model = train(docs, labels.where(~held_out()))
-    out = scored(docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held_out(), F.lit(False))), model)
+    out = scored(docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held_out(), F.lit(False))), model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
