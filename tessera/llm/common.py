@@ -154,7 +154,12 @@ _STEP = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed shingles of each text: hashes, ascending within a text, and the first index of each text.
+    """Distinct hashed shingles of each text: hashes, ascending within a text, and the first index of each text."""
+    return sized_shingles(w, size)[:2]
+
+
+def sized_shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shingles(), and the bytes in the words of each shingle.
 
     A text with fewer words than size has its whole sequence as one shingle; one without words, none.
     """
@@ -166,15 +171,18 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(doc), np.uint64)
     padded = np.concatenate([w.hashes, np.zeros(size, np.uint64)])
     long = (counts >= size)[doc]
+    letters = np.zeros(len(doc), np.int64)
+    sizes = np.concatenate([w.ends - w.starts, np.zeros(size, np.int64)])
     for i in range(size):
         use = long | (i < counts[doc])
+        letters += np.where(use, sizes[at + i], 0)
         h = np.where(use, mix(h * _STEP[i % 5] + padded[at + i] + np.uint64(i)), h)
     order = np.lexsort((h, doc))
     h = h[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(len(counts) + 1))
+    return h, np.searchsorted(doc, np.arange(len(counts) + 1)), letters[order][keep]
 
 
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -4,7 +4,8 @@ Documents with the same set of shingles form a class, and only classes are compa
 
 1. Every class puts its rarest shingles, as many as a partner at the threshold cannot
    all miss, into lists by shingle. Rare means: not among the most frequent ones, which
-   are counted where a task sees them twice; that order only decides how long lists get.
+   are counted where a task sees them twice, and of many letters. Any order would do; this
+   one keeps lists short.
 2. Neighbours by size in a list are joined into candidate groups (connected components).
    Two classes that reach the threshold always share a list, and so a group.
 3. Within a group the sets become inverted lists, and each set is searched as DivideSkip
@@ -32,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lists, mix, shingles, slices, small_batches, stored
+from .common import Words, lists, mix, shingles, sized_shingles, slices, small_batches, stored
 
 COUNTED = 1 << 21
-FREQUENT = 1 << 16
-FREQUENT_FROM = 8
+FREQUENT = 1 << 17
+FREQUENT_FROM = 4
 BITS = 1 << 23
 
 
@@ -82,7 +83,7 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, first = shingles(Words(part.column(1)), size)
+                h, first, letters = sized_shingles(Words(part.column(1)), size)
                 n = np.diff(first)
                 kind = _class_of(h, first)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -90,7 +91,7 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray):
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     weight = np.where(keys[at] == h, ranks[at], np.uint64(0))
-                order = np.lexsort((h, weight, doc))
+                order = np.lexsort((h, -letters, weight, doc))
                 nth = np.arange(len(h)) - first[doc]
                 use = order[nth < (n + (-percent * n) // 100 + 1)[doc]]
                 yield pa.RecordBatch.from_arrays([_long(h[use]), _long(kind[doc[use]]), _long(n[doc[use]])], names=["token", "class", "n"])
@@ -176,6 +177,7 @@ def _within(percent: int):
     """Links that connect all that is connected within one block."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("class")
         kinds = block["class"].to_numpy()
         sets = [np.asarray(s, np.int64) for s in block["set"]]
         part = np.arange(len(sets))  # the part of each set
@@ -196,6 +198,7 @@ def _across(percent: int):
     """Links from the queries of a block to one member of each part that they reach in it."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates(["class", "asked"])
         held, asked = block[~block["asked"]], block[block["asked"]]
         kinds, parts = held["class"].to_numpy(), held["part"].to_numpy()
         index = Index([np.asarray(s, np.int64) for s in held["set"]], percent)
@@ -209,18 +212,18 @@ def _across(percent: int):
     return run
 
 
-def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between classes that connect all that the threshold connects, in each group."""
+def _links(sets: DataFrame, percent: int, dealt: bool) -> DataFrame:
+    """Links (a, b) between classes that connect all that the threshold connects, in each group.
+
+    sets: grp, blocks, block, class, set. dealt: some group has several blocks.
+    """
     from .components import connected
 
-    sizes = sets.groupBy("grp").agg(F.sum(F.size("set").cast("long")).alias("total"))
-    sets = sets.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    sets = stored(sets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("total"), "sets")
     schema = "a long, b long"
-    links = stored(sets.select("grp", "block", "class", "set").groupBy("grp", "block").applyInPandas(_within(percent), schema), "links")
-    large = sets.where("blocks > 1")
-    if not large.head(1):
+    links = stored(sets.groupBy("grp", "block").applyInPandas(_within(percent), schema), "links")
+    if not dealt:
         return links
+    large = stored(sets.where("blocks > 1"), "sets")
 
     def parts(edges: DataFrame) -> DataFrame:
         found = connected(edges).withColumnRenamed("node", "class").withColumnRenamed("root", "part")
@@ -265,8 +268,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     tokens = docs.mapInArrow(_prefixes(size, percent, frequent), "token long, class long, n long")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", "class")
     groups = stored(connected(tokens.mapInArrow(_neighbours(percent), "a long, b long")), "groups")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc").alias("least"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc").alias("least"), F.max("n").alias("n"))
     chosen = stored(classes.join(groups.select(F.col("node").alias("class"), F.col("root").alias("grp")), "class"), "chosen")
+    blocks = chosen.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    chosen = stored(chosen.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "chosen")
     # A bitmap of fixed size says which documents may be chosen; the join after it is exact.
     bit = F.pmod(F.xxhash64("least"), F.lit(BITS))
     maps = chosen.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
@@ -275,8 +280,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         bits[4096 * (r["k"] - 1) : 4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
     marked = docs.select("doc_id", "text", _bit_place("doc_id").alias("bit"))
     sets = marked.mapInArrow(_sets(size, bits), "least long, class long, set array<long>")
-    sets = sets.join(chosen, ["least", "class"]).select("grp", "class", "set").dropDuplicates(["class"])
-    links = _links(sets, percent, block)
+    sets = sets.join(chosen, ["least", "class"]).select("grp", "blocks", "block", "class", "set")
+    links = _links(sets, percent, bool(chosen.where("blocks > 1").head(1)))
     parts = connected(links)
     linked = parts.withColumnRenamed("node", "class").join(classes, "class")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))

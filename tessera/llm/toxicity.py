@@ -44,7 +44,7 @@ IDENTITIES = (
     ("femmes", "hommes"),
     ("mujeres", "hombres"),
 )
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 _TRIM = np.zeros(256, bool)
 _TRIM[[ord(c) for c in ".,;:!?\"'()[]{}|*#$%&-"]] = True
 
@@ -74,8 +74,8 @@ def swapped(text: str) -> str | None:
     return out if n else None
 
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, label, twin, feature: the distinct features of each training text and, as twins, of its swapped text."""
+def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Runs of (row, label, twin), and the distinct (run index, feature) pairs: each training text, and as a twin its swapped text."""
     for batch in batches:
         ids, texts, labels = (batch.column(i).to_pylist() for i in range(3))
         rows = [(i, t or "", y, False) for i, t, y in zip(ids, texts, labels, strict=True)]
@@ -84,11 +84,31 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(table):
             hashes, doc = features(part.column(0))
             pairs = np.unique(np.stack([doc.astype(np.uint64), hashes], axis=1), axis=0)
-            at = np.asarray(part.column(1))[pairs[:, 0].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in at], pa.int64()), pa.array([rows[i][2] for i in at], pa.int32()), pa.array([rows[i][3] for i in at], pa.bool_()), pa.array(pairs[:, 1].view(np.int64))],
-                names=["row", "label", "twin", "feature"],
-            )
+            yield [(rows[i][0], rows[i][2], rows[i][3]) for i in np.asarray(part.column(1))], pairs[:, 0].astype(np.int64), pairs[:, 1]
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, n1, n0, twin: in how many toxic and other texts of a run a feature is, or that swapped texts have it."""
+    for rows, doc, hashes in _readings(batches):
+        toxic = np.array([y > 0 for _, y, _ in rows])[doc]
+        twin = np.array([t for _, _, t in rows])[doc]
+        keys, at = np.unique(hashes, return_inverse=True)
+        n1 = np.bincount(at, toxic & ~twin, len(keys)).astype(np.int64)
+        n0 = np.bincount(at, ~toxic & ~twin, len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1), pa.array(n0), pa.array(np.bincount(at, twin, len(keys)) > 0)], names=["feature", "n1", "n0", "twin"])
+
+
+def _held(keys: np.ndarray):
+    """row, label, twin and the indices of the kept features of each training text and its twin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, doc, hashes in _readings(batches):
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[at] == hashes
+            ats = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[hit], np.arange(len(rows) + 1)).astype(np.int32)), pa.array(at[hit].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_()), ats], names=["row", "label", "twin", "ats"])
+
+    return run
 
 
 class Model:
@@ -112,7 +132,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, twins: dict[int, np.ndarray], n_features: int, swap_penalty: float = 10.0, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(x: list[np.ndarray], y: np.ndarray, twins: dict[int, np.ndarray], n_features: int, swap_penalty: float = 10.0, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps; x and twins hold the feature indices of each row."""
     rows = np.repeat(np.arange(len(x)), [len(v) for v in x])
     cols = np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)
@@ -145,33 +165,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features:
     # Which ids to read is settled first, on ids alone; the sample is bounded, so it may be broadcast.
     ids = docs.select("doc_id").join(known, "doc_id").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
     ids = stored(ids, "labelled")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
-    seen = stored(rows.mapInArrow(_presence, "row long, label int, twin boolean, feature long"), "presence")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label"), "training")
     total = {bool(r["label"]): r["n"] for r in ids.groupBy((F.col("label") > 0).alias("label")).agg(F.countDistinct("doc_id").alias("n")).collect()}
     if not total.get(True) or not total.get(False):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 30.0 if total.get(True) else -30.0)
-    p, q = total[True], total[False]
-    n1, n0 = F.sum((F.col("label") > 0).cast("double")), F.sum((F.col("label") <= 0).cast("double"))
-    # How far a feature's share among toxic rows is from the share among all, in squared deviations.
-    expected = (F.col("n1") + F.col("n0")) * p / (p + q)
-    counts = seen.where("NOT twin").groupBy("feature").agg(n1.alias("n1"), n0.alias("n0")).where(F.col("n1") + F.col("n0") >= least_rows)
-    best = counts.withColumn("weight", (F.col("n1") - expected) ** 2 / expected).orderBy(F.desc("weight"), "feature").limit(n_features)
-    twins = seen.where("twin").select("feature").distinct().limit(n_features)
-    kept = {r[0] for r in best.select("feature").collect()}
-    swaps, _ = features(pa.array([t for s in IDENTITIES for t in s]))
-    named = {int(h) for h in swaps.view(np.int64)}
-    keys = np.array(sorted({k & (2**64 - 1) for k in kept | (named if twins.head(1) else set())}), np.uint64)
-    places = spark.createDataFrame([(int(np.uint64(k).astype(np.int64)), i) for i, k in enumerate(keys)], "feature long, at int")
-    held = seen.join(F.broadcast(places), "feature").groupBy("row", "twin").agg(F.max("label").alias("label"), F.sort_array(F.collect_set("at")).alias("ats")).collect()
+    share = total[True] / (total[True] + total[False])
+    counts = rows.mapInArrow(_counts, "feature long, n1 long, n0 long, twin boolean").groupBy("feature")
+    counts = counts.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("twin").alias("twin")).where(F.col("n1") + F.col("n0") >= least_rows)
+    # How far a feature's count among toxic texts is from its share, in squared deviations.
+    expected = (F.col("n1") + F.col("n0")) * share
+    best = counts.withColumn("weight", (F.col("n1") - expected) ** 2 / expected).orderBy(F.desc("weight"), "feature").limit(n_features).collect()
+    named, _ = features(pa.array([t for s in IDENTITIES for t in s]))
+    kept = {r["feature"] & (2**64 - 1) for r in best} | {int(h) for h in named}
+    keys = np.array(sorted(kept), np.uint64)
+    held = rows.mapInArrow(_held(keys), "row long, label int, twin boolean, ats array<int>").collect()  # the bounded sample
     order = {r["doc_id"]: i for i, r in enumerate(ids.orderBy("doc_id").collect())}
     x, y, other = [np.zeros(0, np.int64)] * len(order), np.zeros(len(order)), {}
     for r in ids.collect():
         y[order[r["doc_id"]]] = r["label"] > 0
     for r in held:
         if r["twin"]:
-            other[order[r["row"]]] = np.array(r["ats"])
+            other[order[r["row"]]] = np.array(r["ats"], np.int64)
         else:
-            x[order[r["row"]]] = np.array(r["ats"])
+            x[order[r["row"]]] = np.array(r["ats"], np.int64)
     weights, bias = fit(x, y, dict(sorted(other.items())), len(keys), swap_penalty)
     return Model(keys, weights, bias)
 
