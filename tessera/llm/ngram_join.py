@@ -2,12 +2,13 @@
 
 Documents with the same set of shingles form a class, and only classes are compared.
 
-1. Every class puts its rarest shingles, as many as a partner at the threshold cannot
-   all miss, into lists by shingle. Rare means: not among the most frequent ones, which
+1. Every class puts its rarest shingles into lists by shingle, so many that a partner at
+   the threshold must share some of them: two, and one more for every 64 shingles. Rare means: not among the most frequent ones, which
    are counted where a task sees them twice, and of many letters. Any order would do; this
    one keeps lists short.
-2. Neighbours by size in a list are joined into candidate groups (connected components).
-   Two classes that reach the threshold always share a list, and so a group.
+2. Pairs that share so many short lists, and neighbours by size in long lists, are joined
+   into candidate groups (connected components). Two classes that reach the threshold are
+   always in one group, as they share long lists or enough short ones.
 3. Within a group the sets become inverted lists, and each set is searched as DivideSkip
    does: its short lists are merged with counts, what may still reach the required overlap
    is looked up in the long lists by binary search, and the exact overlap decides.
@@ -39,6 +40,7 @@ COUNTED = 1 << 21
 FREQUENT = 1 << 17
 FREQUENT_FROM = 4
 BITS = 1 << 23
+SHORT = 16  # a list of at most so many classes gives all its pairs
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -76,8 +78,13 @@ def _signatures(size: int):
     return run
 
 
+def _shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its listed shingles a set of n must share with any partner."""
+    return np.minimum(-(-percent * n // 100), 2 + n // 64)
+
+
 def _prefixes(size: int, percent: int, frequent: np.ndarray):
-    """token, class, n for the rarest n - T + 1 shingles of each set. frequent: ascending by hash; rank by column 1."""
+    """token, class, n for the rarest n - T + k shingles of each set, k of _shared(). frequent: ascending by hash; rank by column 1."""
     keys, ranks = frequent[0].astype(np.uint64), frequent[1].astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,24 +100,69 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray):
                     weight = np.where(keys[at] == h, ranks[at], np.uint64(0))
                 order = np.lexsort((h, -letters, weight, doc))
                 nth = np.arange(len(h)) - first[doc]
-                use = order[nth < (n + (-percent * n) // 100 + 1)[doc]]
+                use = order[nth < (n + (-percent * n) // 100 + _shared(n, percent))[doc]]
                 yield pa.RecordBatch.from_arrays([_long(h[use]), _long(kind[doc[use]]), _long(n[doc[use]])], names=["token", "class", "n"])
 
     return run
 
 
 def _neighbours(percent: int):
-    """Edges between neighbours by size in each list; rows come by token, n, class."""
+    """a, b, shared, need: pairs of short lists, counted, and neighbours in long lists; rows come by token, n, class."""
+
+    def pairs(rows: np.ndarray, fresh: int) -> np.ndarray:
+        """Of whole lists, or with fresh > 0 of a list in progress, whose rows before that one have been paired."""
+        token, kind, n = rows
+        again = np.zeros(len(token), bool)
+        again[1:] = (token[1:] == token[:-1]) & (kind[1:] == kind[:-1])
+        token, kind, n = rows[:, ~again]
+        size = np.searchsorted(token, token, "right") - np.searchsorted(token, token, "left")
+        out = []
+        for step in range(1, SHORT):
+            a, b = slice(None, -step), slice(step, None)
+            use = (token[a] == token[b]) & (100 * n[a] >= percent * n[b])
+            use &= (size[a] <= SHORT) if not fresh else False
+            if step == 1:
+                use |= (token[a] == token[b]) & (100 * n[a] >= percent * n[b]) & ((size[a] > SHORT) | bool(fresh))
+            if not use.any() and step > 1 and (fresh or step > size.max(initial=0)):
+                break
+            x, y, n_x, n_y = kind[a][use], kind[b][use], n[a][use], n[b][use]
+            need = np.minimum(_shared(n_x, percent), _shared(n_y, percent))
+            got = np.where((size[a][use] > SHORT) | bool(fresh), need, 1)
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), got, need]))
+        return np.concatenate([*out, np.zeros((4, 0), np.int64)], axis=1)
+
+    def counted(found: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((found[1], found[0]))
+        a, b, got, need = found[:, order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(first)
+        got = np.add.reduceat(got, at) if len(at) else got
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], got, need[at])], names=["a", "b", "shared", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((3, 0), np.int64)
+        held, fresh = np.zeros((3, 0), np.int64), 0
         for batch in batches:
-            rows = np.concatenate([last, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
-            token, kind, n = rows
-            last = rows[:, -1:]
-            use = (token[1:] == token[:-1]) & (kind[1:] != kind[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            pairs = np.unique(np.stack([kind[:-1][use], kind[1:][use]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            rows = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
+            if not rows.shape[1]:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0, -1], "left"))  # the last list may go on
+            done = rows[:, :last]
+            if fresh:  # a long list was in progress: its end is paired by neighbours, the rest as usual
+                first = int(np.searchsorted(rows[0], rows[0, 0], "right"))
+                yield counted(pairs(rows[:, :first], 1))
+                if first == rows.shape[1]:
+                    held = rows[:, -1:]
+                    continue
+                done = rows[:, first:last]
+            if done.shape[1]:
+                yield counted(pairs(done, 0))
+            held, fresh = rows[:, last:], 0
+            if len(np.unique(held[1])) > SHORT:
+                yield counted(pairs(held, 1))
+                held, fresh = held[:, -1:], 1
+        if not fresh and held.shape[1]:
+            yield counted(pairs(held, 0))
 
     return run
 
@@ -224,26 +276,26 @@ def _links(sets: DataFrame, percent: int, dealt: bool) -> DataFrame:
     if not dealt:
         return links
     large = stored(sets.where("blocks > 1"), "sets")
+    info, bytes_of = large.drop("set").distinct(), large.select("class", "set")
 
     def parts(edges: DataFrame) -> DataFrame:
         found = connected(edges).withColumnRenamed("node", "class").withColumnRenamed("root", "part")
-        return large.join(found, "class", "left").withColumn("part", F.coalesce("part", "class"))
+        return stored(info.join(found, "class", "left").withColumn("part", F.coalesce("part", "class")), "parts")
 
     def largest(rows: DataFrame, *by: str) -> DataFrame:
         count = rows.groupBy(*by, "part").count()
         return count.groupBy(*by).agg(F.max_by("part", F.struct("count", "part")).alias("main"))
 
     # One class of each block's largest part: at most one row for each block of a group.
-    now = stored(parts(links), "parts")
+    now = parts(links)
     heads = now.join(largest(now, "grp", "block"), ["grp", "block"]).where("part = main").groupBy("grp", "block").agg(F.min("class").alias("class"))
-    heads = now.join(heads, ["grp", "block", "class"], "left_semi").select("grp", "class", "set")
-    links = links.unionByName(heads.groupBy("grp").applyInPandas(_within(percent), schema))
-    rest = stored(parts(links).select("grp", "block", "blocks", "class", "set", "part"), "parts")
-    outside = rest.join(largest(rest, "grp"), "grp").where("part <> main")
+    links = links.unionByName(heads.join(bytes_of, "class").groupBy("grp").applyInPandas(_within(percent), schema))
+    now = parts(links)
+    outside = now.join(largest(now, "grp"), "grp").where("part <> main")
     # Queries are dealt to blocks of their own, and every pair of blocks is one task's work.
-    asked = stored(outside.withColumnRenamed("block", "qblock").select("grp", "qblock", "blocks", "class", "set", "part"), "asked")
-    each = asked.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qblock", "class", "set", "part", F.lit(True).alias("asked"))
-    held = rest.join(asked.select("grp", "qblock").distinct(), "grp").select("grp", "block", "qblock", "class", "set", "part", F.lit(False).alias("asked"))
+    asked = stored(outside.select("grp", F.col("block").alias("qblock"), "blocks", "class", "part"), "asked")
+    each = asked.join(bytes_of, "class").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qblock", "class", "set", "part", F.lit(True).alias("asked"))
+    held = now.join(asked.select("grp", "qblock").distinct(), "grp").join(bytes_of, "class").select("grp", "block", "qblock", "class", "set", "part", F.lit(False).alias("asked"))
     more = each.unionByName(held).groupBy("grp", "block", "qblock").applyInPandas(_across(percent), schema)
     return links.unionByName(more)
 
@@ -267,7 +319,9 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     frequent = np.array([[h for h, _, _ in top], [n for _, n, _ in top]], dtype=np.uint64).reshape(2, -1)
     tokens = docs.mapInArrow(_prefixes(size, percent, frequent), "token long, class long, n long")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", "class")
-    groups = stored(connected(tokens.mapInArrow(_neighbours(percent), "a long, b long")), "groups")
+    pairs = tokens.mapInArrow(_neighbours(percent), "a long, b long, shared long, need long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    groups = stored(connected(pairs.select("a", "b")), "groups")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc").alias("least"), F.max("n").alias("n"))
     chosen = stored(classes.join(groups.select(F.col("node").alias("class"), F.col("root").alias("grp")), "class"), "chosen")
     blocks = chosen.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))

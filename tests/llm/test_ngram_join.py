@@ -68,3 +68,24 @@ def test_search_equals_set_arithmetic():
     for q in sets:
         want = [j for j, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 50 * len(np.union1d(q, s))]
         assert list(index.search(q, np.ones(len(sets), bool))) == want
+
+
+def test_lists_that_span_batches_lose_no_pair():
+    import pyarrow as pa
+
+    rows = sorted([(t, 20 + c % 3, c) for t in range(6) for c in range(t * 7)] + [(9, 5, c) for c in (1, 1, 2)])
+
+    def result(size):
+        table = pa.table({"token": [r[0] for r in rows], "class": [r[2] for r in rows], "n": [r[1] for r in rows]})
+        got = {}
+        for b in ngram_join._neighbours(90)(iter(table.to_batches(max_chunksize=size))):
+            for x in b.to_pylist():
+                key = (x["a"], x["b"])
+                got[key] = got.get(key, 0) + x["shared"]
+        return got
+
+    whole = result(10**6)
+    assert all(whole.get((a, a + 3), 0) >= 2 for a in range(4))
+    for size in (1, 2, 5, 30):
+        part = result(size)
+        assert {k for k, v in part.items() if v >= 2} == {k for k, v in whole.items() if v >= 2}
