@@ -47,7 +47,27 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
 
+        entries = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(entries.values()) + 1, bool)
+        self.final[[i for t, i in entries.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(".,", self._encode_each([".", ","]), strict=True))
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Chunks of letters alone end with the one token that ends a word, so they go together."""
+        words = [c for c in chunks if c.isalpha()]
+        if len(words) < 2:
+            return self._encode_each(chunks)
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode_each(chunks)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        known = dict(zip(words, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        rest = [c for c in chunks if c not in known]
+        known.update(zip(rest, self._encode_each(rest), strict=True))
+        return [known[c] for c in chunks]
+
+    def _encode_each(self, chunks: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
