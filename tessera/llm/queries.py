@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, sharding, token_counts, toxicity
+from . import ngram_join, packing, pii, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.checked(docs, key="surrogates-1", count_col="n_entities")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -34,5 +39,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sharding, op5_toxicity, op8_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op8_packing, op10_token_counts)}
 SQL: dict[str, str] = {}
