@@ -88,8 +88,13 @@ def _dressed(bare: Column, shape: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _luhn(digits: Column) -> Column:
-    """The check digit that belongs after the digits."""
+    """The check digit that belongs after the digits; a column or lambda variable, as it is used repeatedly."""
     n = F.length(digits)
     value = lambda c, i: F.when((n - i) % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int"))
     return (10 - F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, x: a + x) % 10) % 10
@@ -117,7 +122,11 @@ def _renamed(key: str) -> Column:
 
 def surrogate(entity: Column, key: str) -> Column:
     """The surrogate of a found entity."""
-    k, kind, bare, n = F.lit(key), kind_of(entity), _bare(entity), F.length(_bare(entity))
+    return _let(F.struct(entity.alias("e"), kind_of(entity).alias("kind"), _bare(entity).alias("bare")), lambda x: _surrogate(x["e"], x["kind"], x["bare"], key))
+
+
+def _surrogate(entity: Column, kind: Column, bare: Column, key: str) -> Column:
+    k, n = F.lit(key), F.length(bare)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = _part(domain, 1, F.length(domain) - F.length(top) - 1)
@@ -132,8 +141,8 @@ def surrogate(entity: Column, key: str) -> Column:
     stay = F.length(_bare(F.regexp_extract(entity, r"^(?:\+[0-9]{1,3}[^0-9]+|\+[0-9]{1,2}|)[^0-9]*[0-9]", 0)))
     phone = _dressed(F.concat(_part(bare, 1, stay), _permuted(_part(bare, stay + 1, n), k, F.concat(F.lit("phone"), _part(bare, 1, stay)))), entity)
     inner = F.concat(_part(bare, 1, 1), _permuted(_part(bare, 2, n - 2), k, F.concat(F.lit("card"), _part(bare, 1, 1))))
-    check = (_luhn(inner) + _part(bare, n, 1).cast("int") - _luhn(_part(bare, 1, n - 1)) + 10) % 10
-    card = _dressed(F.concat(inner, check.cast("string")), entity)
+    off = _part(bare, n, 1).cast("int") + 10 - _let(_part(bare, 1, n - 1), _luhn)
+    card = _let(inner, lambda x: _dressed(F.concat(x, ((_luhn(x) + off) % 10).cast("string")), entity))
     prefix = F.when(kind == "key", 4).when(kind == "iban", 2).otherwise(0)
     other = _dressed(F.concat(_part(bare, 1, prefix), _permuted(_part(bare, prefix + 1, n), k, kind)), entity)
     return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", F.element_at(_renamed(key), entity)).otherwise(other)
