@@ -8,7 +8,10 @@ Documents with the same set of shingles form a class, and only classes are compa
    one keeps lists short.
 2. Pairs that share so many short lists, and neighbours by size in long lists, are joined
    into candidate groups (connected components). Two classes that reach the threshold are
-   always in one group, as they share long lists or enough short ones.
+   always in one group, as they share long lists or enough short ones. Pairs of short
+   lists go first through a bitmap filter: each set keeps the parities of its shingles by
+   hash, and two sets differ in at least as many shingles as bits, which rules out nearly
+   all pairs that merely share a passage.
 3. Within a group the sets become inverted lists, and each set is searched as DivideSkip
    does: its short lists are merged with counts, what may still reach the required overlap
    is looked up in the long lists by binary search, and the exact overlap decides.
@@ -40,7 +43,8 @@ COUNTED = 1 << 21
 FREQUENT = 1 << 17
 FREQUENT_FROM = 4
 BITS = 1 << 23
-SHORT = 16  # a list of at most so many classes gives all its pairs
+SHORT = 32  # a list of at most so many classes gives all its pairs
+STRONG = 1 << 40  # counts as shared often enough
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -54,8 +58,42 @@ def _class_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) ^ (n * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def _parities(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A bitmap of each set, of 256 bits or about half as many as shingles: the parity of how many shingles a bit has."""
+    n = np.diff(first)
+    width = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) - 1)
+    start = np.concatenate([[0], np.cumsum(width)])
+    place = mix(h ^ np.uint64(0xD6E8FEB86659FD93)) & np.repeat(width - 1, n).astype(np.uint64)
+    bits = np.bincount(np.repeat(start[:-1], n) + place.astype(np.int64), minlength=start[-1]) & 1
+    data = np.packbits(bits.astype(np.uint8), bitorder="little")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _folded(bits: bytes, size: int) -> int:
+    """The bitmap that size bytes would have given."""
+    out = 0
+    for at in range(0, len(bits), size):
+        out ^= int.from_bytes(bits[at : at + size], "little")
+    return out
+
+
+def _possible(percent: int):
+    """Pairs whose bitmaps allow the threshold, and those that long lists gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y, strong in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                size = min(len(x), len(y))
+                spare = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+                keep.append(strong or (_folded(x, size) ^ _folded(y, size)).bit_count() <= spare)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _signatures(size: int):
-    """doc, n, class of each document; with n below 0, shingles that a stretch of the task saw in -n > 1 documents."""
+    """doc, n, class and bitmap of each document; with n below 0, shingles that a stretch of the task saw in -n > 1 documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -64,12 +102,12 @@ def _signatures(size: int):
             h, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             held.clear()
             h, n = h[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), _long(-n), _long(h)], names=["doc", "n", "class"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), _long(-n), _long(h), pa.nulls(len(h), pa.binary())], names=["doc", "n", "class", "bits"])
 
         for batch in batches:
             for part in slices(batch):
                 h, first = shingles(Words(part.column(1)), size)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _long(np.diff(first)), _long(_class_of(h, first))], names=["doc", "n", "class"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _long(np.diff(first)), _long(_class_of(h, first)), _parities(h, first)], names=["doc", "n", "class", "bits"])
                 held.append(h)
                 if sum(map(len, held)) > COUNTED:
                     yield often()
@@ -127,7 +165,7 @@ def _neighbours(percent: int):
                 break
             x, y, n_x, n_y = kind[a][use], kind[b][use], n[a][use], n[b][use]
             need = np.minimum(_shared(n_x, percent), _shared(n_y, percent))
-            got = np.where((size[a][use] > SHORT) | bool(fresh), need, 1)
+            got = np.where((size[a][use] > SHORT) | bool(fresh), STRONG, 1)
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y), got, need]))
         return np.concatenate([*out, np.zeros((4, 0), np.int64)], axis=1)
 
@@ -311,7 +349,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = stored(docs.mapInArrow(_signatures(size), "doc long, n long, class long"), "signatures")
+    seen = stored(docs.mapInArrow(_signatures(size), "doc long, n long, class long, bits binary"), "signatures")
     rows = seen.where("n >= 0")
     often = seen.where("n < 0").groupBy("class").agg((-F.sum("n")).alias("n")).where(F.col("n") >= FREQUENT_FROM)
     # The most frequent shingles, at most FREQUENT of them: they only decide the order in which lists are filled.
@@ -321,8 +359,11 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", "class")
     pairs = tokens.mapInArrow(_neighbours(percent), "a long, b long, shared long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
-    groups = stored(connected(pairs.select("a", "b")), "groups")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc").alias("least"), F.max("n").alias("n"))
+    maps = rows.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    one, two = maps.toDF("a", "n", "x"), maps.toDF("b", "m", "y")
+    pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y", F.col("shared") >= STRONG)
+    groups = stored(connected(pairs.mapInArrow(_possible(percent), "a long, b long")), "groups")
     chosen = stored(classes.join(groups.select(F.col("node").alias("class"), F.col("root").alias("grp")), "class"), "chosen")
     blocks = chosen.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     chosen = stored(chosen.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "chosen")
