@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, pii, sharding, token_counts, toxicity
+from . import ann, ngram_join, packing, pii, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -35,9 +35,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op8_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op8_packing, op9_ann, op10_token_counts)}
 SQL: dict[str, str] = {}
