@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, ngram_join, packing, pii, sharding, token_counts, toxicity
+from . import ann, html_text, ngram_join, packing, pii, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -44,5 +48,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op8_packing, op9_ann, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op8_packing, op9_ann, op10_token_counts)}
 SQL: dict[str, str] = {}
