@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, ngram_join, packing, pii, sharding, token_counts, toxicity
+from . import ann, decontamination, html_text, ngram_join, packing, pii, repeats, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.checked(docs, key="surrogates-1", count_col="n_entities")
@@ -35,6 +39,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"), 400)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -48,5 +56,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op8_packing, op9_ann, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op7_repeats, op8_packing, op9_ann, op10_token_counts)}
 SQL: dict[str, str] = {}
