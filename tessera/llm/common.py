@@ -6,6 +6,7 @@ a time, so that memory in a task does not follow the size of its partition.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TRIM = np.zeros(256, bool)
+_TRIM[[ord(c) for c in ".,;:!?\"'()[]{}|*#$%&-"]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -137,9 +140,23 @@ class Words:
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWER if lower else _BYTE)[data] * up[:n], out=self.sums[1:])
-        self.hashes = self.spans(self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offs)
 
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return self.spans(self.starts, self.ends)
+
+    def trimmed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The byte ranges of the words without punctuation at their ends, three signs at most on either side."""
+        starts, ends = self.starts.copy(), self.ends.copy()
+        some = np.flatnonzero((_TRIM[self.data[ends - 1]] | _TRIM[self.data[starts]]) & (ends - starts > 1)) if len(ends) else starts
+        a, b = starts[some], ends[some]
+        for _ in range(3):
+            b -= (b - a > 1) & _TRIM[self.data[b - 1]]
+            a += (b - a > 1) & _TRIM[self.data[a]]
+        starts[some], ends[some] = a, b
+        return starts, ends
+
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each range."""
         raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]

@@ -36,10 +36,6 @@ from pyspark.sql import functions as F
 
 from .common import Words, slices, small_batches
 
-_TRIM = np.zeros(256, bool)
-_TRIM[[ord(c) for c in ".,;:!?\"'()[]{}|*#$%&-"]] = True
-
-
 ANSWER_WORDS = 6
 
 
@@ -49,12 +45,7 @@ def lowered(texts: pa.Array) -> pa.Array:
 
 def word_hashes(w: Words) -> np.ndarray:
     """Hashes of the words without punctuation at their ends."""
-    starts, ends = w.starts.copy(), w.ends.copy()
-    for _ in range(3):
-        if len(ends):
-            ends -= (ends - starts > 1) & _TRIM[w.data[ends - 1]]
-            starts += (ends - starts > 1) & _TRIM[w.data[starts]]
-    return w.spans(starts, ends)
+    return w.spans(*w.trimmed())
 
 
 def covered(words: list[int], masks: dict[int, int], n: int) -> int:
@@ -185,7 +176,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["col", "v"])
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 256, max_df: float = 0.01, max_items: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> tuple[Benchmark, np.ndarray]:
+def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 256, max_df: float = 0.003, max_items: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> tuple[Benchmark, np.ndarray]:
     """The benchmark with its columns' weights, and the latent basis times them."""
     small_batches(docs.sparkSession)
     rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).limit(max_items + 1).collect()
@@ -260,16 +251,16 @@ class Finder:
         # a passage is a block and the next one of its text
         doc = np.searchsorted(base, at, "right") - 1
         passage = np.unique(np.concatenate([at, at[at > base[doc]] - 1]))
+        if not len(passage):
+            return []
+        end = base[np.searchsorted(base, passage, "right")]
+        spots = [np.minimum(np.searchsorted(at, passage + step), len(at) - 1) for step in (0, 1)]
+        there = [(at[spot] == passage + step) & (passage + step < end) for step, spot in enumerate(spots)]
+        use = sum(np.where(t, count[s], 0) for t, s in zip(there, spots, strict=True)) >= 2
+        passage = passage[use]
         z = np.zeros((len(passage), self.basis.shape[1]), np.float32)
-        words = np.zeros(len(passage), np.int64)
-        for step in (0, 1):
-            spot = np.minimum(np.searchsorted(at, passage + step), max(0, len(at) - 1))
-            end = base[np.searchsorted(base, passage, "right")] if len(passage) else passage
-            use = (at[spot] == passage + step) & (passage + step < end) if len(at) else np.zeros(0, bool)
-            z[use] += sums[spot[use]]
-            words[use] += count[spot[use]]
-        use = words >= 2
-        passage, z = passage[use], z[use]
+        for spot, own in zip(spots, there, strict=True):
+            z[own[use]] += sums[spot[use & own]]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         found: dict[tuple[int, int], float] = {}
         for i in range(0, len(passage), 4096):

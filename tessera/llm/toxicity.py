@@ -45,19 +45,12 @@ IDENTITIES = (
     ("mujeres", "hombres"),
 )
 BEGINNINGS = (4, 5, 6, 7, 8)
-_TRIM = np.zeros(256, bool)
-_TRIM[[ord(c) for c in ".,;:!?\"'()[]{}|*#$%&-"]] = True
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (without outer punctuation) and word beginnings of texts, and the text of each."""
     w = Words(texts)
-    starts, ends = w.starts.copy(), w.ends.copy()
-    for _ in range(3):
-        more = (ends - starts > 1) & _TRIM[w.data[ends - 1]] if len(ends) else np.zeros(0, bool)
-        ends = ends - more
-        more = (ends - starts > 1) & _TRIM[w.data[starts]] if len(ends) else np.zeros(0, bool)
-        starts = starts + more
+    starts, ends = w.trimmed()
     doc = w.texts()
     hashes, docs = [w.spans(starts, ends)], [doc]
     for n in BEGINNINGS:
