@@ -8,7 +8,9 @@ hash, and each window lies in exactly one segment.
 1. All segments' hashes are counted. Two bitmaps of fixed size keep which anchors may occur
    more than once, and which with different segments.
 2. Segments with such anchors meet by anchor hash. Where whole segments are equal, all their
-   windows are repeated. Of segments that differ, one of a kind is kept, with its bytes.
+   windows are repeated; those equal within a slice of a task are settled there, and one
+   stands for them, so that passages of any frequency move few rows. Of segments that differ,
+   one of a kind is kept, with its bytes.
 3. The kept segments become texts of an index, some megabytes at a time: their suffixes are
    sorted, the Burrows-Wheeler transform is cut into runs, and the length of the match with
    the neighbour in suffix order is worked out at the runs' ends alone. Streaming through the
@@ -39,8 +41,8 @@ PIECE = 1 << 22
 PLACE_BITS = np.uint64(23)
 BITS = 1 << 26
 TEXT_BITS = 1 << 23
-INDEX_BYTES = 1 << 22
-HELD_ROWS = 40_000
+INDEX_BYTES = 1 << 19
+INDEX_MOST = 8  # times as much, for one anchor
 
 
 class Hashes:
@@ -137,9 +139,9 @@ def _bitmap(rows: DataFrame, col: str, size: int) -> np.ndarray:
     return out
 
 
-SEGMENTS = "anchor long, whole long, text long, first long, n long, bytes binary"
-_SEGMENT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-_NAMES = ["anchor", "whole", "text", "first", "n", "bytes"]
+SEGMENTS = "anchor long, whole long, text long, first long, n long, bytes binary, state int"
+_NAMES = ["anchor", "whole", "text", "first", "n", "bytes", "state"]
+ONE, SEVERAL, SETTLED = 0, 1, 2  # one segment; one that stands for several; a stretch known to be repeated, with its bytes for n
 
 
 def _chosen(length: int, repeated: np.ndarray, varied: np.ndarray):
@@ -152,32 +154,67 @@ def _chosen(length: int, repeated: np.ndarray, varied: np.ndarray):
                 doc, first, n, anchor, whole = segments(b.data, b.offs, length)
                 use = _bit(repeated, anchor)
                 doc, first, n, anchor, whole = (x[use] for x in (doc, first, n, anchor, whole))
-                show = np.zeros(len(doc), bool)
-                show[np.unique(whole, return_index=True)[1]] = True
-                show &= _bit(varied, anchor)
+                _, at, kind, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                text, start = _text_hashes(b), first - b.offs[doc]
+                # what is equal here is repeated: stretches are merged text by text
+                equal = np.flatnonzero(times[kind] > 1)
+                order = equal[np.lexsort((start[equal], doc[equal]))]
+                d, low, high = doc[order], start[order], start[order] + n[order] + length - 1
+                fresh = np.ones(len(order), bool)
+                # windows of a text start in order, so each stretch ends at or after the one before
+                fresh[1:] = (d[1:] != d[:-1]) | (low[1:] > high[:-1])
+                head = np.flatnonzero(fresh)
+                tail = np.append(head[1:], len(order)) - 1
+                low, size, own = low[head], high[tail] - low[head], text[d[head]]
+                show = _bit(varied, anchor[at])
                 raw = b.data.tobytes()
-                bytes_ = [raw[a : a + k + length - 1] if s else None for a, k, s in zip(first.tolist(), n.tolist(), show.tolist(), strict=True)]
-                text = _text_hashes(b)[doc]
-                yield pa.RecordBatch.from_arrays([_i64(anchor), _i64(whole), _i64(text), _i64(first - b.offs[doc]), _i64(n), pa.array(bytes_, pa.binary())], names=_NAMES)
+                bytes_ = [raw[a : a + k + length - 1] if s else None for a, k, s in zip(first[at].tolist(), n[at].tolist(), show.tolist(), strict=True)]
+                state = np.where(times > 1, SEVERAL, ONE)
+                columns = [
+                    np.concatenate([x, y])
+                    for x, y in (
+                        (anchor[at], mix(own ^ low.astype(np.uint64))),  # settled stretches go anywhere
+                        (whole[at], np.zeros(len(own), np.uint64)),
+                        (text[doc[at]], own),
+                        (start[at], low),
+                        (n[at], size),
+                    )
+                ]
+                state = np.concatenate([state, np.full(len(own), SETTLED)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*map(_i64, columns), pa.array([*bytes_, *[None] * len(own)], pa.binary()), pa.array(state)], names=_NAMES)
 
     return run
 
 
-def suffix_array(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and each one's rank, by prefix doubling. text: numbers from 0, distinct at the ends of parts of at most limit."""
-    n = len(text)
-    rank = text.astype(np.int64)
-    width = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - width] = rank[width:]
-        key = rank * np.int64(n + 300) + after + 1
-        order = np.argsort(key, kind="stable")
+def suffix_array(text: np.ndarray, limit: int) -> np.ndarray:
+    """Suffixes in order, by sorting on ranks of ever longer prefixes.
+
+    text: numbers from 0, distinct at the ends of parts of at most limit. Short texts treble the
+    prefix in each round, as three ranks fit one key; long ones double it.
+    """
+    n, letters = len(text), int(text.max()) + 2
+    rank, width, bits = text.astype(np.int64), 1, max(1, (letters - 1).bit_length())
+
+    def sort(symbols: np.ndarray, step: int, times: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        key = symbols + 1
+        for k in range(1, times):
+            key <<= size
+            key[: n - min(n, k * step)] |= symbols[min(n, k * step) :] + 1
+        order = np.argsort(key)  # equal keys share a rank, so their order does not matter
+        key = key[order]
         new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank, width = new, width * 2
-        if rank[order[-1]] == n - 1 or width > limit:
-            return order, rank
+        new[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        return order, new
+
+    times = max(1, 62 // bits)
+    order, rank = sort(rank, 1, times, bits)
+    width *= times
+    size = n.bit_length()
+    times = 3 if 3 * size <= 63 else 2
+    while rank[order[-1]] < n - 1 and width <= limit:
+        order, rank = sort(rank, width, times, size)
+        width *= times
+    return order
 
 
 class RunIndex:
@@ -190,7 +227,7 @@ class RunIndex:
         text[self.starts[1:] - 1] = np.arange(len(parts))  # each part's end is a letter of its own
         # letters that occur, numbered in order, so that keys stay small
         self.text = np.unique(text, return_inverse=True)[1]
-        order, _ = suffix_array(self.text, int(sizes.max()))
+        order = suffix_array(self.text, int(sizes.max()))
         before = self.text[order - 1]
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         # the suffixes at both ends of every run, with the neighbour across the boundary
@@ -286,19 +323,22 @@ def _matched(length: int, index_bytes: int):
 
         for batch in batches:
             held_bytes = sum(len(k[3] or b"") for k in kinds.values()) if kinds else 0
-            for anchor, whole, text, first, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, whole, text, first, n, data, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state == SETTLED:
+                    out.append((text, first, first + n, None))
+                    continue
                 if anchor != anchor_now:
                     close()
                     anchor_now, held_bytes = anchor, 0
                 kind = kinds.get(whole)
                 if kind is None:
-                    if held_bytes > 2 * index_bytes:  # more than an index holds
+                    if held_bytes > INDEX_MOST * index_bytes:  # more than an index holds
                         many = True
                         for k in kinds.values():
                             by_hash(k)
                         kinds.clear()
                         held_bytes = 0
-                    kinds[whole] = [text, first, n, data, False]
+                    kinds[whole] = [text, first, n, data, state == SEVERAL]
                     held_bytes += len(data or b"")
                 else:
                     if not kind[4]:
