@@ -1,6 +1,6 @@
 """What the operators of this folder share: stored tables, and words of UTF-8 text as hashes.
 
-Words are found in numpy over whole Arrow buffers, a slice of about a megabyte at
+Words are found in numpy over whole Arrow buffers, a slice of a quarter of a megabyte at
 a time, so that memory in a task does not follow the size of its partition.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
 
 

@@ -176,7 +176,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["col", "v"])
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 256, max_df: float = 0.003, max_items: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> tuple[Benchmark, np.ndarray]:
+def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 256, max_df: float = 0.001, max_items: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> tuple[Benchmark, np.ndarray]:
     """The benchmark with its columns' weights, and the latent basis times them."""
     small_batches(docs.sparkSession)
     rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).limit(max_items + 1).collect()

@@ -41,6 +41,7 @@ PIECE = 1 << 22
 PLACE_BITS = np.uint64(23)
 BITS = 1 << 26
 TEXT_BITS = 1 << 23
+SLICE = 1 << 20
 INDEX_BYTES = 1 << 19
 INDEX_MOST = 8  # times as much, for one anchor
 
@@ -107,7 +108,7 @@ def _counts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 b = Bytes(part.column(0))
                 _, _, _, anchor, whole = segments(b.data, b.offs, length)
                 order = np.lexsort((whole.view(np.int64), anchor))
@@ -149,7 +150,7 @@ def _chosen(length: int, repeated: np.ndarray, varied: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 b = Bytes(part.column(0))
                 doc, first, n, anchor, whole = segments(b.data, b.offs, length)
                 use = _bit(repeated, anchor)
@@ -411,7 +412,7 @@ def removed(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 b = Bytes(part.column(1))
                 keep = ~_bit(bits, _text_hashes(b))
                 raw, offs, ids = b.data.tobytes(), b.offs.tolist(), part.column(0).to_pylist()
@@ -419,7 +420,7 @@ def removed(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES)
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 h = _text_hashes(Bytes(part.column(1)))
                 part = pa.RecordBatch.from_arrays([*part.columns, _i64(h)], names=["doc_id", "data", "text"])
                 yield part.filter(pa.array(_bit(bits, h)))
