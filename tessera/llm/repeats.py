@@ -165,7 +165,7 @@ def _chosen(length: int, repeated: np.ndarray, varied: np.ndarray):
                 # windows of a text start in order, so each stretch ends at or after the one before
                 fresh[1:] = (d[1:] != d[:-1]) | (low[1:] > high[:-1])
                 head = np.flatnonzero(fresh)
-                tail = np.append(head[1:], len(order)) - 1
+                tail = np.append(head, len(order))[1:] - 1
                 low, size, own = low[head], high[tail] - low[head], text[d[head]]
                 show = _bit(varied, anchor[at])
                 raw = b.data.tobytes()

@@ -70,3 +70,12 @@ def test_matches_equal_brute_force():
 
 def test_empty_table(spark):
     assert repeats.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_that_meet_only_across_partitions(spark):
+    r = random.Random(9)
+    make = lambda k: "".join(r.choice("abcdef") for _ in range(k))
+    shared = make(100)
+    rows = [(1, make(200)), (2, make(20) + shared + make(90)), (3, make(150)), (4, shared), (5, make(99))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    assert sorted((tuple(x) for x in repeats.removed(docs, 60).collect()), key=str) == brute(rows, 60)
