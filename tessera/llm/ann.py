@@ -181,16 +181,17 @@ def usable(v: Column) -> Column:
 
 
 def _smallest(k: int):
-    """Of rows sorted by h, v and vec_id, the first k of each h and v."""
+    """Of rows sorted by h, v and vec_id, the first k ids of each h and v, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, count = None, 0
+        last, seen, count = None, None, 0
         for batch in batches:
             keep = []
-            for h, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count = count + 1 if (h, v) == last else 1
-                last = (h, v)
-                keep.append(count <= k)
+            for h, v, vec in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                new = (h, v) != last
+                count = 1 if new else count + (vec != seen)
+                keep.append(new or (vec != seen and count <= k))
+                last, seen = (h, v), vec
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

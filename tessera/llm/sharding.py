@@ -129,18 +129,17 @@ def pack(sizes: list[int], n_bins: int) -> list[int]:
     if not rest:
         return out
     of, bins = [sizes[i] for i in rest], n_bins - alone
-    low, high = max(-(-left // bins), of[0]), max(-(-left // bins), of[0]) + of[0]
+    low = max(-(-left // bins), of[0])
+    high = low + of[0]  # with so much room, every bin but one is filled to its share
     fit = best_fit_decreasing(of, low)
-    while max(fit) >= bins and low < high:
-        middle = (low + high) // 2
-        if max(tried := best_fit_decreasing(of, middle)) < bins:
-            high, fit = middle, tried
-            if high - low <= max(1, left // bins >> 12):
-                break
-        else:
-            low = middle + 1
     if max(fit) >= bins:
         fit = best_fit_decreasing(of, high)
+        while high - low > max(1, left // bins >> 14):
+            middle = (low + high) // 2
+            if max(tried := best_fit_decreasing(of, middle)) < bins:
+                high, fit = middle, tried
+            else:
+                low = middle
     for i, b in zip(rest, fit, strict=True):
         out[i] = alone + min(b, bins - 1)
     return out

@@ -49,6 +49,7 @@ class Counter:
         self.unknown = min(s for _, s in vocab) - 10.0
         entries = {p for p, _ in vocab}
         self.bytes = all(f"<0x{b:02X}>" in entries for b in range(256))
+        self.lines = self.bytes and not any("\n" in p for p in entries)
         self.known: dict[str, int] = {}
 
     def word(self, text: str) -> int:
@@ -87,11 +88,12 @@ class Counter:
         if len(self.known) > CACHED:
             self.known = {}
         known = self.known
-        # a line break is in no piece but its own byte, so what follows it is counted apart, without a mark
-        split = [(t[1:] if t[0] in (" ", MARK) else t).replace(MARK, " ").replace("\n", " \n").split(" ") if t else [] for t in texts]
+        # where a line break is in no piece but its own byte, what follows it is counted apart, without a mark
+        line = " \n" if self.lines else "\n"
+        split = [(t[1:] if t[0] in (" ", MARK) else t).replace(MARK, " ").replace("\n", line).split(" ") if t else [] for t in texts]
         new = set().union(*split).difference(known)
         for c in new:
-            known[c] = self.word(c if c[:1] == "\n" else MARK + c)
+            known[c] = self.word(c if self.lines and c[:1] == "\n" else MARK + c)
         out = [sum([known[c] for c in chunks]) for chunks in split]
         for c in new:
             if len(c) > CACHED_CHARS:
