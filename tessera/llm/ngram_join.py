@@ -44,6 +44,7 @@ FREQUENT = 1 << 17
 FREQUENT_FROM = 4
 BITS = 1 << 23
 SHORT = 32  # a list of at most so many classes gives all its pairs
+HOT = 1000
 STRONG = 1 << 40  # counts as shared often enough
 
 
@@ -382,7 +383,14 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("class", "root").join(least, "root").select("class", "component_id")
     alone = classes.join(named, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(alone, (rows["class"] == alone["class"]) & (rows["n"] > 0), "left")
+    # Classes of more than a HOT-th of the documents are fewer than HOT, and go by broadcast.
+    counts = rows.where("n > 0").groupBy("class").count()
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = stored(counts.where(F.col("count") * HOT > total).join(alone, "class").select("class", "component_id"), "hot")
+    kept = rows.where("n > 0").select("class", "doc", "n")
+    named = kept.join(F.broadcast(hot), "class").unionByName(kept.join(F.broadcast(hot.select("class")), "class", "left_anti").join(alone, "class"))
+    empty = rows.where("n = 0").select("class", "doc", "n", F.col("doc").alias("component_id"))
+    out = named.select("class", "doc", "n", "component_id").unionByName(empty)
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
