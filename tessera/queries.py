@@ -259,9 +259,14 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(s: SparkSession, d: str, **options) -> CoordArray:
-    path = _path(s, "coo")
-    write_coo(ps(s, d), path, ["i", "j"], "value", **options)
+def _tiles(x: CoordArray, *parts: int) -> tuple[int, ...]:
+    """Grid spacings for so many parts of each dimension."""
+    return tuple(-(-len(q) // n) for q, n in zip(x.dims, parts, strict=True))
+
+
+def _written(s: SparkSession, d: str, parts: tuple[int, int] | None = None, **options) -> CoordArray:
+    path, x = _path(s, "coo"), ps(s, d)
+    write_coo(x, path, ["i", "j"], "value", grid=_tiles(x, *parts) if parts else None, **options)
     return read_coo(s, path)
 
 
@@ -273,8 +278,8 @@ def _plain(x: CoordArray) -> DataFrame:
 
 
 add("write_roundtrip", lambda s, d: _plain(_written(s, d)), _WRITTEN)
-add("write_partitioned_roundtrip", lambda s, d: _plain(_written(s, d, grid=(500, 5))), _WRITTEN)
-add("cluster_roundtrip", lambda s, d: _plain(_written(s, d, grid=(500, 50), cluster_by="zorder")), _WRITTEN)
+add("write_partitioned_roundtrip", lambda s, d: _plain(_written(s, d, (4, 5))), _WRITTEN)
+add("cluster_roundtrip", lambda s, d: _plain(_written(s, d, (4, 2), cluster_by="zorder")), _WRITTEN)
 
 
 def _appended(s: SparkSession, d: str) -> DataFrame:
@@ -316,9 +321,10 @@ add("dim_tables", _tables, "SELECT 'r' AS dim, p_partkey AS key, CAST((p_partkey
 
 def _pruned(s: SparkSession, d: str) -> DataFrame:
     path, x = _path(s, "pruned"), ps(s, d)
-    write_coo(x, path, ["i", "j"], grid=(500, 5))
+    tiles = _tiles(x, 4, 5)
+    write_coo(x, path, ["i", "j"], grid=tiles)
     y = read_coo(s, path)
-    y = y.with_dim_tables(dim_tables(y.dims, (500, 5)))
+    y = y.with_dim_tables(dim_tables(y.dims, tiles))
     return _plain(y[20:80, 2:4])
 
 
