@@ -86,7 +86,7 @@ def floor_mod(a: Column, b: Column) -> Column:
 
 def power(a: Column, b: Column) -> Column:
     a, b = number(a), number(b)
-    return F.when((a.isNotNull() & b.isNotNull()) & ((a == 1) | (b == 0)), 1.0).otherwise(F.pow(a, b))
+    return F.when((a.isNotNull() & b.isNotNull()) & ((a == 1) | (b == 0) | ((a == -1) & (F.abs(b) == inf()))), 1.0).otherwise(F.pow(a, b))
 
 
 def _ordered(a: Column, b: Column, result: Column, floats: bool) -> Column:
