@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import dropped, small_batches, stored
 
-CACHED = 500_000
+CACHED = 800_000
 CACHED_CHARS = 48
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
