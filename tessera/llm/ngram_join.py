@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Words, lists, mix, shingles, sized_shingles, slices, small_batches, stored
 
 COUNTED = 1 << 21
-FREQUENT = 1 << 17
+FREQUENT = 1 << 16
 FREQUENT_FROM = 4
 BITS = 1 << 23
 SHORT = 32  # a list of at most so many classes gives all its pairs
@@ -356,6 +356,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # The most frequent shingles, at most FREQUENT of them: they only decide the order in which lists are filled.
     top = sorted((r["class"] & (2**64 - 1), r["n"], r["class"]) for r in often.orderBy(F.desc("n"), "class").limit(FREQUENT).collect())
     frequent = np.array([[h for h, _, _ in top], [n for _, n, _ in top]], dtype=np.uint64).reshape(2, -1)
+    del top
     tokens = docs.mapInArrow(_prefixes(size, percent, frequent), "token long, class long, n long")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", "class")
     pairs = tokens.mapInArrow(_neighbours(percent), "a long, b long, shared long, need long")
