@@ -233,6 +233,8 @@ _GRAM = f"WITH {X} SELECT a.c AS c_a, b.c AS c_b, sum(a.v * b.v) AS value FROM x
 add("crossprod_self", lambda s, d: rounded(M.crossprod(ps(s, d), strategy="join").rows()), _GRAM)
 add("blocked_gram", lambda s, d: rounded(M.gram(ps(s, d), "row", "blocked").rows()), _GRAM)
 add("tcrossprod_self", lambda s, d: rounded(M.tcrossprod(ps(s, d)[:60, :], strategy="join").rows()), f"WITH {X}, y AS (SELECT x.* FROM x WHERE r < (SELECT min(p_partkey) + 60 FROM part)) SELECT a.r AS r_a, b.r AS r_b, sum(a.v * b.v) AS value FROM y a JOIN y b USING (c) GROUP BY 1, 2")
+# the prefix of tcrossprod_self and its SQL is kept as it is; this one is over the whole array
+add("tcrossprod_whole", lambda s, d: rounded(M.tcrossprod(ps(s, d).T, strategy="join").rows()), _GRAM)
 add("crossprod_vec", lambda s, d: rounded(M.crossprod((x := ps(s, d)), _weights(x, 0)).rows()), f"WITH {X} SELECT CAST(1 AS BIGINT) AS __row__, c, sum(v * (r % 7 + 1)) AS value FROM x GROUP BY 2")
 add("tcrossprod_vec", lambda s, d: rounded(M.tcrossprod((x := ps(s, d)), _weights(x, 1)).rows()), f"WITH {X} SELECT r, CAST(1 AS BIGINT) AS __col__, sum(v * (c % 7 + 1)) AS value FROM x GROUP BY 1")
 add("outer", lambda s, d: rounded(M.tcrossprod([1.0, 2.0, 3.0], ps(s, d).subset(None, [0], drop=False)).rows()), f"WITH {X} SELECT CAST(i AS BIGINT) AS __row__, r, v * i AS value FROM x CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) WHERE c = (SELECT min(s_suppkey) FROM supplier)")

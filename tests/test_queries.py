@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.queries import QUERIES, SQL
@@ -44,3 +45,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tcrossprod_is_over_the_whole_array(spark, duck):
+    from tessera.operators import matrix as M
+    from tessera.queries import ps
+
+    n, low, parts, part = duck.sql("SELECT (SELECT count(*) FROM supplier), (SELECT min(s_suppkey) FROM supplier), count(*), min(p_partkey) FROM part").fetchall()[0]
+    a = np.zeros((parts, n))
+    for r, c, v in duck.sql("SELECT l_partkey, l_suppkey, sum(l_quantity) FROM lineitem GROUP BY 1, 2").fetchall():
+        a[r - part, c - low] = v
+    got = np.zeros((n, n))
+    for r in QUERIES["tcrossprod_whole"](spark, SF).collect():
+        got[r.c_a - low, r.c_b - low] = r.value
+    np.testing.assert_allclose(got, a.T @ a)
+    whole = M.tcrossprod(ps(spark, SF), strategy="join")
+    assert whole.shape == (parts, parts)
+    np.testing.assert_allclose(whole.to_numpy(), a @ a.T)
