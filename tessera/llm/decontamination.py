@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic search and longest common subsequences.
 
-Benchmark items are cut into units of at most `window` words; the columns of the term
-matrix are the units' words. Texts are read as passages of `window` words, overlapping by
+Benchmark items are cut into units of at most `window` words, and one more unit lies across
+every border of two; the columns of the term matrix are the units' words. Texts are read as passages of `window` words, overlapping by
 half. Three passes over all texts:
 
 1. document frequencies of the columns over all passages. Words in more than max_df of the
@@ -16,7 +16,8 @@ half. Three passes over all texts:
    if it covers 80 % of the words of the item's answer (its last sentence, if it has six
    words or more) as well. So
    copies with words changed, left out or put in between are found. Units under eight words
-   must be there whole.
+   must be there whole. Besides, any run of 13 words of an item that a text holds word for
+   word is a leak, whatever its units; all words are compared for this, frequent ones too.
 
 Words are lower-cased (in all scripts) runs without white space, without punctuation at their ends. Null and
 blank texts hold nothing and are clean; null or blank items are no items. Repeated rows are
@@ -34,9 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, small_batches
+from .common import Words, mix, slices, small_batches
 
 ANSWER_WORDS = 6
+RUN_WORDS = 13
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -48,6 +51,15 @@ def word_hashes(w: Words) -> np.ndarray:
     return w.spans(*w.trimmed())
 
 
+def run_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN_WORDS words, by first word."""
+    out = np.zeros(max(0, len(h) - RUN_WORDS + 1), np.uint64)
+    for i in range(RUN_WORDS):
+        out *= _BASE
+        out += h[i : i + len(out)]
+    return mix(out)
+
+
 def covered(words: list[int], masks: dict[int, int], n: int) -> int:
     """The length of the longest common subsequence with a unit of n words, whose places masks holds by word."""
     v = full = (1 << n) - 1
@@ -59,25 +71,54 @@ def covered(words: list[int], masks: dict[int, int], n: int) -> int:
 
 
 class Benchmark:
-    """Units of the items, and the columns: words of units, ascending by hash."""
+    """Units of the items, their runs, and the columns: words of units, ascending by hash."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.window = window
         self.items: list[int] = []
         self.units: list[np.ndarray] = []
         self.answers: list[np.ndarray] = []
+        self.units_of: list[range] = []
+        runs, half = [], window // 2
         for item, text in items:
             h = word_hashes(Words(lowered(pa.array([text]))))
             last = [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s.strip()][-1:]
             answer = word_hashes(Words(lowered(pa.array(last or [""]))))
-            for at in range(0, max(1, len(h) - window // 4), window):
-                unit = h[at:] if len(h) - at <= window + window // 4 else h[at : at + window]
+            begins, before = range(0, max(1, len(h) - window // 4), window), len(self.units)
+            spans = [(at, len(h) if len(h) - at <= window + window // 4 else at + window) for at in begins]
+            spans += [(at - half, min(len(h), at + window - half)) for at in begins[1:] if half]
+            for at, end in spans:
+                unit = h[at:end]
                 if len(unit):
                     self.items.append(item)
                     self.units.append(unit)
                     self.answers.append(answer if len(answer) >= ANSWER_WORDS and len(unit) > len(answer) and at + len(unit) == len(h) else unit[:0])
+            runs.append(np.unique(run_hashes(h)))
+            self.units_of.append(range(before, len(self.units)))
         self.columns = np.unique(np.concatenate([*self.units, np.zeros(0, np.uint64)]))
         self._near()
+        of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        self.runs = np.concatenate([*runs, np.zeros(0, np.uint64)])
+        order = np.argsort(self.runs, kind="stable")
+        self.runs, self.run_of = self.runs[order], of[order].astype(np.int32)
+        self.near_runs = np.zeros(1 << 20, bool)
+        self.near_runs[(self.runs & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def held_runs(self, w: Words, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Text, place of the first word and index of the item of each run that texts hold; of adjoining runs of an item the first."""
+        if not len(self.runs):
+            return
+        g = run_hashes(h)
+        place = np.flatnonzero(self.near_runs[(g & np.uint64(0xFFFFF)).astype(np.int64)])
+        low, high = (np.searchsorted(self.runs, g[place], side) for side in ("left", "right"))
+        doc = np.searchsorted(w.first, place, "right") - 1
+        use = (high > low) & (place + RUN_WORDS <= w.first[doc + 1])
+        last: dict[tuple[int, int], int] = {}
+        for at, d, a, b in zip(*(x[use].tolist() for x in (place, doc, low, high)), strict=True):
+            for i in self.run_of[a:b].tolist():
+                if last.get((d, i)) != at - 1:
+                    yield d, at, i
+                last[d, i] = at
 
     def _near(self) -> None:
         self.near = np.zeros(1 << 16, bool)
@@ -240,11 +281,25 @@ class Finder:
 
     def __call__(self, texts: pa.Array) -> list[tuple[int, int, float]]:
         """Text, unit and covered share of what is found."""
-        bench, half = self.bench, self.bench.window // 2
+        bench = self.bench
         if not len(bench.units):
             return []
         w = Words(lowered(texts))
         h = word_hashes(w)
+        found = self._near_units(w, h)
+        seen = {(d, bench.items[unit]) for d, unit in found}
+        for d, at, i in bench.held_runs(w, h):
+            units = bench.units_of[i]
+            if (d, bench.items[units[0]]) in seen:
+                continue
+            near = h[max(w.first[d], at - bench.window) : min(w.first[d + 1], at + 2 * bench.window)].tolist()
+            share, unit = max((covered(near, self.masks[u], len(bench.units[u])) / len(bench.units[u]), u) for u in units)
+            found[d, unit] = max(share, found.get((d, unit), 0))
+        return [(d, unit, share) for (d, unit), share in found.items()]
+
+    def _near_units(self, w: Words, h: np.ndarray) -> dict[tuple[int, int], float]:
+        """Covered share by text and unit, of units that passages are near to."""
+        bench, half = self.bench, self.bench.window // 2
         block, col, base = bench.blocks(w, h)
         at, sums = _summed(block, self.basis[col])
         count = np.diff(np.concatenate([np.searchsorted(block, at), [len(block)]])) if len(at) else at
@@ -252,7 +307,7 @@ class Finder:
         doc = np.searchsorted(base, at, "right") - 1
         passage = np.unique(np.concatenate([at, at[at > base[doc]] - 1]))
         if not len(passage):
-            return []
+            return {}
         end = base[np.searchsorted(base, passage, "right")]
         spots = [np.minimum(np.searchsorted(at, passage + step), len(at) - 1) for step in (0, 1)]
         there = [(at[spot] == passage + step) & (passage + step < end) for step, spot in enumerate(spots)]
@@ -273,7 +328,7 @@ class Finder:
                 near = h[max(w.first[d], first - half) : min(w.first[d + 1], first + 3 * half)].tolist()
                 if share := self.holds(near, int(unit)):
                     found[d, int(unit)] = max(share, found.get((d, int(unit)), 0))
-        return [(d, unit, share) for (d, unit), share in found.items()]
+        return found
 
 
 def _finder(docs: DataFrame, benchmark: DataFrame, cosine: float, share: float, weak_share: float, answer_share: float, **options) -> Finder:

@@ -89,3 +89,36 @@ def test_edges(spark, case):
     assert twice.count() == 2 * D.leaks(docs, items).count()
     with pytest.raises(ValueError, match="in parts"):
         D.leaks(docs, items, max_items=2)
+
+
+def test_excerpts_across_units_and_short_runs(spark):
+    long, r = ITEMS[5][1].split(), random.Random(8)
+    other = [(7, " ".join(f"the{i % 5} of{i % 7} and{i % 11}" for i in range(60)))]
+    rows = [(0, words(r, 300) + long[36:92] + words(r, 300))]  # 28 words on either side of a border
+    rows += [(1 + k, words(r, 90) + long[58 + k : 71 + k] + words(r, 90)) for k in range(8)]  # 13 words on and around it
+    rows += [(20, long[128:150]), (21, words(r, 50) + other[0][1].split()[100:113])]
+    clean = [(30 + k, words(r, 90) + long[60 + k : 72 + k] + words(r, 90)) for k in range(3)]  # 12 words
+    clean += [(40, long[60:66] + ["x"] + long[66:73]), (41, long[60:66])]
+    clean += [(42, long[66:73])]
+    docs, items = tables(spark, [(i, " ".join(t)) for i, t in rows + clean], ITEMS + other)
+    got = {(x.doc_id, x.item_id): x.covered for x in D.leaks(docs, items).collect()}
+    assert set(got) == {(i, 7 if i == 21 else 6) for i, _ in rows}
+    assert got[0, 6] == 56 / 64 and all(0 < v <= 1 for v in got.values())
+    assert {x.doc_id for x in D.clean(docs, items).collect()} == {i for i, _ in clean}
+
+
+def test_changed_excerpts_across_units(spark):
+    changed, r = ITEMS[5][1].split()[36:92], random.Random(9)
+    for i in range(4, 56, 8):
+        changed[i] = "changed"
+    rows = [(0, words(r, 200) + changed + words(r, 200))] + [(1 + i, words(r, 3300)) for i in range(40)]
+    docs, items = tables(spark, [(i, " ".join(t)) for i, t in rows])
+    assert [(x.doc_id, x.item_id, x.covered) for x in D.leaks(docs, items).collect()] == [(0, 6, 49 / 64)]
+
+
+def test_runs_do_not_pass_from_one_text_to_the_next(spark):
+    import pyarrow as pa
+
+    bench = D.Benchmark([(6, ITEMS[5][1])], 64)
+    w = D.Words(pa.array([" ".join(f"long{i}" for i in range(20, 28)), " ".join(f"long{i}" for i in range(28, 36)), None, " ".join(f"long{i}" for i in range(28, 42))]))
+    assert list(bench.held_runs(w, D.word_hashes(w))) == [(3, 16, 0)]
