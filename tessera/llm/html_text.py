@@ -1,7 +1,8 @@
 """Visible text of HTML pages, laid out as a reader would see it.
 
 Tags become a tree with the usual implied ends and starts (a block ends a paragraph, a list
-item ends the one before, cells and rows end and begin each other). Hidden parts are left
+item ends the one before, cells and rows end and begin each other, what cannot stand in the
+head ends it). Hidden parts are left
 out: scripts, styles, templates, the head, closed details, and what hidden attributes,
 inline styles or simple rules of the page's own style sheets take away. All else is kept,
 menus and footers too. Blocks stand on lines of their own with blank lines around
@@ -52,6 +53,8 @@ ENDS = {
     **{t: (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)) for t in ("thead", "tbody", "tfoot")},
 }
 CLOSES_P = (BLOCKS | {"table"}) - {"html", "body", "option", "textarea", "tr", "caption", "legend", "summary"}
+#: What may stand in the head; any other start tag, and text, ends an open head.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SPACE, BREAK = "\x00", "\x01"  # kept space and line break; neither may stand in a page
 
 
@@ -93,18 +96,24 @@ def parse(page: str) -> Node:
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
 
+    def say(text: str) -> None:
+        text = html.unescape(text)
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            pop()
+        stack[-1].children.append(text)
+
     at = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:  # a tag that never ends
-            stack[-1].children.append(html.unescape(page[at]))
+            say(page[at])
             at += 1
             continue
         at = m.end()
         kind = m.lastgroup
         if kind == "text":
             if stack[-1].tag not in ("table", "thead", "tbody", "tfoot", "tr") or not m["text"].isspace():
-                stack[-1].children.append(html.unescape(m["text"]))
+                say(m["text"])
         elif kind == "close":
             tag = m["close"].lower()
             if opened.get(tag) and tag != "html":
@@ -118,6 +127,8 @@ def parse(page: str) -> Node:
                     if stack[i].tag in limit:
                         break
             elif tag == "br":
+                if stack[-1].tag == "head":
+                    pop()
                 push("br", {})
         elif kind in ("open", "attrs"):
             tag = m["open"].lower()
@@ -128,6 +139,8 @@ def parse(page: str) -> Node:
                 continue
             if tag == "body" and opened.get("head"):
                 end(("head",), ())
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
+                pop()
             if opened.get("p") and tag in CLOSES_P:
                 end(("p",), ("td", "th", "caption", "button", "object", "table"))
             if tag in ENDS:

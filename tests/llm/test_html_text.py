@@ -44,3 +44,20 @@ def test_rows(spark):
     got = extracted(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, html string, text string")).collect()
     assert sorted(((r[0], r[1]) for r in got), key=str) == sorted([(1, "a"), (2, None), (None, "b"), (1, "a"), (3, "")], key=str)
     assert extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><h1>A</h1><p>B", "A\n\nB"),
+        ("<!doctype html><head><meta charset=utf-8>\n<link rel=x>\n<p>B<p>C</html>", "B\n\nC"),
+        ("<head><title>T</title> words <b>on</b>", "words on"),
+        ("<head><title>T</title>1 < 2", "1 < 2"),
+        ("<head><title>T</title>&nbsp;</br>b", "\xa0\nb"),
+        ("<head><style>.h{display:none}</style><div class=h>no</div><div>yes</div>", "yes"),
+        ("<head><template><p>no</p>nor</template><script>no</script><noscript>no</noscript><title>no</title> </head>yes", "yes"),
+        ("<head><title>T</title><body>a</body>", "a"),
+    ],
+)
+def test_open_heads(page, text):
+    assert page_text(page) == text
