@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
@@ -55,6 +56,39 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Bits of the smallest and largest bitmap. Beyond the largest, more rows pass and later joins drop them.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def bitmap(rows: DataFrame, col: str, n: int) -> np.ndarray:
+    """A bitmap of the low bits of n hashes (a long column), 16 bits or more for each up to MOST_BITS.
+
+    Its size is bounded, 32 MB at most, so it may go through the driver.
+    """
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
+    # Spark's bucket k holds places 1 to 32768 after 32768 * (k - 1), so zero-based places go in one higher
+    at = rows.select((F.col(col).bitwiseAND(F.lit(size - 1)) + 1).alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(size // 8, np.uint8)
+    for r in maps:
+        out[4096 * (r["k"] - 1) : 4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (of 64 bits) a bitmap of bitmap() holds."""
+    at = (h.view(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,9 +3,11 @@
 Documents with the same set of shingles form a class, and only classes are compared.
 
 1. Every class puts its rarest shingles into lists by shingle, so many that a partner at
-   the threshold must share some of them: two, and one more for every 64 shingles. Rare means: not among the most frequent ones, which
-   are counted where a task sees them twice, and of many letters. Any order would do; this
-   one keeps lists short.
+   the threshold must share some of them: two, and one more for every 64 shingles. Rare means:
+   of a low count, and among equals of many letters. Counts are kept by hash in a sketch of a
+   fixed number of cells, over every shingle of every text. Any order would do; this one keeps
+   lists short, and what stands out from the sketch's noise grows with the root of the input
+   only, so there is no size at which it stops working.
 2. Pairs that share so many short lists, and neighbours by size in long lists, are joined
    into candidate groups (connected components). Two classes that reach the threshold are
    always in one group, as they share long lists or enough short ones. Pairs of short
@@ -16,19 +18,23 @@ Documents with the same set of shingles form a class, and only classes are compa
    does: its short lists are merged with counts, what may still reach the required overlap
    is looked up in the long lists by binary search, and the exact overlap decides.
    Classes that are known to be connected already are not looked up again.
-4. Groups of many shingles are dealt to blocks. Each block is searched within itself and
-   the blocks' largest parts against each other; then every class outside its group's
-   largest part so far is searched in every block. A link between parts always has an end
-   outside the largest, so none is missed, and a large group of near copies costs about
-   its size.
+4. Groups of many shingles are dealt to blocks. Each block is searched within itself, and
+   one set of each block's largest part against those of other blocks, a thousand at a time.
+   A link between parts then always has an end outside its group's largest part, so every
+   class outside it is looked for in every block: first by bitmaps, which are a hundredth of
+   the sets' size, and only in blocks where some bitmap allows a link by the set itself. No
+   set is copied to a block without such a hint, and a large group of near copies costs
+   about its size.
 
 Null, empty and blank texts have no shingles and are linked with nothing. Texts with
-fewer words than a shingle have their whole sequence as one. A null id links nothing. Repeated rows are documents
-of their own in one class. Other columns are ignored; an empty table gives an empty result.
+fewer words than a shingle have their whole sequence as one. A null id links nothing. Repeated
+rows are documents of their own in one class; so are rows that share an id but not a text. Texts of any length are
+read whole. Other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lists, mix, shingles, sized_shingles, slices, small_batches, stored
+from .common import Words, bitmap, dropped, has_bit, lists, mix, shingles, sized_shingles, slices, small_batches, stored
 
-COUNTED = 1 << 21
-FREQUENT = 1 << 16
-FREQUENT_FROM = 4
-BITS = 1 << 23
+COUNTED = 1 << 20  # shingles that a task counts at once
+CELLS = 1 << 23  # of the sketch
+PART = 1 << 16  # cells of one row of the sketch
 SHORT = 32  # a list of at most so many classes gives all its pairs
+TOLD = 1 << 18  # classes that a task remembers to have listed
+HEADS = 1000  # sets of blocks' largest parts that are compared in one task
+WIDE = 4  # blocks whose bitmaps are compared in one task
 HOT = 1000
 STRONG = 1 << 40  # counts as shared often enough
 
@@ -94,51 +102,87 @@ def _possible(percent: int):
 
 
 def _signatures(size: int):
-    """doc, n, class and bitmap of each document; with n below 0, shingles that a stretch of the task saw in -n > 1 documents."""
+    """doc, n, class and bitmap of each document; with n below 0, class is a part of the sketch and bits its cells' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        sketch = np.zeros(CELLS, np.uint32)
 
-        def often() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        def count() -> None:
+            cell, n = np.unique(np.concatenate([*held, np.zeros(0, np.int32)]), return_counts=True)
             held.clear()
-            h, n = h[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), _long(-n), _long(h), pa.nulls(len(h), pa.binary())], names=["doc", "n", "class", "bits"])
+            sketch[cell] += n.astype(np.uint32)
 
         for batch in batches:
             for part in slices(batch):
                 h, first = shingles(Words(part.column(1)), size)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _long(np.diff(first)), _long(_class_of(h, first)), _parities(h, first)], names=["doc", "n", "class", "bits"])
-                held.append(h)
+                held.append(_cells(h))
                 if sum(map(len, held)) > COUNTED:
-                    yield often()
-        yield often()
+                    count()
+        count()
+        for k in range(CELLS // PART):
+            cells = np.minimum(sketch[k * PART : (k + 1) * PART], 0xFFFF).astype("<u2")
+            if cells.any():
+                packed = zlib.compress(cells.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([k], pa.int64()), pa.array([packed], pa.binary())], names=["doc", "n", "class", "bits"])
 
     return run
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int32)
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Eight times the binary logarithm of the cells' sums, a byte each; rows come by part."""
+    now, total = None, np.zeros(PART, np.float64)
+
+    def row() -> pa.RecordBatch:
+        ranks = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ranks.tobytes()], pa.binary())], names=["part", "ranks"])
+
+    for batch in batches:
+        for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != now:
+                if now is not None:
+                    yield row()
+                now, total = part, np.zeros(PART, np.float64)
+            total += np.frombuffer(zlib.decompress(bits), "<u2")
+    if now is not None:
+        yield row()
+
+
 def _shared(n: np.ndarray, percent: int) -> np.ndarray:
     """How many of its listed shingles a set of n must share with any partner."""
     return np.minimum(-(-percent * n // 100), 2 + n // 64)
 
 
-def _prefixes(size: int, percent: int, frequent: np.ndarray):
-    """token, class, n for the rarest n - T + k shingles of each set, k of _shared(). frequent: ascending by hash; rank by column 1."""
-    keys, ranks = frequent[0].astype(np.uint64), frequent[1].astype(np.uint64)
+def _prefixes(size: int, percent: int, ranks: np.ndarray):
+    """token, class, n for the rarest n - T + k shingles of each set, k of _shared(). ranks: by cell of the sketch.
+
+    A task lists a class once, or again when it has listed many others since.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
             for part in slices(batch):
                 h, first, letters = sized_shingles(Words(part.column(1)), size)
                 n = np.diff(first)
                 kind = _class_of(h, first)
-                doc = np.repeat(np.arange(len(n)), n)
-                weight = np.zeros(len(h), np.uint64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    weight = np.where(keys[at] == h, ranks[at], np.uint64(0))
-                order = np.lexsort((h, -letters, weight, doc))
-                nth = np.arange(len(h)) - first[doc]
+                fresh = np.zeros(len(n), bool)
+                for i, k in enumerate(kind.tolist()):
+                    if k not in told:
+                        fresh[i] = True
+                        told.add(k)
+                if len(told) > TOLD:
+                    told.clear()
+                use = np.repeat(fresh, n)
+                h, letters, doc = h[use], letters[use], np.repeat(np.arange(len(n)), n)[use]
+                start = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))])
+                order = np.lexsort((h, -letters, ranks[_cells(h)], doc))
+                nth = np.arange(len(h)) - start[doc]
                 use = order[nth < (n + (-percent * n) // 100 + _shared(n, percent))[doc]]
                 yield pa.RecordBatch.from_arrays([_long(h[use]), _long(kind[doc[use]]), _long(n[doc[use]])], names=["token", "class", "n"])
 
@@ -185,6 +229,7 @@ def _neighbours(percent: int):
             rows = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
             if not rows.shape[1]:
                 continue
+            rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]  # a class is listed once
             last = int(np.searchsorted(rows[0], rows[0, -1], "left"))  # the last list may go on
             done = rows[:, :last]
             if fresh:  # a long list was in progress: its end is paired by neighbours, the rest as usual
@@ -197,7 +242,7 @@ def _neighbours(percent: int):
             if done.shape[1]:
                 yield counted(pairs(done, 0))
             held, fresh = rows[:, last:], 0
-            if len(np.unique(held[1])) > SHORT:
+            if held.shape[1] > SHORT:
                 yield counted(pairs(held, 1))
                 held, fresh = held[:, -1:], 1
         if not fresh and held.shape[1]:
@@ -211,8 +256,7 @@ def _sets(size: int, bits: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column(2), np.int64)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+            batch = batch.filter(pa.array(has_bit(bits, np.asarray(batch.column(2), np.int64))))
             for part in slices(batch):
                 h, first = shingles(Words(part.column(1)), size)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _long(_class_of(h, first)), lists(h.view(np.int64), first)], names=["doc", "class", "set"])
@@ -303,40 +347,87 @@ def _across(percent: int):
     return run
 
 
-def _links(sets: DataFrame, percent: int, dealt: bool) -> DataFrame:
+def _words(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length as rows of 64-bit words, folded to size bytes."""
+    rows = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, size // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def _hints(percent: int):
+    """class (of a query) and block where some set's bitmap allows a link that is not known yet."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held, asked = (rows[rows["asked"] == flag].drop_duplicates("class").sort_values("n") for flag in (False, True))
+        held, asked = ({w: g for w, g in x.groupby(x["bits"].str.len())} for x in (held, asked))
+        found: set[tuple[int, int]] = set()
+        for wide, q in asked.items():
+            for width, h in held.items():
+                x, y = (_words(list(g["bits"]), min(wide, width)) for g in (q, h))
+                n, part, block = (h[c].to_numpy() for c in ("n", "part", "block"))
+                low = np.searchsorted(n, -(-percent * q["n"].to_numpy() // 100), "left")
+                high = np.searchsorted(n, 100 * q["n"].to_numpy() // percent, "right")
+                for i, (kind, size, own) in enumerate(zip(q["class"], q["n"], q["part"], strict=True)):
+                    a, b = low[i], high[i]
+                    if a == b:
+                        continue
+                    both = size + n[a:b]
+                    near = np.bitwise_count(y[a:b] ^ x[i]).sum(axis=1) <= both - 2 * -(-percent * both // (100 + percent))
+                    found.update((kind, int(k)) for k in np.unique(block[a:b][near & (part[a:b] != own)]))
+        return pd.DataFrame(sorted(found), columns=["class", "block"], dtype=np.int64)
+
+    return run
+
+
+def _links(sets: DataFrame, maps: DataFrame, percent: int, blocks: int, block: int) -> DataFrame:
     """Links (a, b) between classes that connect all that the threshold connects, in each group.
 
-    sets: grp, blocks, block, class, set. dealt: some group has several blocks.
+    sets: grp, blocks, block, class, n, set, stored; maps: class, bits. blocks: the most that a group has, of block shingles each.
     """
     from .components import connected
 
     schema = "a long, b long"
-    links = stored(sets.groupBy("grp", "block").applyInPandas(_within(percent), schema), "links")
-    if not dealt:
+    links = stored(sets.select("grp", "block", "class", "set").groupBy("grp", "block").applyInPandas(_within(percent), schema), "links")
+    if blocks <= 1:
         return links
-    large = stored(sets.where("blocks > 1"), "sets")
-    info, bytes_of = large.drop("set").distinct(), large.select("class", "set")
+    info, bytes_of = sets.where("blocks > 1").drop("set"), sets.where("blocks > 1").select("class", "set")
 
-    def parts(edges: DataFrame) -> DataFrame:
-        found = connected(edges).withColumnRenamed("node", "class").withColumnRenamed("root", "part")
+    def parts() -> DataFrame:
+        found = connected(links).withColumnRenamed("node", "class").withColumnRenamed("root", "part")
         return stored(info.join(found, "class", "left").withColumn("part", F.coalesce("part", "class")), "parts")
 
     def largest(rows: DataFrame, *by: str) -> DataFrame:
         count = rows.groupBy(*by, "part").count()
         return count.groupBy(*by).agg(F.max_by("part", F.struct("count", "part")).alias("main"))
 
-    # One class of each block's largest part: at most one row for each block of a group.
-    now = parts(links)
-    heads = now.join(largest(now, "grp", "block"), ["grp", "block"]).where("part = main").groupBy("grp", "block").agg(F.min("class").alias("class"))
-    links = links.unionByName(heads.join(bytes_of, "class").groupBy("grp").applyInPandas(_within(percent), schema))
-    now = parts(links)
-    outside = now.join(largest(now, "grp"), "grp").where("part <> main")
-    # Queries are dealt to blocks of their own, and every pair of blocks is one task's work.
-    asked = stored(outside.select("grp", F.col("block").alias("qblock"), "blocks", "class", "part"), "asked")
-    each = asked.join(bytes_of, "class").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qblock", "class", "set", "part", F.lit(True).alias("asked"))
-    held = now.join(asked.select("grp", "qblock").distinct(), "grp").join(bytes_of, "class").select("grp", "block", "qblock", "class", "set", "part", F.lit(False).alias("asked"))
-    more = each.unionByName(held).groupBy("grp", "block", "qblock").applyInPandas(_across(percent), schema)
-    return links.unionByName(more)
+    # One class of each block's largest part meets those of HEADS blocks, then one of each such lot, and so on.
+    now, width = parts(), 1
+    while width < blocks:
+        lot = now.withColumn("block", F.floor(F.col("block") / width))
+        heads = lot.join(largest(lot, "grp", "block"), ["grp", "block"]).where("part = main").groupBy("grp", "block").agg(F.min("class").alias("class"))
+        heads = heads.withColumn("lot", F.floor(F.col("block") / HEADS))
+        more = heads.join(bytes_of, "class").select("grp", "lot", "class", "set").groupBy("grp", "lot").applyInPandas(_within(percent), schema)
+        links, width = stored(links.unionByName(more), "links"), width * HEADS
+        now = parts()
+    now = now.join(largest(now, "grp"), "grp").withColumn("outside", F.col("part") != F.col("main")).drop("main")
+    # Bitmaps first: those outside the largest part, as queries, against every block.
+    wide = F.floor(F.col("block") / WIDE).cast("int").alias("wide")
+    seen = stored(now.join(maps.select("class", "bits"), "class").select("grp", "block", wide, (F.ceil(F.col("blocks") / WIDE) - 1).cast("int").alias("last"), "class", "n", "part", "outside", "bits"), "seen")
+    asked = seen.where("outside").withColumnRenamed("wide", "by")
+    held = seen.join(asked.select("grp", "by").distinct(), "grp")
+    columns = ["grp", "wide", "by", "block", "class", "n", "part", "bits"]
+    both = asked.withColumn("wide", F.explode(F.sequence(F.lit(0), "last"))).select(*columns, F.lit(True).alias("asked"))
+    # Of two that are both outside, one asks the other.
+    both = both.unionByName(held.where("NOT outside OR wide >= by").select(*columns, F.lit(False).alias("asked")))
+    hints = stored(both.groupBy("grp", "wide", "by").applyInPandas(_hints(percent), "class long, block int").distinct(), "hints")
+    # Then the sets: queries meet the blocks that their hints name, so many at a time as make up a block.
+    asks = hints.join(now.select("grp", "class", "n", "part"), "class")
+    loads = asks.groupBy("grp", "block").agg(F.ceil(F.sum("n") / block).cast("int").alias("lots"))
+    asks = asks.join(loads, ["grp", "block"]).withColumn("lot", F.pmod(F.xxhash64("class", F.lit(3)), "lots").cast("int"))
+    each = asks.join(bytes_of, "class").select("grp", "block", "lot", "class", "set", "part", F.lit(True).alias("asked"))
+    held = now.join(loads, ["grp", "block"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    held = held.join(bytes_of, "class").select("grp", "block", "lot", "class", "set", "part", F.lit(False).alias("asked"))
+    more = each.unionByName(held).groupBy("grp", "block", "lot").applyInPandas(_across(percent), schema)
+    return stored(links.unionByName(more), "links")
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000_000) -> DataFrame:
@@ -352,12 +443,12 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = stored(docs.mapInArrow(_signatures(size), "doc long, n long, class long, bits binary"), "signatures")
     rows = seen.where("n >= 0")
-    often = seen.where("n < 0").groupBy("class").agg((-F.sum("n")).alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    # The most frequent shingles, at most FREQUENT of them: they only decide the order in which lists are filled.
-    top = sorted((r["class"] & (2**64 - 1), r["n"], r["class"]) for r in often.orderBy(F.desc("n"), "class").limit(FREQUENT).collect())
-    frequent = np.array([[h for h, _, _ in top], [n for _, n, _ in top]], dtype=np.uint64).reshape(2, -1)
-    del top
-    tokens = docs.mapInArrow(_prefixes(size, percent, frequent), "token long, class long, n long")
+    # One byte for each cell of the sketch, whatever the input's size.
+    sums = seen.where("n < 0").select("class", "bits").repartition("class").sortWithinPartitions("class").mapInArrow(_ranks, "part long, ranks binary")
+    ranks = np.zeros(CELLS, np.uint8)
+    for r in sums.collect():
+        ranks[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["ranks"], np.uint8)
+    tokens = docs.mapInArrow(_prefixes(size, percent, ranks), "token long, class long, n long")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", "class")
     pairs = tokens.mapInArrow(_neighbours(percent), "a long, b long, shared long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
@@ -365,21 +456,20 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     maps = rows.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     one, two = maps.toDF("a", "n", "x"), maps.toDF("b", "m", "y")
     pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y", F.col("shared") >= STRONG)
-    groups = stored(connected(pairs.mapInArrow(_possible(percent), "a long, b long")), "groups")
+    groups = connected(pairs.mapInArrow(_possible(percent), "a long, b long"))
     chosen = stored(classes.join(groups.select(F.col("node").alias("class"), F.col("root").alias("grp")), "class"), "chosen")
     blocks = chosen.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     chosen = stored(chosen.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "chosen")
-    # A bitmap of fixed size says which documents may be chosen; the join after it is exact.
-    bit = F.pmod(F.xxhash64("least"), F.lit(BITS))
-    maps = chosen.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(BITS // 8 + 4096, np.uint8)
-    for r in maps:
-        bits[4096 * (r["k"] - 1) : 4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    marked = docs.select("doc_id", "text", _bit_place("doc_id").alias("bit"))
-    sets = marked.mapInArrow(_sets(size, bits), "least long, class long, set array<long>")
-    sets = sets.join(chosen, ["least", "class"]).select("grp", "blocks", "block", "class", "set")
-    links = _links(sets, percent, bool(chosen.where("blocks > 1").head(1)))
+    # A bitmap says which documents may be chosen; the join after it is exact.
+    most, n = chosen.agg(F.coalesce(F.max("blocks"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = bitmap(chosen.select(F.xxhash64("least").alias("h")), "h", n)
+    marked = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    sets = marked.mapInArrow(_sets(size, bits), "least long, class long, set array<long>").dropDuplicates(["least", "class"])
+    sets = stored(sets.join(chosen, ["least", "class"]).select("grp", "blocks", "block", "class", "n", "set"), "sets")
+    links = _links(sets, maps, percent, most, block)
     parts = connected(links)
+    for x in (sets, links, chosen):
+        dropped(x)
     linked = parts.withColumnRenamed("node", "class").join(classes, "class")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("class", "root").join(least, "root").select("class", "component_id")
@@ -393,9 +483,3 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     empty = rows.where("n = 0").select("class", "doc", "n", F.col("doc").alias("component_id"))
     out = named.select("class", "doc", "n", "component_id").unionByName(empty)
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-
-
-def _bit_place(col: str):
-    """The bit of an id in the collected maps: bucket k holds positions 0 to 32767 of bits from 32768 * (k - 1)."""
-    bit = F.pmod(F.xxhash64(col), F.lit(BITS))
-    return (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
