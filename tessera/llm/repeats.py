@@ -5,23 +5,29 @@ GRAM bytes in it, the last one among equals. Equal windows have equal anchors, s
 windows with one anchor (a segment) need only be compared with segments of the same anchor
 hash, and each window lies in exactly one segment.
 
-1. All segments' hashes are counted. Two bitmaps of fixed size keep which anchors may occur
-   more than once, and which with different segments.
+1. All segments' hashes are counted. Bitmaps, whose size follows the number of anchors up to
+   a bound, keep which anchors occur more than once, which with different segments, and which
+   are hot: more than HOT of their segments, or a thousandth of all.
 2. Segments with such anchors meet by anchor hash. Where whole segments are equal, all their
    windows are repeated; those equal within a slice of a task are settled there, and one
    stands for them, so that passages of any frequency move few rows. Of segments that differ,
-   one of a kind is kept, with its bytes.
+   one of a kind is kept, with its bytes. Segments of a hot anchor are cut into their
+   windows first, each keyed by its own hash: equal ones meet, and no key is hot any more.
 3. The kept segments become texts of an index, some megabytes at a time: their suffixes are
    sorted, the Burrows-Wheeler transform is cut into runs, and the length of the match with
    the neighbour in suffix order is worked out at the runs' ends alone. Streaming through the
    text, the match at the next place is one shorter unless the place is at a run's end, which
    gives every place's longest match. Windows whose match reaches `length` are repeated.
-4. An anchor with more kinds of segments than an index may hold gives its windows one by one
-   by hash, and those are counted in Spark.
 
-Repeated stretches are merged and cut out of the texts; texts are keyed by hash, as equal
-texts lose equal bytes. Null texts count as empty; ids may repeat or be null; matches never
-cross texts; other columns are ignored.
+Anchors come from cheap hashes, which only bring segments together. Equality is that of
+BLAKE2 digests (64 bits of them among the segments of one anchor, 128 for windows and whole
+texts), and match lengths in an index are compared byte by byte.
+
+Repeated stretches are merged and cut out of the texts; texts are keyed by digest, as equal
+texts lose equal bytes. Null and empty texts have no bytes, an empty table gives an empty
+result; very long texts are read in pieces; repeated rows are texts of their own, so both are
+emptied if long enough; ids may repeat or be null. Matches never cross texts; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,20 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Bytes, mix, powers, slices, small_batches, stored
+from .common import _BYTE, Bytes, bitmap, dropped, has_bit, mix, powers, slices, small_batches, stored
 
 GRAM = 128
 PIECE = 1 << 22
 PLACE_BITS = np.uint64(23)
-BITS = 1 << 26
-TEXT_BITS = 1 << 23
 SLICE = 1 << 20
 INDEX_BYTES = 1 << 19
-INDEX_MOST = 8  # times as much, for one anchor
+HOT = 8192  # segments of one anchor that go into an index together
 
 
 class Hashes:
-    """Hashes of any stretch of a byte buffer."""
+    """Cheap hashes of any stretch of a byte buffer: equal stretches have equal ones, the reverse must be checked."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
@@ -73,7 +77,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """text, first window, number of windows, anchor hash and hash of the whole of every segment."""
+    """text, first window, number of windows and anchor hash of every segment."""
     out = []
     low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
     gram = min(GRAM, length)
@@ -92,11 +96,16 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(at)))
         first, count = first[ok[first]], count[ok[first]]
-        offset = (anchor[first] - first).astype(np.uint64)
-        whole = mix(h(first, first + count + length - 1) ^ mix(offset << np.uint64(32) | count.astype(np.uint64)))
-        out.append((doc[first], first + base, count, grams[anchor[first]], whole))
+        out.append((doc[first], first + base, count, grams[anchor[first]]))
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.astype(np.uint64))
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """BLAKE2 digests of stretches, as rows of 64-bit numbers."""
+    make = hashlib.blake2b
+    found = [make(raw[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(len(found), size // 8)
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -110,7 +119,8 @@ def _counts(length: int):
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 b = Bytes(part.column(0))
-                _, _, _, anchor, whole = segments(b.data, b.offs, length)
+                _, first, n, anchor = segments(b.data, b.offs, length)
+                whole = digests(b.data.tobytes(), first, first + n + length - 1, 8)[:, 0]
                 order = np.lexsort((whole.view(np.int64), anchor))
                 anchor, whole = anchor[order], whole[order].view(np.int64)
                 at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
@@ -120,69 +130,70 @@ def _counts(length: int):
     return run
 
 
-def _text_hashes(b: Bytes) -> np.ndarray:
-    return Hashes(b.data)(b.offs[:-1], b.offs[1:])
+def _text_digests(b: Bytes) -> np.ndarray:
+    """Digests of whole texts, as rows of two numbers."""
+    return digests(b.data.tobytes(), b.offs[:-1], b.offs[1:], 16)
 
 
-def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of two numbers as byte strings."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def _bitmap(rows: DataFrame, col: str, size: int) -> np.ndarray:
-    """A bitmap of size bits over the low bits of a column of hashes; collected, as its size is fixed."""
-    at = F.col(col).bitwiseAND(F.lit(size - 1))
-    # Spark's bucket k holds places 1 to 32768 after 32768 * (k - 1), so zero-based places go in one higher
-    maps = rows.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(size // 8, np.uint8)
-    for r in maps:
-        out[4096 * (r["k"] - 1) : 4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-SEGMENTS = "anchor long, whole long, text long, first long, n long, bytes binary, state int"
+SEGMENTS = "anchor long, whole long, text binary, first long, n long, bytes binary, state int"
 _NAMES = ["anchor", "whole", "text", "first", "n", "bytes", "state"]
 ONE, SEVERAL, SETTLED = 0, 1, 2  # one segment; one that stands for several; a stretch known to be repeated, with its bytes for n
 
 
-def _chosen(length: int, repeated: np.ndarray, varied: np.ndarray):
+def _chosen(length: int, repeated: np.ndarray, varied: np.ndarray, hot: np.ndarray):
     """Segments whose anchor may be repeated; with bytes where the anchor's segments may differ, once for equal ones of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 b = Bytes(part.column(0))
-                doc, first, n, anchor, whole = segments(b.data, b.offs, length)
-                use = _bit(repeated, anchor)
-                doc, first, n, anchor, whole = (x[use] for x in (doc, first, n, anchor, whole))
-                _, at, kind, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                text, start = _text_hashes(b), first - b.offs[doc]
+                raw = b.data.tobytes()
+                doc, first, n, anchor = segments(b.data, b.offs, length)
+                use = has_bit(repeated, anchor)
+                doc, first, n, anchor = (x[use] for x in (doc, first, n, anchor))
+                show, cut = has_bit(varied, anchor), has_bit(hot, anchor)
+                whole = np.zeros(len(anchor), np.uint64)
+                whole[~cut] = digests(raw, first[~cut], (first + n)[~cut] + length - 1, 8)[:, 0]
+                if cut.any():  # windows of hot anchors, each on its own
+                    each = n[cut]
+                    at = np.repeat(first[cut] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+                    keys = digests(raw, at, at + length, 16)
+                    doc, show = np.concatenate([doc[~cut], np.repeat(doc[cut], each)]), np.concatenate([show[~cut], np.zeros(len(at), bool)])
+                    first, n = np.concatenate([first[~cut], at]), np.concatenate([n[~cut], np.ones(len(at), np.int64)])
+                    anchor, whole = np.concatenate([anchor[~cut], keys[:, 0]]), np.concatenate([whole[~cut], keys[:, 1]])
+                order = np.lexsort((first, whole, anchor))
+                new = np.ones(len(order), bool)
+                new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (whole[order[1:]] != whole[order[:-1]])
+                at = order[new]
+                kind = np.zeros(len(order), np.int64)
+                kind[order] = np.cumsum(new) - 1
+                times = np.bincount(kind, minlength=len(at))
+                text, start = _text_digests(b), first - b.offs[doc]
                 # what is equal here is repeated: stretches are merged text by text
                 equal = np.flatnonzero(times[kind] > 1)
                 order = equal[np.lexsort((start[equal], doc[equal]))]
-                d, low, high = doc[order], start[order], start[order] + n[order] + length - 1
+                d, low = doc[order], start[order]
+                high = np.maximum.accumulate(low + n[order] + length - 1 + d * (len(raw) + length)) - d * (len(raw) + length) if len(order) else low
                 fresh = np.ones(len(order), bool)
-                # windows of a text start in order, so each stretch ends at or after the one before
                 fresh[1:] = (d[1:] != d[:-1]) | (low[1:] > high[:-1])
                 head = np.flatnonzero(fresh)
                 tail = np.append(head, len(order))[1:] - 1
                 low, size, own = low[head], high[tail] - low[head], text[d[head]]
-                show = _bit(varied, anchor[at])
-                raw = b.data.tobytes()
-                bytes_ = [raw[a : a + k + length - 1] if s else None for a, k, s in zip(first[at].tolist(), n[at].tolist(), show.tolist(), strict=True)]
-                state = np.where(times > 1, SEVERAL, ONE)
+                bytes_ = [raw[a : a + k + length - 1] if s else None for a, k, s in zip(first[at].tolist(), n[at].tolist(), show[at].tolist(), strict=True)]
                 columns = [
-                    np.concatenate([x, y])
-                    for x, y in (
-                        (anchor[at], mix(own ^ low.astype(np.uint64))),  # settled stretches go anywhere
-                        (whole[at], np.zeros(len(own), np.uint64)),
-                        (text[doc[at]], own),
-                        (start[at], low),
-                        (n[at], size),
-                    )
+                    np.concatenate([anchor[at], mix(own[:, 0] ^ low.astype(np.uint64))]),  # settled stretches go anywhere
+                    np.concatenate([whole[at], np.zeros(len(own), np.uint64)]),
+                    np.concatenate([start[at], low]),
+                    np.concatenate([n[at], size]),
                 ]
-                state = np.concatenate([state, np.full(len(own), SETTLED)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*map(_i64, columns), pa.array([*bytes_, *[None] * len(own)], pa.binary()), pa.array(state)], names=_NAMES)
+                anchors, wholes, starts, sizes = map(_i64, columns)
+                state = np.concatenate([np.where(times > 1, SEVERAL, ONE), np.full(len(own), SETTLED)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([anchors, wholes, _binary(np.concatenate([text[doc[at]], own])), starts, sizes, pa.array([*bytes_, *[None] * len(own)], pa.binary()), pa.array(state)], names=_NAMES)
 
     return run
 
@@ -224,7 +235,8 @@ class RunIndex:
     def __init__(self, parts: list[bytes]):
         sizes = np.array([len(p) for p in parts]) + 1
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        text = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8).astype(np.int64) + len(parts)
+        self.raw = b"\x00".join(parts) + b"\x00"
+        text = np.frombuffer(self.raw, np.uint8).astype(np.int64) + len(parts)
         text[self.starts[1:] - 1] = np.arange(len(parts))  # each part's end is a letter of its own
         # letters that occur, numbered in order, so that keys stay small
         self.text = np.unique(text, return_inverse=True)[1]
@@ -250,6 +262,11 @@ class RunIndex:
                 middle = (low + high + 1) // 2
                 same = h(a, a + middle) == h(b, b + middle)
                 low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+            # equal hashes may deceive; only matches of limit and more matter
+            for i in np.flatnonzero(low >= limit).tolist():
+                x, y = self.raw[a[i] : a[i] + low[i]], self.raw[b[i] : b[i] + low[i]]
+                if x != y:
+                    low[i] = np.flatnonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))[0]
             value = np.full(n, -1, np.int64)
             value[a] = low
             # between samples the match with the same neighbour shortens by one at each step
@@ -263,39 +280,23 @@ def _stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-SPANS = "text long, start long, stop long, window long"
+SPANS = "text binary, start long, stop long"
 
 
 def _matched(length: int, index_bytes: int):
-    """text, start, stop of repeated stretches; with window set, a window of an anchor with too many kinds, to be counted by that hash.
-
-    Rows come by anchor, whole.
-    """
+    """text, start, stop of repeated stretches. Rows come by anchor, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        held: list[pa.RecordBatch] = []
         kinds: dict[int, list] = {}  # of the anchor in progress: whole -> [text, first, n, bytes, repeated]
         anchor_now: int | None = None
-        many = False  # the anchor in progress gives its windows by hash
         index: list[list] = []
         size = 0
 
         def spans() -> pa.RecordBatch:
-            rows = [pa.array([r[i] for r in out], pa.int64()) for i in range(4)]
+            rows = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64()))]
             out.clear()
-            return pa.RecordBatch.from_arrays(rows, names=["text", "start", "stop", "window"])
-
-        def by_hash(kind: list) -> None:
-            text, first, n, data, repeated = kind
-            if data is None:
-                return
-            x = np.frombuffer(data, np.uint8)
-            at = np.arange(n)
-            for i, g in enumerate(Hashes(x)(at, at + length).view(np.int64).tolist()):
-                out.append((text, first + i, first + i + length, g))
-                if repeated:  # stands for several, so that its windows count as repeated
-                    out.append((text, first + i, first + i + length, g))
+            return pa.RecordBatch.from_arrays(rows, names=["text", "start", "stop"])
 
         def search() -> None:
             nonlocal size
@@ -305,51 +306,39 @@ def _matched(length: int, index_bytes: int):
                 for i, (text, first, _, data, repeated) in enumerate(index):
                     if not repeated:
                         for a, b in zip(*_stretches(long[runs.starts[i] : runs.starts[i] + len(data)]), strict=True):
-                            out.append((text, first + int(a), first + int(b) + length - 1, None))
+                            out.append((text, first + int(a), first + int(b) + length - 1))
             index.clear()
             size = 0
 
         def close() -> None:
-            nonlocal size, many
-            if many:
-                for k in kinds.values():
-                    by_hash(k)
-            elif len(kinds) > 1:
-                index.extend(k for k in kinds.values() if k[3] is not None)
-                size += sum(len(k[3]) for k in kinds.values() if k[3] is not None)
+            nonlocal size
+            if len(kinds) > 1:
+                more = [k for k in kinds.values() if k[3] is not None]
+                index.extend(more)
+                size += sum(len(k[3]) for k in more)
             kinds.clear()
-            many = False
             if size > index_bytes:
                 search()
 
         for batch in batches:
-            held_bytes = sum(len(k[3] or b"") for k in kinds.values()) if kinds else 0
             for anchor, whole, text, first, n, data, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state == SETTLED:
-                    out.append((text, first, first + n, None))
+                    out.append((text, first, first + n))
                     continue
                 if anchor != anchor_now:
                     close()
-                    anchor_now, held_bytes = anchor, 0
+                    anchor_now = anchor
                 kind = kinds.get(whole)
                 if kind is None:
-                    if held_bytes > INDEX_MOST * index_bytes:  # more than an index holds
-                        many = True
-                        for k in kinds.values():
-                            by_hash(k)
-                        kinds.clear()
-                        held_bytes = 0
                     kinds[whole] = [text, first, n, data, state == SEVERAL]
-                    held_bytes += len(data or b"")
                 else:
                     if not kind[4]:
                         kind[4] = True
-                        out.append((kind[0], kind[1], kind[1] + kind[2] + length - 1, None))
+                        out.append((kind[0], kind[1], kind[1] + kind[2] + length - 1))
                     if kind[3] is None and data is not None:
                         kind[3] = data
-                        held_bytes += len(data)
                     if (text, first) != (kind[0], kind[1]):
-                        out.append((text, first, first + n + length - 1, None))
+                        out.append((text, first, first + n + length - 1))
             if len(out) > 50_000:
                 yield spans()
         close()
@@ -386,44 +375,43 @@ def _results(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """text (a hash of the whole text), starts and stops of the repeated stretches of every text that has any."""
+def repeated_spans(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES, hot: int = HOT) -> DataFrame:
+    """text (a digest of the whole text), starts and stops of the repeated stretches of every text that has any."""
     small_batches(docs.sparkSession)
     texts = docs.select("text")
     counts = texts.mapInArrow(_counts(length), "anchor long, least long, most long, n long")
     counts = counts.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
-    counts = stored(counts.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("varied")), "anchors")
-    repeated, varied = _bitmap(counts, "anchor", BITS), _bitmap(counts.where("varied"), "anchor", BITS)
-    chosen = texts.mapInArrow(_chosen(length, repeated, varied), SEGMENTS)
+    counts = stored(counts.where("n > 1").select("anchor", "n", (F.col("least") != F.col("most")).alias("varied")), "anchors")
+    rows, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    crowded = counts.where(F.col("n") > min(hot, max(16, total // 1000)))
+    maps = [bitmap(x, "anchor", rows) for x in (counts, counts.where("varied"), crowded)]
+    dropped(counts)
+    chosen = texts.mapInArrow(_chosen(length, *maps), SEGMENTS)
     chosen = chosen.repartition("anchor").sortWithinPartitions("anchor", "whole")
-    found = stored(chosen.mapInArrow(_matched(length, index_bytes), SPANS), "spans")
-    sure = found.where("window IS NULL").select("text", "start", "stop")
-    windows = found.where("window IS NOT NULL")
-    often = windows.groupBy("window").count().where("count > 1").select("window")
-    sure = sure.unionByName(windows.join(often, "window", "left_semi").select("text", "start", "stop"))
-    return sure.distinct().groupBy("text").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    found = chosen.mapInArrow(_matched(length, index_bytes), SPANS).distinct()
+    return found.groupBy("text").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
 
-def removed(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def removed(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    spans = stored(repeated_spans(docs, length, index_bytes), "spans")
-    bits = _bitmap(spans.select("text"), "text", TEXT_BITS)
+    spans = stored(repeated_spans(docs, length, index_bytes, hot), "spans")
+    bits = bitmap(spans.select(_first_number("text").alias("h")), "h", spans.count())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 b = Bytes(part.column(1))
-                keep = ~_bit(bits, _text_hashes(b))
+                keep = ~has_bit(bits, _text_digests(b)[:, 0])
                 raw, offs, ids = b.data.tobytes(), b.offs.tolist(), part.column(0).to_pylist()
                 yield _results([_row(ids[i], raw[offs[i] : offs[i + 1]], []) for i in np.flatnonzero(keep).tolist()])
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
-                h = _text_hashes(Bytes(part.column(1)))
-                part = pa.RecordBatch.from_arrays([*part.columns, _i64(h)], names=["doc_id", "data", "text"])
-                yield part.filter(pa.array(_bit(bits, h)))
+                h = _text_digests(Bytes(part.column(1)))
+                part = pa.RecordBatch.from_arrays([*part.columns, _binary(h)], names=["doc_id", "data", "text"])
+                yield part.filter(pa.array(has_bit(bits, h[:, 0])))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,5 +420,11 @@ def removed(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES)
                 rows.append(_row(doc, (data or "").encode(), _merged(starts or [], stops or [])))
             yield _results(rows)
 
-    with_spans = docs.mapInArrow(hit, "doc_id long, data string, text long").join(spans, "text", "left").select("doc_id", "data", "starts", "stops")
+    with_spans = docs.mapInArrow(hit, "doc_id long, data string, text binary").join(spans, "text", "left").select("doc_id", "data", "starts", "stops")
     return docs.mapInArrow(without, RESULT).unionByName(with_spans.mapInArrow(cut, RESULT))
+
+
+def _first_number(col: str):
+    """The first eight bytes of a byte string as numpy reads them, low byte first; a negative long stands for the upper half."""
+    high = F.conv(F.hex(F.concat(*(F.substring(col, i, 1) for i in range(8, 0, -1)))), 16, -10)
+    return high.cast("long")

@@ -42,14 +42,44 @@ def corpus(seed, n=60):
     return rows + rows[-4:]
 
 
-@pytest.mark.parametrize(("seed", "length", "index_bytes"), [(1, 60, 1 << 22), (2, 60, 2000), (3, 160, 1 << 22), (4, 60, 50), (5, 130, 1 << 22)])
-def test_equals_brute_force(spark, seed, length, index_bytes):
+@pytest.mark.parametrize(("seed", "length", "index_bytes", "hot"), [(1, 60, 1 << 22, 8192), (2, 60, 2000, 2), (3, 160, 1 << 22, 1), (4, 60, 50, 8192), (5, 130, 1 << 22, 4)])
+def test_equals_brute_force(spark, seed, length, index_bytes, hot):
     rows = corpus(seed)
-    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_bytes int").repartition(5)
-    got = sorted((tuple(r) for r in repeats.removed(docs, length, index_bytes).collect()), key=str)
+    docs = spark.createDataFrame([(*x, 1, "k", "w") for x in rows], "doc_id long, text string, n_bytes int, anchor string, whole string").repartition(5)
+    got = sorted((tuple(r) for r in repeats.removed(docs, length, index_bytes, hot).collect()), key=str)
     assert got == brute(rows, length)
 
 
+def thue_morse_pair(size=2048, seed=4):
+    """Two texts whose polynomial hashes modulo 2**64 are equal for any odd base, with no long string in common."""
+    r = random.Random(seed)
+    one, two = [], []
+    for j in range(size // 2):
+        odd = bin(j).count("1") % 2
+        same = r.choice("cdefgh")
+        one += ["ab"[odd], same]
+        two += ["ba"[odd], same]
+    return "".join(one), "".join(two)
+
+
+def test_colliding_hashes_do_no_harm(spark):
+    one, two = thue_morse_pair()
+    rows = [(1, one), (2, one), (3, two), (4, one[:900] + two[900:]), (5, "y" + one[200:1000]), (6, "z" + two[200:1000])]
+    docs = spark.createDataFrame(rows[:3], "doc_id long, text string").repartition(2)
+    got = sorted((tuple(r) for r in repeats.removed(docs, 400).collect()), key=str)
+    assert got == brute(rows[:3], 400) and got[2][2] == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in repeats.removed(docs, 400).collect()), key=str) == brute(rows, 400)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(2)
+    long = "".join(r.choice("abcdefgh") for _ in range(5_000_000))
+    rows = [(1, long), (2, "q" + long[4_194_000:4_194_700] + "q"), (3, "short")]
+    got = {x.doc_id: x for x in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(700, 1), (700, 1), (0, 0)]
+
+
 def test_matches_equal_brute_force():
     r = random.Random(3)
     parts = ["".join(r.choice("ab") for _ in range(r.randint(1, 60))).encode() for _ in range(12)]
