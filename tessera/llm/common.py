@@ -22,17 +22,21 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of few rows, as texts can be long: lowers the session's limit where it is higher or off."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named, as in tests."""
+    """The folder that all executors share. On one machine a temporary one will do where none is named; a cluster must name it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or (
         d.get() if (d := sc._jsc.sc().getCheckpointDir()).isDefined() else None
     )
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(named)
         named = sc._jsc.sc().getCheckpointDir().get()

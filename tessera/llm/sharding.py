@@ -1,19 +1,24 @@
 """Best-fit-decreasing sharding: indivisible groups of equal texts into a fixed number of shards.
 
-Groups at least as large as one cell's share are packed one by one; there are at
-most n_shards * cells of them, whatever the input's size. All smaller groups are
-dealt whole to n_shards * cells cells by hash, and a cell is packed as one item.
-So the driver packs a bounded list and Spark does the rest. Cells are so much
-smaller than a shard that the shards' bytes come out within about a cell of each
-other, unless one group alone is larger than a shard: that one gets a shard to
-itself and the others share what is left.
-
-Null texts hold no bytes and form one group; empty tables give empty results;
-repeated rows are rows of their own. Other columns are ignored.
+The sizes of all groups form a histogram, and the driver packs that: sizes come in
+descending order, and each group enters the shard with the least room that holds it, found
+in a balanced tree. A shard that takes one group of a size is the tightest for the next one
+too, so it takes as many as fit in one step, and the work follows the number of distinct
+sizes, not of groups. Distinct sizes add up to no more than all bytes, so there are at most
+sqrt(2 * bytes) of them. Within a size the groups are numbered by Spark, and runs of numbers
+go to the shards. The capacity is the least at which best fit needs no further shard, to
+within 1/16384 of a shard, so the shards' bytes are near equal, unless one group alone is
+larger than a shard: that one gets a shard to itself and the others share what is left.
+
+Null texts hold no bytes and form one group; empty tables give empty results; repeated rows
+are rows of their own and lie in one shard; texts of any length are read whole. Slots follow
+the ids within parts of a shard; rows that tie in id, text and size may swap their slots.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,56 +104,85 @@ class Tree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each size; a size enters the open bin with the least room that holds it.
+def fill(histogram: list[tuple[int, int]], n_bins: int, capacity: int) -> list[list[tuple[int, int]]] | None:
+    """Best fit decreasing of (size, number of groups) pairs, sizes descending: for each size, bins and how many they get.
 
-    Sizes over the capacity get a bin of their own.
+    None if n_bins bins of the capacity do not hold all.
     """
-    room, bins, out = Tree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        spot = room.least_from((sizes[i], -1))
-        if spot is None:
-            spot, bins = (capacity, bins), bins + 1
-        else:
-            room.remove(spot)
-        out[i] = spot[1]
-        if spot[0] > sizes[i]:
-            room.add((spot[0] - sizes[i], spot[1]))
+    room, bins, out = Tree(), 0, []
+    for size, left in histogram:
+        given = []
+        while left:
+            spot = room.least_from((size, -1))
+            if spot is None:
+                if bins == n_bins or size > capacity:
+                    return None
+                spot, bins = (capacity, bins), bins + 1
+            else:
+                room.remove(spot)
+            many = min(left, spot[0] // size)
+            given.append((spot[1], many))
+            left -= many
+            if spot[0] > many * size:
+                room.add((spot[0] - many * size, spot[1]))
+        out.append(given)
     return out
 
 
-def pack(sizes: list[int], n_bins: int) -> list[int]:
-    """Bins 0 to n_bins - 1 for the sizes, at about the least capacity that best fit decreasing needs."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    out, left, alone = [0] * len(sizes), sum(sizes), 0
-    while alone < min(n_bins - 1, len(order)) and sizes[order[alone]] * (n_bins - alone) > left:
-        out[order[alone]] = alone
-        left -= sizes[order[alone]]
-        alone += 1
-    rest = order[alone:]
-    if not rest:
+def pack(histogram: list[tuple[int, int]], n_bins: int) -> list[list[tuple[int, int]]]:
+    """fill() into bins 0 to n_bins - 1 at about the least capacity that does; sizes descending and positive.
+
+    Groups larger than an even share of what is left have a bin of their own, ahead of the others.
+    """
+    left, alone = sum(size * n for size, n in histogram), 0
+    out: list[list[tuple[int, int]]] = [[] for _ in histogram]
+    rest = [list(x) for x in histogram]
+    for i, (size, n) in enumerate(histogram):
+        while rest[i][1] and alone < n_bins - 1 and size * (n_bins - alone) > left:
+            out[i].append((alone, 1))
+            rest[i][1] -= 1
+            left -= size
+            alone += 1
+        if rest[i][1]:
+            break
+    todo = [(size, n) for size, n in rest if n]
+    if not todo:
         return out
-    of, bins = [sizes[i] for i in rest], n_bins - alone
-    low = max(-(-left // bins), of[0])
-    high = low + of[0]  # with so much room, every bin but one is filled to its share
-    fit = best_fit_decreasing(of, low)
-    if max(fit) >= bins:
-        fit = best_fit_decreasing(of, high)
+    bins, largest = n_bins - alone, todo[0][0]
+    low = max(-(-left // bins), largest)
+    high = low + largest  # with so much room, every bin but one is filled to its share
+    fit = fill(todo, bins, low)
+    if fit is None:
+        fit = fill(todo, bins, high)
         while high - low > max(1, left // bins >> 14):
             middle = (low + high) // 2
-            if max(tried := best_fit_decreasing(of, middle)) < bins:
+            if (tried := fill(todo, bins, middle)) is not None:
                 high, fit = middle, tried
             else:
                 low = middle
-    for i, b in zip(rest, fit, strict=True):
-        out[i] = alone + min(b, bins - 1)
+    found = iter(fit)
+    for i, (_, n) in enumerate(rest):
+        if n:
+            out[i] += [(alone + b, many) for b, many in next(found)]
     return out
 
 
-def shards(docs: DataFrame, n_shards: int = 24, cells: int = 512, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 100_000) -> DataFrame:
+def _numbered(rows: DataFrame, key: str, parts: int, spread: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with a gapless number from 0 among those that share the key, given in parts so that no task numbers them all."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "part").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = Window.partitionBy(key, "part").orderBy(*order)
+    out = rows.withColumn("nth", F.row_number().over(within) - 1).join(starts, [key, "part"])
+    return out.withColumn(name, (F.col("base") + F.col("nth")).cast("long")).drop("part", "nth", "base")
+
+
+HOT = 1000
+
+
+def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 100_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    cells: how many cells, and at most how many single groups, there are for each shard.
     slot_rows: about how many rows are numbered by one task.
     """
     spark = docs.sparkSession
@@ -162,37 +196,24 @@ def shards(docs: DataFrame, n_shards: int = 24, cells: int = 512, id_col: str =
         ),
         "rows",
     )
-    n_cells = n_shards * cells
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
-    big = F.col("size") * n_cells >= total
-    cell = F.pmod(F.xxhash64(F.col("grp"), F.lit(17)), F.lit(n_cells)).cast("int")
-    # At most n_cells large groups and n_cells cells: a bounded list.
-    items = groups.groupBy(F.when(big, F.col("grp")).alias("grp"), F.when(~big, cell).alias("cell")).agg(F.sum("size").alias("size")).collect()
-    items.sort(key=lambda r: (-r["size"], r["grp"] is None, r["grp"] or 0, r["cell"] or 0))
-    placed = [(r["grp"], r["cell"], s) for r, s in zip(items, pack([r["size"] for r in items], n_shards), strict=True)]
-    where = spark.createDataFrame(placed or [(None, None, None)], "grp long, cell int, shard int")
-    large = where.where("grp IS NOT NULL").select("grp", F.col("shard").alias("own"))
-    small = where.where("cell IS NOT NULL").select("cell", F.col("shard").alias("shared"))
-    parts = max(4, -(-n // (n_shards * slot_rows)))
-    # Both sides have at most 2 * n_cells rows, so they may be broadcast at any input size.
-    dealt = (
-        rows.join(F.broadcast(large), "grp", "left")
-        .withColumn("cell", cell)
-        .join(F.broadcast(small), "cell", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"), F.pmod(F.xxhash64("doc_id", "grp"), F.lit(parts)).cast("int").alias("part"))
-    )
-    dealt = stored(dealt, "dealt")
-    dropped(rows)
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "part").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    return dealt.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["shard", "part"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("base") + F.col("rank")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "groups")
+    n, most = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    histogram = sorted(((r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    runs = []
+    for (size, _), given in zip(histogram, pack(histogram, n_shards), strict=True):
+        at = 0
+        for shard, many in given:
+            runs.append((size, at, at + many, shard))
+            at += many
+    # Few rows as a rule; whether they are broadcast is left to Spark, which knows their size.
+    where = spark.createDataFrame(pd.DataFrame(runs, columns=["bytes", "low", "high", "shard"]), "bytes long, low long, high long, shard int") if runs else spark.createDataFrame([], "bytes long, low long, high long, shard int")
+    placed = _numbered(groups, "bytes", max(4, -(-most // slot_rows)), ["grp"], ["grp"], "rank").join(where, "bytes").where("rank >= low AND rank < high")
+    placed = stored(placed.select("grp", "rows", "shard"), "placed")
+    # Groups of more than a HOT-th of the rows are fewer than HOT, and go by broadcast.
+    hot = placed.where(F.col("rows") * HOT > n).select("grp", "shard")
+    cold = rows.join(F.broadcast(hot.select("grp")), "grp", "left_anti").join(placed.select("grp", "shard"), "grp")
+    dealt = stored(rows.join(F.broadcast(hot), "grp").unionByName(cold), "dealt")
+    for x in (rows, groups, placed):
+        dropped(x)
+    out = _numbered(dealt, "shard", max(4, -(-n // (n_shards * slot_rows))), ["doc_id", "grp"], ["doc_id", "text_crc32", "size"], "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -11,8 +11,9 @@ their id. Scoring reads every whole text: words are hashed in numpy and looked u
 table of the kept features, so its cost is one pass over the bytes.
 
 Null and blank texts score the model's base rate. A repeated id is scored row by row; of
-several labels for an id the largest counts. Without any usable label every score is the
-prior 0.0. Other columns are ignored.
+several labels for an id the largest counts, and of several texts the least is learned from.
+Without any usable label every score is the prior 0.0, and an empty table gives an empty
+result. Very long texts are read whole. Other columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features:
     # Which ids to read is settled first, on ids alone; the sample is bounded, so it may be broadcast.
     ids = docs.select("doc_id").join(known, "doc_id").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
     ids = stored(ids, "labelled")
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label"), "training")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), "training")
     total = {bool(r["label"]): r["n"] for r in ids.groupBy((F.col("label") > 0).alias("label")).agg(F.countDistinct("doc_id").alias("n")).collect()}
     if not total.get(True) or not total.get(False):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 30.0 if total.get(True) else -30.0)
@@ -185,20 +186,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features:
     return Model(keys, weights, bias)
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs, or the columns of keep, with a column score, which replaces one of that name."""
+def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """docs, or the columns of keep, with the score in score_col, which replaces one of that name."""
     small_batches(docs.sparkSession)
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
+    docs = docs.select(*[c for c in docs.columns if c != score_col])
     names = docs.columns
     kept = [i for i, c in enumerate(names) if keep is None or c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(model(part.column(names.index("text"))))], names=[*(names[i] for i in kept), "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(model(part.column(names.index("text"))))], names=[*(names[i] for i in kept), score_col])
 
     fields = [docs.schema.fields[i] for i in kept]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(col: str = "doc_id"):

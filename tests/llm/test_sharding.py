@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -21,19 +21,42 @@ def test_tree_finds_the_least_key_from_a_bound():
         assert t.least_from(b) == min((x for x in keys if x >= b), default=None)
 
 
-def test_best_fit_decreasing_equals_a_plain_scan():
+def plain(sizes, capacity):
+    """The bin of each size, sizes descending, by a scan of all bins."""
+    rooms, out = [], []
+    for size in sizes:
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= size]
+        b = min(fits)[1] if fits else len(rooms)
+        if not fits:
+            rooms.append(capacity)
+        rooms[b] -= size
+        out.append(b)
+    return out
+
+
+def test_fill_equals_plain_best_fit_decreasing_on_all_groups():
     r = random.Random(1)
-    for _ in range(30):
-        sizes, capacity = [r.randint(1, 60) for _ in range(r.randint(1, 80))], r.randint(30, 90)
-        rooms, want = [], [0] * len(sizes)
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            fits = [(room, b) for b, room in enumerate(rooms) if room >= sizes[i]]
-            b = min(fits)[1] if fits else len(rooms)
-            if not fits:
-                rooms.append(capacity)
-            rooms[b] -= sizes[i]
-            want[i] = b
-        assert sharding.best_fit_decreasing(sizes, capacity) == want
+    for _ in range(200):
+        sizes, capacity = sorted((r.randint(1, 30) for _ in range(r.randint(1, 150))), reverse=True), r.randint(30, 90)
+        want = plain(sizes, capacity)
+        histogram = sorted(Counter(sizes).items(), reverse=True)
+        got = sharding.fill(histogram, max(want) + 1, capacity)
+        assert [b for given in got for b, many in given for _ in range(many)] == want
+        assert sharding.fill(histogram, max(want), capacity) is None
+
+
+def test_pack_holds_every_group_at_about_the_least_capacity():
+    r = random.Random(2)
+    for _ in range(60):
+        histogram = sorted({r.randint(1, 500): r.randint(1, 40) for _ in range(r.randint(1, 60))}.items(), reverse=True)
+        bins = r.randint(1, 9)
+        got, load = sharding.pack(histogram, bins), [0] * bins
+        assert [sum(many for _, many in given) for given in got] == [n for _, n in histogram]
+        for (size, _), given in zip(histogram, got, strict=True):
+            for b, many in given:
+                load[b] += size * many
+        share = sum(load) / bins
+        assert max(load) <= max(histogram[0][0], share) + histogram[0][0]
 
 
 @pytest.mark.parametrize("n", [0, 1, 30, 3000])
@@ -41,7 +64,7 @@ def test_shards(spark, n):
     r = random.Random(n)
     rows = [(i, r.choice([None, "", "same text", "é" * r.randint(1, 300), "x" * r.randint(1, 900) + str(r.randrange(50))])) for i in range(n)]
     rows += rows[:5] + [(None, "no id")] * bool(n)
-    out = sharding.shards(spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, shard int"), 6, cells=64, slot_rows=100).collect()
+    out = sharding.shards(spark.createDataFrame([(*x, 7, "g") for x in rows], "doc_id long, text string, shard int, grp string"), 6, slot_rows=100).collect()
     assert len(out) == len(rows)
     want = sorted(((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows), key=str)
     assert sorted(((x.doc_id, x.size, x.text_crc32) for x in out), key=str) == want
@@ -60,5 +83,16 @@ def test_shards(spark, n):
 
 
 def test_a_group_larger_than_a_shard_stands_alone():
-    bins = sharding.pack([1000, 10, 10, 10, 10, 10, 10], 4)
-    assert bins.count(bins[0]) == 1 and sorted(bins.count(b) for b in set(bins[1:])) == [2, 2, 2]
+    assert sharding.pack([(1000, 1), (10, 6)], 4) == [[(0, 1)], [(1, 2), (2, 2), (3, 2)]]
+
+
+def test_many_equal_sizes_and_a_long_text(spark):
+    rows = [(i, f"{i:06d}") for i in range(2000)] + [(9000 + i, "copy") for i in range(700)] + [(1, "é" * 200_000)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").where("doc_id <> 1"), 5, slot_rows=50).collect()
+    sizes = Counter()
+    for x in out:
+        sizes[x.shard] += x.size
+    # the copies are more than a fifth, so they stand alone and the rest is even
+    assert sorted(sizes.values()) == [7000, 7000, 7000, 7000, 8400]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 5, slot_rows=50).collect()
+    assert {x.size for x in out if x.doc_id == 1} == {14, 400_008} and len(out) == 2701
