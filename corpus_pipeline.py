@@ -5,13 +5,16 @@ folder and reads it again as the next one's docs. The first four return the colu
 documents:
 
 toxicity           drops documents that score 0.3 or more, by a model of the labels' rows
-ngram_join         keeps the first document (by id) of every group whose five-word shingles
-                   reach a Jaccard similarity of 0.8, and one of rows that repeat an id
+ngram_join         keeps the first row (by id) of every group whose five-word shingles reach a
+                   Jaccard similarity of 0.8; rows have keys of their own, so a row goes only
+                   if it is a near copy of one that stays, whatever ids they have
 decontamination    drops documents that hold a benchmark passage
 pii                puts surrogates in the place of personal data
 packing            cuts and packs the token ids into sequences of 4096
 
-Null and blank texts pass all filters. Rows without an id are kept by all stages.
+Null and blank texts pass all filters, each row of them. Ids may be null or repeat; other
+columns are kept under any name. Empty tables pass through as such. The surrogates' key is
+the session's spark.tessera.surrogateKey; without it, a random one of this session.
 """
 
 from __future__ import annotations
@@ -20,22 +23,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, ngram_join, packing, pii, toxicity
-from tessera.llm.common import stored, table
+from tessera.llm.common import fresh, stored, table
 
 TOXIC = 0.3
-PII_KEY = "surrogates-1"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    return toxicity.scored(docs, model, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_components(docs, size=5, percent=80)
-    later = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    row = fresh(docs, "row")
+    # Written once, so that every later read sees the same keys.
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    groups = ngram_join.near_components(keyed, size=5, percent=80, id_col=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("__group"))
+    ids = keyed.select(row, F.col("doc_id").alias("__id"))
+    members = groups.join(ids, row)
+    first = members.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", row)).getField(row).alias("__first"))
+    later = members.join(first, "__group").where(F.col(row) != F.col("__first")).select(row)
+    return keyed.join(later, row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.checked(docs, PII_KEY, count_col="__found")
+    found = fresh(docs, "found")
+    out = pii.checked(docs, pii.session_key(spark), count_col=found)
     if "n_chars" in docs.columns:
-        length = F.when(F.col("__found") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        length = F.when(F.col(found) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

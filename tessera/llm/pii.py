@@ -1,62 +1,130 @@
 """Keyed surrogates for personal data, in DataFrame functions only.
 
-E-mail addresses, IPv4 addresses, phone, card and social security numbers, IBANs, access
-keys and listed personal names are found by one pattern. A surrogate is a keyed
-permutation of its entity: letters and digits are shifted within their class (case and
-script stay, and so does punctuation), each by a hash of the others, in Feistel rounds.
-So equal entities get equal surrogates everywhere, also when written with other
-separators or in other case, distinct ones get distinct ones, and no table has to be
+What is found, by one pattern: e-mail addresses (in any script), IPv4 and IPv6 addresses,
+phone, card and social security numbers, IBANs (also in groups of four), access keys and web
+tokens by their prefixes, values given to a key, token, secret or password, hexadecimal
+strings of 32 and more, and names. Names are listed given names and surnames, in capitals
+too, with the capitalised word after a given name; capitalised words after a title; and
+Chinese names of a listed surname and one or two further characters that stand by
+themselves. Other names (a surname alone that is not listed, names in lower case) are not
+found. NAMES may be replaced by longer lists, `names` in the functions below.
+
+A surrogate is a keyed permutation of its entity: letters and digits are shifted within their
+class (case and script stay, and so does punctuation), each by a hash of the others, in
+Feistel rounds. So equal entities get equal surrogates everywhere, also when written with
+other separators or in other case, distinct ones get distinct ones, and no table has to be
 joined: the work is one projection over the texts. Card numbers keep their first digit
-and whether their check digit is right; addresses keep four octets; e-mail addresses keep
-their top-level domain; names go to another listed name of their gender and script.
+and whether their check digit is right; addresses keep four octets or their groups;
+hexadecimal strings stay hexadecimal; e-mail addresses keep their top-level domain; tokens
+their prefix; listed names go to another listed name of their gender and script.
 
-collisions() checks on the data that no two entities of a type share a surrogate.
+collisions() checks on the data that no two entities of a type share a surrogate: one
+aggregation of surrogates worked out where the texts are read.
 
 Null and empty texts stay as they are and have no entities; so does every text without
-entities, byte for byte. Other columns are kept; ids may repeat or be null.
+entities, byte for byte. Very long texts are read whole; repeated rows get the same
+surrogates; an empty table gives an empty result. Other columns are kept, whatever their
+names, but for count_col; ids may repeat or be null.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names that are found and stand in for each other, by gender and script.
-NAMES = {
-    "female latin": ("Elizabeth", "Katharina", "Charlotte", "Margarita", "Françoise", "Jennifer", "Isabella", "Patricia", "Giovanna", "Brigitte", "Dolores", "Michelle"),
-    "male latin": ("Alexander", "Christopher", "Sebastián", "Wolfgang", "Guillaume", "Benjamin", "Francesco", "Santiago", "Friedrich", "Matthew", "Jonathan", "Philippe"),
-    "surname latin": ("Johnson", "Williams", "Schneider", "Rodríguez", "Fernández", "Lefebvre", "Hoffmann", "Thompson", "Bernard", "Zimmermann"),
-    "female cyrillic": ("Екатерина", "Анастасия", "Светлана", "Людмила", "Татьяна"),
-    "male cyrillic": ("Александр", "Владимир", "Дмитрий", "Николай", "Сергей"),
+from .common import fresh
+
+#: Names that are found and stand in for each other, by gender and script. Those of under five
+#: letters count as names only before a capitalised word.
+NAMES: dict[str, tuple[str, ...]] = {
+    "female latin": ("Elizabeth", "Katharina", "Charlotte", "Margarita", "Françoise", "Jennifer", "Isabella", "Patricia", "Giovanna", "Brigitte", "Dolores", "Michelle", "Maria", "Anna", "Laura", "Sophie", "Emily", "Sarah"),
+    "male latin": ("Alexander", "Christopher", "Sebastián", "Wolfgang", "Guillaume", "Benjamin", "Francesco", "Santiago", "Friedrich", "Matthew", "Jonathan", "Philippe", "James", "John", "Robert", "Michael", "David", "Thomas", "Pierre", "Carlos"),
+    "surname latin": ("Johnson", "Williams", "Schneider", "Rodríguez", "Fernández", "Lefebvre", "Hoffmann", "Thompson", "Bernard", "Zimmermann", "Martínez", "García", "Müller", "Schmidt", "Dubois"),
+    "female cyrillic": ("Екатерина", "Анастасия", "Светлана", "Людмила", "Татьяна", "Анна", "Мария", "Ольга", "Наталья"),
+    "male cyrillic": ("Александр", "Владимир", "Дмитрий", "Николай", "Сергей", "Иван", "Андрей", "Михаил"),
+    "female surname cyrillic": ("Иванова", "Петрова", "Смирнова", "Кузнецова", "Соколова"),
+    "male surname cyrillic": ("Иванов", "Петров", "Смирнов", "Кузнецов", "Соколов"),
 }
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Signor", "Signora")
+#: Chinese surnames, and characters of given names.
+SURNAMES_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+GIVEN_HAN = "伟芳娜敏静丽强磊军洋勇艳杰涛明超秀霞平刚桂英华玉萍红玲芬燕建国文志海波"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
+_PREFIX = "AKIA|gh[pousr]_|github_pat_|[spr]k_(?:live|test)_|xox[abprs]-|AIza|eyJ"
 #: Type and pattern, in order of precedence. Patterns start only where a run of their characters does.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,63})"),
+    ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)*+(?<=\.\p{L}{2,63})"),
     ("ipv4", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
+    ("ipv6", rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,9}}[0-9])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}|(?:{_HEX4}:){{2,7}}:)(?![0-9A-Za-z:])"),
     ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"),
     ("phone", r"(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z.,/+-])0[1-9][0-9]{1,3}[ /-][0-9]{5,9}(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
-    ("key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("card", r"(?<![0-9A-Za-z])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
+    ("key", r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{20,255}|[spr]k_(?:live|test)_[A-Za-z0-9]{10,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{5,2000}\.[A-Za-z0-9_-]{5,4000}\.[A-Za-z0-9_-]{5,2000})(?![A-Za-z0-9_])"),
+    ("hex", r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("secret", r"(?<=[=:\s\"'])(?<=(?i:key|token|secret|password|passwd|pwd)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})(?=[^0-9\s]{0,99}[0-9])[^\s\"',;]{6,200}"),
 )
-_NAME = r"(?<!\p{L})(?:" + "|".join(n for s in NAMES.values() for n in s) + r")(?!\p{L})"
-_ANY = "|".join([*(p for _, p in PATTERNS), _NAME])
+_DATA = "|".join(p for _, p in PATTERNS)
+#: A text without any of these holds names at most.
+_HINT = f"[0-9@]|{_PREFIX}"
+
+
+def _trie(words: Sequence[str]) -> str:
+    """One of the words, as a pattern that shares their beginnings."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words), reverse=True):
+        by.setdefault(w[:1], []).append(w[1:])
+    branches = [letter + _trie(rest) if letter else "" for letter, rest in by.items()]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+def name_pattern(names: Mapping[str, Sequence[str]] = NAMES) -> str:
+    both = lambda words: [x for w in words for x in (w, w.upper())]
+    given = [n for kind, s in names.items() if "surname" not in kind for n in s]
+    surnames = [n for kind, s in names.items() if "surname" in kind for n in s]
+    # a word after a given name is part of it, not the first one of the next sentence
+    word = r"\p{Lu}\p{L}{1,30}"
+    return (
+        rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_trie(both(given))} {word}|{_trie(both(n for n in given + surnames if len(n) > 4))})(?!\p{{L}})"
+        rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.{{0,1}} ){word}(?: {word}){{0,2}}(?!\p{{L}})"
+        rf"|(?<!\p{{L}})[{SURNAMES_HAN}]\p{{IsHan}}{{1,2}}(?!\p{{L}})"
+    )
+
+
 #: Letters that may stand for each other.
 ALPHABETS = (
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ",
+    "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
+    SURNAMES_HAN,
+    GIVEN_HAN,
 )
+HEX = ("0123456789abcdef",)
+
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's spark.tessera.surrogateKey names; a random one, kept there, where it names none."""
+    name = "spark.tessera.surrogateKey"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name)
 
-def _shift(c: Column, k: Column) -> Column:
+
+def _shift(c: Column, k: Column, alphabets: Sequence[str]) -> Column:
     """The character k places on in its alphabet."""
     out = c
-    for letters in ALPHABETS:
+    for letters in alphabets:
         at = F.instr(F.lit(letters), c)
         out = F.when(at > 0, F.substring(F.lit(letters), ((at - 1 + k) % len(letters) + 1).cast("int"), F.lit(1))).otherwise(out)
     return out
@@ -66,24 +134,24 @@ def _hash(key: Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", key, *parts), 256)
 
 
-def _permuted(text: Column, key: Column, tag: Column) -> Column:
+def _permuted(text: Column, key: Column, tag: Column, alphabets: Sequence[str] = ALPHABETS) -> Column:
     """A text of letters and digits under the keyed permutation of its shape; case does not matter to it."""
 
     def turn(chars: Column, r: Column) -> Column:
         rest = F.lower(F.array_join(F.filter(chars, lambda c, i: (i + r) % 2 == 1), ""))
-        return F.transform(chars, lambda c, i: F.when((i + r) % 2 == 0, _shift(c, F.conv(F.substring(_hash(key, tag, r.cast("string"), i.cast("string"), rest), F.lit(1), F.lit(7)), 16, 10).cast("int"))).otherwise(c))
+        return F.transform(chars, lambda c, i: F.when((i + r) % 2 == 0, _shift(c, F.conv(F.substring(_hash(key, tag, r.cast("string"), i.cast("string"), rest), F.lit(1), F.lit(7)), 16, 10).cast("int"), alphabets)).otherwise(c))
 
     return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.split(text, ""), turn), "")
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9A-Za-z]", "")
+    return F.regexp_replace(text, r"[^0-9\p{L}]", "")
 
 
 def _dressed(bare: Column, shape: Column) -> Column:
     """bare's characters in the places of shape's letters and digits, its punctuation kept."""
     return F.array_join(
-        F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(bare, F.length(_bare(F.substring(shape, F.lit(1), i + 1))), F.lit(1))).otherwise(c)),
+        F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike(r"[0-9\p{L}]"), F.substring(bare, F.length(_bare(F.substring(shape, F.lit(1), i + 1))), F.lit(1))).otherwise(c)),
         "",
     )
 
@@ -105,27 +173,27 @@ def _part(text: Column, start: Column | int, length: Column | int) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    out = F.lit("name")
-    for kind, pattern in reversed(PATTERNS):
+    out = F.when(entity.rlike(r"^\p{L}+(?: \p{L}+)*$"), "name").otherwise("secret")
+    for kind, pattern in reversed(PATTERNS[:-1]):
         out = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
 
 
-def _renamed(key: str) -> Column:
-    """Each name with the next one of its list, in an order that the key decides."""
+def _renamed(key: str, names: Mapping[str, Sequence[str]]) -> Column:
+    """Each name, in lower case, with the next one of its list, in an order that the key decides."""
     pairs = []
-    for names in NAMES.values():
-        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).hexdigest())
-        pairs += [F.lit(x) for name, other in zip(order, [*order[1:], order[0]], strict=True) for x in (name, other)]
+    for some in names.values():
+        order = sorted(some, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).hexdigest())
+        pairs += [F.lit(x) for name, other in zip(order, [*order[1:], order[0]], strict=True) for x in (name.lower(), other)]
     return F.create_map(*pairs)
 
 
-def surrogate(entity: Column, key: str) -> Column:
+def surrogate(entity: Column, key: str, names: Mapping[str, Sequence[str]] = NAMES) -> Column:
     """The surrogate of a found entity."""
-    return _let(F.struct(entity.alias("e"), kind_of(entity).alias("kind"), _bare(entity).alias("bare")), lambda x: _surrogate(x["e"], x["kind"], x["bare"], key))
+    return _let(F.struct(entity.alias("e"), kind_of(entity).alias("kind"), _bare(entity).alias("bare")), lambda x: _surrogate(x["e"], x["kind"], x["bare"], key, names))
 
 
-def _surrogate(entity: Column, kind: Column, bare: Column, key: str) -> Column:
+def _surrogate(entity: Column, kind: Column, bare: Column, key: str, names: Mapping[str, Sequence[str]]) -> Column:
     k, n = F.lit(key), F.length(bare)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
@@ -143,40 +211,57 @@ def _surrogate(entity: Column, kind: Column, bare: Column, key: str) -> Column:
     inner = F.concat(_part(bare, 1, 1), _permuted(_part(bare, 2, n - 2), k, F.concat(F.lit("card"), _part(bare, 1, 1))))
     off = _part(bare, n, 1).cast("int") + 10 - _let(_part(bare, 1, n - 1), _luhn)
     card = _let(inner, lambda x: _dressed(F.concat(x, ((_luhn(x) + off) % 10).cast("string")), entity))
-    prefix = F.when(kind == "key", 4).when(kind == "iban", 2).otherwise(0)
+    small = F.lower(entity)
+    hexed = _dressed(_permuted(_bare(small), k, kind, HEX), small)
+    hexed = F.when(entity.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)
+    renamed = _renamed(key, names)
+
+    def name_part(part: Column) -> Column:
+        other = F.element_at(renamed, F.lower(part))
+        other = F.when(part == F.upper(part), F.upper(other)).otherwise(other)
+        return F.coalesce(other, _permuted(part, k, F.lit("name")))
+
+    name = F.array_join(F.transform(F.split(entity, " "), name_part), " ")
+    prefix = F.when(kind == "key", F.length(_bare(F.regexp_extract(entity, f"^(?:{_PREFIX})", 0)))).when(kind == "iban", 2).otherwise(0)
     other = _dressed(F.concat(_part(bare, 1, prefix), _permuted(_part(bare, prefix + 1, n), k, kind)), entity)
-    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", F.element_at(_renamed(key), entity)).otherwise(other)
+    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind.isin("ipv6", "hex"), hexed).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).otherwise(other)
+
+
+def _by_content(text: Column, names: Mapping[str, Sequence[str]], body) -> Column:
+    """body of a pattern, the short one for texts that hold names at most."""
+    pattern = name_pattern(names)
+    return F.when(text.rlike(_HINT), body(f"{_DATA}|{pattern}")).otherwise(body(pattern))
 
 
-def found(text: Column) -> Column:
+def found(text: Column, names: Mapping[str, Sequence[str]] = NAMES) -> Column:
     """The entities of a text, in order."""
-    some = text.rlike("[0-9]") | text.contains("@")
-    return F.when(some, F.regexp_extract_all(text, F.lit(_ANY), 0)).otherwise(F.regexp_extract_all(text, F.lit(_NAME), 0))
+    return _by_content(text, names, lambda p: F.regexp_extract_all(text, F.lit(p), 0))
 
 
-def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, names: Mapping[str, Sequence[str]] = NAMES) -> DataFrame:
     """docs with every entity of the text replaced; count_col gets their number."""
-    entities = F.col("__entities")
+    held, text = fresh(docs, "entities"), F.col(text_col)
+    entities = F.col(held)
     # The stretches between entities, one more than entities, are joined with the surrogates in turn.
-    between = F.split(F.col(text_col), _ANY, -1)
-    pieces = F.zip_with(between, F.transform(entities, lambda e: surrogate(e, key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    out = docs.withColumn("__entities", found(F.col(text_col)))
+    between = _by_content(text, names, lambda p: F.split(text, p, -1))
+    pieces = F.zip_with(between, F.transform(entities, lambda e: surrogate(e, key, names)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    out = docs.withColumn(held, found(text, names))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size("__entities"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.size("__entities") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))).drop("__entities")
+        out = out.withColumn(count_col, F.coalesce(F.size(held), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.size(held) > 0, F.array_join(pieces, "")).otherwise(text)).drop(held)
 
 
-def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def collisions(docs: DataFrame, key: str, text_col: str = "text", names: Mapping[str, Sequence[str]] = NAMES) -> DataFrame:
     """Types and surrogates that stand for more than one entity: none, unless something is wrong."""
-    each = docs.select(F.explode(found(F.col(text_col))).alias("entity"))
-    plain = lambda c, kind: F.when(kind == "email", F.lower(c)).when(kind.isin("ipv4", "name"), c).otherwise(_bare(c))
-    each = each.groupBy("entity").count().select("entity", kind_of(F.col("entity")).alias("kind"), surrogate(F.col("entity"), key).alias("surrogate"))
-    pairs = each.select("kind", plain(F.col("surrogate"), F.col("kind")).alias("surrogate"), plain(F.col("entity"), F.col("kind")).alias("entity")).distinct()
-    return pairs.groupBy("kind", "surrogate").count().where("count > 1")
+    each = docs.select(F.explode(found(F.col(text_col), names)).alias("entity")).select("entity", kind_of(F.col("entity")).alias("kind"), surrogate(F.col("entity"), key, names).alias("surrogate"))
+    plain = lambda c: F.when(F.col("kind").isin("email", "ipv6", "hex", "name"), F.lower(c)).when(F.col("kind") == "ipv4", c).otherwise(_bare(c))
+    pairs = each.select("kind", plain(F.col("surrogate")).alias("surrogate"), plain(F.col("entity")).alias("entity"))
+    # Entities meet by their least and largest, so the shuffle moves a row for each surrogate and task.
+    return pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one <> other")
 
 
-def checked(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def checked(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, names: Mapping[str, Sequence[str]] = NAMES) -> DataFrame:
     """pseudonymised(), after collisions() has found none."""
-    if collisions(docs, key, text_col).head(1):
+    if collisions(docs, key, text_col, names).head(1):
         raise ValueError("two entities share a surrogate")
-    return pseudonymised(docs, key, text_col, count_col)
+    return pseudonymised(docs, key, text_col, count_col, names)

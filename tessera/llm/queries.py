@@ -20,7 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.checked(docs, key="surrogates-1", count_col="n_entities")
+    return pii.checked(docs, pii.session_key(spark), count_col="n_entities")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,13 +53,22 @@ def test_stages_against_brute_force(spark):
 
 
 def test_odd_rows_pass(spark):
-    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, found string, row int, __entities string"
+    more = ("en", "s", 3, 0.9, "f", 7, "e")
+    long = "w " * 60_000
+    rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (None, "no id"), (3, "a b"), (3, "a b"), (4, "one text here"), (7, "one text here"), (7, "another that is only here"), (8, long)]
+    docs = spark.createDataFrame([(*r, *more) for r in rows], columns)
     now = docs
     for name, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF)
+        if name != "packing":
+            assert now.schema == docs.schema
+            got = now.collect()
+            assert all(tuple(r)[2:4] + tuple(r)[5:] == more[:2] + more[3:] for r in got)
         if name == "ngram_join":
-            assert sorted((str(r.doc_id), r.text) for r in now.collect()) == [("1", None), ("2", ""), ("3", "a b"), ("None", "no id"), ("None", "no id")]
-    assert now.count() == 5
+            want = [(1, None), (2, ""), (2, ""), (None, "no id"), (3, "a b"), (4, "one text here"), (7, "another that is only here"), (8, long)]
+            assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in want)
+    assert now.select("doc_id").distinct().count() == 7
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
