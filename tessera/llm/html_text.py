@@ -3,21 +3,30 @@
 Tags become a tree with the usual implied ends and starts (a block ends a paragraph, a list
 item ends the one before, cells and rows end and begin each other, what cannot stand in the
 head ends it). Hidden parts are left
-out: scripts, styles, templates, the head, closed details, and what hidden attributes,
-inline styles or simple rules of the page's own style sheets take away. All else is kept,
-menus and footers too. Blocks stand on lines of their own with blank lines around
-paragraphs, headings, lists and tables; list items get marks and indents; table cells are
-padded to columns; preformatted text keeps its spaces. Tree and layout use explicit stacks,
-so deep nesting and very long pages are fine.
-
-Null pages give null, empty ones and ones without visible text the empty string. Each row
-stands for itself; other columns are ignored.
+out: scripts, styles, templates, the head, closed details, and what hidden attributes, inline
+styles or the page's own style sheets take away. Of style sheets, the properties display and
+visibility are read, for selectors of a tag, classes and an id together (no combinators or
+pseudo-classes), in the order of the cascade: !important, then specificity, then place. Rules
+in @media count if they hold for a screen SCREEN pixels wide. A visible part of a parent whose
+visibility is hidden shows. All else is kept, menus and footers too.
+
+Blocks stand on lines of their own with blank lines around paragraphs, headings, lists and
+tables; list items get marks (value, start and reversed count) and indents; table cells are
+padded to columns, spans over rows and columns included, with East Asian wide characters
+counted as two columns; preformatted text keeps its spaces. Tree and layout use explicit
+stacks, so deep nesting and very long pages are fine.
+
+Null pages give null, empty ones and ones without visible text the empty string, an empty
+table an empty result. Each row stands for itself, repeated ones too; ids may be null or
+repeat; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,15 +35,17 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 _TOKEN = re.compile(
-    r"(?P<skip><!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z))"
+    r"(?P<skip><!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z))"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"""|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*)>"""
     r"|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_DECLARED = re.compile(r"(?:^|[;\s{])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.IGNORECASE)
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_FEATURE = re.compile(r"\(\s*([\w-]+)\s*(?::\s*([\d.]+)\s*(px|r?em)?\s*|:\s*([\w-]+)\s*)?\)")
+SCREEN = 1280
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noframes noscript xmp".split())
 NEVER = frozenset("script style template head title noscript iframe noframes object svg math audio video canvas datalist".split())
@@ -59,18 +70,109 @@ SPACE, BREAK = "\x00", "\x01"  # kept space and line break; neither may stand in
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden")
+    __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool = False):
-        self.tag, self.attrs, self.children, self.hidden = tag, attrs, [], hidden
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def parse(page: str) -> Node:
-    """The tree of a page: nodes, with texts as strings."""
+def on_screen(media: str) -> bool:
+    """Whether one of a list of media queries holds for a landscape screen SCREEN pixels wide."""
+
+    def feature(name: str, number: str | None, unit: str | None, word: str | None) -> bool:
+        if number is not None:
+            size = float(number) * (16 if unit in ("em", "rem") else 1)
+            return {"min-width": SCREEN >= size, "max-width": SCREEN <= size, "width": SCREEN == size}.get(name, False)
+        return (name, word) in {("orientation", "landscape"), ("color", None), ("hover", "hover"), ("prefers-color-scheme", "light")}
+
+    def holds(query: str) -> bool:
+        words = re.findall(r"[\w-]+", re.sub(r"\([^)]*\)", " ", query))
+        kinds = [w for w in words if w not in ("and", "only", "not")]
+        found = _FEATURE.findall(query)
+        yes = all(k in ("screen", "all") for k in kinds) and all(feature(n, x or None, u or None, w or None) for n, x, u, w in found) and len(found) == query.count("(")
+        return yes != ("not" in words)
+
+    return not media.strip() or any(holds(q) for q in media.lower().split(","))
+
+
+def _declared(body: str) -> list[tuple[str, str, bool]]:
+    return [(name.lower(), value.lower(), bool(important)) for name, value, important in _DECLARED.findall(body)]
+
+
+class Styles:
+    """Display and visibility of elements by the page's style sheets."""
+
+    def __init__(self):
+        self.rules: dict[str, list] = {}  # by id, class or tag: what else must be there, and the declarations with their rank
+
+    def read(self, sheet: str) -> None:
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL)
+        at, use, closing = 0, True, []  # closing: what held outside each open block of rules
+        for m in re.finditer(r"([^{};]*)([{};])", sheet):
+            if m.start() < at:
+                continue
+            head, sign = m[1].strip(), m[2]
+            if sign == "}":
+                use = closing.pop() if closing else True
+            elif sign == "{":
+                kind = re.match(r"@([\w-]*)", head)
+                if kind and kind[1].lower() in ("media", "supports", "layer", "container"):
+                    closing.append(use)
+                    use = use and (kind[1].lower() != "media" or on_screen(head[6:]))
+                    continue
+                depth, at = 1, m.end()  # the body ends where its braces do
+                for brace in re.finditer(r"[{}]", sheet[at:]):
+                    depth += 1 if brace[0] == "{" else -1
+                    if not depth:
+                        body, at = sheet[at : at + brace.start()], at + brace.end()
+                        break
+                else:
+                    body, at = sheet[at:], len(sheet)
+                if use and not kind and (said := _declared(body)):
+                    for select in head.split(","):
+                        self._add(select.strip(), said)
+
+    def _add(self, select: str, said: list[tuple[str, str, bool]]) -> None:
+        m = _SELECTOR.fullmatch(select)
+        if not m or not select:
+            return
+        tag, rest = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+        ids, classes = [x for x in rest if x[0] == "#"], [x for x in rest if x[0] == "."]
+        key = (ids or classes or [tag])[0]
+        rank = (len(ids), len(classes), tag != "*", sum(map(len, self.rules.values())))
+        self.rules.setdefault(key, []).append((tag, set(rest), rank, said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The values of display and visibility that an element is given itself."""
+        best: dict[str, tuple] = {}
+
+        def give(name: str, value: str, rank: tuple) -> None:
+            if name not in best or rank >= best[name][0]:
+                best[name] = (rank, value)
+
+        if "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
+            give("display", "none", (False, -1))
+        if self.rules:
+            own = {f".{c}" for c in node.attrs.get("class", "").split()}
+            if node.attrs.get("id"):
+                own.add("#" + node.attrs["id"])
+            for key in (*own, node.tag, "*"):
+                for tag, needed, rank, said in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and needed <= own:
+                        for name, value, important in said:
+                            give(name, value, (important, 0, *rank))
+        if "style" in node.attrs:
+            for name, value, important in _declared(node.attrs["style"]):
+                give(name, value, (important, 1))
+        return {name: value for name, (_, value) in best.items()}
+
+
+def parse(page: str) -> tuple[Node, Styles]:
+    """The tree of a page (nodes, with texts as strings) and its styles."""
     page = page.replace("\x00", "�").replace("\x01", "�")
     root = Node("html", {})
     stack, opened = [root], {"html": 1}  # opened: how many of each tag are open
-    hiding: set[str] = set()
+    styles = Styles()
 
     def pop() -> None:
         opened[stack.pop().tag] -= 1
@@ -87,10 +189,7 @@ def parse(page: str) -> Node:
             pop()
 
     def push(tag: str, attrs: dict[str, str]) -> None:
-        hidden = tag in NEVER or "hidden" in attrs or bool(_HIDES.search(attrs.get("style", ""))) or (tag == "dialog" and "open" not in attrs)
-        if hiding and not hidden:
-            hidden = tag in hiding or f"#{attrs.get('id')}" in hiding or any(f".{c}" in hiding or f"{tag}.{c}" in hiding for c in attrs.get("class", "").split())
-        node = Node(tag, attrs, hidden)
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -154,12 +253,18 @@ def parse(page: str) -> Node:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
                 raw, at = (page[at : stop.start()], stop.end()) if stop else (page[at:], len(page))
                 if tag == "style":
-                    for select, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", raw, flags=re.DOTALL)):
-                        if _HIDES.search(body):
-                            hiding.update(s for s in (x.strip() for x in select.split(",")) if re.fullmatch(r"[\w-]+|[\w-]*[.#][\w-]+", s))
+                    if on_screen(attrs.get("media", "")):
+                        styles.read(raw)
                 stack[-1].children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
                 pop()
-    return root
+    return root, styles
+
+
+def width(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for marks."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 def _lines(items: list) -> list[str]:
@@ -197,32 +302,71 @@ def _lines(items: list) -> list[str]:
     return out
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells, which are lists of lines, padded to columns."""
-    widths: list[int] = []
-    for row in rows:
-        widths += [0] * (len(row) - len(widths))
-        for i, cell in enumerate(row):
-            widths[i] = max([widths[i], *map(len, cell)])
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows spanned), padded to columns."""
+    busy: dict[int, int] = {}  # rows for which a column is still taken from above
+    placed: list[list[tuple[int, int, list[str]]]] = []  # first column, end column, lines
+    for k, row in enumerate(rows):
+        at, cells, taken = 0, [], {c for c, n in busy.items() if n > 0}
+        for lines, across, down in row:
+            while at in taken:
+                at += 1
+            cells.append((at, at + across, lines))
+            if down != 1:
+                for c in range(at, at + across):
+                    busy[c] = down or len(rows) - k
+            at += across
+        busy = {c: n - 1 for c, n in busy.items() if n > 1}
+        placed.append(cells)
+    # columns in which no cell starts take no room
+    number = {c: i for i, c in enumerate(sorted({c for cells in placed for c, _, _ in cells}))}
+    starts = sorted(number)
+    widths = [0] * len(starts)
+    spans = []
+    for cells in placed:
+        for i, (c, end, lines) in enumerate(cells):
+            a, b = number[c], bisect.bisect_left(starts, end)
+            cells[i] = (a, b, lines)
+            need = max([0, *map(width, lines)])
+            if b == a + 1:
+                widths[a] = max(widths[a], need)
+            else:
+                spans.append((b - a, a, b, need))
+    for _, a, b, need in sorted(spans):
+        room = sum(widths[a:b]) + 2 * (b - a - 1)
+        widths[b - 1] += max(0, need - room)
+    left = [0]
+    for w in widths:
+        left.append(left[-1] + w + 2)
     out = []
-    for row in rows:
-        for k in range(max([1, *map(len, row)])):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip(" ")
-            if line or any(row):
-                out.append(line)
+    for cells in placed:
+        for k in range(max([1, *(len(lines) for _, _, lines in cells)])):
+            line, at = [], 0
+            for a, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line.append(" " * (left[a] - at) + lines[k])
+                    at = left[a] + width(lines[k])
+            if line or any(lines for _, _, lines in cells):
+                out.append("".join(line).rstrip(" "))
     return out
 
 
-def render(root: Node) -> str:
+def _whole(node: Node, name: str, default: int, most: int) -> int:
+    value = node.attrs.get(name, "").strip()
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else default
+
+
+def render(root: Node, styles: Styles) -> str:
     """The laid out text of a tree."""
 
-    def finish(node: Node, items: list, nth: int, pre: bool) -> list:
+    def finish(node: Node, items: list, mark: str) -> list:
         """What a node gives to its parent, from what its children gave."""
         tag = node.tag
         if tag == "br":
             return [BREAK]
         if tag in ("td", "th"):
-            return [("cell", [s for s in _lines(items) if s])]
+            lines = [s for s in _lines(items) if s]
+            return [("cell", (lines, max(1, _whole(node, "colspan", 1, 1000)), _whole(node, "rowspan", 1, 65534)))]
         if tag == "tr":
             cells = [i[1] for i in items if i[0] == "cell"]
             rest = _lines([i for i in items if i[0] != "cell"])
@@ -234,9 +378,8 @@ def render(root: Node) -> str:
         if tag in ("thead", "tbody", "tfoot", "colgroup"):
             return items
         # rows and cells outside a table are lines and texts
-        items = [(False, ["  ".join(" ".join(c) for c in i[1])]) if i[0] == "row" else " " + " ".join(i[1]) + " " if i[0] == "cell" else i for i in items]
+        items = [(False, ["  ".join(" ".join(c[0]) for c in i[1])]) if i[0] == "row" else " " + " ".join(i[1][0]) + " " if i[0] == "cell" else i for i in items]
         if tag == "li":
-            mark = f"{nth}. " if nth else "- "
             lines = _lines(items)
             return [(False, [mark + lines[0], *(" " * len(mark) + s if s else s for s in lines[1:])])] if lines else []
         if tag == "dd":
@@ -250,17 +393,20 @@ def render(root: Node) -> str:
             return [(tag in SPACED, _lines(items))]
         return items
 
+    def shown(node: Node) -> bool:
+        return node.tag not in NEVER and styles.of(node).get("display") != "none"
+
     result: list = []
-    stack: list = [(root, iter(root.children), [], False, 0)]
-    count: list[int] = [0]  # the number of the last item in each open list
+    stack: list = [(root, iter(root.children), [], False, "", True)]
+    count: list[list[int]] = []  # the next number and the step of each open list
     while stack:
-        node, children, items, pre, nth = stack[-1]
+        node, children, items, pre, mark, seen = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
             if node.tag in ("ol", "ul", "menu"):
                 count.pop()
-            given = finish(node, items, nth, pre)
+            given = finish(node, items, mark)
             if stack:
                 parent, into = stack[-1][0], stack[-1][2]
                 # a list within an item stands right below it
@@ -270,26 +416,42 @@ def render(root: Node) -> str:
             else:
                 result = given
         elif isinstance(child, str):
-            items.append(child.replace("\r\n", "\n").replace(" ", SPACE).replace("\t", SPACE * 4).replace("\n", BREAK) if pre else child)
-        elif not child.hidden:
-            if node.tag == "details" and "open" not in node.attrs and child.tag != "summary":
+            if seen:
+                items.append(child.replace("\r\n", "\n").replace(" ", SPACE).replace("\t", SPACE * 4).replace("\n", BREAK) if pre else child)
+        elif child.tag not in NEVER:
+            style = styles.of(child)
+            if style.get("display") == "none" or (node.tag == "details" and "open" not in node.attrs and child.tag != "summary"):
                 continue
-            number = 0
+            visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""), seen)
+            own = ""
             if child.tag == "ol":
-                count.append(int(child.attrs["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", child.attrs.get("start", "")) else 0)
+                items_in = sum(not isinstance(k, str) and k.tag == "li" and shown(k) for k in child.children) if "reversed" in child.attrs else 1
+                start = child.attrs.get("start", "").strip()
+                count.append([int(start) if re.fullmatch(r"-?\d{1,9}", start) else items_in, -1 if "reversed" in child.attrs else 1])
             elif child.tag in ("ul", "menu"):
-                count.append(0)
-            elif child.tag == "li" and node.tag == "ol":
-                count[-1] = number = count[-1] + 1
+                count.append([0, 0])
+            elif child.tag == "li":
+                own = "- "
+                if node.tag == "ol":
+                    value = child.attrs.get("value", "").strip()
+                    if re.fullmatch(r"-?\d{1,9}", value):
+                        count[-1][0] = int(value)
+                    own = f"{count[-1][0]}. "
+                    count[-1][0] += count[-1][1]
+                own = own if visible else ""
+            elif child.tag == "input" and visible and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                items.append(f" {child.attrs.get('value', '')} ")
+            if child.tag == "br" and not visible:
+                continue
             kids = child.children
-            if node.tag == "details" or child.tag == "details":
-                kids = [k for k in kids if not isinstance(k, str) or child.tag != "details" or "open" in child.attrs]
-            stack.append((child, iter(kids), [], pre or child.tag in ("pre", "textarea", "xmp"), number))
+            if child.tag == "details" and "open" not in child.attrs:
+                kids = [k for k in kids if not isinstance(k, str)]
+            stack.append((child, iter(kids), [], pre or child.tag in ("pre", "textarea", "xmp"), own, visible))
     return "\n".join(_lines(result)).replace(SPACE, " ").replace(BREAK, "\n").strip("\n")
 
 
 def page_text(page: str | None) -> str | None:
-    return None if page is None else render(parse(page))
+    return None if page is None else render(*parse(page))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

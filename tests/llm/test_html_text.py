@@ -61,3 +61,31 @@ def test_rows(spark):
 )
 def test_open_heads(page, text):
     assert page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>@media print{p{display:none}}</style><p>a", "a"),
+        ("<style>@media screen and (max-width: 600px){p{display:none}} @media (min-width:40em){b{display:none}}</style><p>a<b>b</b>", "a"),
+        ("<style media=print>p{display:none}</style><style>@supports (x:y){i{display:none}}</style><p>a<i>b</i>", "a"),
+        ("<style>.m{display:none} .m{display:block}</style><p class=m>a", "a"),
+        ("<style>.m{display:block} p{display:none} #i{display:none} p.n{display:none!important}</style><p class=m>a<p id=i class=m>b<p class='m n' style='display:block'>c", "a"),
+        ("<p class=m>a</p><p>b</p><style>.m{display:none}</style>", "b"),
+        ("<style>p::before{content:'}'} @font-face{font-family:x} @keyframes k{from{display:none}} u{display:none}</style><p>a<u>b</u>", "a"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b><ul><li>c<li style='visibility:visible'>d</ul></div>", "b\n\n- d"),
+        ("<div style='display:none'>a<b style='display:block'>b</b></div>c", "c"),
+        ("<p hidden>a<p hidden class=s>b<style>.s{display:block}</style>", "b"),
+        ("a<!-- x --!>b<!-->c<!--->d", "abcd"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<ol reversed><li>a<li hidden>x<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<table><tr><td colspan=2>wide head<td>x<tr><td>a<td>b<td>c</table>", "wide head  x\na  b       c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本  x\nabc   y"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td>long one<td>c</table>", "a            b\nlong one  c"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>z", "a  b\n   c\n\nz"),
+        ("<input type=submit value=Go><input value=typed>x", "Go x"),
+    ],
+)
+def test_visibility_and_spans(page, text):
+    assert page_text(page) == text
