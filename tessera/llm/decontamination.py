@@ -4,24 +4,27 @@ Benchmark items are cut into units of at most `window` words, and one more unit
 every border of two; the columns of the term matrix are the units' words. Texts are read as passages of `window` words, overlapping by
 half. Three passes over all texts:
 
-1. document frequencies of the columns over all passages. Words in more than max_df of the
-   passages are left out, but for the eight rarest of each unit.
-2. a randomised SVD of the TF-IDF passages, texts' and benchmark's together: every task
-   adds up its part of A'A times a random matrix, and the sums' orthonormal basis spans the
-   leading term directions. Benchmark rows are weighted to hold as much as all texts do,
-   so that their own directions lead.
-3. every passage with two or more column words is projected and compared with all units by
-   cosine. Units near enough are checked on the words themselves, half a window more to
-   either side: the longest common subsequence must cover 60 % of the unit's words, or 50 %
+1. document frequencies of the columns over all passages.
+2. a randomised SVD of the TF-IDF passages, texts' and benchmark's together: every task adds
+   up its part of A'A times a random matrix, and from the sums (the Nystroem approximation
+   of A'A) come the leading right singular vectors and singular values. Benchmark rows are
+   weighted to hold as much as all texts do, so that their own directions lead.
+3. every passage with a column word is projected and compared with all units by cosine. Units
+   near enough are checked on the words themselves: the longest common subsequence with the
+   passage and half a window to either side must cover 60 % of the unit's words, or 50 %
    if it covers 80 % of the words of the item's answer (its last sentence, if it has six
-   words or more) as well. So
+   words or more) as well; or, with two windows to either side, 85 % of the unit's words,
+   for copies with much put in between. (In yet longer stretches the frequent words of any
+   text cover much of a unit.) So
    copies with words changed, left out or put in between are found. Units under eight words
    must be there whole. Besides, any run of 13 words of an item that a text holds word for
-   word is a leak, whatever its units; all words are compared for this, frequent ones too.
+   word is a leak, whatever its units.
 
 Words are lower-cased (in all scripts) runs without white space, without punctuation at their ends. Null and
 blank texts hold nothing and are clean; null or blank items are no items. Repeated rows are
-judged each. The benchmark is broadcast, and so is checked: at most max_items items.
+judged each; ids may be null or repeat; an empty table gives an empty result; very long texts
+are read whole. Other columns are ignored or kept, whatever their names. The benchmark is
+broadcast, and so is checked: at most max_words words in all items.
 """
 
 from __future__ import annotations
@@ -96,7 +99,8 @@ class Benchmark:
             runs.append(np.unique(run_hashes(h)))
             self.units_of.append(range(before, len(self.units)))
         self.columns = np.unique(np.concatenate([*self.units, np.zeros(0, np.uint64)]))
-        self._near()
+        self.near = np.zeros(1 << 16, bool)
+        self.near[(self.columns & np.uint64(0xFFFF)).astype(np.int64)] = True
         of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
         self.runs = np.concatenate([*runs, np.zeros(0, np.uint64)])
         order = np.argsort(self.runs, kind="stable")
@@ -120,19 +124,9 @@ class Benchmark:
                     yield d, at, i
                 last[d, i] = at
 
-    def _near(self) -> None:
-        self.near = np.zeros(1 << 16, bool)
-        self.near[(self.columns & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def restrict(self, frequency: np.ndarray, passages: int, max_df: float) -> None:
-        """Leaves out frequent columns, and keeps the others' inverse document frequencies."""
-        keep = frequency <= max_df * max(1, passages)
-        for unit in self.units:
-            at = np.searchsorted(self.columns, np.unique(unit))
-            keep[at[np.argsort(frequency[at], kind="stable")[:8]]] = True
-        self.columns, frequency = self.columns[keep], frequency[keep]
+    def weigh(self, frequency: np.ndarray, passages: int) -> None:
+        """The columns' inverse document frequencies."""
         self.idf = np.log((1 + passages) / (1 + frequency)) + 0.1
-        self._near()
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Unit and column of each column word of the units."""
@@ -217,16 +211,28 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["col", "v"])
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 256, max_df: float = 0.001, max_items: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> tuple[Benchmark, np.ndarray]:
+def singular_vectors(y: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors and singular values of A from y = A'A omega, by the Nystroem approximation."""
+    shift = 1e-9 * np.linalg.norm(y)
+    y = y + shift * omega
+    core = omega.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    use = values > 1e-12 * max(values.max(initial=0.0), 1e-300)
+    half = y @ (vectors[:, use] / np.sqrt(values[use]))
+    u, s, _ = np.linalg.svd(half, full_matrices=False)
+    return u, np.sqrt(np.maximum(s**2 - shift, 0))
+
+
+def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 96, max_words: int = 400_000, id_col: str = "item_id", text_col: str = "text") -> tuple[Benchmark, np.ndarray]:
     """The benchmark with its columns' weights, and the latent basis times them."""
     small_batches(docs.sparkSession)
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} benchmark items: search them in parts")
-    bench = Benchmark(sorted(((r[0], r[1]) for r in rows), key=str), window)
-    texts = docs.select("text")
-    frequency, passages = np.zeros(len(bench.columns), np.int64), 0
-    if not len(bench.columns):
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if (items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) > max_words:
+        raise ValueError(f"more than {max_words} words in the benchmark: search it in parts")
+    bench = Benchmark(sorted(((r[0], r[1]) for r in items.collect()), key=str), window)
+    texts, n = docs.select("text"), len(bench.columns)
+    frequency, passages = np.zeros(n, np.int64), 0
+    if not n:
         bench.idf = np.zeros(0)
         return bench, np.zeros((0, 1), np.float32)
     for r in texts.mapInArrow(_frequencies(bench), "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).collect():
@@ -234,8 +240,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int
             passages = r["n"]
         else:
             frequency[r["col"]] = r["n"]
-    bench.restrict(frequency, passages, max_df)
-    n = len(bench.columns)
+    bench.weigh(frequency, passages)
     omega = np.random.default_rng(11).standard_normal((n, min(rank, n))).astype(np.float32)
     parts = texts.mapInArrow(_sketch(bench, omega), "col int, v array<float>").repartition("col").mapInArrow(_added, "col int, v array<double>")
     gram = np.zeros(omega.shape)
@@ -244,22 +249,29 @@ def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int
     own = np.zeros(omega.shape)
     _gram(*bench.rows(), bench.idf, omega.astype(np.float64), own)
     weight = 10 * max(1.0, np.linalg.norm(gram)) / max(1e-9, np.linalg.norm(own))
-    basis, _ = np.linalg.qr(gram + weight * own)
+    basis, _ = singular_vectors(gram + weight * own, omega.astype(np.float64))
     return bench, (basis * bench.idf[:, None]).astype(np.float32)
 
 
 class Finder:
     """Finds the units that texts hold."""
 
-    def __init__(self, bench: Benchmark, basis: np.ndarray, cosine: float, share: float, weak_share: float, answer_share: float):
+    def __init__(self, bench: Benchmark, basis: np.ndarray, cosine: float, share: float, weak_share: float, answer_share: float, wide_share: float):
         self.bench, self.basis, self.cosine = bench, basis, cosine
-        self.share, self.weak_share, self.answer_share = share, weak_share, answer_share
+        self.share, self.weak_share, self.answer_share, self.wide_share = share, weak_share, answer_share, wide_share
         self.latent = np.zeros((len(bench.units), basis.shape[1]), np.float32)
         if len(bench.units):
             unit, col = bench.rows()
             at, sums = _summed(unit, basis[col])
             self.latent[at] = sums
             self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-9)
+        # the columns of each unit as bits, and how many of them texts must have in common with it
+        self.unit_bits = np.zeros((len(bench.units), -(-len(bench.columns) // 64)), np.uint64)
+        if len(bench.units):
+            np.bitwise_or.at(self.unit_bits, (unit, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        n, different = np.array([len(u) for u in bench.units], np.int64), np.array([len(np.unique(u)) for u in bench.units], np.int64)
+        answers = np.array([len(a) > 0 for a in bench.answers], bool)
+        self.least, self.least_wide = (np.where(n >= 8, s * n, n) - (n - different) for s in (np.where(answers, weak_share, share), wide_share))
         self.masks, self.answer_masks = ([self._masks(u) for u in of] for of in (bench.units, bench.answers))
 
     @staticmethod
@@ -269,14 +281,16 @@ class Finder:
             out[x] = out.get(x, 0) | 1 << i
         return out
 
-    def holds(self, words: list[int], unit: int) -> float:
-        """The share of the unit that the words cover in order, or 0 if that is too little."""
+    def holds(self, words: list[int], wide: list[int], unit: int) -> float:
+        """The share of the unit that the words, or those of a wide stretch, cover in order, or 0 if that is too little."""
         n, answer = len(self.bench.units[unit]), len(self.bench.answers[unit])
         share = covered(words, self.masks[unit], n) / n
         if share >= (self.share if n >= 8 else 1):
             return share
         if n >= 8 and answer and share >= self.weak_share and covered(words, self.answer_masks[unit], answer) >= self.answer_share * answer:
             return share
+        if n >= 8 and (share := covered(wide, self.masks[unit], n) / n) >= self.wide_share:
+            return share
         return 0.0
 
     def __call__(self, texts: pa.Array) -> list[tuple[int, int, float]]:
@@ -302,7 +316,6 @@ class Finder:
         bench, half = self.bench, self.bench.window // 2
         block, col, base = bench.blocks(w, h)
         at, sums = _summed(block, self.basis[col])
-        count = np.diff(np.concatenate([np.searchsorted(block, at), [len(block)]])) if len(at) else at
         # a passage is a block and the next one of its text
         doc = np.searchsorted(base, at, "right") - 1
         passage = np.unique(np.concatenate([at, at[at > base[doc]] - 1]))
@@ -311,33 +324,47 @@ class Finder:
         end = base[np.searchsorted(base, passage, "right")]
         spots = [np.minimum(np.searchsorted(at, passage + step), len(at) - 1) for step in (0, 1)]
         there = [(at[spot] == passage + step) & (passage + step < end) for step, spot in enumerate(spots)]
-        use = sum(np.where(t, count[s], 0) for t, s in zip(there, spots, strict=True)) >= 2
-        passage = passage[use]
         z = np.zeros((len(passage), self.basis.shape[1]), np.float32)
         for spot, own in zip(spots, there, strict=True):
-            z[own[use]] += sums[spot[use & own]]
+            z[own] += sums[spot[own]]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        # which columns each block holds, as bits; then each passage with one and with four blocks to either side
+        bits = np.zeros((int(base[-1]), self.unit_bits.shape[1]), np.uint64)
+        np.bitwise_or.at(bits, (block, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        doc = np.searchsorted(base, passage, "right") - 1
+        low, high = base[doc], base[doc + 1]
+        around = []
+        for k in (1, 4):
+            own = np.zeros((len(passage), bits.shape[1]), np.uint64)
+            for step in range(-k, k + 2):
+                use = (passage + step >= low) & (passage + step < high)
+                own[use] |= bits[passage[use] + step]
+            around.append(own)
         found: dict[tuple[int, int], float] = {}
-        for i in range(0, len(passage), 4096):
-            for p, unit in np.argwhere(z[i : i + 4096] @ self.latent.T >= self.cosine):
-                b = passage[i + p]
-                d = int(np.searchsorted(base, b, "right") - 1)
-                if found.get((d, int(unit)), 0) == 1:
+        for i in range(0, len(passage), 1024):
+            p, unit = np.nonzero(z[i : i + 1024] @ self.latent.T >= self.cosine)
+            # no subsequence is longer than what both have in common
+            common = [np.bitwise_count(own[i + p] & self.unit_bits[unit]).sum(axis=1, dtype=np.int64) for own in around]
+            use = (common[0] >= self.least[unit]) | (common[1] >= self.least_wide[unit])
+            for p_, u in zip((i + p[use]).tolist(), unit[use].tolist(), strict=True):
+                d = int(doc[p_])
+                if found.get((d, u), 0) == 1:
                     continue
-                first = w.first[d] + (b - base[d]) * half
-                near = h[max(w.first[d], first - half) : min(w.first[d + 1], first + 3 * half)].tolist()
-                if share := self.holds(near, int(unit)):
-                    found[d, int(unit)] = max(share, found.get((d, int(unit)), 0))
+                start, end = int(w.first[d]), int(w.first[d + 1])
+                first = start + int(passage[p_] - base[d]) * half
+                near, wide = (h[max(start, first - k * half) : min(end, first + (2 + k) * half)].tolist() for k in (1, 4))
+                if share := self.holds(near, wide, u):
+                    found[d, u] = max(share, found.get((d, u), 0))
         return found
 
 
-def _finder(docs: DataFrame, benchmark: DataFrame, cosine: float, share: float, weak_share: float, answer_share: float, **options) -> Finder:
-    return Finder(*prepared(docs, benchmark, **options), cosine, share, weak_share, answer_share)
+def _finder(docs: DataFrame, benchmark: DataFrame, cosine: float, share: float, weak_share: float, answer_share: float, wide_share: float, **options) -> Finder:
+    return Finder(*prepared(docs, benchmark, **options), cosine, share, weak_share, answer_share, wide_share)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, share: float = 0.6, weak_share: float = 0.5, answer_share: float = 0.8, **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, weak_share: float = 0.5, answer_share: float = 0.8, wide_share: float = 0.85, **options) -> DataFrame:
     """doc_id, item_id and covered (the largest share of a unit in order) of every leak."""
-    finder = _finder(docs, benchmark, cosine, share, weak_share, answer_share, **options)
+    finder = _finder(docs, benchmark, cosine, share, weak_share, answer_share, wide_share, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,9 +379,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, share: fl
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, covered double")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, share: float = 0.6, weak_share: float = 0.5, answer_share: float = 0.8, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, weak_share: float = 0.5, answer_share: float = 0.8, wide_share: float = 0.85, **options) -> DataFrame:
     """The rows of docs that hold no leak, with all their columns."""
-    finder = _finder(docs, benchmark, cosine, share, weak_share, answer_share, **options)
+    finder = _finder(docs, benchmark, cosine, share, weak_share, answer_share, wide_share, **options)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

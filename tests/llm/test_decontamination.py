@@ -88,7 +88,7 @@ def test_edges(spark, case):
     twice = D.leaks(docs.unionByName(docs), items)
     assert twice.count() == 2 * D.leaks(docs, items).count()
     with pytest.raises(ValueError, match="in parts"):
-        D.leaks(docs, items, max_items=2)
+        D.leaks(docs, items, max_words=20)
 
 
 def test_excerpts_across_units_and_short_runs(spark):
@@ -122,3 +122,35 @@ def test_runs_do_not_pass_from_one_text_to_the_next(spark):
     bench = D.Benchmark([(6, ITEMS[5][1])], 64)
     w = D.Words(pa.array([" ".join(f"long{i}" for i in range(20, 28)), " ".join(f"long{i}" for i in range(28, 36)), None, " ".join(f"long{i}" for i in range(28, 42))]))
     assert list(bench.held_runs(w, D.word_hashes(w))) == [(3, 16, 0)]
+
+
+def test_paraphrases_made_of_frequent_words(spark):
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    text = lambda n: [r.choice(common) for _ in range(n)]
+    items = [(i, text(40)) for i in range(12)]
+    rows, planted = [(1000 + i, text(r.randint(40, 300))) for i in range(150)], set()
+    for i in range(60):
+        item, copy = i % 12, items[i % 12][1][:]
+        for _ in range(7):
+            copy[r.randrange(len(copy))] = r.choice(common)
+        rows.append((i, text(r.randint(0, 120)) + copy + text(r.randint(0, 120))))
+        planted.add((i, item))
+    for i in range(12):  # two words put in between for each of the item's
+        rows.append((500 + i, [w for x in items[i][1] for w in (x, f"n{r.randrange(9000)}", f"n{r.randrange(9000)}")]))
+        planted.add((500 + i, i))
+    docs, bench = tables(spark, [(i, " ".join(t)) for i, t in rows], [(i, " ".join(t)) for i, t in items])
+    got = {(x.doc_id, x.item_id) for x in D.leaks(docs, bench).collect()}
+    assert len(planted & got) >= 0.97 * len(planted)
+    assert not [x for x in got - planted if max(exhaustive(dict(rows)[x[0]], items[x[1]][1]), 0) < 24]
+
+
+def test_singular_vectors_of_a_low_rank_matrix():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    a = r.standard_normal((50, 6)) @ r.standard_normal((6, 30))
+    omega = r.standard_normal((30, 10))
+    v, s = D.singular_vectors(a.T @ (a @ omega), omega)
+    u, want, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(s[:6], want[:6], rtol=1e-4) and np.allclose(np.abs(v[:, :6].T @ vt[:6].T), np.eye(6), atol=1e-3)
