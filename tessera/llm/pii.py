@@ -69,11 +69,18 @@ PATTERNS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     ("key", r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{20,255}|[spr]k_(?:live|test)_[A-Za-z0-9]{10,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{5,2000}\.[A-Za-z0-9_-]{5,4000}\.[A-Za-z0-9_-]{5,2000})(?![A-Za-z0-9_])"),
     ("hex", r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
-    ("secret", r"(?<=[=:\s\"'])(?<=(?i:key|token|secret|password|passwd|pwd)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})(?=[^0-9\s]{0,99}[0-9])[^\s\"',;]{6,200}"),
+    ("secret", r"(?<=[=:][\s\"']{0,4})(?<=(?i:key|token|secret|password|passwd|pwd)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})(?=[^0-9\s]{0,99}[0-9])[^\s\"',;]{6,200}"),
 )
 _DATA = "|".join(p for _, p in PATTERNS)
-#: A text without any of these holds names at most.
-_HINT = f"[0-9@]|{_PREFIX}"
+#: A text without any of these, and without digits or @, holds names at most.
+_HINTS = ("AKIA", "AIza", "eyJ", "xox", "_pat_", "_live_", "_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+
+
+def _hinted(text: Column) -> Column:
+    out = text.rlike("[0-9@]")
+    for hint in _HINTS:
+        out = out | text.contains(hint)
+    return out
 
 
 def _trie(words: Sequence[str]) -> str:
@@ -91,10 +98,11 @@ def name_pattern(names: Mapping[str, Sequence[str]] = NAMES) -> str:
     surnames = [n for kind, s in names.items() if "surname" in kind for n in s]
     # a word after a given name is part of it, not the first one of the next sentence
     word = r"\p{Lu}\p{L}{1,30}"
+    # cheap conditions come first, as every place of a text is tried
     return (
-        rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_trie(both(given))} {word}|{_trie(both(n for n in given + surnames if len(n) > 4))})(?!\p{{L}})"
-        rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.{{0,1}} ){word}(?: {word}){{0,2}}(?!\p{{L}})"
-        rf"|(?<!\p{{L}})[{SURNAMES_HAN}]\p{{IsHan}}{{1,2}}(?!\p{{L}})"
+        rf"(?<!\p{{L}})(?:(?=\p{{Lu}})(?:(?:{_trie(both(given))} {word}|{_trie(both(n for n in given + surnames if len(n) > 4))})"
+        rf"|(?<= )(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.{{0,1}} ){word}(?: {word}){{0,2}})"
+        rf"|[{SURNAMES_HAN}]\p{{IsHan}}{{1,2}})(?!\p{{L}})"
     )
 
 
@@ -139,7 +147,8 @@ def _permuted(text: Column, key: Column, tag: Column, alphabets: Sequence[str] =
 
     def turn(chars: Column, r: Column) -> Column:
         rest = F.lower(F.array_join(F.filter(chars, lambda c, i: (i + r) % 2 == 1), ""))
-        return F.transform(chars, lambda c, i: F.when((i + r) % 2 == 0, _shift(c, F.conv(F.substring(_hash(key, tag, r.cast("string"), i.cast("string"), rest), F.lit(1), F.lit(7)), 16, 10).cast("int"), alphabets)).otherwise(c))
+        by = lambda rest, i: F.conv(F.substring(_hash(key, tag, r.cast("string"), i.cast("string"), rest), F.lit(1), F.lit(7)), 16, 10).cast("int")
+        return _let(rest, lambda rest: F.transform(chars, lambda c, i: F.when((i + r) % 2 == 0, _shift(c, by(rest, i), alphabets)).otherwise(c)))
 
     return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.split(text, ""), turn), "")
 
@@ -150,10 +159,11 @@ def _bare(text: Column) -> Column:
 
 def _dressed(bare: Column, shape: Column) -> Column:
     """bare's characters in the places of shape's letters and digits, its punctuation kept."""
-    return F.array_join(
+    put = lambda bare: F.array_join(
         F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike(r"[0-9\p{L}]"), F.substring(bare, F.length(_bare(F.substring(shape, F.lit(1), i + 1))), F.lit(1))).otherwise(c)),
         "",
     )
+    return _let(bare, lambda bare: F.when(F.length(bare) == F.length(shape), bare).otherwise(put(bare)))
 
 
 def _let(value: Column, body) -> Column:
@@ -230,7 +240,7 @@ def _surrogate(entity: Column, kind: Column, bare: Column, key: str, names: Mapp
 def _by_content(text: Column, names: Mapping[str, Sequence[str]], body) -> Column:
     """body of a pattern, the short one for texts that hold names at most."""
     pattern = name_pattern(names)
-    return F.when(text.rlike(_HINT), body(f"{_DATA}|{pattern}")).otherwise(body(pattern))
+    return F.when(_hinted(text), body(f"{_DATA}|{pattern}")).otherwise(body(pattern))
 
 
 def found(text: Column, names: Mapping[str, Sequence[str]] = NAMES) -> Column:
