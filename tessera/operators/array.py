@@ -206,7 +206,7 @@ class CoordArray:
         picked = {d.name: self._places(d, i) for d, i in zip(shown, index, strict=True)}
         out: CoordArray = self
         for name, places in picked.items():
-            if places is not None and len(set(places)) < len(places):
+            if places is not None and not isinstance(places, range) and len(set(places)) < len(places):
                 out = out._repeated(name, places)
             elif places is not None:
                 out = replace(out, dims=tuple(d.take(places) if d.name == name else d for d in out.dims))
@@ -215,11 +215,11 @@ class CoordArray:
         return CoordArray(out.df, out.dims, out.value, out.fill, out.drop, out.tables) if sum(len(d) != 1 for d in out.dims) < 2 and drop else out
 
     @staticmethod
-    def _places(d: Dim, index: Any) -> list[int] | None:
+    def _places(d: Dim, index: Any) -> Sequence[int] | None:
         if index is None or index is Ellipsis or (isinstance(index, slice) and index == slice(None)):
             return None
         if isinstance(index, slice):
-            return list(range(len(d))[index])
+            return range(len(d))[index]
         index = [index] if isinstance(index, (str, numbers.Integral, np.bool_)) else list(index)
         if index and all(isinstance(i, (bool, np.bool_)) for i in index):
             if len(index) != len(d):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..plans.dims import small
 from .matrix import sides
+from .realize import placed
 
 FAMILIES = ("binomial", "poisson")
 
@@ -51,6 +53,73 @@ def _with_one(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
+def block_row_deviances(x, family: str = "binomial", spacing: int = 1000, name: str = "value", limit: int = 5_000_000) -> DataFrame:
+    """The same, as sums over dense blocks of so many columns each, worked out on the executors.
+
+    Row sums and library sizes go to every block, so neither extent may be above limit.
+    """
+    from .realize import apply_blocks
+
+    if family not in FAMILIES:
+        raise ValueError(f"family must be one of {FAMILIES}")
+    row, col = sides(x)
+    if max(len(row), len(col)) > limit:
+        raise ValueError(f"more than {limit} rows or columns: see row_deviances()")
+    g, n = np.zeros(len(row)), np.zeros(len(col))
+    for totals, d, sums in ((g, row, x.row_sums(complete=False)), (n, col, x.col_sums(complete=False))):
+        table = placed(sums, [d]).select(f"__place_{d.name}", F.col(sums.columns[-1]).alias("__s")).toPandas()
+        totals[table.iloc[:, 0].to_numpy()] = table["__s"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        size = np.where(n > 0, np.exp(np.log(np.where(n > 0, n, 1)) - np.log(n[n > 0]).mean()) if (n > 0).any() else 0.0, 0.0)
+    p = g / max(n.sum(), 1e-300)
+
+    def part(corner: tuple[int, ...], block: np.ndarray) -> pd.DataFrame:
+        at = slice(corner[1], corner[1] + block.shape[1])
+        use = n[at] > 0
+        values = _terms(block[:, use].astype(np.float64), size[at][use] if family == "poisson" else None, n[at][use], p[corner[0] : corner[0] + block.shape[0]]).sum(axis=1)
+        return pd.DataFrame({"__place": np.arange(block.shape[0]) + corner[0], "d": values})
+
+    sums = apply_blocks(x, (max(1, len(row)), spacing), part, "__place long, d double").groupBy("__place").agg(F.sum("d").alias("d"))
+    null = x.spark.createDataFrame(pd.DataFrame({"__place": np.arange(len(g)), "g": g}), "__place long, g double")
+    share = F.col("g") / float(max(size.sum(), 1e-300))
+    none = F.when(F.col("g") > 0, F.col("g") * F.ln(share)).otherwise(0.0) if family == "poisson" else F.lit(0.0)
+    out = sums.join(small(null, len(g)), "__place").select("__place", (2 * (F.col("d") - none)).alias("d"))
+    return row.table(x.spark).join(out, "__place", "left").select(row.name, F.coalesce(F.when(~F.isnan("d"), F.col("d")), F.lit(0.0)).alias(name))
+
+
+def _terms(x: np.ndarray, size: np.ndarray | None, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What each cell adds to half the deviance (for Poisson, of the saturated model)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = lambda x, e: np.where(x > 0, x * np.log(x / e), 0.0)
+        if size is not None:
+            return term(x, size)
+        expected = n * p[:, None]
+        return term(x, expected) + term(n - x, n - expected)
+
+
+def sparse_row_deviances(pointers: np.ndarray, rows: np.ndarray, values: np.ndarray, n_rows: int, family: str = "binomial") -> np.ndarray:
+    """The same for a local matrix in compressed sparse columns, from its stored cells alone."""
+    if family not in FAMILIES:
+        raise ValueError(f"family must be one of {FAMILIES}")
+    values = np.asarray(values, dtype=np.float64)
+    cols = np.repeat(np.arange(len(pointers) - 1), np.diff(pointers))
+    n, g = np.bincount(cols, values, len(pointers) - 1), np.bincount(rows, values, n_rows)
+    keep = n > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = lambda x, e: np.where(x > 0, x * np.log(x / e), 0.0)
+        if family == "poisson":
+            size = np.where(keep, np.exp(np.log(np.where(keep, n, 1)) - np.log(n[keep]).mean()) if keep.any() else 0.0, 0.0)
+            out = 2 * (np.bincount(rows, term(values, size[cols]), n_rows) - term(g, size.sum()))
+        else:
+            p = g / max(n.sum(), 1e-300)
+            expected = n[cols] * p[rows]
+            cell = term(values, expected) + term(n[cols] - values, n[cols] - expected)
+            # cells that are not stored each add n * ln(1 / (1 - p))
+            left = n.sum() - np.bincount(rows, n[cols], n_rows)
+            out = 2 * (np.bincount(rows, cell, n_rows) + np.where(left > 0, left * np.log(1 / (1 - p)), 0.0))
+    return np.nan_to_num(out, nan=0.0)
+
+
 def dense_row_deviances(counts: np.ndarray, family: str = "binomial") -> np.ndarray:
     """The same for a local dense matrix."""
     if family not in FAMILIES:

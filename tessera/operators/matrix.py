@@ -155,8 +155,8 @@ def outer(x: Any, y: CoordArray) -> CoordMatrix:
     if len(col) != 1:
         raise ValueError("non-conformable arguments")
     x = np.asarray(x, dtype=np.float64)
-    values = F.array(*[F.lit(float(v)) for v in x])
-    cells = _cells(y, row.name, "__c", "__y").select(row.name, "__y", F.posexplode(values).alias("__i", "__x"))
+    values = F.broadcast(y.spark.createDataFrame([(1, x.tolist())], "__one int, __v array<double>"))  # one row, as long as the local vector
+    cells = _cells(y, row.name, "__c", "__y").withColumn("__one", F.lit(1)).join(values, "__one").select(row.name, "__y", F.posexplode("__v").alias("__i", "__x"))
     got = cells.select((F.col("__i") + 1).cast("long").alias("__row__"), row.name, (F.col("__x") * F.col("__y")).alias("value"))
     return _made(got, Dim("__row__", range(1, len(x) + 1)), row)
 
@@ -201,9 +201,9 @@ def gram(x: CoordArray, contract: str = "row", strategy: str = "auto", limit: in
     kept, gone = (col, row) if contract == "row" else (row, col)
     cells = _cells(x, row.name, col.name, "__x")
     a, b = kept.name + "_a", kept.name + "_b"
-    # Stored cells squared over the contracted extent: what the join makes if they lie evenly.
-    nnz = cells.count() if strategy in ("auto", "join") else 0
-    pairs = nnz * nnz / max(1, len(gone))
+    # What the join makes: the squares of the contracted keys' numbers of cells, so that a hot key counts.
+    squares = F.coalesce(F.sum(F.col("count").cast("double") * F.col("count")), F.lit(0.0))
+    pairs = cells.groupBy(gone.name).count().agg(squares).first()[0] if strategy in ("auto", "join") else 0.0
     if strategy == "blocked" or (strategy == "auto" and len(kept) <= BLOCKED_SIDE and pairs > 4 * len(kept) ** 2):
         if len(kept) > BLOCKED_SIDE:
             raise ValueError(f"the blocked product needs a side of at most {BLOCKED_SIDE} levels")

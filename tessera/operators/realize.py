@@ -25,9 +25,12 @@ def placed(df: DataFrame, dims: Sequence[Dim]) -> DataFrame:
     return df
 
 
-def to_coo(x) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a row for each stored cell, a column for each dimension) and values, in one query."""
-    table = placed(x.rows(), x.dims).select(*[f"__place_{d.name}" for d in x.dims], "value").toPandas()
+def to_coo(x, limit: int = 50_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a row for each stored cell, a column for each dimension) and values, of at most limit stored cells."""
+    table = placed(x.rows(), x.dims).select(*[f"__place_{d.name}" for d in x.dims], "value")
+    if x.size > limit and (stored := table.count()) > limit:
+        raise ValueError(f"{stored} stored cells are too many for the driver; see apply_blocks()")
+    table = table.toPandas()
     coords = np.stack([table[f"__place_{d.name}"].to_numpy(np.int64) for d in x.dims], axis=1)
     values = table["value"]
     kind = DTYPES[x.type]
@@ -69,17 +72,24 @@ def blocks(x, spacings: Sequence[int]) -> Iterator[tuple[tuple[int, ...], np.nda
 
 
 def apply_blocks(x, spacings: Sequence[int], fn, schema: str) -> DataFrame:
-    """fn(corner, dense block) -> pandas frame, run on the executors for every block with stored cells."""
+    """fn(corner, dense block) -> pandas frame, run on the executors for every block of a regular grid, empty ones too."""
     names, shape = [d.name for d in x.dims], [len(d) for d in x.dims]
     fill, kind = x.fill_value, DTYPES[x.type]
     cells = placed(x.rows(), x.dims)
     corners = [F.floor(F.col(f"__place_{n}") / s).cast("long").alias(f"__corner_{i}") for i, (n, s) in enumerate(zip(names, spacings, strict=True))]
     cells = cells.select(*corners, *[f"__place_{n}" for n in names], "value")
+    counts = [-(-n // s) for n, s in zip(shape, spacings, strict=True)]
+    every, stride = x.spark.range(int(np.prod(counts, dtype=object))), int(np.prod(counts, dtype=object))
+    for i, n in enumerate(counts):
+        stride //= max(1, n)
+        every = every.withColumn(f"__corner_{i}", F.pmod(F.floor(F.col("id") / max(1, stride)), F.lit(max(1, n))).cast("long"))
+    cells = every.drop("id").join(cells, [f"__corner_{i}" for i in range(len(names))], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         corner = [int(pdf[f"__corner_{i}"].iloc[0]) * s for i, s in enumerate(spacings)]
         out = np.full([min(s, n - c) for s, n, c in zip(spacings, shape, corner, strict=True)], fill, dtype=kind)
-        out[tuple(pdf[f"__place_{n}"].to_numpy() - c for n, c in zip(names, corner, strict=True))] = pdf["value"].to_numpy()
+        pdf = pdf[pdf[f"__place_{names[0]}"].notna()]
+        out[tuple(pdf[f"__place_{n}"].to_numpy().astype(np.int64) - c for n, c in zip(names, corner, strict=True))] = pdf["value"].to_numpy()
         return fn(tuple(corner), out)
 
     return cells.groupBy(*[f"__corner_{i}" for i in range(len(names))]).applyInPandas(run, schema)

@@ -58,9 +58,12 @@ class Dim:
         return list(self.labels) if self.labels is not None else list(self.levels)
 
     def take(self, positions: Sequence[int]) -> Dim:
-        whole = len(positions) == len(self) and all(i == p for i, p in enumerate(positions))
+        whole = len(positions) == len(self) and (positions == range(len(self)) if isinstance(positions, range) else all(i == p for i, p in enumerate(positions)))
         if whole:
             return self
+        if isinstance(positions, range) and positions.step == 1:  # a slice, which takes no space of a range
+            part = slice(positions.start, positions.stop)
+            return replace(self, levels=self.levels[part], labels=None if self.labels is None else self.labels[part], restricted=True)
         return replace(self, levels=as_levels([self.levels[p] for p in positions]), labels=None if self.labels is None else tuple(self.labels[p] for p in positions), restricted=True)
 
     def table(self, spark: SparkSession, place: str = "__place") -> DataFrame:

@@ -5,19 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matrix as M
 from .operators.array import CoordArray
-from .operators.deviance import row_deviances
+from .operators.deviance import block_row_deviances, dense_row_deviances, row_deviances, sparse_row_deviances
 from .operators.margins import summary_df
-from .operators.realize import placed
+from .operators.realize import apply_blocks, placed, to_csc, to_numpy
 from .operators.workflows import normalize, pca
 from .plans.dims import Dim, dim_tables
 from .session import shared_folder
-from .sources.readers import read_csv
-from .sources.writer import read_coo, write_coo
+from .sources.readers import read_csv, read_sql, read_table
+from .sources.writer import read_coo, write_coo, write_dense
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,8 +169,11 @@ _cells("math_hyperbolic", lambda x: (x / 90).sinh() + (x / 90).cosh() + (x / 90)
 _cells("math_area", lambda x: x.asinh() + (x + 1).acosh() + (x / 1000).atanh(), "asinh(v) + acosh(v + 1) + atanh(v / 1000)", "0")
 _cells("math_rounding", lambda x: (x / 7).floor() + (x / 7).ceiling() * 10 + ((x - 60) / 7).trunc() * 100, "floor(v / 7) + ceil(v / 7) * 10 + trunc((v - 60) / 7) * 100", "-800")
 _cells("math_abs_sign", lambda x: abs(x - 60) + (x - 60).sign(), "abs(v - 60) + sign(v - 60)", "59")
-_cells("math_gamma", lambda x: (x / 40 + 1).gamma() + (x + 1).lgamma(), "gamma(v / 40 + 1) + lgamma(v + 1)", "1", "l_quantity = 50")
-_cells("is_finite_nan", lambda x: (x / 0).is_finite() | ((x - x) / 0).is_nan() | (1 / x).is_infinite(), "!true", "true")
+_cells("math_gamma", lambda x: (x / 100 + 1).gamma() + (x + 1).lgamma(), "gamma(v / 100 + 1) + lgamma(v + 1)", "1")
+_cells("is_finite_nan", lambda x: (x / (x - 25)).is_finite() & ~((x - 30) / (x - 30)).is_nan() | (1 / (x - 40)).is_infinite(), "!v <> 25 AND v <> 30 OR v = 40", "true")
+_cells("is_finite", lambda x: (x / (x - 25)).is_finite(), "!v <> 25", "true")
+_cells("is_nan", lambda x: ((x - 30) / (x - 30)).is_nan(), "!v = 30", "false")
+_cells("is_infinite", lambda x: (1 / (x - 40)).is_infinite(), "!v = 40", "false")
 _cells("is_nonzero", lambda x: (x - 25).is_nonzero(), "!v <> 25", "true")
 _cells("cast_type", lambda x: (x / 7).astype("integer"), "trunc(v / 7)", "0")
 
@@ -208,7 +212,8 @@ add(
     lambda s, d: rounded(summary_df(ps(s, d) + 1).drop("prod"), "sum", "min", "max"),
     f"WITH {X}, t AS (SELECT (SELECT count(*) FROM part) * (SELECT count(*) FROM supplier) AS n) SELECT CAST(sum(v) + max(n) AS DOUBLE) AS sum, CAST(least(min(v) + 1, CASE WHEN count(*) < max(n) THEN 1 ELSE min(v) + 1 END) AS DOUBLE) AS min, CAST(max(v) + 1 AS DOUBLE) AS max, true AS any, true AS \"all\" FROM x CROSS JOIN t",
 )
-add("summary_prod", lambda s, d: rounded(summary_df((ev2(s, d) > 0) * 2 - 0).select("prod").withColumn("prod", F.log2("prod")), "prod"), f"WITH {EV} SELECT CAST(count(*) AS DOUBLE) AS prod FROM x HAVING count(*) < 1000 AND count(*) = (SELECT count(DISTINCT user_id) * count(DISTINCT event_type) FROM events) UNION ALL SELECT NULL FROM x HAVING count(*) < 0")
+# factors of one and minus one, so that the product stays finite at any size
+add("summary_prod", lambda s, d: rounded(summary_df((ev2(s, d) % 2) * -2 + 1).select("prod"), "prod"), f"WITH {EV} SELECT CAST(CASE WHEN sum(v % 2) % 2 = 1 THEN -1 ELSE 1 END AS DOUBLE) AS prod FROM x")
 
 # sweeps
 _TOTALS = f"{X}, n AS (SELECT c, sum(v) AS t FROM x GROUP BY c)"
@@ -232,8 +237,7 @@ add("array_matmat", lambda s, d: rounded(((x := ps(s, d)).T @ x).rows()), f"WITH
 _GRAM = f"WITH {X} SELECT a.c AS c_a, b.c AS c_b, sum(a.v * b.v) AS value FROM x a JOIN x b USING (r) GROUP BY 1, 2"
 add("crossprod_self", lambda s, d: rounded(M.crossprod(ps(s, d), strategy="join").rows()), _GRAM)
 add("blocked_gram", lambda s, d: rounded(M.gram(ps(s, d), "row", "blocked").rows()), _GRAM)
-add("tcrossprod_self", lambda s, d: rounded(M.tcrossprod(ps(s, d)[:60, :], strategy="join").rows()), f"WITH {X}, y AS (SELECT x.* FROM x WHERE r < (SELECT min(p_partkey) + 60 FROM part)) SELECT a.r AS r_a, b.r AS r_b, sum(a.v * b.v) AS value FROM y a JOIN y b USING (c) GROUP BY 1, 2")
-# the prefix of tcrossprod_self and its SQL is kept as it is; this one is over the whole array
+add("tcrossprod_self", lambda s, d: rounded(M.tcrossprod(ev2(s, d), strategy="join").rows()), f"WITH {EV} SELECT a.u AS u_a, b.u AS u_b, CAST(sum(a.v * b.v) AS DOUBLE) AS value FROM x a JOIN x b USING (e) GROUP BY 1, 2")
 add("tcrossprod_whole", lambda s, d: rounded(M.tcrossprod(ps(s, d).T, strategy="join").rows()), _GRAM)
 add("crossprod_vec", lambda s, d: rounded(M.crossprod((x := ps(s, d)), _weights(x, 0)).rows()), f"WITH {X} SELECT CAST(1 AS BIGINT) AS __row__, c, sum(v * (r % 7 + 1)) AS value FROM x GROUP BY 2")
 add("tcrossprod_vec", lambda s, d: rounded(M.tcrossprod((x := ps(s, d)), _weights(x, 1)).rows()), f"WITH {X} SELECT r, CAST(1 AS BIGINT) AS __col__, sum(v * (c % 7 + 1)) AS value FROM x GROUP BY 1")
@@ -254,6 +258,37 @@ add(
     e AS (SELECT r, sum(v) AS g, sum(v * ln(v / sz)) AS s FROM x JOIN z USING (c) GROUP BY 1)
     SELECT p_partkey AS r, round(coalesce(2 * (s - g * ln(g / al)), 0), 3) + 0.0 AS value FROM part LEFT JOIN e ON r = p_partkey CROSS JOIN a""",
 )
+for _family in ("binomial", "poisson"):
+    add(f"deviance_{_family}_blocks", lambda s, d, f=_family: rounded(block_row_deviances(ps(s, d), f, 30), digits=3), SQL[f"deviance_{_family}"])
+
+
+def _local_deviance(s: SparkSession, d: str, family: str, sparse: bool) -> DataFrame:
+    x = ps(s, d)
+    found = sparse_row_deviances(*to_csc(x), len(x.dims[0]), family) if sparse else dense_row_deviances(to_numpy(x), family)
+    return rounded(s.createDataFrame(list(zip(x.dims[0].levels, found.tolist(), strict=True)), "r long, value double"), digits=3)
+
+
+add("deviance_dense", lambda s, d: _local_deviance(s, d, "binomial", False), SQL["deviance_binomial"])
+add("deviance_dense_poisson", lambda s, d: _local_deviance(s, d, "poisson", False), SQL["deviance_poisson"])
+add("deviance_sparse", lambda s, d: _local_deviance(s, d, "binomial", True), SQL["deviance_binomial"])
+add("deviance_sparse_poisson", lambda s, d: _local_deviance(s, d, "poisson", True), SQL["deviance_poisson"])
+
+
+def _block_sums(s: SparkSession, d: str) -> DataFrame:
+    """Sum and number of cells of each block; most of the later ones have no stored cells."""
+    x = ps(s, d)[:, :3] + 1
+    fn = lambda corner, block: pd.DataFrame({"p0": [corner[0]], "p1": [corner[1]], "cells": [block.size], "total": [float(block.sum())]})
+    return rounded(apply_blocks(x, (5, 2), fn, "p0 long, p1 long, cells long, total double"), "total")
+
+
+add(
+    "block_sums",
+    _block_sums,
+    f"""WITH {X}, m AS (SELECT min(p_partkey) AS r0, count(*) AS nr FROM part), k AS (SELECT min(s_suppkey) AS c0 FROM supplier),
+    b AS (SELECT (r - r0) // 5 * 5 AS p0, (c - c0) // 2 * 2 AS p1, sum(v) AS t FROM x CROSS JOIN m CROSS JOIN k WHERE c - c0 < 3 GROUP BY 1, 2),
+    g AS (SELECT i * 5 AS p0, j * 2 AS p1, least(5, nr - i * 5) * least(2, 3 - j * 2) AS cells FROM m, unnest(range(0, (nr + 4) // 5)) AS a(i), unnest(range(0, 2)) AS c(j))
+    SELECT p0, p1, cells, CAST(coalesce(t, 0) + cells AS DOUBLE) AS total FROM g LEFT JOIN b USING (p0, p1)""",
+)
 
 
 # files
@@ -281,6 +316,34 @@ def _plain(x: CoordArray) -> DataFrame:
 
 add("write_roundtrip", lambda s, d: _plain(_written(s, d)), _WRITTEN)
 add("write_partitioned_roundtrip", lambda s, d: _plain(_written(s, d, (4, 5))), _WRITTEN)
+add("write_single", lambda s, d: _plain(_written(s, d, single=True)), _WRITTEN)
+add("hilbert_roundtrip", lambda s, d: _plain(_written(s, d, (4, 2), cluster_by="hilbert")), _WRITTEN)
+
+
+def _written_dense(s: SparkSession, d: str) -> DataFrame:
+    path = _path(s, "dense")
+    write_dense(s, to_numpy(ps(s, d)), path, ["i", "j"])
+    return _plain(read_coo(s, path))
+
+
+def _written_empty(s: SparkSession, d: str) -> DataFrame:
+    """An array without stored cells, which reads back with its extents."""
+    path = _path(s, "none")
+    write_coo(ps(s, d, "l_quantity < 0"), path, ["i", "j"])
+    return rounded(read_coo(s, path).row_nnzs().withColumn("i", F.col("i").cast("long")))
+
+
+def _from_table(s: SparkSession, d: str, query: bool) -> DataFrame:
+    x = ps(s, d)
+    x.rows("v").createOrReplaceTempView(name := f"cells_{uuid.uuid4().hex}")
+    dims = {q.name: q for q in x.dims}
+    return rounded((read_sql(s, f"SELECT r, c, v FROM {name}", "v", dims) if query else read_table(s, name, "v", dims)).row_sums())
+
+
+add("write_dense", _written_dense, _WRITTEN)
+add("write_empty", _written_empty, "SELECT row_number() OVER (ORDER BY p_partkey) AS i, CAST(0 AS DOUBLE) AS value FROM part")
+add("table_source", lambda s, d: _from_table(s, d, False), SQL["row_sums"])
+add("sql_source", lambda s, d: _from_table(s, d, True), SQL["row_sums"])
 add("cluster_roundtrip", lambda s, d: _plain(_written(s, d, (4, 2), cluster_by="zorder")), _WRITTEN)
 
 

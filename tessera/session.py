@@ -16,12 +16,14 @@ def session(name: str = "tessera", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir. On one machine a temporary folder will do where that is unset; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

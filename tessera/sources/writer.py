@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,24 @@ def morton(places: Sequence[Column], bits: int = 20) -> Column:
     return out
 
 
+def hilbert(places: Sequence[Column], bits: int = 31) -> Column:
+    """The number of a cell of two places along a Hilbert curve: cells next to each other in order are next to each other in the plane."""
+    if len(places) != 2:
+        raise ValueError("the Hilbert order is for two dimensions; see 'zorder' for more")
+    x, y = (p.cast("long") for p in places)
+
+    def turn(s: Column, side: Column) -> Column:
+        right, up = (F.when(s[v].bitwiseAND(side) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long") for v in ("x", "y"))
+        at = s["d"] + side * side * ((3 * right).bitwiseXOR(up))
+        flip = lambda v: F.when((up == 0) & (right == 1), side - 1 - v.bitwiseAND(side - 1)).otherwise(v.bitwiseAND(side - 1))
+        a, b = flip(s["x"]), flip(s["y"])
+        return F.struct(at.alias("d"), F.when(up == 0, b).otherwise(a).alias("x"), F.when(up == 0, a).otherwise(b).alias("y"))
+
+    start = F.struct(F.lit(0).cast("long").alias("d"), x.alias("x"), y.alias("y"))
+    halves = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.pow(F.lit(2.0), F.lit(bits - 1) - i).cast("long"))
+    return F.aggregate(halves, start, turn, lambda s: s["d"])
+
+
 def _checked(x: CoordArray, index: Sequence[str], grid: Sequence[int] | None, max_dim: Any, append: Any, along: Any, offset: Any, group_offset: Any) -> tuple[list[int], int | None]:
     shape = [len(d) for d in x.dims]
     if len(index) != len(shape) or len(set(index)) != len(index):
@@ -149,7 +168,7 @@ def write_coo(
     grid: the spacing of the partition grid in each dimension; one cell in all dimensions means
     no partitions. max_dim: extents to come, for the width of index columns. append: adds a slab
     along a dimension, whose places start after offset and whose groups start after group_offset.
-    cluster_by: sorts each file by these columns, or by "zorder"; else by the index, the first
+    cluster_by: sorts each file by these columns, by "zorder" or, for two dimensions, by "hilbert"; else by the index, the first
     dimension fastest. single: one file.
     """
     spark = x.spark
@@ -202,6 +221,8 @@ def write_coo(
             raise ValueError("the append would write into an existing partition")
     if cluster_by == "zorder":
         order = [morton([F.col(n) for n in index])]
+    elif cluster_by == "hilbert":
+        order = [hilbert([F.col(n) for n in index])]
     else:
         order = [F.col(n) for n in ([cluster_by] if isinstance(cluster_by, str) else cluster_by or list(reversed(index)))]
     if parted:
@@ -236,11 +257,14 @@ def from_numpy(spark: SparkSession, values: np.ndarray, index: Sequence[str]) ->
     if not hasattr(values, "shape") or values.ndim != len(index):
         raise ValueError("'x' must be array-like, with a name for every dimension")
     zero = "" if values.dtype.kind in "OU" else values.dtype.type(0)
-    at = np.argwhere(values != zero)
+    at = np.nonzero(values != zero)
     kind = {"b": T.BooleanType(), "i": T.LongType(), "u": T.LongType(), "f": T.DoubleType()}.get(values.dtype.kind, T.StringType())
     schema = T.StructType([*[T.StructField(n, T.LongType()) for n in index], T.StructField("value", kind)])
-    rows = [(*(int(i) + 1 for i in p), values[tuple(p)].item() if hasattr(values[tuple(p)], "item") else values[tuple(p)]) for p in at]
-    return CoordArray.from_coo(spark.createDataFrame(rows, schema), "value", {n: Dim(n, range(1, s + 1), T.LongType(), None, False) for n, s in zip(index, values.shape, strict=True)})
+    held = values[at]
+    held = held.astype({"b": bool, "i": np.int64, "u": np.int64, "f": np.float64}.get(values.dtype.kind, object))
+    table = pa.table([*(pa.array(i + 1) for i in at), pa.array(held)], names=[*index, "value"])
+    df = spark.createDataFrame(table, schema) if len(held) else spark.createDataFrame([], schema)
+    return CoordArray.from_coo(df, "value", {n: Dim(n, range(1, s + 1), T.LongType(), None, False) for n, s in zip(index, values.shape, strict=True)})
 
 
 def read_coo(spark: SparkSession, path: str, dim_tables: dict[str, Any] | None = None) -> CoordArray:
