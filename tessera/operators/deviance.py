@@ -18,41 +18,42 @@ FAMILIES = ("binomial", "poisson")
 def row_deviances(x, family: str = "binomial", name: str = "value") -> DataFrame:
     """The rows' keys and deviances; rows without cells have 0.
 
-    Column and row sums are aggregations of the same cells, joined back by key; the totals over
-    them are one-row aggregations, so nothing passes through the driver.
+    The logarithms of a cell's expected count split into parts of its row, its column and the
+    whole, so the cells meet their column's sum only, and one aggregation by row does the rest;
+    the totals are a scalar subquery. Nothing passes through the driver.
     """
     if family not in FAMILIES:
         raise ValueError(f"family must be one of {FAMILIES}")
     row, col = sides(x)
-    cells = x.rows("__v").select(row.name, col.name, N.number(F.col("__v")).alias("x")).where("x <> 0")
+    cells = x.rows("__v").select(row.name, col.name, N.number(F.col("__v")).alias("x")).where(F.col(row.name).isNotNull() & F.col(col.name).isNotNull() & (F.col("x") != 0))
     per_col = cells.groupBy(col.name).agg(F.sum("x").alias("n")).where("n <> 0")
-    part = lambda x, share: F.when((x > 0) & (share > 0), x * F.ln(x / F.when(share > 0, share))).otherwise(0.0)
+    x_, n = F.col("x"), F.col("n")
+    ln = lambda v: F.ln(F.when(v > 0, v))
+    term = lambda v: F.when((v > 0) & (n > 0), v * ln(v / n)).otherwise(0.0)
+    some = lambda v: F.when((v > 0) & (n > 0), v).otherwise(0.0)
+    joined = cells.join(small(per_col, len(col)), col.name)
     if family == "poisson":
-        mean = per_col.agg(F.avg(F.ln("n")).alias("m"))
-        sized = _with_one(per_col, mean).select(col.name, F.exp(F.ln("n") - F.col("m")).alias("sz"))
-        total = sized.agg(F.sum("sz").alias("all"))
-        each = cells.join(small(sized, len(col)), col.name).groupBy(row.name).agg(F.sum("x").alias("g"), F.sum(part(F.col("x"), F.col("sz"))).alias("s"))
-        out = _with_one(each, total).select(row.name, (2 * (F.col("s") - part(F.col("g"), F.col("all")))).alias("d"))
+        # sizes are exp(ln n - m), with m the mean of ln n over the columns
+        each = joined.groupBy(row.name).agg(F.sum("x").alias("g"), F.sum(term(x_)).alias("s"), F.sum(some(x_)).alias("w"))
+        mean = per_col.agg(F.struct(F.avg(ln(n)).alias("m"), F.sum("n").alias("t"))).scalar()
+        each = each.withColumn("of", mean)
+        g, all_ = F.col("g"), F.col("of.t") * F.exp(-F.col("of.m"))
+        null = F.when((g > 0) & (all_ > 0), g * ln(g / F.when(all_ > 0, all_))).otherwise(0.0)
+        out = each.select(row.name, (2 * (F.col("s") + F.col("w") * F.col("of.m") - null)).alias("d"))
     else:
-        per_row = cells.groupBy(row.name).agg(F.sum("x").alias("g"))
-        total = per_col.agg(F.sum("n").alias("t"))
-        x_, n, p = F.col("x"), F.col("n"), F.col("g") / F.col("t")
-        rates = _with_one(per_row, total)
-        joined = cells.join(small(per_col, len(col)), col.name).join(rates, row.name)
-        terms = part(x_, n * p) + part(n - x_, n * (1 - p))
-        each = joined.groupBy(row.name).agg(F.sum(terms).alias("s"), F.sum("n").alias("seen"), F.max("g").alias("g"), F.max("t").alias("t"))
+        left = n - x_
+        sums = {"g": F.sum("x"), "seen": F.sum("n"), "s": F.sum(term(x_)), "w": F.sum(some(x_)), "s_left": F.sum(term(left)), "w_left": F.sum(some(left))}
+        each = joined.groupBy(row.name).agg(*[v.alias(k) for k, v in sums.items()])
+        each = each.withColumn("t", per_col.agg(F.sum("n")).scalar()).withColumn("p", F.col("g") / F.col("t"))
+        p = F.col("p")
+        hit = F.when(p > 0, F.col("s") - F.col("w") * ln(p)).otherwise(0.0)
         # columns without a cell in the row each add n * ln(1 / (1 - p))
-        rest = F.when(p < 1, (F.col("t") - F.col("seen")) * F.ln(1 / (1 - F.when(p < 1, p)))).otherwise(0.0)
-        out = each.select(row.name, (2 * (F.col("s") + rest)).alias("d"))
+        miss = F.when(p < 1, F.col("s_left") - (F.col("w_left") + F.col("t") - F.col("seen")) * ln(1 - p)).otherwise(0.0)
+        out = each.select(row.name, (2 * (hit + miss)).alias("d"))
     levels = row.table(x.spark).select(row.name)
     return levels.join(out, row.name, "left").select(row.name, F.coalesce(F.when(~F.isnan("d"), F.col("d")), F.lit(0.0)).alias(name))
 
 
-def _with_one(df: DataFrame, one: DataFrame) -> DataFrame:
-    """df with the columns of a table of one row: an equi-join on a constant with a broadcast row."""
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
-
-
 def block_row_deviances(x, family: str = "binomial", spacing: int = 1000, name: str = "value", limit: int = 5_000_000) -> DataFrame:
     """The same, as sums over dense blocks of so many columns each, worked out on the executors.
 

@@ -226,5 +226,8 @@ def gram(x: CoordArray, contract: str = "row", strategy: str = "auto", limit: in
         raise ValueError(f"a self-join of about {pairs:.3g} pairs does not scale; raise {PAIR_CONF} or 'limit' to run it")
     one = cells.select(F.col(gone.name).alias("__k"), F.col(kept.name).alias(a), F.col("__x"))
     two = cells.select(F.col(gone.name).alias("__k"), F.col(kept.name).alias(b), F.col("__x").alias("__y"))
-    got = one.join(two, "__k").groupBy(a, b).agg(F.sum(F.col("__x") * F.col("__y")).alias("value"))
+    # half the pairs, as the product is symmetric; the other half is a copy
+    half = one.join(two, (one["__k"] == two["__k"]) & (F.col(a) <= F.col(b))).groupBy(a, b).agg(F.sum(F.col("__x") * F.col("__y")).alias("value"))
+    same, turned = F.struct(a, b, "value"), F.struct(F.col(b).alias(a), F.col(a).alias(b), "value")
+    got = half.select(F.inline(F.when(F.col(a) == F.col(b), F.array(same)).otherwise(F.array(same, turned))))
     return _made(got, replace(kept, name=a), replace(kept, name=b))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .matrix import CoordMatrix, gram, sides
 
 
@@ -15,12 +19,24 @@ def top_rows(x: CoordMatrix, n: int) -> list:
     return [r[row] for r in best.collect()]
 
 
+def stored(x: CoordMatrix) -> CoordMatrix:
+    """x with its cells written to the shared folder once and read from there: work that follows does not repeat what made them."""
+    cells, path = x.rows("value"), f"{shared_folder(x.spark)}/cells-{uuid.uuid4().hex}"
+    cells.write.option("compression", "zstd").parquet(path)
+    dims = tuple(replace(d, restricted=False) for d in x.dims)
+    return replace(x, df=x.spark.read.schema(cells.schema).parquet(path), dims=dims, value=F.col("value"), tables={})
+
+
 def normalize(x: CoordMatrix, n_top: int) -> CoordMatrix:
-    """Cells over their column's sum; the n_top rows of largest variance; log1p; over the row's deviation."""
-    scaled = x.sweep(1, x.col_sums(), "/")
-    places = scaled.dims[0].places
-    chosen = scaled.subset(sorted(places[k] for k in top_rows(scaled, n_top)), None, drop=False).math("log1p")
-    return chosen.sweep(0, chosen.row_sds(), "/")
+    """Cells over their column's sum; the n_top rows of largest variance; log1p; over the row's deviation.
+
+    The chosen rows' cells are written to the shared folder, as their deviations and the result both read them.
+    """
+    scaled = x.sweep(1, x.col_sums(complete=False), "/")
+    row = scaled.dims[0]
+    at = row.levels.index if isinstance(row.levels, range) else row.places.__getitem__
+    chosen = stored(scaled.subset(sorted(at(k) for k in top_rows(scaled, n_top)), None, drop=False).math("log1p"))
+    return chosen.sweep(0, chosen.row_sds(complete=False), "/")
 
 
 def pca(x: CoordMatrix, k: int = 25) -> tuple[np.ndarray, np.ndarray]:
