@@ -9,12 +9,15 @@ allow, so the programme runs at most about twice per length. Its input is a
 histogram of at most capacity rows; placing the pieces is a join.
 
 Null texts count as empty: one piece with the end id alone. Repeated rows are
-packed each for itself; empty tables give empty results.
+packed each for itself, whatever their ids (null ones too); texts of any length are
+cut, never shortened; empty tables give empty results. Only doc_id and text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,17 +27,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, small_batches, stored
+from .common import small_batches, stored
 
 CACHED = 800_000
 CACHED_CHARS = 48
+#: Fixed value: how the known form splits words.
+WORD_FORM = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def known_form(spec: dict) -> bool:
+    """Whether a tokenizer's settings let chunks between spaces be encoded alone, whatever their case, and a last full stop or comma apart."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    model = spec.get("model", {})
+    return (
+        [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
+        and split.get("pattern", {}).get("Regex") == WORD_FORM
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32 bit), each distinct chunk between spaces encoded once.
+    """Ids of texts as bytes (little-endian unsigned 32 bit).
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in turn.
+    A tokenizer of the known form (lower-cased words, marks and digits apart, word ends marked)
+    drops white space and never joins across it, so a text's ids are those of its chunks in
+    turn, and each distinct chunk is encoded once. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -44,9 +65,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = known_form(json.load(f))
         self.known: dict[str, bytes] = {"": b""}
-        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-
+        if not self.by_chunk:
+            return
         entries = self.tokenizer.get_vocab()
         self.final = np.zeros(max(entries.values()) + 1, bool)
         self.final[[i for t, i in entries.items() if t.endswith("</w>")]] = True
@@ -71,6 +94,9 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.by_chunk:
+            yield from self._encode_each([t or "" for t in texts])
+            return
         if len(self.known) > CACHED:
             self.known = {"": b""}
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]

@@ -8,7 +8,13 @@ counts as its bytes when the vocabulary has them, else as one.
 
 A piece can hold the word mark only at its front, so a text's count is the sum over
 its words; each distinct word is counted once per task while it stays in a bounded
-cache. Null and empty texts have 0 tokens.
+cache. Null and empty texts have 0 tokens. Repeated rows are counted each, empty tables
+give empty results, texts of any length are read whole, and only doc_id and text are
+read, so other columns may have any name.
+
+The vocabulary the query is given is of a BPE model, whose scores (minus the rank of a
+merge) are read as a unigram model's: the counts are those of a Unigram tokenizer with
+these pieces and scores, not of that BPE tokenizer.
 """
 
 from __future__ import annotations

@@ -23,6 +23,17 @@ def test_encoder_equals_the_tokenizer():
     assert list(encode(texts)) == want and list(encode(texts)) == want and list(encode([None, "word"]))[0] == b""
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["Two  words.", "", " Leading, and\nlines ", "ÄÖ x1 <|endoftext|>"]
+    encode = packing.Encoder(path)
+    assert packing.Encoder(PATH).by_chunk and not encode.by_chunk
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert list(encode([*texts, None])) == [*want, b""]
+
+
 def test_fullest_equals_brute_force():
     r = random.Random(3)
     for _ in range(200):
