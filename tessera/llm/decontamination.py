@@ -140,14 +140,14 @@ class Benchmark:
         hit = self.columns[at] == h
         return of[hit], at[hit]
 
-    def blocks(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Block and column of each column word, and the first block of each text and the end; blocks are half a window."""
+    def blocks(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Block and column of each column word, the first block of each text and the end, and the column words' places; blocks are half a window."""
         half = self.window // 2
         count = np.diff(w.first)
         base = np.concatenate([[0], np.cumsum(-(-count // half))])
         place, col = self._hits(h, np.arange(len(h)))
         doc = np.searchsorted(w.first, place, "right") - 1
-        return base[doc] + (place - w.first[doc]) // half, col, base
+        return base[doc] + (place - w.first[doc]) // half, col, base, place
 
 
 def _whole(block: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def _frequencies(bench: Benchmark):
         for batch in batches:
             for part in slices(batch):
                 w = Words(lowered(part.column(0)))
-                block, col, base = bench.blocks(w, word_hashes(w))
+                block, col, base, _ = bench.blocks(w, word_hashes(w))
                 counts += np.bincount(np.unique(_whole(block, base) * n + col) % n, minlength=n)
                 total += int((-(-np.diff(base) // 2)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([*range(n), -1], pa.int32()), pa.array([*counts, total], pa.int64())], names=["col", "n"])
@@ -192,7 +192,7 @@ def _sketch(bench: Benchmark, omega: np.ndarray):
         for batch in batches:
             for part in slices(batch):
                 w = Words(lowered(part.column(0)))
-                block, col, base = bench.blocks(w, word_hashes(w))
+                block, col, base, _ = bench.blocks(w, word_hashes(w))
                 _gram(_whole(block, base), col, idf, omega, total)
         used = np.flatnonzero(total.any(axis=1))
         bounds = np.arange(len(used) + 1, dtype=np.int32) * omega.shape[1]
@@ -273,6 +273,7 @@ class Finder:
         answers = np.array([len(a) > 0 for a in bench.answers], bool)
         self.least, self.least_wide = (np.where(n >= 8, s * n, n) - (n - different) for s in (np.where(answers, weak_share, share), wide_share))
         self.masks, self.answer_masks = ([self._masks(u) for u in of] for of in (bench.units, bench.answers))
+        self.col_masks = [self._masks(np.searchsorted(bench.columns, u)) for u in bench.units]
 
     @staticmethod
     def _masks(unit: np.ndarray) -> dict[int, int]:
@@ -281,18 +282,31 @@ class Finder:
             out[x] = out.get(x, 0) | 1 << i
         return out
 
-    def holds(self, words: list[int], wide: list[int], unit: int) -> float:
-        """The share of the unit that the words, or those of a wide stretch, cover in order, or 0 if that is too little."""
-        n, answer = len(self.bench.units[unit]), len(self.bench.answers[unit])
-        share = covered(words, self.masks[unit], n) / n
-        if share >= (self.share if n >= 8 else 1):
-            return share
-        if n >= 8 and answer and share >= self.weak_share and covered(words, self.answer_masks[unit], answer) >= self.answer_share * answer:
-            return share
-        if n >= 8 and (share := covered(wide, self.masks[unit], n) / n) >= self.wide_share:
-            return share
+    def holds(self, near: np.ndarray, wide: np.ndarray, words: np.ndarray, unit: int) -> float:
+        """The share of the unit that a passage covers in order, or 0 if that is too little.
+
+        near and wide: the columns of the words around it, and of those in a wide stretch; words: the hashes of the former's stretch.
+        """
+        n, answer, masks = len(self.bench.units[unit]), len(self.bench.answers[unit]), self.col_masks[unit]
+        least = self.share if n >= 8 else 1
+        # words of other units never lengthen a subsequence, and it is no longer than the words that are left
+        own = self._own(near, unit)
+        if len(own) / n >= (min(least, self.weak_share) if n >= 8 and answer else least):
+            share = covered(own.tolist(), masks, n) / n
+            if share >= least:
+                return share
+            if n >= 8 and answer and share >= self.weak_share and covered(words.tolist(), self.answer_masks[unit], answer) >= self.answer_share * answer:
+                return share
+        if n >= 8:
+            own = self._own(wide, unit)
+            if len(own) / n >= self.wide_share and (share := covered(own.tolist(), masks, n) / n) >= self.wide_share:
+                return share
         return 0.0
 
+    def _own(self, cols: np.ndarray, unit: int) -> np.ndarray:
+        """Those of the columns that the unit has."""
+        return cols[(self.unit_bits[unit][cols >> 6] >> (cols & 63).astype(np.uint64)) & np.uint64(1) == 1]
+
     def __call__(self, texts: pa.Array) -> list[tuple[int, int, float]]:
         """Text, unit and covered share of what is found."""
         bench = self.bench
@@ -314,7 +328,7 @@ class Finder:
     def _near_units(self, w: Words, h: np.ndarray) -> dict[tuple[int, int], float]:
         """Covered share by text and unit, of units that passages are near to."""
         bench, half = self.bench, self.bench.window // 2
-        block, col, base = bench.blocks(w, h)
+        block, col, base, place = bench.blocks(w, h)
         at, sums = _summed(block, self.basis[col])
         # a passage is a block and the next one of its text
         doc = np.searchsorted(base, at, "right") - 1
@@ -346,14 +360,16 @@ class Finder:
             # no subsequence is longer than what both have in common
             common = [np.bitwise_count(own[i + p] & self.unit_bits[unit]).sum(axis=1, dtype=np.int64) for own in around]
             use = (common[0] >= self.least[unit]) | (common[1] >= self.least_wide[unit])
-            for p_, u in zip((i + p[use]).tolist(), unit[use].tolist(), strict=True):
-                d = int(doc[p_])
+            spot, unit = i + p[use], unit[use]
+            start, end = w.first[doc[spot]], w.first[doc[spot] + 1]
+            first = start + (passage[spot] - base[doc[spot]]) * half
+            spans = [(np.maximum(start, first - k * half), np.minimum(end, first + (2 + k) * half)) for k in (1, 4)]
+            cuts = [np.searchsorted(place, x).tolist() for span in spans for x in span]
+            stretch = [x.tolist() for x in spans[0]]
+            for d, u, a, b, c, e, low_, high_ in zip(doc[spot].tolist(), unit.tolist(), *cuts, *stretch, strict=True):
                 if found.get((d, u), 0) == 1:
                     continue
-                start, end = int(w.first[d]), int(w.first[d + 1])
-                first = start + int(passage[p_] - base[d]) * half
-                near, wide = (h[max(start, first - k * half) : min(end, first + (2 + k) * half)].tolist() for k in (1, 4))
-                if share := self.holds(near, wide, u):
+                if share := self.holds(col[a:b], col[c:e], h[low_:high_], u):
                     found[d, u] = max(share, found.get((d, u), 0))
         return found
 
