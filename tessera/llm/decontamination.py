@@ -177,9 +177,9 @@ def _summed(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[at], np.add.reduceat(values, at, axis=0) if len(at) else values[:0]
 
 
-def _gram(row: np.ndarray, col: np.ndarray, idf: np.ndarray, omega: np.ndarray, into: np.ndarray) -> None:
-    """Adds A'(A omega) of TF-IDF rows; row ascending."""
-    _, y = _summed(row, omega[col] * idf[col, None])
+def _gram(row: np.ndarray, col: np.ndarray, idf: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
+    """Adds A'(A omega) of TF-IDF rows; row ascending. weighted: omega times the columns' idf."""
+    _, y = _summed(row, weighted[col])
     nth = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]])) if len(row) else row
     order = np.argsort(col, kind="stable")
     cols, sums = _summed(col[order], y[nth[order]])
@@ -189,11 +189,12 @@ def _gram(row: np.ndarray, col: np.ndarray, idf: np.ndarray, omega: np.ndarray,
 def _sketch(bench: Benchmark, omega: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, total = bench.idf.astype(np.float32), np.zeros(omega.shape, np.float32)
+        weighted = omega * idf[:, None]
         for batch in batches:
             for part in slices(batch):
                 w = Words(lowered(part.column(0)))
                 block, col, base, _ = bench.blocks(w, word_hashes(w))
-                _gram(_whole(block, base), col, idf, omega, total)
+                _gram(_whole(block, base), col, idf, weighted, total)
         used = np.flatnonzero(total.any(axis=1))
         bounds = np.arange(len(used) + 1, dtype=np.int32) * omega.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(total[used].ravel()))], names=["col", "v"])
@@ -247,7 +248,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int
     for r in parts.collect():  # one row for each column of the benchmark
         gram[r["col"]] = r["v"]
     own = np.zeros(omega.shape)
-    _gram(*bench.rows(), bench.idf, omega.astype(np.float64), own)
+    _gram(*bench.rows(), bench.idf, omega * bench.idf[:, None], own)
     weight = 10 * max(1.0, np.linalg.norm(gram)) / max(1e-9, np.linalg.norm(own))
     basis, _ = singular_vectors(gram + weight * own, omega.astype(np.float64))
     return bench, (basis * bench.idf[:, None]).astype(np.float32)
