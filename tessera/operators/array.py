@@ -50,6 +50,10 @@ class CoordArray:
     drop: bool = False
     tables: dict[str, tuple[str, dict[Any, int]]] = field(default_factory=dict)  # dimension -> (group column, key -> group)
 
+    def __post_init__(self) -> None:
+        if not self.dims:
+            raise ValueError("an array needs a dimension")
+
     # construction and metadata
 
     @classmethod
@@ -76,8 +80,6 @@ class CoordArray:
                 made.append(Dim(name, as_levels(list(levels.values())), kind, tuple(map(str, levels))))
             else:
                 made.append(Dim(name, as_levels(levels), kind))
-        if not made:
-            raise ValueError("an array needs a dimension")
         if type is not None:
             value = value.cast(cls._cast(type))
         out = cls(df, tuple(made), value, F.lit(None))

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.queries import QUERIES, SQL
+from tessera.object_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
