@@ -158,13 +158,14 @@ class Words:
     """The words [^\\x20\\x09-\\x0D]+ of texts, A-Z lower-cased: hash, byte range and text of each.
 
     hashes, starts, ends: one per word; first: the index of each text's first word, and the end.
+    space: which of the 256 bytes part words, where others than these do.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, space: np.ndarray = _SPACE):
         b = Bytes(texts)
         self.data, self.offs = data, offs = b.data, b.offs
         n = len(data)
-        inner = ~_SPACE[data]
+        inner = ~space[data]
         begins = inner.copy()
         begins[1:] &= ~inner[:-1]
         stops = inner.copy()

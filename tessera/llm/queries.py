@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, html_text, ngram_join, packing, pii, repeats, sharding, token_counts, toxicity
+from . import ann, decontamination, html_text, lexical, ngram_join, packing, pii, repeats, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -56,7 +56,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op7_repeats, op8_packing, op9_ann, op10_token_counts)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op7_repeats, op8_packing, op9_ann, op10_token_counts, op12_lexical_search)}
 SQL: dict[str, str] = {
     "op3_ngram_join": r"""
         WITH RECURSIVE w AS (
@@ -74,4 +78,28 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY 1) m ON m.x = d.doc_id
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, ws, len(ws) AS n
+            FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents)
+            WHERE len(ws) > 0
+        ), c AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark
+        ), p AS (
+            SELECT doc_id, n, term, count(*) AS tf
+            FROM (SELECT doc_id, n, unnest(ws) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), c
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY 1, 2
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        WHERE rank <= 10
+    """,
 }
