@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, html_text, lexical, ngram_join, packing, pii, repeats, sharding, token_counts, toxicity
+from . import ann, conversations, decontamination, forest, html_text, lexical, ngram_join, packing, pii, repeats, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -56,11 +56,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.repair(conversations.damaged(rows)), rows.select("conv_id"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op7_repeats, op8_packing, op9_ann, op10_token_counts, op12_lexical_search)}
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_ngram_join, op4_sharding, op5_toxicity, op6_html_text, op7_repeats, op8_packing, op9_ann, op10_token_counts, op11_conversations, op12_lexical_search, op13_near_vectors)}
 SQL: dict[str, str] = {
     "op3_ngram_join": r"""
         WITH RECURSIVE w AS (
@@ -78,6 +87,57 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY 1) m ON m.x = d.doc_id
     """,
+    "op11_conversations": r"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                    lambda h, b: list_reduce([xor(h, b)] || range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 20 AS fault
+            FROM conversations
+        ), d AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM c WHERE fault <> 0
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM d),
+        p AS (
+            SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS bl,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+            FROM o
+        ), r AS (
+            SELECT *, CASE WHEN NOT bl AND again THEN 1 ELSE 0 END AS dup, bl OR again AS gone, CASE WHEN cut AND NOT bl AND NOT again THEN 1 ELSE 0 END AS tr
+            FROM p
+        ), n AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CASE WHEN bl THEN 1 ELSE 0 END) AS blank, sum(dup) AS duplicate, sum(tr) AS truncated,
+                sum(CASE WHEN before || ini NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal, max(pos) AS last
+            FROM r GROUP BY 1
+        ), ins(s, k, t, lines) AS (VALUES (0, 0, 0, ''), (1, 0, 1, ''), (2, 0, 2, ''), (3, 0, 3, ''),
+            (0, 1, 2, 'user:' || chr(10)), (1, 1, 2, 'user:' || chr(10)), (2, 1, 3, 'assistant:' || chr(10)), (3, 1, 2, 'user:' || chr(10)),
+            (0, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
+            (2, 2, 2, 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10))
+        ), keep(ini, s, t) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+        dp AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS state, {'cost': 0, 'audit': '', 'body': ''} AS b FROM conversations
+            UNION ALL
+            SELECT conv_id, pos, state, min({'cost': cost, 'audit': audit, 'body': body}) FROM (
+                SELECT dp.conv_id, r.pos, e.state, CAST(dp.b.cost + 3 * i.k + e.cost AS INTEGER) AS cost, dp.b.audit || repeat('I', i.k) || e.edit AS audit, dp.b.body || i.lines || e.line AS body
+                FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos + 1 JOIN ins i ON i.s = dp.state,
+                LATERAL (
+                    SELECT 'D' AS edit, i.t AS state, 4 AS cost, '' AS line
+                    UNION ALL SELECT 'K', k.t, 3 * r.tr, r.role || ':' || r.text || chr(10) FROM keep k WHERE NOT r.gone AND k.ini = r.ini AND k.s = i.t
+                    UNION ALL SELECT 'R', CASE WHEN i.t = 2 THEN 3 ELSE 2 END, 3 + 3 * r.tr, CASE WHEN i.t = 2 THEN 'assistant:' ELSE 'user:' END || r.text || chr(10) WHERE NOT r.gone
+                ) e
+            ) GROUP BY 1, 2, 3
+        ), f AS (
+            SELECT dp.conv_id, min({'cost': dp.b.cost + 3 * t.k, 'audit': dp.b.audit || repeat('I', t.k), 'body': dp.b.body || t.lines}) AS b
+            FROM dp LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id
+            JOIN (VALUES (0, 0, ''), (3, 0, ''), (2, 1, 'assistant:' || chr(10)), (1, 2, 'user:' || chr(10) || 'assistant:' || chr(10))) t(s, k, lines) ON t.s = dp.state
+            WHERE dp.pos = coalesce(n.last, 0) GROUP BY 1
+        )
+        SELECT f.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+            CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(left(b.body, greatest(length(b.body) - 1, 0))) AS repaired_sha256
+        FROM f LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM f.conv_id
+    """,
     "op12_lexical_search": r"""
         WITH d AS (
             SELECT doc_id, ws, len(ws) AS n
@@ -102,4 +162,16 @@ SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
         WHERE rank <= 10
     """,
+    "op13_near_vectors": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+        ), r AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x),
+        n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+        FROM embeddings e JOIN (SELECT x, min(c) AS c FROM r GROUP BY 1) m ON m.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+    """,
 }
