@@ -179,9 +179,18 @@ class CoordArray:
         return self._mapped(change)
 
     def as_matrix(self) -> CoordArray:
+        """The array as a matrix. Of more than two dimensions at most two may have another extent than 1; the others' cells are chosen and their keys dropped."""
         from .matrix import CoordMatrix
 
-        return CoordMatrix(self.df, self.dims, self.value, self.fill, self.drop, self.tables)
+        if len(self.dims) <= 2:
+            return CoordMatrix(self.df, self.dims, self.value, self.fill, self.drop, self.tables)
+        kept = [d for d in self.dims if len(d) != 1]
+        if len(kept) > 2:
+            raise ValueError("a matrix needs two key columns: choose one level of the other dimensions")
+        kept += [d for d in self.dims if len(d) == 1][: 2 - len(kept)]
+        kept = [d for d in self.dims if any(d is k for k in kept)]
+        cells = self.rows("__value").select(*[d.name for d in kept], "__value")
+        return CoordMatrix(cells, tuple(replace(d, restricted=False) for d in kept), F.col("__value"), self.fill, self.drop, {})
 
     # order and subsets
 
@@ -193,9 +202,23 @@ class CoordArray:
 
     @property
     def T(self) -> CoordArray:
-        if len(self.dims) != 2:
+        if len(self.dims) == 2:
+            return self.aperm((1, 0))
+        if len(self.shown) != 2:
             raise ValueError("only arrays of two dimensions can be transposed")
-        return self.aperm((1, 0))
+        return self.as_matrix().aperm((1, 0))
+
+    def __matmul__(self, other: Any):
+        from .matrix import matmul
+
+        return matmul(self, other)
+
+    def __rmatmul__(self, other: Any):
+        from .matrix import matmul
+
+        return matmul(other, self)
+
+    __array_ufunc__ = None  # numpy arrays leave @ to __rmatmul__
 
     def __getitem__(self, index: Any) -> CoordArray:
         """Cells by place from 0 (numbers, slices, logicals) or by label, in the order asked for."""

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import replace
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric as N
 from ..plans.dims import Dim, small
+from . import tiles
 from .array import CoordArray
 
 #: Estimated pairs of a self-join above which a Gram product needs a dense side or an override.
 GRAM_PAIRS = 500_000_000
 PAIR_CONF = "spark.tessera.gramPairLimit"
-#: The largest side that the blocked Gram product holds as dense rows.
-BLOCKED_SIDE = 4096
-BLOCK_CELLS = 4_000_000
 
 
 class CoordMatrix(CoordArray):
@@ -31,14 +27,6 @@ class CoordMatrix(CoordArray):
         if len(self.dims) != 2:
             raise ValueError("a matrix needs two key columns")
 
-    def __matmul__(self, other: Any):
-        return matmul(self, other)
-
-    def __rmatmul__(self, other: Any):
-        return matmul(other, self)
-
-    __array_ufunc__ = None  # numpy arrays leave @ to __rmatmul__
-
 
 def sides(x: CoordArray) -> tuple[Dim, Dim]:
     dims = x.dims if len(x.dims) == 2 else tuple(d for d in x.dims if len(d) > 1)
@@ -101,6 +89,42 @@ def _from_dense(x: CoordArray, y: np.ndarray, shared: Dim, other: str, transpose
     return CoordMatrix(df, (shared, Dim(other, range(1, y.shape[1] + 1))), F.col("value"), F.lit(0.0))
 
 
+def _placed(cells: DataFrame, d: Dim, key: str, place: str) -> DataFrame:
+    """cells with a key's place in its dimension instead of the key."""
+    at = d.place_of(F.col(key))
+    if at is not None:
+        return cells.withColumn(place, at).drop(key)
+    return cells.join(small(d.table(cells.sparkSession, place).withColumnRenamed(d.name, key), len(d)), key).drop(key)
+
+
+def _keyed(cells: DataFrame, d: Dim, place: str, key: str) -> DataFrame:
+    """The reverse of _placed()."""
+    if isinstance(d.levels, range):
+        return cells.withColumn(key, (F.col(place) + d.levels.start).cast(d.type)).drop(place)
+    return cells.join(small(d.table(cells.sparkSession, place).withColumnRenamed(d.name, key), len(d)), place).drop(place)
+
+
+def _tiled(a: CoordArray, b: CoordArray | None, row: Dim, gone: Dim, col: Dim, names: tuple[str, str], side: int) -> CoordMatrix:
+    """A product by tiles; b None: of a (rows by contracted keys) and its transpose."""
+    left = _placed(_placed(_cells(a, "p_", "k_", "v"), row, "p_", "p"), gone, "k_", "k").select("k", "p", "v")
+    right = None
+    if b is not None:
+        other, _ = sides(b)
+        right = _placed(_placed(_cells(b, "k_", "p_", "v"), col, "p_", "p"), other, "k_", "k").select("k", "p", "v")
+    cells = tiles.opened(tiles.product(left, right, (len(row), len(col)), side))
+    cells = _keyed(_keyed(cells, row, "a", names[0]), col, "b", names[1])
+    return _made(cells.select(*names, "value"), replace(row, name=names[0]), replace(col, name=names[1]))
+
+
+def tiled_matmul(a: CoordArray, b: CoordArray, side: int = tiles.SIDE) -> CoordMatrix:
+    """a %*% b by tiles: for results of which most cells are filled, as it makes no row a pair of cells."""
+    (ra, ca), (rb, cb) = sides(a), sides(b)
+    if len(ca) != len(rb):
+        raise ValueError("non-conformable arguments")
+    names = (ra.name, cb.name) if ra.name != cb.name else (ra.name + "_a", cb.name + "_b")
+    return _tiled(a, b, ra, ca, cb, names, side)
+
+
 def _product(a: CoordArray, b: CoordArray) -> CoordMatrix:
     """Rows of a by columns of b, whose rows are a's columns by place."""
     (ra, ca), (rb, cb) = sides(a), sides(b)
@@ -161,42 +185,15 @@ def outer(x: Any, y: CoordArray) -> CoordMatrix:
     return _made(got, Dim("__row__", range(1, len(x) + 1)), row)
 
 
-def _partial_gram(places: int):
-    """Sums of products of local rows; the contracted keys of a partition come together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((places, places))
-        rows: list[np.ndarray] = []
-        per = max(1, BLOCK_CELLS // places)
-
-        def add(key: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
-            keys, row = np.unique(key, return_inverse=True)
-            for first in range(0, len(keys), per):
-                use = (row >= first) & (row < first + per)
-                dense = np.zeros((min(per, len(keys) - first), places))
-                np.add.at(dense, (row[use] - first, at[use]), value[use])
-                total[:] += dense.T @ dense
-
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for batch in batches:
-            held = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
-            add(*[h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-        add(*held)
-        rows = np.argwhere(total != 0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(total[tuple(rows.T)])], names=["a", "b", "v"])
-
-    return run
-
-
-def gram(x: CoordArray, contract: str = "row", strategy: str = "auto", limit: int | None = None) -> CoordMatrix:
+def gram(x: CoordArray, contract: str = "row", strategy: str = "auto", limit: int | None = None, side: int = tiles.SIDE) -> CoordMatrix:
     """t(x) %*% x (contracting rows) or x %*% t(x) (contracting columns), keyed <name>_a and <name>_b.
 
-    strategy "blocked" adds up dense outer products in each task, for kept sides of at most
-    BLOCKED_SIDE levels; "join" joins the cells with themselves; "auto" prefers the first where
-    the join would make more pairs. Joins estimated above the limit are refused.
+    strategy "tiled" (also called "blocked") multiplies tile by tile, for kept sides of any length; "join" joins
+    the cells with themselves; "auto" prefers the first where the join would make many pairs for each cell of a tile.
+    Joins estimated above the limit are refused.
     """
+    if strategy not in ("auto", "join", "tiled", "blocked"):
+        raise ValueError("'strategy' must be auto, join, tiled or blocked")
     row, col = sides(x)
     kept, gone = (col, row) if contract == "row" else (row, col)
     cells = _cells(x, row.name, col.name, "__x")
@@ -204,23 +201,9 @@ def gram(x: CoordArray, contract: str = "row", strategy: str = "auto", limit: in
     # What the join makes: the squares of the contracted keys' numbers of cells, so that a hot key counts.
     squares = F.coalesce(F.sum(F.col("count").cast("double") * F.col("count")), F.lit(0.0))
     pairs = cells.groupBy(gone.name).count().agg(squares).first()[0] if strategy in ("auto", "join") else 0.0
-    if strategy == "blocked" or (strategy == "auto" and len(kept) <= BLOCKED_SIDE and pairs > 4 * len(kept) ** 2):
-        if len(kept) > BLOCKED_SIDE:
-            raise ValueError(f"the blocked product needs a side of at most {BLOCKED_SIDE} levels")
-        place = kept.place_of(F.col(kept.name))
-        if place is None:
-            cells = cells.join(small(kept.table(x.spark), len(kept)), kept.name)
-            place = F.col("__place")
-        local = cells.select(F.xxhash64(gone.name).alias("g"), place.alias("p"), "__x").repartition("g").sortWithinPartitions("g")
-        sums = local.mapInArrow(_partial_gram(len(kept)), "a long, b long, v double").groupBy("a", "b").agg(F.sum("v").alias("value"))
-        if isinstance(kept.levels, range):
-            keyed = [(F.col(c) + kept.levels.start).cast(kept.type).alias(n) for c, n in (("a", a), ("b", b))]
-            return _made(sums.select(*keyed, "value"), replace(kept, name=a), replace(kept, name=b))
-        table = kept.table(x.spark)
-        for c, n in (("a", a), ("b", b)):
-            names = table.select(F.col(kept.name).alias(n), F.col("__place").alias(c))
-            sums = sums.join(small(names, len(kept)), c)
-        return _made(sums.select(a, b, "value"), replace(kept, name=a), replace(kept, name=b))
+    if strategy in ("tiled", "blocked") or (strategy == "auto" and pairs > 4 * min(len(kept), side) ** 2):
+        by_kept = x if contract == "col" else x.T
+        return _tiled(by_kept, None, kept, gone, kept, (a, b), side)
     limit = int(x.spark.conf.get(PAIR_CONF, str(GRAM_PAIRS))) if limit is None else limit
     if pairs > limit:
         raise ValueError(f"a self-join of about {pairs:.3g} pairs does not scale; raise {PAIR_CONF} or 'limit' to run it")
