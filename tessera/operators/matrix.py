@@ -94,14 +94,16 @@ def _placed(cells: DataFrame, d: Dim, key: str, place: str) -> DataFrame:
     at = d.place_of(F.col(key))
     if at is not None:
         return cells.withColumn(place, at).drop(key)
-    return cells.join(small(d.table(cells.sparkSession, place).withColumnRenamed(d.name, key), len(d)), key).drop(key)
+    table = d.table(cells.sparkSession).select(F.col(d.name).alias(key), F.col("__place").alias(place))
+    return cells.join(small(table, len(d)), key).drop(key)
 
 
 def _keyed(cells: DataFrame, d: Dim, place: str, key: str) -> DataFrame:
     """The reverse of _placed()."""
     if isinstance(d.levels, range):
         return cells.withColumn(key, (F.col(place) + d.levels.start).cast(d.type)).drop(place)
-    return cells.join(small(d.table(cells.sparkSession, place).withColumnRenamed(d.name, key), len(d)), place).drop(place)
+    table = d.table(cells.sparkSession).select(F.col(d.name).alias(key), F.col("__place").alias(place))
+    return cells.join(small(table, len(d)), place).drop(place)
 
 
 def _tiled(a: CoordArray, b: CoordArray | None, row: Dim, gone: Dim, col: Dim, names: tuple[str, str], side: int) -> CoordMatrix:

@@ -6,10 +6,15 @@ import uuid
 from dataclasses import replace
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .matrix import CoordMatrix, gram, sides
+from .svd import svd
+
+#: Up to so many rows a square of them is decomposed on the driver.
+SQUARE_ROWS = 1024
 
 
 def top_rows(x: CoordMatrix, n: int) -> list:
@@ -19,12 +24,17 @@ def top_rows(x: CoordMatrix, n: int) -> list:
     return [r[row] for r in best.collect()]
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(x: CoordMatrix) -> CoordMatrix:
     """x with its cells written to the shared folder once and read from there: work that follows does not repeat what made them."""
-    cells, path = x.rows("value"), f"{shared_folder(x.spark)}/cells-{uuid.uuid4().hex}"
-    cells.write.option("compression", "zstd").parquet(path)
     dims = tuple(replace(d, restricted=False) for d in x.dims)
-    return replace(x, df=x.spark.read.schema(cells.schema).parquet(path), dims=dims, value=F.col("value"), tables={})
+    return replace(x, df=stored_table(x.rows("value"), "cells"), dims=dims, value=F.col("value"), tables={})
 
 
 def normalize(x: CoordMatrix, n_top: int) -> CoordMatrix:
@@ -39,18 +49,19 @@ def normalize(x: CoordMatrix, n_top: int) -> CoordMatrix:
     return chosen.sweep(0, chosen.row_sds(complete=False), "/")
 
 
-def pca(x: CoordMatrix, k: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def pca(x: CoordMatrix, k: int = 25, square_rows: int = SQUARE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Standard deviations and loadings (rows of x by k) of the columns' principal components.
 
-    The rows' covariances come from one Gram product and the row means; what is decomposed on
-    the driver is a square of the number of rows, so choose rows first.
+    Of few rows the covariances come from one Gram product and the row means, and are decomposed on
+    the driver; of more than square_rows, svd() finds them without a square.
     """
     row, col = sides(x)
-    if len(row) > 4096:
-        raise ValueError("choose at most 4096 rows first")
-    n, places = len(col), row.places
-    product = np.zeros((len(row), len(row)))
-    table = gram(x, "col", strategy="blocked").rows().toPandas()
+    n = len(col)
+    if len(row) > square_rows:
+        found = svd(x, k)
+        return found.d / np.sqrt(max(1, n - 1)), found.u
+    product, places = np.zeros((len(row), len(row))), row.places
+    table = gram(x, "col", strategy="tiled").rows().toPandas()
     product[[places[a] for a in table.iloc[:, 0]], [places[b] for b in table.iloc[:, 1]]] = table["value"]
     means = np.zeros(len(row))
     for r in x.row_means(complete=False).collect():

@@ -14,6 +14,7 @@ from .operators.array import CoordArray
 from .operators.deviance import block_row_deviances, dense_row_deviances, row_deviances, sparse_row_deviances
 from .operators.margins import summary_df
 from .operators.realize import apply_blocks, placed, to_csc, to_numpy
+from .operators.svd import svd
 from .operators.workflows import normalize, pca
 from .plans.dims import Dim, dim_tables
 from .session import shared_folder
@@ -239,6 +240,12 @@ add("crossprod_self", lambda s, d: rounded(M.crossprod(ps(s, d), strategy="join"
 add("blocked_gram", lambda s, d: rounded(M.gram(ps(s, d), "row", "blocked").rows()), _GRAM)
 add("tcrossprod_self", lambda s, d: rounded(M.tcrossprod(ev2(s, d), strategy="join").rows()), f"WITH {EV} SELECT a.u AS u_a, b.u AS u_b, CAST(sum(a.v * b.v) AS DOUBLE) AS value FROM x a JOIN x b USING (e) GROUP BY 1, 2")
 add("tcrossprod_whole", lambda s, d: rounded(M.tcrossprod(ps(s, d).T, strategy="join").rows()), _GRAM)
+add("gram_tiles", lambda s, d: rounded(M.gram(ps(s, d), "row", "tiled", side=24).rows()), _GRAM)
+add("matmat_tiles", lambda s, d: rounded(M.tiled_matmul((x := ps(s, d)).T, x, side=24).rows()), f"WITH {X} SELECT a.c AS c_a, b.c AS c_b, sum(a.v * b.v) AS value FROM x a JOIN x b USING (r) GROUP BY 1, 2")
+add("gram_wide", lambda s, d: rounded(M.gram(ps(s, d), "col", "tiled", side=512).row_sums()), f"WITH {X}, t AS (SELECT c, sum(v) AS t FROM x GROUP BY 1), g AS (SELECT r, sum(v * t) AS g FROM x JOIN t USING (c) GROUP BY 1) SELECT p_partkey AS r_a, CAST(coalesce(g, 0) AS DOUBLE) AS value FROM part LEFT JOIN g ON r = p_partkey")
+add("slice_matvec", lambda s, d: rounded((ord3(s, d)[:, 1, :] @ [1.0, 2.0, 4.0]).rows()), f"WITH {ORD} SELECT k, CAST(1 AS BIGINT) AS __col__, CAST(sum(v * CASE s WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END) AS DOUBLE) AS value FROM x WHERE p = '2-HIGH' GROUP BY 1")
+add("slice_gram", lambda s, d: rounded(M.crossprod(ord3(s, d)[:, :, "P"].as_matrix()).rows()), f"WITH {ORD}, q AS (SELECT k, p, v FROM x WHERE s = 'P') SELECT a.p AS p_a, b.p AS p_b, CAST(sum(a.v * b.v) AS DOUBLE) AS value FROM q a JOIN q b USING (k) GROUP BY 1, 2")
+add("slice_transposed", lambda s, d: rounded(ord3(s, d)[:, "5-LOW", :].T.row_sums()), f"WITH {ORD}, st AS ({STATUSES}) SELECT st.s, CAST(coalesce(sum(v), 0) AS DOUBLE) AS value FROM st LEFT JOIN x ON x.s = st.s AND p = '5-LOW' GROUP BY 1")
 add("crossprod_vec", lambda s, d: rounded(M.crossprod((x := ps(s, d)), _weights(x, 0)).rows()), f"WITH {X} SELECT CAST(1 AS BIGINT) AS __row__, c, sum(v * (r % 7 + 1)) AS value FROM x GROUP BY 2")
 add("tcrossprod_vec", lambda s, d: rounded(M.tcrossprod((x := ps(s, d)), _weights(x, 1)).rows()), f"WITH {X} SELECT r, CAST(1 AS BIGINT) AS __col__, sum(v * (c % 7 + 1)) AS value FROM x GROUP BY 1")
 add("outer", lambda s, d: rounded(M.tcrossprod([1.0, 2.0, 3.0], ps(s, d).subset(None, [0], drop=False)).rows()), f"WITH {X} SELECT CAST(i AS BIGINT) AS __row__, r, v * i AS value FROM x CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) WHERE c = (SELECT min(s_suppkey) FROM supplier)")
@@ -414,3 +421,27 @@ def _pca(s: SparkSession, d: str) -> DataFrame:
 
 
 add("pca", _pca)
+
+
+def _svd_moments(s: SparkSession, d: str) -> DataFrame:
+    """Total variance of line numbers by order, and how it is spread over components, from singular values of a matrix with a row an order."""
+    cells = _t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).agg(F.sum("l_quantity").alias("v"))
+    orders, lines = _keys(_t(s, d, "orders"), "o_orderkey"), _keys(_t(s, d, "lineitem"), "l_linenumber")
+    x = CoordArray.from_coo(cells, "v", {"o": Dim("o", orders, cells.schema["o"].dataType, None, False), "l": Dim("l", lines, cells.schema["l"].dataType, None, False)})
+    found = svd(x, len(lines))
+    values = (found.d**2 / (len(lines) - 1)).tolist()
+    # each component's scores have its variance, so the table of them has the total
+    total = found.scores().agg((F.sum(F.col("value") * F.col("value")) / (len(lines) - 1)).alias("total"))
+    return rounded(total.select("total", F.lit(sum(v * v for v in values) / max(sum(values), 1e-300) ** 2).alias("spread")), "total", "spread", digits=2)
+
+
+add(
+    "svd_moments",
+    _svd_moments,
+    """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS l, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2),
+    n AS (SELECT max(l_linenumber) - min(l_linenumber) + 1 AS n, min(l_linenumber) AS lo FROM lineitem),
+    m AS (SELECT o, sum(v) / any_value(n) AS m FROM x, n GROUP BY 1), k AS (SELECT unnest(range(n)) + lo AS l FROM n), q AS (SELECT sum(m * m) AS q FROM m),
+    c AS (SELECT l, sum(v * m) AS c FROM x JOIN m USING (o) GROUP BY 1), p AS (SELECT a.l AS a, b.l AS b, sum(a.v * b.v) AS p FROM x a JOIN x b USING (o) GROUP BY 1, 2),
+    g AS (SELECT a.l AS a, b.l AS b, coalesce(p, 0) - coalesce(ca.c, 0) - coalesce(cb.c, 0) + q AS g FROM k a CROSS JOIN k b LEFT JOIN p ON p.a = a.l AND p.b = b.l LEFT JOIN c ca ON ca.l = a.l LEFT JOIN c cb ON cb.l = b.l, q)
+    SELECT round(sum(g) FILTER (WHERE a = b) / any_value(n - 1), 2) + 0.0 AS total, round(sum(g * g) / greatest(power(sum(g) FILTER (WHERE a = b), 2), 1e-300), 2) + 0.0 AS spread FROM g, n""",
+)
