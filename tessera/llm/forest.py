@@ -253,14 +253,14 @@ def _routed(dim: int, cuts, margin: float):
 
 
 def _grown(leaf_rows: int, margin: float):
-    """Cuts of a leaf from a sample of its rows; a leaf that cannot be parted gives one without threshold."""
+    """Cuts of a leaf from a sample of its rows; a leaf that cannot be parted says so."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         leaf, count = int(pdf["leaf"].iloc[0]), float(pdf["count"].iloc[0])
         cuts = grow(_unit(np.array(pdf["v"].tolist(), np.float64)), leaf, count, leaf_rows, margin)
         if not any(math.isfinite(c) for _, c in cuts):
-            cuts = [(leaf, math.nan)]
-        return pd.DataFrame(cuts, columns=["code", "cut"])
+            return pd.DataFrame({"code": [leaf], "cut": [0.0], "stuck": [True]})
+        return pd.DataFrame(cuts, columns=["code", "cut"]).assign(stuck=False)
 
     return run
 
@@ -298,9 +298,10 @@ def _forest(nodes: DataFrame, dim: int, n: int, threshold: float, trees: int, le
         large = spark.createDataFrame([(r["leaf"], r["count"]) for r in heavy], "leaf long, count long")
         rows = placed.select("node", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(large), "leaf")
         rows = rows.where(F.pmod(F.xxhash64("node", "leaf"), F.col("count")) < LEAF_SAMPLE)
-        made = rows.groupBy("leaf").applyInPandas(_grown(leaf_rows, margin), "code long, cut double").collect()
-        cuts = [(r["code"], r["cut"]) for r in made if r["cut"] == r["cut"]]
-        stuck += [r["code"] for r in made if r["cut"] != r["cut"]] + [r["leaf"] for r in heavy if not made]
+        made = rows.groupBy("leaf").applyInPandas(_grown(leaf_rows, margin), "code long, cut double, stuck boolean").collect()
+        cuts = [(r["code"], r["cut"]) for r in made if not r["stuck"]]
+        told = {r["code"] for r in made}
+        stuck += [r["code"] for r in made if r["stuck"]] + [r["leaf"] for r in heavy if r["leaf"] not in told]
 
     blocks = F.ceil(F.col("count") / leaf_rows).cast("int")
     many = sizes.select("leaf", blocks.alias("blocks"))

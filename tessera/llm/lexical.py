@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, dropped, fresh, lists, slices, small_batches, stored
+from .common import Words, dropped, lists, slices, small_batches, stored
 
 #: What parts terms, as a pattern and as a table of bytes.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -303,8 +303,7 @@ def _searched(docs: DataFrame, part: dict[str, list], k: int, id_col: str, text_
     dropped(tiers)
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    item_schema = T.StructType([T.StructField("item", T.IntegerType()), T.StructField(item_col, T._parse_datatype_string(schema)[item_col].dataType)])
-    label = fresh(ranked, item_col)
-    ids = spark.createDataFrame(list(enumerate(names.values())), item_schema).withColumnRenamed(item_col, label)
+    item_type = T._parse_datatype_string(schema)[item_col].dataType
+    ids = spark.createDataFrame(list(enumerate(names.values())), T.StructType([T.StructField("item", T.IntegerType()), T.StructField("label", item_type)]))
     out = ranked.join(F.broadcast(ids), "item")
-    return out.select(F.col(label).alias(item_col), "rank", F.col("id").alias(id_col), "score")
+    return out.select(F.col("label").alias(item_col), "rank", F.col("id").alias(id_col), "score")
