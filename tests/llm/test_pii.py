@@ -87,7 +87,7 @@ def test_each_kind_is_found_and_replaced_in_shape(spark):
     assert [got[i]["text"] for i in range(len(CLEAN))] == CLEAN
 
 
-def feistel(text, key, tag):
+def feistel(text, key, tag, alphabets=pii.ALPHABETS):
     """The permutation of pii, written out by hand."""
     import hashlib
 
@@ -96,7 +96,7 @@ def feistel(text, key, tag):
         rest = "".join(c for i, c in enumerate(chars) if (i + r) % 2).lower()
         for i in range(len(chars)):
             if (i + r) % 2 == 0:
-                alphabet = next((a for a in pii.ALPHABETS if chars[i] in a), None)
+                alphabet = next((a for a in alphabets if chars[i] in a), None)
                 if alphabet:
                     k = int(hashlib.sha256("|".join([key, tag, str(r), str(i), rest]).encode()).hexdigest()[:7], 16)
                     chars[i] = alphabet[(alphabet.index(chars[i]) + k) % len(alphabet)]
@@ -108,7 +108,7 @@ def test_permutation_equals_one_by_hand(spark):
     got = run(spark, rows)
     s = feistel("123456789", "k", "ssn")
     assert got[1]["text"] == "ssn {0}-{1}-{2}, again {0}-{1}-{2}".format(s[:3], s[3:5], s[5:])
-    assert got[2]["text"] == "Dr. " + feistel("Quill", "k", "name")
+    assert got[2]["text"] == "Dr. " + feistel("Quill", "k", "name", pii.NAME_ALPHABETS)
 
 
 def test_long_texts_repeated_rows_and_clashing_names(spark):
@@ -122,3 +122,78 @@ def test_long_texts_repeated_rows_and_clashing_names(spark):
 def test_key_of_the_session(spark):
     key = pii.session_key(spark)
     assert pii.session_key(spark) == key and len(key) == 32
+
+
+def listed():
+    return {n.lower() for some in pii.NAMES.values() for n in some}
+
+
+def test_unlisted_names_never_become_listed_ones(spark):
+    """A permutation that would meet a listed name is applied again: distinct names stay distinct, and nothing is given up."""
+    got = run(spark, [(1, "Mr Wqpl came."), (2, "Mr Christopher came."), (3, "Mr John came.")])
+    words = [got[i]["text"].split()[1] for i in (1, 2, 3)]
+    assert len(set(words)) == 3 and words[0].lower() not in listed() and words[1] in pii.NAMES["male latin"]
+    # all names of a shape, with a list of which one in ten is: the image is the shape again
+    shape = [a + b + c for a in "AEIOU" for b in "bcdfghjklmnpqrstvwxyz" for c in "aeiou"]
+    names = {"some": tuple(shape[::10])}
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(n,) for n in shape], "n string").select("n", pii.name_part(F.col("n"), "k", names).alias("s"))
+    rows = df.collect()
+    assert sorted(r.s for r in rows) == sorted(shape)
+    assert {r.s for r in rows if r.n in names["some"]} == set(names["some"]) and all(r.n != r.s for r in rows if r.n in names["some"])
+
+
+def test_a_million_generated_names_stay_distinct(spark):
+    from pyspark.sql import functions as F
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    at = lambda i: F.substring(F.lit(letters), (F.floor(F.col("id") / 26**i) % 26 + 1).cast("int"), F.lit(1))
+    words = spark.range(26**4).select(F.initcap(F.concat(*[at(i) for i in range(4)])).alias("n"))
+    words = words.unionByName(spark.range(600_000).select(F.initcap(F.concat(*[at(i) for i in range(5)])).alias("n")))
+    out = words.select("n", pii.name_part(F.col("n"), "k").alias("s"))
+    n, names, images = out.agg(F.count("n"), F.countDistinct("n"), F.countDistinct("s")).first()
+    assert n == names == images == 26**4 + 600_000
+
+
+def test_names_are_followed_through_a_text(spark):
+    rows = [
+        (1, "Maria Lopez came. Lopez left, and LOPEZ is another word. Lopezes too."),
+        (2, "Dr. Quill and Anna Brown met; Brown paid and Quill thanked Brown."),
+        (3, "Anna The cat. The dog and the bird."),
+        (4, "Lopez left."),
+        (5, "Иван Сидоров пришёл. Сидоров ушёл."),
+    ]
+    got = {i: r["text"] for i, r in run(spark, rows).items()}
+    one = re.fullmatch(r"(\w+) (\w+) came\. (\w+) left, and LOPEZ is another word\. Lopezes too\.", got[1])
+    assert one[2] == one[3] != "Lopez" and one[1] in pii.NAMES["female latin"]
+    two = re.fullmatch(r"Dr\. (\w+) and (\w+) (\w+) met; (\w+) paid and (\w+) thanked (\w+)\.", got[2])
+    assert two[3] == two[4] == two[6] != "Brown" and two[1] == two[5] != "Quill"
+    assert got[3].endswith(" cat. The dog and the bird.") and got[4] == "Lopez left."
+    five = re.fullmatch(r"(\w+) (\w+) пришёл\. (\w+) ушёл\.", got[5])
+    assert five[2] == five[3] != "Сидоров"
+    assert run(spark, rows)[2]["n"] == 5
+
+
+def test_names_sound_like_names_and_han_ones_do_not_leak(spark):
+    got = {i: r["text"] for i, r in run(spark, [(1, "Mr Lopezaton."), (2, "Name: 李雷。"), (3, "Name: 李磊。"), (4, "高兴。马上!")]).items()}
+    assert re.fullmatch(r"Mr [^aeiou\W][aeiou][^aeiou\W][aeiou][^aeiou\W][aeiou][^aeiou\W][aeiou][^aeiou\W]\.", got[1])
+    a, b = got[2][6:8], got[3][6:8]
+    assert a[0] in pii.SURNAMES_HAN and "雷" not in a and a[1] not in pii.GIVEN_HAN and b[1] in pii.GIVEN_HAN and a != b
+    assert got[4] == "高兴。马上!"
+
+
+def test_numbers_by_what_stands_before_them(spark):
+    got = {i: r["text"] for i, r in run(spark, [(1, "SSN 123456789 and 123-45-6789."), (2, "v1.2.3.4 is out")]).items()}
+    x = re.fullmatch(r"SSN (\d{9}) and (\d{3})-(\d{2})-(\d{4})\.", got[1])
+    assert x[1] == x[2] + x[3] + x[4] != "123456789" and got[2] == "v1.2.3.4 is out"
+
+
+def test_a_collision_leads_to_another_key(spark, monkeypatch):
+    keys = []
+    replaced = pii.replaced
+    monkeypatch.setattr(pii, "replaced", lambda docs, key, *a, **b: keys.append(key) or replaced(docs, key, *a, **b))
+    collisions = pii.collisions
+    monkeypatch.setattr(pii, "collisions", lambda pairs: collisions(pairs) if len(keys) > 1 else pairs)
+    got = run(spark, [(1, "ssn 123-45-6789")])
+    assert keys == ["k", "k#1"] and got[1]["text"] != "ssn 123-45-6789"
