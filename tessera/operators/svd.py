@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored_table
 from .matrix import CoordMatrix, _cells, _placed, matmul, sides
 
 #: Bytes of basis and images that the driver may hold.
@@ -75,8 +76,6 @@ class Operator:
     """q -> (X - m 1')(X - m 1')' q, for a matrix with its columns packed in a stored table."""
 
     def __init__(self, x: CoordMatrix, centre: bool):
-        from .workflows import stored_table
-
         self.row, self.col = sides(x)
         self.spark = x.spark
         cells = _placed(_cells(x, "r_", "__c", "v"), self.row, "r_", "r")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import stored_table
 from .matrix import CoordMatrix, gram, sides
 from .svd import svd
 
@@ -24,13 +22,6 @@ def top_rows(x: CoordMatrix, n: int) -> list:
     return [r[row] for r in best.collect()]
 
 
-def stored_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stored(x: CoordMatrix) -> CoordMatrix:
     """x with its cells written to the shared folder once and read from there: work that follows does not repeat what made them."""
     dims = tuple(replace(d, restricted=False) for d in x.dims)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessera", **conf: str) -> SparkSession:
@@ -27,3 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: work that follows does not repeat what made it, and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

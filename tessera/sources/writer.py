@@ -1,13 +1,29 @@
 """Coordinate tables on disk: partitioned by a grid, sorted, and safely appended to.
 
 Each dimension's place (from 1) is an index column; cells of the grid are partition folders
-<index>_group=<g>. A side file holds the schema and the extents, so that arrays without
-stored cells read back, and appends are held against it before anything is written.
+<index>_group=<g>. A side file holds the schema, the extents and the boxes of grid cells that
+have been written, so that arrays without stored cells read back, and appends are held against
+it before anything is written.
+
+A write becomes visible in one step. The first one is made in a folder beside the target, which is
+then renamed. A slab is written to a staging folder, its partition folders are renamed into
+place, and then the next version of the side file is created, which fails if it is there. Readers
+take the last whole version and see the grid cells in its boxes only, so a slab without a
+version does not exist: the next append to its cells removes what it left. Slabs
+with a batch are known by it, so one that is written again is passed over. Two appends at a
+time may go to different boxes; of two to the same one, the later fails or both must not run at once.
+On stores whose rename is a copy, the steps hold but take longer.
+
+Cells of the grid with many rows are cut into files by ranges of the sort order, by so many tasks; the others
+are one file each. Row groups have a fixed number of rows, with minima and maxima of every
+page; index columns other than the one that leads the order also get Bloom filters where they are long.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -20,9 +36,18 @@ from pyspark.sql import types as T
 from ..operators.array import CoordArray
 from ..operators.realize import placed
 from ..plans.dims import Dim
+from ..session import stored_table
 
 SIDE_FILE = "_tessera.json"
-ROW_GROUP_BYTES = 8 << 20
+STAGING = "_staging"
+#: Rows of a row group; rows of a file of a cell of the grid that has more; bytes that a row group may take meanwhile.
+ROW_GROUP_ROWS = 491_520
+FILE_ROWS = 8 * ROW_GROUP_ROWS
+ROW_GROUP_BYTES = 256 << 20
+#: So many large grid cells are told to all tasks; if there are more, all cells are dealt by ranges.
+HEAVY_CELLS = 100_000
+#: Versions of the side file that are kept.
+VERSIONS = 20
 _INTEGERS = ((127, T.ByteType()), (32767, T.ShortType()), (2**31 - 1, T.IntegerType()), (2**63 - 1, T.LongType()))
 
 
@@ -31,13 +56,11 @@ def integer_type(largest: int) -> T.DataType:
     return next(t for top, t in _INTEGERS if largest <= top)
 
 
-def value_type(df: DataFrame, value: str) -> T.DataType:
-    """The narrowest type of a value column: integers where all are whole, as 0 is; else its own."""
-    kind = df.schema[value].dataType
-    if not isinstance(kind, T.NumericType):
-        return kind
-    v = F.col(value).cast("double")
-    low, high, entire = df.agg(F.min(v), F.max(v), F.bool_and(v == F.floor(v).cast("double"))).first()
+def _value_stats(v: Column) -> list[Column]:
+    return [F.min(v).alias("low"), F.max(v).alias("high"), F.bool_and(v == F.floor(v).cast("double")).alias("entire")]
+
+
+def _narrowest(kind: T.DataType, low: float | None, high: float | None, entire: bool | None) -> T.DataType:
     if low is None:
         return kind
     if not entire or max(abs(low), abs(high)) >= 2**53:
@@ -45,6 +68,14 @@ def value_type(df: DataFrame, value: str) -> T.DataType:
     return integer_type(max(int(high), -int(low) - 1, 0))
 
 
+def value_type(df: DataFrame, value: str) -> T.DataType:
+    """The narrowest type of a value column: integers where all are whole, as 0 is; else its own."""
+    kind = df.schema[value].dataType
+    if not isinstance(kind, T.NumericType):
+        return kind
+    return _narrowest(kind, *df.agg(*_value_stats(F.col(value).cast("double"))).first())
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -55,42 +86,156 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def side_info(spark: SparkSession, path: str) -> dict[str, Any]:
-    fs, at = _fs(spark, f"{path}/{SIDE_FILE}")
+def _version(name: str) -> int | None:
+    """The version of a side file by its name: 0 for the first."""
+    stem, end = SIDE_FILE.rsplit(".", 1)
+    if name == SIDE_FILE:
+        return 0
+    middle = name[len(stem) + 1 : -len(end) - 1]
+    return int(middle) if name.startswith(stem + ".") and name.endswith("." + end) and middle.isdigit() else None
+
+
+def _side_path(path: str, version: int) -> str:
+    stem, end = SIDE_FILE.rsplit(".", 1)
+    return f"{path}/{SIDE_FILE}" if version == 0 else f"{path}/{stem}.{version}.{end}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the side file, the last one first."""
+    fs, at = _fs(spark, path)
     if not fs.exists(at):
-        raise ValueError(f"'{path}' lacks {SIDE_FILE}: not a coordinate dataset")
-    stream = fs.open(at)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        text = reader.readLine()
-    finally:
-        stream.close()
-    return json.loads(text)
+        return []
+    found = (_version(s.getPath().getName()) for s in fs.listStatus(at))
+    return sorted((v for v in found if v is not None), reverse=True)
 
 
-def _write_side(spark: SparkSession, path: str, info: dict[str, Any]) -> None:
-    fs, at = _fs(spark, f"{path}/{SIDE_FILE}")
-    out = fs.create(at, True)
-    out.write(bytearray(json.dumps(info).encode()))
+def side_info(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The last whole version of the side file; a version whose writer died in it does not parse and does not count."""
+    for version in _versions(spark, path):
+        fs, at = _fs(spark, _side_path(path, version))
+        stream = fs.open(at)
+        try:
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            text = reader.readLine()
+        finally:
+            stream.close()
+        try:
+            return json.loads(text or "") | {"version": version}
+        except ValueError:
+            continue
+    raise ValueError(f"'{path}' lacks {SIDE_FILE}: not a coordinate dataset")
+
+
+def _write_side(spark: SparkSession, path: str, info: dict[str, Any], version: int) -> bool:
+    """Creates a version of the side file; false if it is there."""
+    fs, at = _fs(spark, _side_path(path, version))
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(json.dumps({k: v for k, v in info.items() if k != "version"}).encode()))
     out.close()
+    return True
 
 
-def _groups_on_disk(spark: SparkSession, path: str, columns: Sequence[str]) -> set[tuple[int, ...]]:
-    """The grid cells that a partitioned dataset has, from its folders."""
-    fs, at = _fs(spark, path)
-    found: set[tuple[int, ...]] = set()
+Box = list[list[int]]  # lowest and highest group of every dimension
 
-    def walk(folder, left: Sequence[str], so_far: tuple[int, ...]) -> None:
-        if not left:
-            found.add(so_far)
-            return
-        for s in fs.listStatus(folder):
-            name = s.getPath().getName()
-            if s.isDirectory() and name.startswith(left[0] + "="):
-                walk(s.getPath(), left[1:], (*so_far, int(name.split("=")[1])))
 
-    walk(at, list(columns), ())
-    return found
+def _meet(a: Box, b: Box) -> bool:
+    return all(x[0] <= y[1] and y[0] <= x[1] for x, y in zip(a, b, strict=True))
+
+
+def joined_boxes(boxes: Sequence[Box]) -> list[Box]:
+    """The same grid cells in fewer boxes: those that differ in one dimension only, and touch in it, become one."""
+    out = sorted([list(x) for x in b] for b in boxes)
+    again = True
+    while again:
+        again = False
+        for i, a in enumerate(out):
+            for j in range(i + 1, len(out)):
+                apart = [d for d, (x, y) in enumerate(zip(a, out[j], strict=True)) if x != y]
+                if len(apart) == 1 and a[apart[0]][1] + 1 == out[j][apart[0]][0]:
+                    d = apart[0]
+                    out[i] = [[x[0], out[j][d][1]] if k == d else x for k, x in enumerate(a)]
+                    del out[j]
+                    again = True
+                    break
+            if again:
+                break
+    return out
+
+
+def _visible(info: dict[str, Any]) -> Column | None:
+    """Which partitions a version of the side file tells of."""
+    if not info["groups"] or "boxes" not in info:
+        return None
+    out = F.lit(False)
+    for box in info["boxes"]:
+        each = [F.col(g).between(low, high) for g, (low, high) in zip(info["groups"], box, strict=True)]
+        inside = each[0]
+        for c in each[1:]:
+            inside = inside & c
+        out = out | inside
+    return out
+
+
+def _folders(fs, folder, column: str) -> list[tuple[int, Any]]:
+    """The partition folders of a column in a folder, by group."""
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory()]
+    return [(int(p.getName().split("=")[1]), p) for p in found if p.getName().startswith(column + "=")]
+
+
+def _clear(spark: SparkSession, path: str, groups: Sequence[str], box: Box) -> None:
+    """Removes the grid cells of a box: what an append left that ended before its version of the side file."""
+    fs, at = _fs(spark, path)
+
+    def walk(folder, left: Sequence[str], bounds: Box) -> None:
+        for g, p in _folders(fs, folder, left[0]):
+            if bounds[0][0] <= g <= bounds[0][1]:
+                if len(left) == 1:
+                    fs.delete(p, True)
+                else:
+                    walk(p, left[1:], bounds[1:])
+
+    walk(at, groups, box)
+
+
+def _publish(spark: SparkSession, staged: str, path: str, groups: Sequence[str]) -> None:
+    """Renames the staged partition folders into place, a whole branch at a time where there is none yet."""
+    fs, source = _fs(spark, staged)
+    _, target = _fs(spark, path)
+
+    def move(folder, to, left: Sequence[str]) -> None:
+        for _, p in _folders(fs, folder, left[0]):
+            goal = spark._jvm.org.apache.hadoop.fs.Path(to, p.getName())
+            if len(left) > 1 and fs.exists(goal):
+                move(p, goal, left[1:])
+            elif not fs.rename(p, goal):
+                raise OSError(f"cannot move {p} to {goal}")
+
+    move(source, target, groups)
+
+
+def _committed(spark: SparkSession, path: str, info: dict[str, Any], box: Box, dim: Sequence[int], batch: tuple[str, int] | None) -> None:
+    """Creates the next version of the side file with a slab in it."""
+    while True:
+        batches = dict(info.get("batches", {}))
+        if batch is not None:
+            batches[batch[0]] = batch[1]
+        now = info | {"dim": [max(a, b) for a, b in zip(info["dim"], dim, strict=True)], "boxes": joined_boxes([*info["boxes"], box]), "batches": batches}
+        versions = _versions(spark, path)
+        if _write_side(spark, path, now, versions[0] + 1):
+            break
+        info = side_info(spark, path)  # another append came first
+        if any(_meet(box, b) for b in info["boxes"]):
+            raise ValueError("the append would write into an existing partition")
+    fs, _ = _fs(spark, path)
+    for version in versions[VERSIONS:]:
+        fs.delete(_fs(spark, _side_path(path, version))[1], False)
 
 
 def morton(places: Sequence[Column], bits: int = 20) -> Column:
@@ -162,14 +307,19 @@ def write_coo(
     group_offset: int = 0,
     cluster_by: str | Sequence[str] | None = None,
     single: bool = False,
-) -> None:
+    batch: tuple[str, int] | None = None,
+    file_rows: int = FILE_ROWS,
+    row_group_rows: int = ROW_GROUP_ROWS,
+) -> bool:
     """Writes the stored cells of an array filled with zero, without zeros.
 
     grid: the spacing of the partition grid in each dimension; one cell in all dimensions means
     no partitions. max_dim: extents to come, for the width of index columns. append: adds a slab
     along a dimension, whose places start after offset and whose groups start after group_offset.
     cluster_by: sorts each file by these columns, by "zorder" or, for two dimensions, by "hilbert"; else by the index, the first
-    dimension fastest. single: one file.
+    dimension fastest. single: one file. batch: a name and a number that rises with each write; one that the
+    dataset has, or a lower one, is passed over. file_rows: rows of a file where a grid cell has more.
+    Returns whether anything was written.
     """
     spark = x.spark
     if not x.zero_filled:
@@ -185,13 +335,16 @@ def write_coo(
     cells = placed(x.rows("__v").where(F.col("__v") != F.lit(x.zero)), x.dims)
     cells = cells.select(*[(F.col(f"__place_{d.name}") + 1 + (offset if i == axis else 0)).alias(index[i]) for i, d in enumerate(x.dims)], F.col("__v").alias(value))
 
-    there = _exists(spark, path)
-    if append:
-        if not there:
-            raise ValueError("the target directory does not exist")
-        info = side_info(spark, path)
+    if parted:
+        for i, g in enumerate(groups):
+            first = F.floor((F.col(index[i]) - 1 - (offset if i == axis else 0)) / spacing[i]) + 1
+            cells = cells.withColumn(g, (first + (group_offset if i == axis else 0)).cast("int"))
+    box = [[1 + (group_offset if i == axis else 0), -(-n // spacing[i]) + (group_offset if i == axis else 0)] for i, n in enumerate(shape)]
+    dim = [n + (offset if i == axis else 0) for i, n in enumerate(shape)]
+
+    def checked(info: dict[str, Any]) -> T.StructType:
         held = T.StructType.fromJson(info["schema"])
-        if bool(info["groups"]) != parted or info["groups"] not in ([], groups):
+        if bool(info["groups"]) != parted or info["groups"] not in ([], groups) or not parted:
             raise ValueError("appending needs a hive-partitioned dataset of the same grid columns")
         for name in [*index, value]:
             if name not in held.fieldNames():
@@ -199,45 +352,103 @@ def write_coo(
         for i, name in enumerate(index):
             if integer_type(extents[i]).simpleString() != held[name].dataType.simpleString() and _wider(integer_type(extents[i]), held[name].dataType):
                 raise ValueError(f"schema mismatch on '{name}': {held[name].dataType.simpleString()} cannot hold {extents[i]}")
-        own = value_type(cells, value)
-        if type is not None and (T._parse_datatype_string(type) if isinstance(type, str) else type) != held[value].dataType or _wider(own, held[value].dataType):
-            raise ValueError(f"schema mismatch on '{value}': {own.simpleString()} and {held[value].dataType.simpleString()}")
-        schema = held
-    else:
-        if there:
-            raise ValueError(f"'{path}' exists")
-        kind = T._parse_datatype_string(type) if isinstance(type, str) else type
-        kind = kind or value_type(cells, value)
-        schema = T.StructType([*[T.StructField(n, integer_type(e)) for n, e in zip(index, extents, strict=True)], T.StructField(value, kind)])
+        if "boxes" not in info:
+            raise ValueError("the dataset does not tell which grid cells it has: write it anew")
+        return held
 
+    there = _exists(spark, path)
+    info = side_info(spark, path) if there and (append or batch is not None) else None
+    if batch is not None and info is not None and info.get("batches", {}).get(batch[0], -1) >= batch[1]:
+        return False
+    if append and not there:
+        raise ValueError("the target directory does not exist")
+    if not append and there:
+        raise ValueError(f"'{path}' exists")
+    held = checked(info) if append else None
+    kind = T._parse_datatype_string(type) if isinstance(type, str) else type
+    # One pass over the cells tells the values' type and each grid cell's rows.
+    sizes, number = None, isinstance(cells.schema[value].dataType, T.NumericType)
     if parted:
-        for i, g in enumerate(groups):
-            first = F.floor((F.col(index[i]) - 1 - (offset if i == axis else 0)) / spacing[i]) + 1
-            cells = cells.withColumn(g, (first + (group_offset if i == axis else 0)).cast("int"))
-    typed = cells.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name in cells.columns], *(groups if parted else []))
+        stats = _value_stats(F.col(value).cast("double") if number else F.lit(None).cast("double"))
+        sizes = stored_table(cells.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *stats), "sizes")
+        found = sizes.agg(F.min("low"), F.max("high"), F.bool_and("entire")).first()
+        own = _narrowest(cells.schema[value].dataType, *found) if number else cells.schema[value].dataType
+    else:
+        own = value_type(cells, value)
     if append:
-        new = {tuple(r) for r in typed.select(*groups).distinct().collect()}  # grid cells, not rows
-        if new & _groups_on_disk(spark, path, groups):
+        if type is not None and kind != held[value].dataType or _wider(own, held[value].dataType):
+            raise ValueError(f"schema mismatch on '{value}': {own.simpleString()} and {held[value].dataType.simpleString()}")
+        if any(_meet(box, b) for b in info["boxes"]):
             raise ValueError("the append would write into an existing partition")
+    schema = held or T.StructType([*[T.StructField(n, integer_type(e)) for n, e in zip(index, extents, strict=True)], T.StructField(value, kind or own)])
+    typed = cells.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name in cells.columns], *(groups if parted else []))
+    lead = None
+    bits = max(1, max(extents)).bit_length()
     if cluster_by == "zorder":
-        order = [morton([F.col(n) for n in index])]
+        order = [morton([F.col(n) for n in index], bits)]
     elif cluster_by == "hilbert":
-        order = [hilbert([F.col(n) for n in index])]
+        order = [hilbert([F.col(n) for n in index], bits)]
     else:
-        order = [F.col(n) for n in ([cluster_by] if isinstance(cluster_by, str) else cluster_by or list(reversed(index)))]
+        names = [cluster_by] if isinstance(cluster_by, str) else cluster_by or list(reversed(index))
+        order, lead = [F.col(n) for n in names], names[0]
     if parted:
-        # One task for each grid cell: whole files, no small ones.
-        typed = typed.repartition(*groups).sortWithinPartitions(*groups, *order)
+        typed = _by_cell(typed, sizes, groups, order, file_rows)
     elif single:
         typed = typed.coalesce(1).sortWithinPartitions(*order)
     else:
         typed = typed.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = typed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES)
+    out = typed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", row_group_rows)
+    for name, extent in zip(index, extents, strict=True):
+        if name != lead and 8 * extent >= row_group_rows:  # shorter keys are in most row groups, or in their dictionaries
+            out = out.option(f"parquet.bloom.filter.enabled#{name}", "true").option(f"parquet.bloom.filter.expected.ndv#{name}", min(extent, row_group_rows))
     out = out.partitionBy(*groups) if parted else out
-    (out.mode("append") if append else out).parquet(path)
-    old = side_info(spark, path)["dim"] if append else [0] * len(index)
-    now = [max(a, n + (offset if i == axis else 0)) for i, (a, n) in enumerate(zip(old, shape, strict=True))]
-    _write_side(spark, path, {"schema": schema.jsonValue(), "index": list(index), "value": value, "groups": groups if parted else [], "dim": now, "fill": x.zero if not isinstance(x.zero, bool) else bool(x.zero)})
+    token = uuid.uuid4().hex if batch is None else f"{batch[0]}-{batch[1]}"
+    if append:
+        staged = f"{path}/{STAGING}/{token}"
+        out.mode("overwrite").parquet(staged)
+        _clear(spark, path, groups, box)
+        _publish(spark, staged, path, groups)
+        _committed(spark, path, info, box, dim, batch)
+        fs, at = _fs(spark, staged)
+        fs.delete(at, True)
+        return True
+    parent, _, name = path.rstrip("/").rpartition("/")
+    staged = f"{parent}/_{name}.{token}" if parent or path.startswith("/") else f"_{name}.{token}"
+    out.mode("overwrite").parquet(staged)
+    side = {"schema": schema.jsonValue(), "index": list(index), "value": value, "groups": groups if parted else [], "dim": dim, "fill": x.zero if not isinstance(x.zero, bool) else bool(x.zero), "boxes": [box], "batches": {} if batch is None else {batch[0]: batch[1]}}
+    fs, at = _fs(spark, _side_path(staged, 0))
+    fs.delete(at, False)
+    _write_side(spark, staged, side, 0)
+    _first(spark, staged, path)
+    return True
+
+
+def _first(spark: SparkSession, staged: str, path: str) -> None:
+    """Renames a new dataset's folder into place."""
+    fs, source = _fs(spark, staged)
+    _, target = _fs(spark, path)
+    if fs.exists(target) or not fs.rename(source, target):
+        raise ValueError(f"'{path}' exists")
+    inside = spark._jvm.org.apache.hadoop.fs.Path(target, source.getName())
+    if fs.exists(inside):  # another writer's folder came first, and a rename to a folder moves into it
+        fs.delete(inside, True)
+        raise ValueError(f"'{path}' exists")
+
+
+def _by_cell(typed: DataFrame, sizes: DataFrame, groups: Sequence[str], order: Sequence[Column], file_rows: int) -> DataFrame:
+    """Rows dealt to tasks by grid cell: small cells whole, large ones by ranges of the order, sorted either way."""
+    large = sizes.where(F.col("rows") > file_rows)
+    found = large.select(*groups, "rows").limit(HEAVY_CELLS + 1).collect()
+    if not found:
+        return typed.repartition(*groups).sortWithinPartitions(*groups, *order)
+    if len(found) > HEAVY_CELLS:
+        files = math.ceil(sizes.agg(F.sum("rows")).first()[0] / file_rows)
+        return typed.repartitionByRange(files, *groups, *order).sortWithinPartitions(*groups, *order)
+    keys = F.broadcast(typed.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], T.StructType([T.StructField(g, T.IntegerType()) for g in groups])))
+    files = sum(math.ceil(r["rows"] / file_rows) for r in found)
+    few = typed.join(keys, list(groups), "left_anti").repartition(*groups)
+    many = typed.join(keys, list(groups), "left_semi").repartitionByRange(files, *groups, *order)
+    return few.select(*typed.columns).unionByName(many.select(*typed.columns)).sortWithinPartitions(*groups, *order)
 
 
 def _wider(a: T.DataType, b: T.DataType) -> bool:
@@ -273,5 +484,7 @@ def read_coo(spark: SparkSession, path: str, dim_tables: dict[str, Any] | None =
     schema = T.StructType.fromJson(info["schema"])
     full = T.StructType([*schema.fields, *[T.StructField(g, T.IntegerType()) for g in info["groups"]]])
     df = spark.read.schema(full).parquet(path)
+    visible = _visible(info)
+    df = df if visible is None else df.where(visible)
     dims = {n: Dim(n, range(1, d + 1), schema[n].dataType, None, False) for n, d in zip(info["index"], info["dim"], strict=True)}
     return CoordArray.from_coo(df, info["value"], dims, dim_tables=dim_tables)

@@ -9,14 +9,15 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.array import CoordArray
 from ..plans.dims import Dim
-from ..sources.writer import _exists, side_info, write_coo
+from ..sources.writer import _exists, write_coo
 
 
-def append_slabs(stream: DataFrame, path: str, index: Sequence[str], value: str, along: str, extent: int, sizes: Sequence[int], **options) -> DataStreamWriter:
+def append_slabs(stream: DataFrame, path: str, index: Sequence[str], value: str, along: str, extent: int, sizes: Sequence[int], name: str = "slabs", **options) -> DataStreamWriter:
     """A writer whose every batch becomes one slab of `extent` places along a dimension.
 
     index: key columns, with places from 1 (along: within the slab). A batch's slab follows from
-    its number, so a batch that is run again after a failure is found on disk and skipped.
+    its number, which the dataset keeps under the stream's name: a batch that is run again after a failure is passed
+    over if its slab was committed, and written again if it was not, whatever it left on disk.
     """
     axis = list(index).index(along)
 
@@ -25,11 +26,9 @@ def append_slabs(stream: DataFrame, path: str, index: Sequence[str], value: str,
         shape = [extent if i == axis else n for i, n in enumerate(sizes)]
         x = CoordArray.from_coo(batch, value, {n: Dim(n, range(1, s + 1), batch.schema[n].dataType) for n, s in zip(index, shape, strict=True)})
         there = _exists(spark, path)
-        if there and side_info(spark, path)["dim"][axis] >= (number + 1) * extent:
-            return
         grid = [extent if i == axis else n for i, n in enumerate(sizes)]
         top = [2**31 - 1 if i == axis else n for i, n in enumerate(sizes)]
         # with a group offset the first slab is partitioned as the later ones are
-        write_coo(x, path, index, value, grid=grid, append=there, along=along, offset=number * extent, group_offset=number + 1, max_dim=top, **options)
+        write_coo(x, path, index, value, grid=grid, append=there, along=along, offset=number * extent, group_offset=number + 1, max_dim=top, batch=(name, number), **options)
 
     return stream.writeStream.foreachBatch(write)
