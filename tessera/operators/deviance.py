@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..plans.dims import small
 from .matrix import sides
-from .realize import placed
+from .realize import block_numbers, each_block, placed
 
 FAMILIES = ("binomial", "poisson")
 
@@ -54,38 +56,79 @@ def row_deviances(x, family: str = "binomial", name: str = "value") -> DataFrame
     return levels.join(out, row.name, "left").select(row.name, F.coalesce(F.when(~F.isnan("d"), F.col("d")), F.lit(0.0)).alias(name))
 
 
-def block_row_deviances(x, family: str = "binomial", spacing: int = 1000, name: str = "value", limit: int = 5_000_000) -> DataFrame:
-    """The same, as sums over dense blocks of so many columns each, worked out on the executors.
+def block_row_deviances(x, family: str = "binomial", spacing: int | tuple[int, int] | None = None, name: str = "value", as_sparse: bool = True, block_bytes: int = 64 << 20) -> DataFrame:
+    """The same, block by block of a grid in both dimensions, worked out on the executors.
 
-    Row sums and library sizes go to every block, so neither extent may be above limit.
+    spacing: rows and columns of a block, or its columns; the rest follows from block_bytes, so that a dense
+    block with its work arrays takes no more. as_sparse: blocks hold stored cells only. Cells come with their row's
+    and column's sum by joins, dense blocks with the sums of their rows and columns; neither goes through
+    the driver. A row's terms are added up over the blocks.
     """
-    from .realize import apply_blocks
-
     if family not in FAMILIES:
         raise ValueError(f"family must be one of {FAMILIES}")
     row, col = sides(x)
-    if max(len(row), len(col)) > limit:
-        raise ValueError(f"more than {limit} rows or columns: see row_deviances()")
-    g, n = np.zeros(len(row)), np.zeros(len(col))
-    for totals, d, sums in ((g, row, x.row_sums(complete=False)), (n, col, x.col_sums(complete=False))):
-        table = placed(sums, [d]).select(f"__place_{d.name}", F.col(sums.columns[-1]).alias("__s")).toPandas()
-        totals[table.iloc[:, 0].to_numpy()] = table["__s"]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        size = np.where(n > 0, np.exp(np.log(np.where(n > 0, n, 1)) - np.log(n[n > 0]).mean()) if (n > 0).any() else 0.0, 0.0)
-    p = g / max(n.sum(), 1e-300)
-
-    def part(corner: tuple[int, ...], block: np.ndarray) -> pd.DataFrame:
-        at = slice(corner[1], corner[1] + block.shape[1])
-        use = n[at] > 0
-        values = _terms(block[:, use].astype(np.float64), size[at][use] if family == "poisson" else None, n[at][use], p[corner[0] : corner[0] + block.shape[0]]).sum(axis=1)
-        return pd.DataFrame({"__place": np.arange(block.shape[0]) + corner[0], "d": values})
-
-    sums = apply_blocks(x, (max(1, len(row)), spacing), part, "__place long, d double").groupBy("__place").agg(F.sum("d").alias("d"))
-    null = x.spark.createDataFrame(pd.DataFrame({"__place": np.arange(len(g)), "g": g}), "__place long, g double")
-    share = F.col("g") / float(max(size.sum(), 1e-300))
-    none = F.when(F.col("g") > 0, F.col("g") * F.ln(share)).otherwise(0.0) if family == "poisson" else F.lit(0.0)
-    out = sums.join(small(null, len(g)), "__place").select("__place", (2 * (F.col("d") - none)).alias("d"))
-    return row.table(x.spark).join(out, "__place", "left").select(row.name, F.coalesce(F.when(~F.isnan("d"), F.col("d")), F.lit(0.0)).alias(name))
+    if spacing is None or isinstance(spacing, int):
+        cols = min(len(col), spacing or 1000) or 1
+        spacing = (max(1, min(len(row), block_bytes // (64 * cols))), cols)
+    elif spacing[0] * spacing[1] * 64 > block_bytes and not as_sparse:
+        raise ValueError(f"a block of {spacing[0]} by {spacing[1]} cells takes more than {block_bytes} bytes")
+    cells = x.rows("__v").select(row.name, col.name, N.number(F.col("__v")).alias("v")).where(F.col("v") != 0)
+    g = cells.groupBy(row.name).agg(F.sum("v").alias("g"))
+    n = cells.groupBy(col.name).agg(F.sum("v").alias("n")).where("n > 0")
+    # the whole's total, the mean logarithm of library sizes, and the sum of sizes: one row
+    whole = n.agg(F.sum("n").alias("t"), F.avg(F.ln("n")).alias("m")).select(F.struct("t", "m", (F.col("t") / F.exp("m")).alias("sizes"))).scalar()
+    binomial = family == "binomial"
+    cells = cells.join(small(n, len(col)), col.name).join(small(g, len(row)), row.name).withColumn("of", whole)
+    cells = placed(cells, (row, col))
+    number, (i, j), counts = block_numbers((row, col), spacing)
+    fields = [number.alias("block"), i.alias("i"), j.alias("j"), "v", "n", (F.col("g") / F.col("of.t")).alias("p"), (F.col("n") / F.exp("of.m")).alias("size")]
+    cells = cells.select(*fields)
+    if not as_sparse:  # a row for each column and each row of a block tells its sums
+        ends = [placed(small(t, len(d)), [d]).withColumn("of", whole) for t, d in ((g, row), (n, col))]
+        of_row = ends[0].select(F.floor(F.col(f"__place_{row.name}") / spacing[0]).cast("long").alias("a"), (F.col(f"__place_{row.name}") % spacing[0]).alias("i"), (F.col("g") / F.col("of.t")).alias("p"))
+        of_row = of_row.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(counts[1] - 1)), lambda k: F.col("a") * counts[1] + k)).alias("block"), "i", F.lit(-1).cast("long").alias("j"), "p")
+        of_col = ends[1].select(F.floor(F.col(f"__place_{col.name}") / spacing[1]).cast("long").alias("b"), (F.col(f"__place_{col.name}") % spacing[1]).alias("j"), "n", (F.col("n") / F.exp("of.m")).alias("size"))
+        of_col = of_col.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(counts[0] - 1)), lambda k: k * counts[1] + F.col("b"))).alias("block"), F.lit(-1).cast("long").alias("i"), "j", "n", "size")
+        cells = cells.unionByName(of_row, allowMissingColumns=True).unionByName(of_col, allowMissingColumns=True)
+    dealt = cells.select("block", "i", "j", "v", "n", "p", "size").repartition("block").sortWithinPartitions("block")
+    parts = dealt.mapInArrow(_block_terms(tuple(spacing), counts[1], binomial, as_sparse), "__place long, d double, seen double")
+    sums = parts.groupBy("__place").agg(F.sum("d").alias("d"), F.sum("seen").alias("seen"))
+    ends = placed(g, [row]).select(row.name, F.col(f"__place_{row.name}").alias("__place"), "g").join(sums, "__place").withColumn("of", whole)
+    if not binomial:
+        d = F.col("d") - F.when(F.col("g") > 0, F.col("g") * F.ln(F.col("g") / F.col("of.sizes"))).otherwise(0.0)
+    elif as_sparse:  # columns without a cell in the row each add n * ln(1 / (1 - p))
+        p = F.col("g") / F.col("of.t")
+        d = F.col("d") - F.when(p < 1, (F.col("of.t") - F.col("seen")) * F.ln(F.when(p < 1, 1 - p))).otherwise(0.0)
+    else:
+        d = F.col("d")
+    out = ends.select(row.name, (2 * d).alias("d"))
+    return row.table(x.spark).select(row.name).join(out, row.name, "left").select(row.name, F.coalesce(F.when(~F.isnan("d"), F.col("d")), F.lit(0.0)).alias(name))
+
+
+def _block_terms(spacing: tuple[int, int], across: int, binomial: bool, as_sparse: bool):
+    """Rows (block, i, j, v, n, p, size), sorted by block, to each block's row terms, and the sums of columns with a cell in the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, columns in each_block(batches):
+            i, j, v, n, p, size = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in columns)
+            cell = (i >= 0) & (j >= 0)
+            if as_sparse:
+                r, cells = np.unique(i, return_inverse=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    term = lambda x, e: np.where(x > 0, x * np.log(x / e), 0.0)
+                    each = term(v, n * p) + term(n - v, n - n * p) if binomial else term(v, size)
+                d, seen = np.bincount(cells, each, len(r)), np.bincount(cells, n, len(r))
+            else:
+                block, rows, cols = np.zeros(spacing), np.zeros(spacing[0]), np.zeros((2, spacing[1]))
+                block[i[cell], j[cell]] = v[cell]
+                rows[i[j < 0]] = p[j < 0]
+                cols[:, j[i < 0]] = n[i < 0], size[i < 0]
+                use, r = cols[0] > 0, np.flatnonzero(rows)
+                d = _terms(block[r][:, use], None if binomial else cols[1][use], cols[0][use], rows[r]).sum(axis=1)
+                seen = np.zeros(len(r))
+            yield pa.RecordBatch.from_arrays([pa.array(r + number // across * spacing[0]), pa.array(d), pa.array(seen)], names=["__place", "d", "seen"])
+
+    return run
 
 
 def _terms(x: np.ndarray, size: np.ndarray | None, n: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.dims import Dim, small
 
@@ -62,34 +66,131 @@ def to_csc(x) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pointers, coords[:, 0], values
 
 
-def blocks(x, spacings: Sequence[int]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
-    """Dense blocks of a regular grid, one at a time: the place of each one's corner, and its cells."""
-    shape = [len(d) for d in x.dims]
-    for corner in np.ndindex(*[-(-n // s) for n, s in zip(shape, spacings, strict=True)]):
-        first = [c * s for c, s in zip(corner, spacings, strict=True)]
-        part = x.subset(*[slice(a, min(a + s, n)) for a, s, n in zip(first, spacings, shape, strict=True)], drop=False)
-        yield tuple(first), to_numpy(part)
-
-
-def apply_blocks(x, spacings: Sequence[int], fn, schema: str) -> DataFrame:
-    """fn(corner, dense block) -> pandas frame, run on the executors for every block of a regular grid, empty ones too."""
-    names, shape = [d.name for d in x.dims], [len(d) for d in x.dims]
+#: Cells of the dense grid that a partition of streamed blocks stands for, and the most partitions.
+STREAM_CELLS, STREAM_PARTS = 1 << 22, 100_000
+
+
+def block_numbers(dims: Sequence[Dim], spacings: Sequence[int]) -> tuple[Column, list[Column], list[int]]:
+    """Of placed() cells: the number of the grid's block (the first dimension is the slowest), the places in it, and how many blocks lie along each dimension."""
+    counts = [-(-len(d) // s) for d, s in zip(dims, spacings, strict=True)]
+    number, stride = F.lit(0).cast("long"), 1
+    for d, s, n in reversed(list(zip(dims, spacings, counts, strict=True))):
+        number = number + F.floor(F.col(f"__place_{d.name}") / s).cast("long") * stride
+        stride *= max(1, n)
+    return number, [F.pmod(F.col(f"__place_{d.name}"), F.lit(s)).cast("long") for d, s in zip(dims, spacings, strict=True)], counts
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
+    """Of rows sorted by block (the first column), each block's number and other columns; rows without a first place only say that the block is there."""
+    number, held = None, []
+
+    def whole() -> tuple[int, list[pa.Array]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        table = table.filter(pc.is_valid(table.column(1)))
+        return number, [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[1:]]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        numbers = np.asarray(b.column(0))
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), b.num_rows]
+        for first, last in zip(edges, edges[1:]):
+            if int(numbers[first]) != number:
+                if held:
+                    yield whole()
+                number, held = int(numbers[first]), []
+            held.append(b.slice(first, last - first))
+    if held:
+        yield whole()
+
+
+def _corner(number: int, counts: Sequence[int], spacings: Sequence[int]) -> tuple[int, ...]:
+    out = []
+    for n, s in zip(reversed(counts), reversed(spacings)):
+        out.append(number % n * s)
+        number //= n
+    return tuple(reversed(out))
+
+
+def _values(column: pa.Array, kind: Any) -> np.ndarray:
+    """A block's values; missing numbers make it one of floats."""
+    return np.asarray(column.to_numpy(zero_copy_only=False)).astype(np.float64 if column.null_count and kind is not object else kind)
+
+
+def _dense(extent: Sequence[int], at: Sequence[np.ndarray], values: np.ndarray, fill: Any, kind: Any) -> np.ndarray:
+    kind = np.float64 if fill is None and kind is not object else values.dtype if len(values) else kind
+    out = np.full(extent, np.nan if fill is None and kind is not object else fill, dtype=kind)
+    out[tuple(at)] = values
+    return out
+
+
+def _blocked(x, spacings: Sequence[int], empty: bool) -> tuple[DataFrame, list[int]]:
+    """Stored cells with their block's number; with empty, a row for every block besides."""
+    number, places, counts = block_numbers(x.dims, spacings)
+    cells = placed(x.rows(), x.dims).select(number.alias("block"), *[p.alias(f"at{i}") for i, p in enumerate(places)], "value")
+    if empty:
+        total = int(np.prod(counts, dtype=object))
+        cells = cells.unionByName(x.spark.range(total).withColumnRenamed("id", "block"), allowMissingColumns=True)
+    return cells, counts
+
+
+def blocks(x, spacings: Sequence[int], sparse: bool = False) -> Iterator[tuple[tuple[int, ...], Any]]:
+    """Blocks of a regular grid in order, one at a time: the place of each one's corner, and its cells.
+
+    A block is a dense array, or with sparse the places in it (a row for each stored cell) and the values.
+    All blocks come from one pass over the cells: these are dealt to partitions by block, and the
+    partitions, of bounded extent, come to the driver one after the other.
+    """
+    shape, d, kind = [len(d) for d in x.dims], len(x.dims), DTYPES[x.type]
+    cells, counts = _blocked(x, spacings, False)
+    total = int(np.prod(counts, dtype=object))
+    if not total:
+        return
+    parts = max(1, min(total, STREAM_PARTS, max(x.spark.sparkContext.defaultParallelism, -(-x.size // STREAM_CELLS))))
+    dealt = cells.repartitionById(parts, F.floor(F.col("block") / (total / parts)).cast("int")) if parts > 1 else cells.coalesce(1)
+    schema = "block long, " + ", ".join(f"at{i} array<long>" for i in range(d)) + f", value array<{x.schema_type.simpleString()}>"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, columns in each_block(batches):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists], names=["block", *[f"at{i}" for i in range(d)], "value"])
+
+    fill, done = x.fill_value, 0
+
+    def made(number: int, at: list, values: list) -> tuple[tuple[int, ...], Any]:
+        corner = _corner(number, counts, spacings)
+        extent = [min(s, n - c) for s, n, c in zip(spacings, shape, corner, strict=True)]
+        at, values = [np.asarray(a, dtype=np.int64) for a in at], _values(pa.array(values), kind) if values else np.zeros(0, kind)
+        return corner, ((np.stack(at, axis=1), values) if sparse else _dense(extent, at, values, fill, kind))
+
+    for r in dealt.sortWithinPartitions("block").mapInArrow(packed, schema).toLocalIterator():
+        while done < r["block"]:
+            yield made(done, [[]] * d, [])
+            done += 1
+        yield made(r["block"], [r[f"at{i}"] for i in range(d)], r["value"])
+        done += 1
+    while done < total:
+        yield made(done, [[]] * d, [])
+        done += 1
+
+
+def apply_blocks(x, spacings: Sequence[int], fn, schema: str, sparse: bool = False, empty: bool = True) -> DataFrame:
+    """fn(corner, block) -> pandas frame, run on the executors for every block of a regular grid, empty ones too unless told otherwise.
+
+    A block is as in blocks(). A task holds one block at a time.
+    """
+    shape, d = [len(d) for d in x.dims], len(x.dims)
     fill, kind = x.fill_value, DTYPES[x.type]
-    cells = placed(x.rows(), x.dims)
-    corners = [F.floor(F.col(f"__place_{n}") / s).cast("long").alias(f"__corner_{i}") for i, (n, s) in enumerate(zip(names, spacings, strict=True))]
-    cells = cells.select(*corners, *[f"__place_{n}" for n in names], "value")
-    counts = [-(-n // s) for n, s in zip(shape, spacings, strict=True)]
-    every, stride = x.spark.range(int(np.prod(counts, dtype=object))), int(np.prod(counts, dtype=object))
-    for i, n in enumerate(counts):
-        stride //= max(1, n)
-        every = every.withColumn(f"__corner_{i}", F.pmod(F.floor(F.col("id") / max(1, stride)), F.lit(max(1, n))).cast("long"))
-    cells = every.drop("id").join(cells, [f"__corner_{i}" for i in range(len(names))], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        corner = [int(pdf[f"__corner_{i}"].iloc[0]) * s for i, s in enumerate(spacings)]
-        out = np.full([min(s, n - c) for s, n, c in zip(spacings, shape, corner, strict=True)], fill, dtype=kind)
-        pdf = pdf[pdf[f"__place_{names[0]}"].notna()]
-        out[tuple(pdf[f"__place_{n}"].to_numpy().astype(np.int64) - c for n, c in zip(names, corner, strict=True))] = pdf["value"].to_numpy()
-        return fn(tuple(corner), out)
-
-    return cells.groupBy(*[f"__corner_{i}" for i in range(len(names))]).applyInPandas(run, schema)
+    cells, counts = _blocked(x, spacings, empty)
+    spacings = list(spacings)
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, columns in each_block(batches):
+            corner = _corner(number, counts, spacings)
+            at, values = [np.asarray(c) for c in columns[:d]], _values(columns[d], kind)
+            extent = [min(s, n - c) for s, n, c in zip(spacings, shape, corner, strict=True)]
+            out = fn(corner, (np.stack(at, axis=1), values) if sparse else _dense(extent, at, values, fill, kind))
+            yield from pa.Table.from_pandas(out[arrow.names], arrow, preserve_index=False).to_batches()
+
+    return cells.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)

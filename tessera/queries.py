@@ -266,7 +266,8 @@ add(
     SELECT p_partkey AS r, round(coalesce(2 * (s - g * ln(g / al)), 0), 3) + 0.0 AS value FROM part LEFT JOIN e ON r = p_partkey CROSS JOIN a""",
 )
 for _family in ("binomial", "poisson"):
-    add(f"deviance_{_family}_blocks", lambda s, d, f=_family: rounded(block_row_deviances(ps(s, d), f, 30), digits=3), SQL[f"deviance_{_family}"])
+    add(f"deviance_{_family}_blocks", lambda s, d, f=_family: rounded(block_row_deviances(ps(s, d), f, (300, 30)), digits=3), SQL[f"deviance_{_family}"])
+    add(f"deviance_{_family}_dense_blocks", lambda s, d, f=_family: rounded(block_row_deviances(ps(s, d), f, (300, 30), as_sparse=False), digits=3), SQL[f"deviance_{_family}"])
 
 
 def _local_deviance(s: SparkSession, d: str, family: str, sparse: bool) -> DataFrame:
@@ -282,18 +283,18 @@ add("deviance_sparse_poisson", lambda s, d: _local_deviance(s, d, "poisson", Tru
 
 
 def _block_sums(s: SparkSession, d: str) -> DataFrame:
-    """Sum and number of cells of each block; most of the later ones have no stored cells."""
-    x = ps(s, d)[:, :3] + 1
+    """Sum and number of cells of each block."""
+    x = ps(s, d) + 1
     fn = lambda corner, block: pd.DataFrame({"p0": [corner[0]], "p1": [corner[1]], "cells": [block.size], "total": [float(block.sum())]})
-    return rounded(apply_blocks(x, (5, 2), fn, "p0 long, p1 long, cells long, total double"), "total")
+    return rounded(apply_blocks(x, (50, 7), fn, "p0 long, p1 long, cells long, total double"), "total")
 
 
 add(
     "block_sums",
     _block_sums,
-    f"""WITH {X}, m AS (SELECT min(p_partkey) AS r0, count(*) AS nr FROM part), k AS (SELECT min(s_suppkey) AS c0 FROM supplier),
-    b AS (SELECT (r - r0) // 5 * 5 AS p0, (c - c0) // 2 * 2 AS p1, sum(v) AS t FROM x CROSS JOIN m CROSS JOIN k WHERE c - c0 < 3 GROUP BY 1, 2),
-    g AS (SELECT i * 5 AS p0, j * 2 AS p1, least(5, nr - i * 5) * least(2, 3 - j * 2) AS cells FROM m, unnest(range(0, (nr + 4) // 5)) AS a(i), unnest(range(0, 2)) AS c(j))
+    f"""WITH {X}, m AS (SELECT min(p_partkey) AS r0, count(*) AS nr FROM part), k AS (SELECT min(s_suppkey) AS c0, count(*) AS nc FROM supplier),
+    b AS (SELECT (r - r0) // 50 * 50 AS p0, (c - c0) // 7 * 7 AS p1, sum(v) AS t FROM x CROSS JOIN m CROSS JOIN k GROUP BY 1, 2),
+    g AS (SELECT i * 50 AS p0, j * 7 AS p1, least(50, nr - i * 50) * least(7, nc - j * 7) AS cells FROM m, k, unnest(range(0, (nr + 49) // 50)) AS a(i), unnest(range(0, (nc + 6) // 7)) AS c(j))
     SELECT p0, p1, cells, CAST(coalesce(t, 0) + cells AS DOUBLE) AS total FROM g LEFT JOIN b USING (p0, p1)""",
 )
 
