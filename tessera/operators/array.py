@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric as N
-from ..plans.dims import Dim, as_levels, discover, grid, small
+from ..plans.dims import Dim, LevelTable, as_levels, discover, grid, small
 
 #: Element types by Spark type, with the value of a cell that is not stored.
 TYPES = {
@@ -48,7 +48,7 @@ class CoordArray:
     value: Column
     fill: Column
     drop: bool = False
-    tables: dict[str, tuple[str, dict[Any, int]]] = field(default_factory=dict)  # dimension -> (group column, key -> group)
+    tables: dict[str, tuple[str, Any]] = field(default_factory=dict)  # dimension -> (group column, key -> group, as a mapping or a table)
 
     def __post_init__(self) -> None:
         if not self.dims:
@@ -63,7 +63,8 @@ class CoordArray:
         value: a column's name, or an expression. dims: key columns' names, whose keys are then
         taken from the data in ascending order, or a mapping to their keys (a sequence, or a
         mapping of labels to keys, or a Dim). type: an element type to cast to. dim_tables: for
-        partitioned tables, the group of every key of a dimension, for pruning.
+        partitioned tables, the group of every key of a dimension, for pruning: a mapping, or a table
+        of the key and its group.
         """
         value = F.col(value) if isinstance(value, str) else value
         if not isinstance(value, Column):
@@ -158,13 +159,21 @@ class CoordArray:
         return replace(self, dims=tuple(replace(d, labels=None if names[d.name] is None else tuple(map(str, names[d.name]))) if d.name in names else d for d in self.dims))
 
     @property
-    def dim_tables(self) -> dict[str, tuple[str, dict[Any, int]]]:
+    def dim_tables(self) -> dict[str, tuple[str, Any]]:
         return dict(self.tables)
 
-    def with_dim_tables(self, tables: dict[str, dict[Any, int] | None], suffix: str = "_group") -> CoordArray:
-        for name in tables:
+    def with_dim_tables(self, tables: dict[str, dict[Any, int] | DataFrame | None], suffix: str = "_group") -> CoordArray:
+        made = {}
+        for name, table in tables.items():
             self.dim(name)
-        return replace(self, tables={n: (n + suffix, dict(t)) for n, t in tables.items() if t is not None})
+            if isinstance(table, DataFrame):
+                other = [c for c in table.columns if c != name]
+                if name not in table.columns or len(other) != 1:
+                    raise ValueError(f"a dimension table needs the key '{name}' and one more column, its group")
+                made[name] = (name + suffix, table.select(name, F.col(other[0]).alias(name + suffix)))
+            elif table is not None:
+                made[name] = (name + suffix, dict(table))
+        return replace(self, tables=made)
 
     def dim(self, name: str) -> Dim:
         for d in self.dims:
@@ -251,7 +260,8 @@ class CoordArray:
                 raise IndexError(f"'{d.name}' has {len(d)} levels, not {len(index)}")
             return [i for i, use in enumerate(index) if use]
         if any(isinstance(i, str) for i in index):
-            names = {str(n): i for i, n in enumerate(d.names())}
+            by_table = d.labels is None and isinstance(d.levels, LevelTable)
+            names = d.levels.find(index) if by_table else {str(n): i for i, n in enumerate(d.names())}
             missing = [i for i in index if i not in names]
             if missing:
                 raise IndexError(f"'{d.name}' has no level {missing[0]!r}")
@@ -264,11 +274,11 @@ class CoordArray:
     def _repeated(self, name: str, places: list[int]) -> CoordArray:
         """A subset that holds levels more than once: keyed anew, by place."""
         d = self.dim(name)
-        keys = [d.levels[p] for p in places]
+        keys = d.keys_at(places)
         table = self.spark.createDataFrame([(k, i) for i, k in enumerate(keys)], T.StructType([T.StructField(name, d.type), T.StructField("__new", T.LongType())]))
         cells = self.rows("__value").join(small(table, len(keys)), name).drop(name).withColumnRenamed("__new", name)
-        names = d.names()
-        new = Dim(name, range(len(keys)), T.LongType(), tuple(str(names[p]) for p in places), False)
+        names = keys if d.labels is None else [d.labels[p] for p in places]
+        new = Dim(name, range(len(keys)), T.LongType(), tuple(map(str, names)), False)
         dims = tuple(new if x.name == name else replace(x, restricted=False) for x in self.dims)
         return replace(self, df=cells, dims=dims, value=F.col("__value"), tables={})
 
@@ -411,7 +421,12 @@ class CoordArray:
         df = self.df
         for name, (column, groups) in self.tables.items():
             d = self.dim(name)
-            if d.restricted and column in df.columns:
+            if not d.restricted or column not in df.columns:
+                continue
+            if isinstance(groups, DataFrame):
+                # a broadcast of the wanted groups, whose filter prunes partitions at run time
+                df = df.join(small(d.within(groups).select(column).distinct(), len(d)), column, "left_semi")
+            elif not isinstance(d.levels, LevelTable):
                 wanted = sorted({groups[k] for k in d.levels if k in groups})
                 if len(wanted) < len(set(groups.values())):
                     df = df.where(F.col(column).isin(wanted))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..plans.dims import small
+from ..plans.dims import small, spread_join
 from .matrix import sides
 from .realize import block_numbers, each_block, placed
 
@@ -33,7 +33,7 @@ def row_deviances(x, family: str = "binomial", name: str = "value") -> DataFrame
     ln = lambda v: F.ln(F.when(v > 0, v))
     term = lambda v: F.when((v > 0) & (n > 0), v * ln(v / n)).otherwise(0.0)
     some = lambda v: F.when((v > 0) & (n > 0), v).otherwise(0.0)
-    joined = cells.join(small(per_col, len(col)), col.name)
+    joined = spread_join(cells, per_col, [col.name], len(col), "inner")
     if family == "poisson":
         # sizes are exp(ln n - m), with m the mean of ln n over the columns
         each = joined.groupBy(row.name).agg(F.sum("x").alias("g"), F.sum(term(x_)).alias("s"), F.sum(some(x_)).alias("w"))
@@ -78,7 +78,8 @@ def block_row_deviances(x, family: str = "binomial", spacing: int | tuple[int, i
     # the whole's total, the mean logarithm of library sizes, and the sum of sizes: one row
     whole = n.agg(F.sum("n").alias("t"), F.avg(F.ln("n")).alias("m")).select(F.struct("t", "m", (F.col("t") / F.exp("m")).alias("sizes"))).scalar()
     binomial = family == "binomial"
-    cells = cells.join(small(n, len(col)), col.name).join(small(g, len(row)), row.name).withColumn("of", whole)
+    cells = spread_join(cells, n, [col.name], len(col), "inner")
+    cells = spread_join(cells, g, [row.name], len(row), "inner").withColumn("of", whole)
     cells = placed(cells, (row, col))
     number, (i, j), counts = block_numbers((row, col), spacing)
     fields = [number.alias("block"), i.alias("i"), j.alias("j"), "v", "n", (F.col("g") / F.col("of.t")).alias("p"), (F.col("n") / F.exp("of.m")).alias("size")]

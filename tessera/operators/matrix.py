@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric as N
-from ..plans.dims import Dim, small
+from ..plans.dims import Dim, small, spread_join
 from . import tiles
 from .array import CoordArray
 
@@ -56,14 +56,13 @@ def _vector(x: CoordArray, d: Dim, y: Any, name: str) -> DataFrame:
     y = np.asarray(y, dtype=np.float64).ravel()
     if len(y) != len(d):
         raise ValueError("non-conformable arguments")
-    schema = T.StructType([T.StructField("__k", d.type), T.StructField(name, T.DoubleType())])
-    return small(x.spark.createDataFrame(list(zip(d.levels, y.tolist(), strict=True)), schema), len(y))
+    return d.valued(x.spark, y.tolist(), name).withColumnRenamed(d.name, "__k")
 
 
 def matvec(x: CoordArray, y: Any) -> CoordMatrix:
     """x %*% y for a vector: a matrix of one column, keyed __col__ = 1."""
     row, col = sides(x)
-    got = _cells(x, "__r", "__k", "__x").join(_vector(x, col, y, "__y"), "__k")
+    got = spread_join(_cells(x, "__r", "__k", "__x"), _vector(x, col, y, "__y"), ["__k"], len(col), "inner")
     got = got.groupBy(F.col("__r").alias(row.name)).agg(F.sum(F.col("__x") * F.col("__y")).alias("value"))
     return _made(got.withColumn("__col__", F.lit(1).cast("long")), row, Dim("__col__", range(1, 2)))
 
@@ -71,7 +70,7 @@ def matvec(x: CoordArray, y: Any) -> CoordMatrix:
 def vecmat(y: Any, x: CoordArray) -> CoordMatrix:
     """y %*% x for a vector: a matrix of one row, keyed __row__ = 1."""
     row, col = sides(x)
-    got = _cells(x, "__k", "__c", "__x").join(_vector(x, row, y, "__y"), "__k")
+    got = spread_join(_cells(x, "__k", "__c", "__x"), _vector(x, row, y, "__y"), ["__k"], len(row), "inner")
     got = got.groupBy(F.col("__c").alias(col.name)).agg(F.sum(F.col("__x") * F.col("__y")).alias("value"))
     return _made(got.withColumn("__row__", F.lit(1).cast("long")), Dim("__row__", range(1, 2)), col)
 
@@ -83,10 +82,9 @@ def _from_dense(x: CoordArray, y: np.ndarray, shared: Dim, other: str, transpose
     if y.shape[0] != len(shared):
         raise ValueError("non-conformable arguments")
     at = np.argwhere(y != 0)
-    schema = T.StructType([T.StructField(shared.name, shared.type), T.StructField(other, T.LongType()), T.StructField("value", T.DoubleType())])
-    rows = [(shared.levels[i], int(j) + 1, float(y[i, j])) for i, j in at]
-    df = small(x.spark.createDataFrame(rows, schema), len(rows))
-    return CoordMatrix(df, (shared, Dim(other, range(1, y.shape[1] + 1))), F.col("value"), F.lit(0.0))
+    rows = [(int(i), int(j) + 1, float(y[i, j])) for i, j in at]
+    df = small(x.spark.createDataFrame(rows, T.StructType([T.StructField("__at", T.LongType()), T.StructField(other, T.LongType()), T.StructField("value", T.DoubleType())])), len(rows))
+    return CoordMatrix(_keyed(df, shared, "__at", shared.name), (replace(shared, restricted=False), Dim(other, range(1, y.shape[1] + 1), restricted=False)), F.col("value"), F.lit(0.0))
 
 
 def _placed(cells: DataFrame, d: Dim, key: str, place: str) -> DataFrame:
@@ -134,9 +132,7 @@ def _product(a: CoordArray, b: CoordArray) -> CoordMatrix:
         raise ValueError("non-conformable arguments")
     left, right = _cells(a, "__r", "__k", "__x"), _cells(b, "__k", "__c", "__y")
     if ca.levels != rb.levels:  # other keys for the same places
-        pairs = list(zip(rb.levels, ca.levels, strict=True))
-        schema = T.StructType([T.StructField("__k", rb.type), T.StructField("__to", ca.type)])
-        right = right.join(small(a.spark.createDataFrame(pairs, schema), len(pairs)), "__k").drop("__k").withColumnRenamed("__to", "__k")
+        right = _keyed(_placed(right, rb, "__k", "__at"), ca, "__at", "__k")
     row, col = (ra.name, cb.name) if ra.name != cb.name else (ra.name + "_a", cb.name + "_b")
     got = left.join(right, "__k").groupBy(F.col("__r").alias(row), F.col("__c").alias(col)).agg(F.sum(F.col("__x") * F.col("__y")).alias("value"))
     return _made(got, replace(ra, name=row), replace(cb, name=col))

@@ -8,10 +8,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import numeric as N
-from ..plans.dims import small
+from ..plans.dims import spread_join
 
 FUNCTIONS = {"*": N.multiply, "/": N.divide, "%/%": N.floor_divide, "%%": N.floor_mod}
 
@@ -41,8 +40,7 @@ def sweep(x, margin: int | Sequence[int], stats: Any, fun: str = "*"):
         stats = [None if s is None else float(s) for s in stats]
         if len(dims) != 1 or len(stats) != len(dims[0]):
             raise ValueError("the length of STATS must equal the extent of MARGIN")
-        schema = T.StructType([T.StructField(keys[0], dims[0].type), T.StructField(name, T.DoubleType())])
-        table = x.spark.createDataFrame(list(zip(dims[0].levels, stats, strict=True)), schema)
-    joined = x.df.join(small(table, rows), keys, "left")
+        table = dims[0].valued(x.spark, stats, name)
+    joined = spread_join(x.df, table, keys, rows)
     out = replace(x, df=joined, value=FUNCTIONS[fun](N.number(x.value), F.col(name)), fill=F.lit(0.0))
     return out

@@ -35,8 +35,7 @@ def normalize(x: CoordMatrix, n_top: int) -> CoordMatrix:
     """
     scaled = x.sweep(1, x.col_sums(complete=False), "/")
     row = scaled.dims[0]
-    at = row.levels.index if isinstance(row.levels, range) else row.places.__getitem__
-    chosen = stored(scaled.subset(sorted(at(k) for k in top_rows(scaled, n_top)), None, drop=False).math("log1p"))
+    chosen = stored(scaled.subset(sorted(row.places_of(top_rows(scaled, n_top))), None, drop=False).math("log1p"))
     return chosen.sweep(0, chosen.row_sds(complete=False), "/")
 
 
