@@ -5,18 +5,19 @@ item ends the one before, cells and rows end and begin each other, what cannot s
 head ends it). Hidden parts are left
 out: scripts, styles, templates, the head, closed details, and what hidden attributes, inline
 styles or the page's own style sheets take away. Of style sheets, the properties display and
-visibility are read, for selectors of a tag, classes and an id together (no combinators or
-pseudo-classes), in the order of the cascade: !important, then specificity, then place. Rules
+visibility are read, in the order of the cascade: !important, then specificity, then place. Selectors
+may have combinators, attributes, escapes and the pseudo-classes of structure, :not, :is and :where;
+those with others (of a pointer, a state, or a pseudo-element) meet nothing on a page at rest. Rules
 in @media count if they hold for a screen SCREEN pixels wide. A visible part of a parent whose
 visibility is hidden shows. All else is kept, menus and footers too.
 
-Blocks stand on lines of their own with blank lines around paragraphs, headings, lists and
+Blocks (by tag, or by a display that says so) stand on lines of their own with blank lines around paragraphs, headings, lists and
 tables; list items get marks (value, start and reversed count) and indents; table cells are
 padded to columns, spans over rows and columns included, with East Asian wide characters
 counted as two columns; preformatted text keeps its spaces. Tree and layout use explicit
 stacks, so deep nesting and very long pages are fine.
 
-Null pages give null, empty ones and ones without visible text the empty string, an empty
+A page that ends within a tag's attributes ends before that tag. Null pages give null, empty ones and ones without visible text the empty string, an empty
 table an empty result. Each row stands for itself, repeated ones too; ids may be null or
 repeat; other columns are ignored, whatever their names.
 """
@@ -43,12 +44,17 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DECLARED = re.compile(r"(?:^|[;\s{])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.IGNORECASE)
-_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_IDENT = r"(?:[\w-]|[^\x00-\x7F]|\\[0-9a-fA-F]{1,6}[ \t\n]?|\\[^\n])+"
+_SIMPLE = re.compile(
+    rf"(?P<tag>\*|{_IDENT})|(?P<mark>[.#])(?P<name>{_IDENT})|\[\s*(?P<attr>{_IDENT})\s*(?:(?P<how>[~|^$*]?=)\s*(?:\"(?P<v1>[^\"]*)\"|'(?P<v2>[^']*)'|(?P<v3>{_IDENT}))\s*(?P<case>[iIsS])?\s*)?\]"
+    r"|:(?P<pseudo>[a-zA-Z-]+)(?P<paren>\()?"
+)
+_ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})[ \t\n]?|(.))", re.DOTALL)
 _FEATURE = re.compile(r"\(\s*([\w-]+)\s*(?::\s*([\d.]+)\s*(px|r?em)?\s*|:\s*([\w-]+)\s*)?\)")
 SCREEN = 1280
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noframes noscript xmp".split())
-NEVER = frozenset("script style template head title noscript iframe noframes object svg math audio video canvas datalist".split())
+NEVER = frozenset("rp script style template head title noscript iframe noframes object svg math audio video canvas datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure xmp".split())
 BLOCKS = SPACED | frozenset("html body div section article header footer nav aside main address form fieldset legend li dt dd tr details summary dialog figcaption hr center menu hgroup search caption option textarea".split())
 #: Opening the first ends the nearest of the second, looking no further out than the third.
@@ -69,11 +75,206 @@ IN_HEAD = frozenset("base link meta noscript script style template title".split(
 SPACE, BREAK = "\x00", "\x01"  # kept space and line break; neither may stand in a page
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children")
+#: Values of display that make a block, and those that make none.
+MAKES_BLOCK = frozenset("block flex grid table list-item flow-root".split())
+MAKES_INLINE = frozenset("inline inline-block inline-flex inline-grid inline-table contents".split())
+
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+
+    def siblings(self) -> list[Node]:
+        """The elements among the parent's children, this one included."""
+        return [k for k in self.parent.children if not isinstance(k, str)] if self.parent else [self]
+
+
+def _plain(name: str) -> str:
+    """A name of a style sheet without its escapes."""
+    return _ESCAPE.sub(lambda m: (chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else "�") if m[1] else m[2], name) if "\\" in name else name
+
+
+def _parts(text: str, sign: str) -> list[str]:
+    """A text cut at a sign that stands outside of brackets and quotes."""
+    out, depth, quote, last = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == sign and not depth and (not i or text[i - 1] != "\\"):
+            out.append(text[last:i])
+            last = i + 1
+    return [*out, text[last:]]
+
+
+class Unread(Exception):
+    """A selector that no element of a still page meets, or that is not read."""
+
+
+class Compound:
+    """What one element must be: a tag, ids, classes, attributes and pseudo-classes."""
+
+    def __init__(self) -> None:
+        self.tag, self.names, self.tests, self.rank = "*", set(), [], (0, 0, 0)
+
+    def need(self, test, rank: tuple[int, int, int]) -> None:
+        self.tests.append(test)
+        self.more(rank)
+
+    def more(self, rank: tuple[int, int, int]) -> None:
+        self.rank = tuple(a + b for a, b in zip(self.rank, rank))
+
+    def holds(self, node: Node, own: set[str]) -> bool:
+        return self.tag in ("*", node.tag) and self.names <= own and all(t(node) for t in self.tests)
+
+
+def names_of(node: Node) -> set[str]:
+    own = {f".{c}" for c in node.attrs.get("class", "").split()}
+    if node.attrs.get("id"):
+        own.add("#" + node.attrs["id"])
+    return own
+
+
+def _attribute(name: str, how: str | None, value: str, fold: bool):
+    low = (lambda x: x.lower()) if fold else (lambda x: x)
+    value = low(value)
+
+    def test(node: Node) -> bool:
+        if name not in node.attrs or how is None:
+            return name in node.attrs
+        held = low(node.attrs[name])
+        if how == "=":
+            return held == value
+        if how == "~=":
+            return value in held.split()
+        if how == "|=":
+            return held == value or held.startswith(value + "-")
+        return bool(value) and {"^=": held.startswith, "$=": held.endswith, "*=": held.__contains__}[how](value)
+
+    return test
+
+
+def _nth(argument: str):
+    """Whether a number from 1 is one of an+b."""
+    argument = {"odd": "2n+1", "even": "2n"}.get(argument.strip().lower(), argument.replace(" ", "").lower())
+    m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|([+-]?\d+)", argument)
+    if not m:
+        raise Unread
+    a, b = (0, int(m[3])) if m[3] else (int(m[1] + "1") if m[1] in ("", "+", "-") else int(m[1]), int(m[2] or 0))
+    return lambda n: n == b if not a else (n - b) % a == 0 and (n - b) // a >= 0
+
+
+def _pseudo(name: str, argument: str | None, into: Compound) -> None:
+    first = lambda n: n.siblings()[0] is n
+    last = lambda n: n.siblings()[-1] is n
+    one = lambda n, tag: [k for k in n.siblings() if k.tag == tag]
+    place = lambda ks, n: next(i for i, k in enumerate(ks, 1) if k is n)
+    plain = {
+        "first-child": first,
+        "last-child": last,
+        "only-child": lambda n: first(n) and last(n),
+        "first-of-type": lambda n: one(n, n.tag)[0] is n,
+        "last-of-type": lambda n: one(n, n.tag)[-1] is n,
+        "only-of-type": lambda n: len(one(n, n.tag)) == 1,
+        "root": lambda n: n.parent is None,
+        "empty": lambda n: not n.children,
+        "link": lambda n: n.tag == "a" and "href" in n.attrs,
+        "any-link": lambda n: n.tag == "a" and "href" in n.attrs,
+        "checked": lambda n: "checked" in n.attrs or (n.tag == "option" and "selected" in n.attrs),
+        "disabled": lambda n: "disabled" in n.attrs,
+        "enabled": lambda n: n.tag in ("button", "input", "select", "textarea", "option") and "disabled" not in n.attrs,
+    }
+    if argument is None and name in plain:
+        into.need(plain[name], (0, 1, 0))
+    elif argument is not None and name in ("not", "is", "where", "matches"):
+        inner = [Selector(x.strip()) for x in _parts(argument, ",")]
+        into.need((lambda n: not any(s.matches(n) for s in inner)) if name == "not" else (lambda n: any(s.matches(n) for s in inner)), (0, 0, 0))
+        if name != "where":
+            into.more(max(s.rank for s in inner))
+    elif argument is not None and name in ("nth-child", "nth-last-child", "nth-of-type", "nth-last-of-type"):
+        good = _nth(argument)
+        among = (lambda n: one(n, n.tag)) if "type" in name else (lambda n: n.siblings())
+        into.need(lambda n: good(place(among(n)[::-1] if "last" in name else among(n), n)), (0, 1, 0))
+    else:
+        raise Unread
+
+
+class Selector:
+    """Compounds with what stands between them, as read from a style sheet."""
+
+    def __init__(self, text: str):
+        self.compounds, self.between = [Compound()], []
+        at, fresh = 0, True
+        while at < len(text):
+            gap = re.compile(r"\s*([>+~])\s*|\s+").match(text, at)
+            if gap:
+                if fresh:
+                    raise Unread
+                self.between.append(gap[1] or " ")
+                self.compounds.append(Compound())
+                at, fresh = gap.end(), True
+                continue
+            m = _SIMPLE.match(text, at)
+            if not m or (m["tag"] and not fresh):
+                raise Unread
+            at, now, fresh = m.end(), self.compounds[-1], False
+            if m["tag"]:
+                now.tag = _plain(m["tag"]).lower()
+                now.more((0, 0, now.tag != "*"))
+            elif m["mark"]:
+                now.names.add(m["mark"] + _plain(m["name"]))
+                now.more((1, 0, 0) if m["mark"] == "#" else (0, 1, 0))
+            elif m["attr"]:
+                value = next((v for v in (m["v1"], m["v2"], m["v3"]) if v is not None), "")
+                now.need(_attribute(_plain(m["attr"]).lower(), m["how"], _plain(value), (m["case"] or "").lower() == "i"), (0, 1, 0))
+            else:
+                argument = None
+                if m["paren"]:
+                    argument = self._inner(text, at)
+                    at += len(argument) + 1
+                _pseudo(m["pseudo"].lower(), argument, now)
+        if fresh:
+            raise Unread
+        self.rank = tuple(sum(c.rank[i] for c in self.compounds) for i in range(3))
+
+    @staticmethod
+    def _inner(text: str, at: int) -> str:
+        depth = 1
+        for i in range(at, len(text)):
+            depth += (text[i] == "(") - (text[i] == ")")
+            if not depth:
+                return text[at:i]
+        raise Unread
+
+    def key(self) -> str:
+        """A name or tag that every element that it meets has."""
+        names = sorted(self.compounds[-1].names)
+        return names[0] if names else self.compounds[-1].tag
+
+    def matches(self, node: Node, own: set[str] | None = None) -> bool:
+        return self.compounds[-1].holds(node, names_of(node) if own is None else own) and self._before(node, len(self.between) - 1)
+
+    def _before(self, node: Node, i: int) -> bool:
+        if i < 0:
+            return True
+        sign, want = self.between[i], self.compounds[i]
+        if sign in "+~":
+            kin = node.siblings()
+            kin = kin[: next(k for k, x in enumerate(kin) if x is node)]
+            kin = kin[-1:] if sign == "+" else kin[::-1]
+        else:
+            kin, up = [], node.parent
+            while up is not None:
+                kin.append(up)
+                up = None if sign == ">" else up.parent
+        return any(want.holds(k, names_of(k)) and self._before(k, i - 1) for k in kin)
 
 
 def on_screen(media: str) -> bool:
@@ -103,7 +304,8 @@ class Styles:
     """Display and visibility of elements by the page's style sheets."""
 
     def __init__(self):
-        self.rules: dict[str, list] = {}  # by id, class or tag: what else must be there, and the declarations with their rank
+        self.rules: dict[str, list] = {}  # by id, class or tag: selectors, their rank, and what they declare
+        self.count = 0
 
     def read(self, sheet: str) -> None:
         sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL)
@@ -129,18 +331,16 @@ class Styles:
                 else:
                     body, at = sheet[at:], len(sheet)
                 if use and not kind and (said := _declared(body)):
-                    for select in head.split(","):
+                    for select in _parts(head, ","):
                         self._add(select.strip(), said)
 
     def _add(self, select: str, said: list[tuple[str, str, bool]]) -> None:
-        m = _SELECTOR.fullmatch(select)
-        if not m or not select:
+        try:
+            read = Selector(select)
+        except (Unread, RecursionError):
             return
-        tag, rest = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
-        ids, classes = [x for x in rest if x[0] == "#"], [x for x in rest if x[0] == "."]
-        key = (ids or classes or [tag])[0]
-        rank = (len(ids), len(classes), tag != "*", sum(map(len, self.rules.values())))
-        self.rules.setdefault(key, []).append((tag, set(rest), rank, said))
+        self.count += 1
+        self.rules.setdefault(read.key(), []).append((read, (*read.rank, self.count), said))
 
     def of(self, node: Node) -> dict[str, str]:
         """The values of display and visibility that an element is given itself."""
@@ -153,12 +353,10 @@ class Styles:
         if "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
             give("display", "none", (False, -1))
         if self.rules:
-            own = {f".{c}" for c in node.attrs.get("class", "").split()}
-            if node.attrs.get("id"):
-                own.add("#" + node.attrs["id"])
+            own = names_of(node)
             for key in (*own, node.tag, "*"):
-                for tag, needed, rank, said in self.rules.get(key, ()):
-                    if tag in ("*", node.tag) and needed <= own:
+                for selector, rank, said in self.rules.get(key, ()):
+                    if selector.matches(node, own):
                         for name, value, important in said:
                             give(name, value, (important, 0, *rank))
         if "style" in node.attrs:
@@ -189,7 +387,7 @@ def parse(page: str) -> tuple[Node, Styles]:
             pop()
 
     def push(tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -208,6 +406,8 @@ def parse(page: str) -> tuple[Node, Styles]:
             say(page[at])
             at += 1
             continue
+        if m["text"] == "<" and re.compile(r"</?[a-zA-Z][^\s>]*\s").match(page, at) and page.find(">", at) < 0 and page.find("<", at + 1) < 0:
+            break  # the page ends within a tag's attributes
         at = m.end()
         kind = m.lastgroup
         if kind == "text":
@@ -359,7 +559,7 @@ def _whole(node: Node, name: str, default: int, most: int) -> int:
 def render(root: Node, styles: Styles) -> str:
     """The laid out text of a tree."""
 
-    def finish(node: Node, items: list, mark: str) -> list:
+    def finish(node: Node, items: list, mark: str, display: str) -> list:
         """What a node gives to its parent, from what its children gave."""
         tag = node.tag
         if tag == "br":
@@ -389,24 +589,24 @@ def render(root: Node, styles: Styles) -> str:
         if tag in ("ul", "ol", "menu"):
             nested = [s if isinstance(s, str) else (False, s[1]) for s in items]
             return [(tag != "menu", _lines(nested))]
-        if tag in BLOCKS:
+        if tag in BLOCKS and display not in MAKES_INLINE:
             return [(tag in SPACED, _lines(items))]
-        return items
+        return [(False, _lines(items))] if display in MAKES_BLOCK else items
 
     def shown(node: Node) -> bool:
         return node.tag not in NEVER and styles.of(node).get("display") != "none"
 
     result: list = []
-    stack: list = [(root, iter(root.children), [], False, "", True)]
+    stack: list = [(root, iter(root.children), [], False, "", True, "")]
     count: list[list[int]] = []  # the next number and the step of each open list
     while stack:
-        node, children, items, pre, mark, seen = stack[-1]
+        node, children, items, pre, mark, seen, display = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
             if node.tag in ("ol", "ul", "menu"):
                 count.pop()
-            given = finish(node, items, mark)
+            given = finish(node, items, mark, display)
             if stack:
                 parent, into = stack[-1][0], stack[-1][2]
                 # a list within an item stands right below it
@@ -446,7 +646,7 @@ def render(root: Node, styles: Styles) -> str:
             kids = child.children
             if child.tag == "details" and "open" not in child.attrs:
                 kids = [k for k in kids if not isinstance(k, str)]
-            stack.append((child, iter(kids), [], pre or child.tag in ("pre", "textarea", "xmp"), own, visible))
+            stack.append((child, iter(kids), [], pre or child.tag in ("pre", "textarea", "xmp"), own, visible, style.get("display", "")))
     return "\n".join(_lines(result)).replace(SPACE, " ").replace(BREAK, "\n").strip("\n")
 
 

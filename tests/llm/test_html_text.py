@@ -89,3 +89,67 @@ def test_open_heads(page, text):
 )
 def test_visibility_and_spans(page, text):
     assert page_text(page) == text
+
+
+SELECTED = [
+    ("<style>.a .b{display:none}</style><div class=a><p class=b>no</p><p>yes</p></div><p class=b>kept</p>", "yes\n\nkept"),
+    ("<style>.a>.b{display:none}</style><div class=a><b class=b>no</b><i><b class=b>yes</b></i></div>", "yes"),
+    ("<style>p:not(.x){display:none}</style><p>no</p><p class=x>yes</p>", "yes"),
+    ("<style>h1+p,h2~i,a:hover{display:none}</style><h1>t</h1><p>no</p><p>yes</p><h2>u</h2>v<b>w</b><i>no</i><a>x</a>", "t\n\nyes\n\nu\n\nvwx"),
+    ("<style>ul>li:first-child,[data-x='a,b'],[lang|=de],[title^=no i]{display:none}</style><ul><li>no<li>yes</ul><p data-x='a,b'>no</p><b lang=de-AT>no</b><b title='NOT'>no</b>", "- yes"),
+    ("<style>li:nth-child(2n),li:nth-last-child(1){display:none}</style><ol><li>1<li>2<li>3<li>4<li>5</ol>", "1. 1\n2. 3"),
+    ("<style>:is(.a,.b):not(:is(p .c)){display:none}</style><b class=a>x</b><p><i class='b c'>y</i></p>", "y"),
+    (r"<style>.md\:hidden,#\31 0{display:none}</style><p class='md:hidden'>no</p><p id=10>no</p><p>y</p>", "y"),
+    ("<style>p::before,p:target,p:unknown(x){display:none}p .{display:none}</style><p>yes", "yes"),
+    ("<style>.a{display:none}div .a{display:inline}:where(#b){display:none}#b{display:block}</style><div>x<b class=a>y</b></div><i class=a>no</i><u id=b>z</u>", "xy\nz"),
+    ("<span style='display:block'>a</span>b<div style='display:inline'>c</div><div style='display:inline'>d</div>", "a\nbcd"),
+    ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+    ('abc<div class="x', "abc"),
+    ("abc<div class=x <b>d</b>", "abc<div class=x d"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SELECTED)
+def test_selectors_display_and_ends(page, text):
+    assert page_text(page) == text
+
+
+def test_words_equal_a_second_parser():
+    """All words of random pages in order, against the standard library's parser without a tree."""
+    import random
+    from html.parser import HTMLParser
+
+    from tessera.llm import html_text
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.NEVER:
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if self.hidden and self.hidden[-1] == tag:
+                self.hidden.pop()
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += data.split()
+
+    r = random.Random(3)
+    plain = ["p", "div", "b", "i", "span", "section", "h2", "ul", "li", "pre", "blockquote", "table", "tr", "td", "dl", "dt", "dd", "a", "em"]
+    for _ in range(300):
+        page, n = [], 0
+        for _ in range(r.randint(1, 60)):
+            n += 1
+            tag = r.choice(plain)
+            page.append(r.choice([f"<{tag} class='c{n}'>", f"<{tag}>", f"</{tag}>", f" w{n} ", f" w{n}&amp;x ", f"<script>no{n} < 3</script>", f"<style>.c{n - 1}{{color:red}}</style>", f"<!-- no{n} -->", "<br>", "<img alt=no>"]))
+        second = Words()
+        second.feed("".join(page))
+        second.close()
+        got = [w for w in page_text("".join(page)).split() if w != "-"]
+        assert sorted(got) == sorted(second.words), "".join(page)
+        if not any(t in "".join(page) for t in ("<table", "<tr", "<td")):
+            assert got == second.words, "".join(page)
