@@ -410,17 +410,23 @@ def removed(docs: DataFrame, length: int = 400, index_bytes: int = INDEX_BYTES,
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 h = _text_digests(Bytes(part.column(1)))
-                part = pa.RecordBatch.from_arrays([*part.columns, _binary(h)], names=["doc_id", "data", "text"])
-                yield part.filter(pa.array(has_bit(bits, h[:, 0])))
+                use = np.flatnonzero(has_bit(bits, h[:, 0]))
+                # copies that come together are one row, so a text that fills the table moves and is cut few times
+                _, first, which = np.unique(h[use], axis=0, return_index=True, return_inverse=True)
+                order = np.argsort(which.ravel(), kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(first)))]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), part.column(0).take(pa.array(use[order])))
+                yield pa.RecordBatch.from_arrays([ids, part.column(1).take(pa.array(use[first])), _binary(h[use[first]])], names=["doc_ids", "data", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, data, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append(_row(doc, (data or "").encode(), _merged(starts or [], stops or [])))
+            for docs_of, data, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = _row(None, (data or "").encode(), _merged(starts or [], stops or []))
+                rows += [(doc, *row[1:]) for doc in docs_of]
             yield _results(rows)
 
-    with_spans = docs.mapInArrow(hit, "doc_id long, data string, text binary").join(spans, "text", "left").select("doc_id", "data", "starts", "stops")
+    with_spans = docs.mapInArrow(hit, "doc_ids array<long>, data string, text binary").join(spans, "text", "left").select("doc_ids", "data", "starts", "stops")
     return docs.mapInArrow(without, RESULT).unionByName(with_spans.mapInArrow(cut, RESULT))
 
 

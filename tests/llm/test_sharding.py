@@ -92,7 +92,7 @@ def test_many_equal_sizes_and_a_long_text(spark):
     sizes = Counter()
     for x in out:
         sizes[x.shard] += x.size
-    # the copies are more than a fifth, so they stand alone and the rest is even
-    assert sorted(sizes.values()) == [7000, 7000, 7000, 7000, 8400]
+    # the copies are more than a fifth, so they stand alone; of the others, 1,999 with 14 bytes each, a row is missing in one shard
+    assert sorted(sizes.values()) == [6986, 7000, 7000, 7000, 8400]
     out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 5, slot_rows=50).collect()
     assert {x.size for x in out if x.doc_id == 1} == {14, 400_008} and len(out) == 2701
