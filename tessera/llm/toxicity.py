@@ -1,10 +1,11 @@
 """A toxicity classifier whose score does not follow which group a sentence names.
 
-Logistic regression on the presence of words and word beginnings. Candidate features
-are counted over the training rows in Spark and the most telling ones are kept, a
-bounded number. Every training sentence that names a group is also read with the
-group's term swapped for another of its set; the squared change of the score between
-the two is penalised beside the weights' size, so the terms themselves carry no score.
+Logistic regression on the presence of words and word beginnings. Features are counted
+over the training rows in Spark; which of them carry weight is settled by a penalty on
+the weights' absolute values, without a fixed number. Every training sentence that names
+a group is also read with the group's term swapped for another of its set; the squared
+change of the score between the two is penalised too, so the terms themselves carry no
+score.
 
 Training reads a bounded sample: at most `sample` labelled rows, the first by a hash of
 their id. Scoring reads every whole text: words are hashed in numpy and looked up in one
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,33 +128,87 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, twins: dict[int, np.ndarray], n_features: int, swap_penalty: float = 10.0, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient steps; x and twins hold the feature indices of each row."""
-    rows = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    cols = np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)
-    pair_rows = np.concatenate([np.full(len(x[i]) + len(t), k) for k, (i, t) in enumerate(twins.items())] or [np.zeros(0, np.int64)]).astype(np.int64)
-    pair_cols = np.concatenate([np.concatenate([x[i], t]) for i, t in twins.items()] or [np.zeros(0, np.int64)]).astype(np.int64)
-    sign = np.concatenate([np.concatenate([np.ones(len(x[i])), -np.ones(len(t))]) for i, t in twins.items()] or [np.zeros(0)])
-    w, b, n = np.zeros(n_features), 0.0, max(1, len(y))
-    first, second, bias_first, bias_second = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
-    for k in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], len(x)) + b
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.bincount(cols, error[rows], n_features) / n + l2 * w
-        if twins:
-            change = np.bincount(pair_rows, sign * w[pair_cols], len(twins))
-            grad += swap_penalty / len(twins) * np.bincount(pair_cols, sign * change[pair_rows], n_features)
-        grad_b = error.mean() if len(y) else 0.0
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        bias_first, bias_second = 0.9 * bias_first + 0.1 * grad_b, 0.99 * bias_second + 0.01 * grad_b**2
-        rate = 0.2 * min(1, 2 * (1 - k / (steps + 1)))
-        w = w - rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-6)
-        b = b - rate * (bias_first / (1 - 0.9**k)) / (np.sqrt(bias_second / (1 - 0.99**k)) + 1e-6)
+class _Cells:
+    """Rows of feature indices, whose products are made in stretches of about a million cells."""
+
+    def __init__(self, rows: pa.ListArray, n_features: int):
+        self.ends = np.asarray(rows.offsets).astype(np.int64) - rows.offsets[0].as_py()
+        self.cols, self.n_features = np.asarray(rows.flatten()), n_features
+
+    def _stretches(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        a, n = 0, len(self.ends) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.ends, self.ends[a] + 1_000_000, "right")) - 1)
+            yield a, b, np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1])), self.cols[self.ends[a] : self.ends[b]]
+            a = b
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(np.bincount(row, w[cols], b - a) for a, b, row, cols in self._stretches())])
+
+    def tdot(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n_features)
+        for a, b, row, cols in self._stretches():
+            out += np.bincount(cols, v[a:b][row], self.n_features)
+        return out
+
+
+def fit(rows: pa.Table, n_features: int, swap_penalty: float, l1: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated proximal steps; rows: row, label, twin and ats, the feature indices.
+
+    What is least: the mean log loss, swap_penalty / 2 times the mean squared change of a
+    sentence's sum under a swap, and l1 times the sum of the weights' absolute values.
+    """
+    rows = rows.sort_by("row").combine_chunks()
+    parts = [rows.filter(pa.compute.equal(rows["twin"], twin)).combine_chunks() for twin in (False, True)]
+    # No chunks are left where a table has no rows.
+    lists = [t["ats"].chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int32())) for t in parts]
+    x, other = (_Cells(v, n_features) for v in lists)
+    y = (np.asarray(parts[0]["label"]) > 0).astype(float)
+    at = np.searchsorted(np.asarray(parts[0]["row"]), np.asarray(parts[1]["row"]))
+    n, pull = len(y), swap_penalty / max(1, len(at))
+
+    def back(error: np.ndarray, change: np.ndarray) -> np.ndarray:
+        whole = error.copy()
+        whole[at] += change
+        return x.tdot(whole) - other.tdot(change)
+
+    def changes(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return z[at] - other.dot(w)
+
+    # The largest curvature, by power steps over weights and bias.
+    v, v0, bend = np.ones(n_features), 1.0, 1.0
+    for _ in range(20):
+        size = np.sqrt(v @ v + v0 * v0)
+        v, v0 = v / size, v0 / size
+        z = x.dot(v)
+        flat = (z + v0) / (4 * n)
+        v, v0 = back(flat, pull * changes(z, v)), flat.sum()
+        bend = np.sqrt(v @ v + v0 * v0)
+    rate = 1 / (1.1 * bend)
+    w, b, t = np.zeros(n_features), float(np.log(y.mean() / (1 - y.mean()))), 1.0
+    u, u0 = w, b
+    for _ in range(steps):
+        z = x.dot(u)
+        error = (1 / (1 + np.exp(-np.clip(z + u0, -30, 30))) - y) / n
+        w2 = u - rate * back(error, pull * changes(z, u))
+        w2 = np.sign(w2) * np.maximum(np.abs(w2) - rate * l1, 0)
+        b2 = u0 - rate * error.sum()
+        if (u - w2) @ (w2 - w) > 0:  # the momentum points uphill
+            t = 1.0
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        u, u0 = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        w, b, t = w2, b2, t2
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: int = 2_000, least_rows: int = 5, swap_penalty: float = 10.0) -> Model:
-    """A model of labels.toxic from at most sample rows of docs (doc_id, text) with a label (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_rows: int = 2, sparsity: float = 0.03, swap_penalty: float = 10.0) -> Model:
+    """A model of labels.toxic from at most sample rows of docs (doc_id, text) with a label (doc_id, toxic).
+
+    sparsity: the weight of the absolute values' penalty is this over the root of the rows'
+    number, so that few rows allow few features. A feature is a candidate if at least
+    least_rows rows have it, and its gradient at the model without features is over half
+    that penalty and over one standard deviation of what chance would give.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -163,27 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features:
     total = {bool(r["label"]): r["n"] for r in ids.groupBy((F.col("label") > 0).alias("label")).agg(F.countDistinct("doc_id").alias("n")).collect()}
     if not total.get(True) or not total.get(False):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 30.0 if total.get(True) else -30.0)
-    share = total[True] / (total[True] + total[False])
+    n = total[True] + total[False]
+    share, l1 = total[True] / n, sparsity / n**0.5
     counts = rows.mapInArrow(_counts, "feature long, n1 long, n0 long, twin boolean").groupBy("feature")
     counts = counts.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("twin").alias("twin")).where(F.col("n1") + F.col("n0") >= least_rows)
-    # How far a feature's count among toxic texts is from its share, in squared deviations.
-    expected = (F.col("n1") + F.col("n0")) * share
-    best = counts.withColumn("weight", (F.col("n1") - expected) ** 2 / expected).orderBy(F.desc("weight"), "feature").limit(n_features).collect()
+    # How far a feature's count among toxic texts is from its share; the gradient is this over n.
+    have = F.col("n1") + F.col("n0")
+    off = F.abs(F.col("n1") - have * share)
+    best = counts.where((off > n * l1 / 2) & (off > F.sqrt(have * share * (1 - share)))).select("feature").toArrow()["feature"]
     named, _ = features(pa.array([t for s in IDENTITIES for t in s]))
-    kept = {r["feature"] & (2**64 - 1) for r in best} | {int(h) for h in named}
-    keys = np.array(sorted(kept), np.uint64)
-    held = rows.mapInArrow(_held(keys), "row long, label int, twin boolean, ats array<int>").collect()  # the bounded sample
-    order = {r["doc_id"]: i for i, r in enumerate(ids.orderBy("doc_id").collect())}
-    x, y, other = [np.zeros(0, np.int64)] * len(order), np.zeros(len(order)), {}
-    for r in ids.collect():
-        y[order[r["doc_id"]]] = r["label"] > 0
-    for r in held:
-        if r["twin"]:
-            other[order[r["row"]]] = np.array(r["ats"], np.int64)
-        else:
-            x[order[r["row"]]] = np.array(r["ats"], np.int64)
-    weights, bias = fit(x, y, dict(sorted(other.items())), len(keys), swap_penalty)
-    return Model(keys, weights, bias)
+    keys = np.unique(np.concatenate([np.asarray(best).astype(np.int64).view(np.uint64), named]))
+    held = rows.mapInArrow(_held(keys), "row long, label int, twin boolean, ats array<int>").toArrow()  # the bounded sample
+    weights, bias = fit(held, len(keys), swap_penalty, l1)
+    used = weights != 0
+    return Model(keys[used], weights[used], bias)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
