@@ -12,7 +12,8 @@ the vectors as given.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do rows without an id; a query meets only vectors of its own dimension. Rows that repeat
-both id and vector count once. Ties go to the smaller id. Other columns are ignored.
+both id and vector count once. Ties go to the smaller id. An empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
