@@ -118,6 +118,34 @@ def test_more_rows_than_a_square_allows(spark):
     assert loadings.shape == (5000, 3)
 
 
+@pytest.mark.parametrize("centre", [True, False])
+def test_few_columns_send_nothing_tall_to_the_driver(spark, centre, monkeypatch):
+    """A budget of 4 kB holds no block of 700 rows; values, scores and vectors are those of a dense decomposition."""
+    from tessera.operators import svd as S
+
+    r = np.random.default_rng(10)
+    a = np.round(r.normal(size=(700, 6)) * (r.random((700, 6)) < 0.6), 2)
+    a[5] = 0
+    with monkeypatch.context() as m:
+        m.setattr(S, "DRIVER_BYTES", 4096)
+        got = svd(made(spark, a), 6, centre)
+        scores = np.zeros((6, 6))
+        for x in got.scores().collect():
+            scores[x.c - 1, x.number - 1] = x.value
+        with pytest.raises(ValueError, match="do not fit"):
+            got.u
+        table = got.vectors().collect()
+    c = a - a.mean(axis=1, keepdims=True) if centre else a
+    np.testing.assert_allclose(got.d, np.linalg.svd(c)[1], rtol=1e-8, atol=1e-6)
+    np.testing.assert_allclose(scores, c.T @ got.u, atol=1e-6)
+    u = np.zeros((700, 6))
+    for x in table:
+        u[x.r - 1, x.number - 1] = x.value
+    np.testing.assert_allclose(u, got.u, atol=1e-12)
+    np.testing.assert_allclose(u.T @ u, np.diag([1.0] * 5 + [0.0 if centre else 1.0]), atol=1e-8)
+    assert all(u[np.abs(u[:, i]).argmax(), i] >= 0 for i in range(6))
+
+
 def test_dropped_slices_are_matrices(spark):
     a = np.random.default_rng(4).integers(0, 4, (4, 3, 2)).astype(float)
     x = from_numpy(spark, a, ["i", "j", "k"])
