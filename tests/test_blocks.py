@@ -111,3 +111,16 @@ def test_deviances_of_long_rows_keep_to_the_budget(spark):
     one = block_row_deviances(x, "poisson", block_bytes=1 << 20).where("value <> 0")
     two = row_deviances(x, "poisson").withColumnRenamed("value", "other").where("other <> 0")
     assert one.join(two, "r").where("abs(value - other) < 1e-9").count() == one.count() == two.count() > 3000
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_blocks_without_a_cell_cost_nothing(spark, sparse):
+    """Two million rows by a million columns in blocks of 2 by 2: half a billion blocks, of which 600 have a cell."""
+    df = spark.range(600).selectExpr("id * 3000 + 1 AS r", "id * 1500 + 1 AS c", "CAST(id % 3 + 1 AS double) AS v")
+    x = CoordArray.from_coo(df, "v", {"r": range(1, 2_000_001), "c": range(1, 1_000_001)})
+    from tessera.operators.deviance import row_deviances
+
+    for family in ("binomial", "poisson"):
+        one = block_row_deviances(x, family, (2, 2), as_sparse=sparse)
+        two = row_deviances(x, family).withColumnRenamed("value", "other")
+        assert one.join(two, "r").where("abs(value - other) < 1e-9 and (value <> 0 or r % 3000 <> 1 or r > 1800000)").count() == 2_000_000
