@@ -161,3 +161,53 @@ def test_dropped_slices_are_matrices(spark):
         x.as_matrix()
     with pytest.raises(ValueError, match="two dimensions"):
         x.T
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_cells_go_only_to_tiles_with_partners(spark, two):
+    """Fifty groups that share no key: a cell is sent to its own tile, not to all 50 of its row."""
+    r = np.random.default_rng(12)
+    cells = [(g * 4 + k, g * 8 + p, float(r.integers(1, 9))) for g in range(50) for k in range(4) for p in range(8) if r.random() < 0.6]
+    left = spark.createDataFrame(cells, "k long, p long, v double")
+    a = np.zeros((400, 200))
+    for k, p, v in cells:
+        a[p, k] = v
+    rows = tiles.product(left, left if two else None, (400, 400), 8, 1, partners=True)
+    got = np.zeros((400, 400))
+    for x in tiles.opened(rows).collect():
+        got[x.a, x.b] = x.value
+    np.testing.assert_allclose(got, a @ a.T)
+    sent = spark.sparkContext.accumulator(0)
+    whole = tiles._multiply
+
+    def counted(*options):
+        run = whole(*options)
+
+        def each(batches):
+            def seen():
+                for b in batches:
+                    sent.add(b.num_rows)
+                    yield b
+
+            return run(seen())
+
+        return each
+
+    tiles._multiply = counted
+    try:
+        tiles.product(left, left if two else None, (400, 400), 8, 1, partners=True).count()
+    finally:
+        tiles._multiply = whole
+    assert sent.value == len(cells) * (2 if two else 1)
+
+
+def test_products_of_many_pairs_go_by_tiles(spark, monkeypatch):
+    """A join that was not limited by its caller is no error, and arrays are multiplied by tiles."""
+    a = np.random.default_rng(13).integers(0, 4, (30, 9)).astype(float)
+    x = made(spark, a)
+    monkeypatch.setattr(M, "GRAM_PAIRS", 100)
+    monkeypatch.setattr(M.tiles, "SIDE", 2)
+    np.testing.assert_allclose(M.gram(x, "row", "join").to_numpy(), a.T @ a)
+    np.testing.assert_allclose((x @ x.T).to_numpy(), a @ a.T)
+    with pytest.raises(ValueError, match="does not scale"):
+        M.gram(x, "row", "join", limit=100)
