@@ -122,3 +122,33 @@ def test_stream(spark, a, tmp_path):
     query.awaitTermination(120)
     got = read_coo(spark, path).to_numpy()
     assert got.shape == (50, 8) and sorted([got[:, :4].sum().round(6), got[:, 4:].sum().round(6)]) == sorted([a[:, :4].sum().round(6), a[:, 4:].sum().round(6)])
+
+
+@pytest.mark.parametrize("options", [{"single": True}, {"single": True, "cluster_by": "hilbert"}, {"grid": (25, 8), "cluster_by": "hilbert"}, {"grid": (25, 8), "cluster_by": "zorder"}])
+def test_sorts_are_bounded_and_of_columns(spark, x, a, tmp_path, monkeypatch, options):
+    """A single file is sorted in ranges of 40 rows; curves are worked out before the sort; files are in order."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from tessera.sources import writer as W
+
+    plans, write = [], DataFrame.write.fget
+    monkeypatch.setattr(W, "SORT_ROWS", 40)
+    monkeypatch.setattr(type(x.df), "write", property(lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df)), raising=False)
+    path = str(tmp_path / "d")
+    write_coo(x, path, ["i", "j"], **options)
+    sort = next(line for line in plans[-1].splitlines() if "Sort [" in line)
+    assert "aggregate(" not in sort and "shiftleft" not in sort and "<<" not in sort and "__curve" not in plans[-1].splitlines()[0]
+    files = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+    assert (read_coo(spark, path).to_numpy() == a).all() and len(files) == (1 if "single" in options else 2)
+    if "single" in options:
+        assert f", {-(-int((a != 0).sum()) // 40)}" in next(line for line in plans[-1].splitlines() if "RepartitionByExpression" in line)
+    curve = {"hilbert": W.hilbert, "zorder": W.morton}.get(options.get("cluster_by"))
+    for f in files:
+        t = pq.ParquetFile(f).read().to_pandas()
+        if curve is None:
+            assert t[["j", "i"]].apply(tuple, axis=1).is_monotonic_increasing
+        else:
+            keys = {(r.i, r.j): r.d for r in spark.createDataFrame(t[["i", "j"]].astype("int64")).select("i", "j", curve([F.col("i"), F.col("j")], 6).alias("d")).collect()}
+            assert [keys[k] for k in zip(t.i, t.j)] == sorted(keys.values())
