@@ -8,14 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matrix as M
 from .operators.array import CoordArray
-from .operators.realize import blocks, to_coo, to_csc, to_numpy
+from .operators.realize import block_cells, block_totals
 from .operators.workflows import normalize, pca
 from .queries import _TOP, CUSTOMERS, ORD, PRIORITIES, QUERIES, SQL, STATUSES, X, _path, _tiles, add, ord3, ps, rounded
 from .sources.writer import side_info, write_coo
@@ -108,30 +106,24 @@ _PLACED = f"""WITH {ORD}, m AS (SELECT min(c_custkey) AS k0 FROM customer),
           FROM ({CUSTOMERS}) CROSS JOIN ({PRIORITIES}) CROSS JOIN ({STATUSES}) CROSS JOIN m)"""
 
 
-def _local(s: SparkSession, places: np.ndarray, values: np.ndarray) -> DataFrame:
-    table = pd.DataFrame({**{f"p{i}": at.astype(np.int64) for i, at in enumerate(places.T)}, "value": values.astype(np.float64)})
-    return rounded(s.createDataFrame(table))
+#: Blocks in which local forms are made: at most four million cells.
+_LONG, _ACROSS = 1 << 17, 32
 
 
-def _local_dense(s: SparkSession, d: str) -> DataFrame:
-    cells = to_numpy(ord3(s, d) + 1)
-    return _local(s, np.stack([i.ravel() for i in np.indices(cells.shape)], axis=1), cells.ravel())
-
-
-def _local_csc(s: SparkSession, d: str) -> DataFrame:
-    pointers, rows, values = to_csc(ps(s, d))
-    return _local(s, np.stack([rows, np.repeat(np.arange(len(pointers) - 1), np.diff(pointers))], axis=1), values)
+def _local(s: SparkSession, x: CoordArray, form: str) -> DataFrame:
+    """A local form, made of blocks that are long in the first dimension."""
+    rest = [min(len(q), _ACROSS) for q in x.dims[1:]]
+    return rounded(block_cells(x, (max(1, min(len(x.dims[0]), _LONG)), *rest), form))
 
 
 def _local_blocks(s: SparkSession, d: str) -> DataFrame:
     x = ps(s, d) + 1
-    rows = [(*corner, block.size, float(block.sum())) for corner, block in blocks(x, _tiles(x, 3, 2))]
-    return rounded(s.createDataFrame(rows, "p0 long, p1 long, cells long, total double"), "total")
+    return rounded(block_totals(x, _tiles(x, 3, 2)), "total")
 
 
-add("local_coo", lambda s, d: _local(s, *to_coo(ord3(s, d))), f"{_PLACED} SELECT p0, p1, p2, CAST(v AS DOUBLE) AS value FROM g JOIN x USING (k, p, s)")
-add("local_dense", _local_dense, f"{_PLACED} SELECT p0, p1, p2, CAST(coalesce(v, 0) + 1 AS DOUBLE) AS value FROM g LEFT JOIN x USING (k, p, s)")
-add("local_csc", _local_csc, f"WITH {X}, {EDGES} SELECT x.r - r0 AS p0, x.c - c0 AS p1, round(v, 6) AS value FROM x CROSS JOIN (SELECT lo AS r0 FROM r) CROSS JOIN (SELECT lo AS c0 FROM c)")
+add("local_coo", lambda s, d: _local(s, ord3(s, d), "coo"), f"{_PLACED} SELECT p0, p1, p2, CAST(v AS DOUBLE) AS value FROM g JOIN x USING (k, p, s)")
+add("local_dense", lambda s, d: _local(s, ord3(s, d) + 1, "dense"), f"{_PLACED} SELECT p0, p1, p2, CAST(coalesce(v, 0) + 1 AS DOUBLE) AS value FROM g LEFT JOIN x USING (k, p, s)")
+add("local_csc", lambda s, d: _local(s, ps(s, d), "csc"), f"WITH {X}, {EDGES} SELECT x.r - r0 AS p0, x.c - c0 AS p1, round(v, 6) AS value FROM x CROSS JOIN (SELECT lo AS r0 FROM r) CROSS JOIN (SELECT lo AS c0 FROM c)")
 add(
     "local_blocks",
     _local_blocks,

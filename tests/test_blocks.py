@@ -124,3 +124,26 @@ def test_blocks_without_a_cell_cost_nothing(spark, sparse):
         one = block_row_deviances(x, family, (2, 2), as_sparse=sparse)
         two = row_deviances(x, family).withColumnRenamed("value", "other")
         assert one.join(two, "r").where("abs(value - other) < 1e-9 and (value <> 0 or r % 3000 <> 1 or r > 1800000)").count() == 2_000_000
+
+
+def test_forms_and_totals_by_blocks_of_arrays_too_large_for_the_driver(spark, a):
+    """A billion cells: no block is made for what holds nothing, and local forms in blocks equal whole ones."""
+    from tessera.operators.realize import block_cells, block_totals
+
+    m = a.sum(axis=2)
+    x = from_numpy(spark, m, ["i", "j"])
+    for form in ("coo", "csc", "dense"):
+        got = np.zeros(m.shape)
+        for r in block_cells(x, (4, 3), form).collect():
+            got[r.p0, r.p1] += r.value
+        assert (got == m).all()
+    assert sorted(r.value for r in block_cells(x + 1, (4, 3), "dense").collect()) == sorted((m + 1).ravel())
+    got = {(r.p0, r.p1): (r.cells, r.total) for r in block_totals(x + 1, (4, 3)).collect()}
+    assert got == {(i, j): (b.size, b.sum() + b.size) for i in range(0, 11, 4) for j in range(0, 7, 3) for b in [m[i : i + 4, j : j + 3]]}
+    df = spark.range(40).selectExpr("id * 1000 AS i", "id * 600 AS j", "CAST(id + 1 AS double) AS v")
+    large = CoordArray.from_coo(df, "v", {"i": range(40_000), "j": range(25_000)})
+    for form in ("coo", "csc", "dense"):
+        assert block_cells(large, (500, 500), form).selectExpr("count(*)", "sum(value)").first()[:] == (40, 820)
+    assert block_totals(large + 1, (20_000, 25_000)).selectExpr("count(*)", "sum(total)").first()[:] == (2, 1_000_000_820)
+    with pytest.raises(ValueError, match="compressed"):
+        block_cells(x + 1, (4, 3), "csc")
