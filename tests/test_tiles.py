@@ -54,6 +54,35 @@ def test_a_hot_key_is_spread_and_nothing_is_joined(spark):
     assert rows.select(F.size("bs").alias("n")).agg(F.sum("n"), F.max("n"), F.count("n")).first()[:] == (16_000_000, 500, 32_000)
 
 
+@pytest.mark.parametrize("strings", [False, True])
+def test_sums_of_a_product_make_none_of_its_cells(spark, strings):
+    r = np.random.default_rng(11)
+    a = r.integers(-3, 4, (40, 23)) * (r.random((40, 23)) < 0.4) * 1.0
+    b = r.integers(-3, 4, (23, 9)) * 1.0
+    a[7], b[:, 2] = 0, 0  # a row and a column without cells
+    x = made(spark, a, strings)
+    value = lambda df: [row["value"] for row in df.orderBy(df.columns[0]).collect()]
+    for got, want in ((M.gram(x, "col", "tiled", side=64), a @ a.T), (M.tiled_matmul(x, made(spark, b), 8), a @ b)):
+        for side, axis in (("row", 1), ("col", 0)):
+            sums = got.margin("sums", side)
+            assert "MapInArrow" not in sums._jdf.queryExecution().executedPlan().toString()
+            assert value(sums) == want.sum(axis).tolist()
+    np.testing.assert_allclose(value(got.row_means()), want.mean(1))
+    # Other statistics, and arrays made from the product, take its cells.
+    assert value(got.col_maxs()) == want.max(0).tolist()
+    assert value((got * 2 + 1).row_sums()) == (want * 2 + 1).sum(1).tolist()
+    assert value(got[:, 2:6].row_sums()) == want[:, 2:6].sum(1).tolist()
+    assert value(got.T.row_sums()) == want.sum(0).tolist()
+    assert got.row_sums(name="total").columns[-1] == "total"
+    assert got.row_sums(complete=False).count() == 39
+
+
+def test_a_missing_value_makes_sums_of_a_product_nan(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (1, 1, 2.0), (2, 2, 3.0)], "r int, c int, v double")
+    got = M.gram(CoordArray.from_coo(cells, "v", {"r": range(3), "c": range(3)}), "col", "tiled")
+    assert [str(row["value"]) for row in got.row_sums().orderBy("r_a").collect()] == ["nan", "nan", "9.0"]
+
+
 def test_name_of_a_place_may_be_taken(spark):
     df = spark.createDataFrame([("x", "u", 2.0), ("y", "u", 3.0)], "p string, k string, v double")
     x = CoordArray.from_coo(df, "v", {"p": ["x", "y"], "k": ["u", "w"]})
