@@ -201,6 +201,19 @@ def fit(rows: pa.Table, n_features: int, swap_penalty: float, l1: float, steps:
     return w, float(b)
 
 
+def _fitted(n_features: int, swap_penalty: float, l1: float):
+    """ats, weights and bias of a fit to all rows that the task gets: the features whose weight is not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            weights, bias = fit(pa.Table.from_batches(rows), n_features, swap_penalty, l1)
+            at = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([weights[at]]), pa.array([bias])], names=["ats", "weights", "bias"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_rows: int = 2, sparsity: float = 0.03, swap_penalty: float = 10.0) -> Model:
     """A model of labels.toxic from at most sample rows of docs (doc_id, text) with a label (doc_id, toxic).
 
@@ -229,10 +242,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_rows:
     best = counts.where((off > n * l1 / 2) & (off > F.sqrt(have * share * (1 - share)))).select("feature").toArrow()["feature"]
     named, _ = features(pa.array([t for s in IDENTITIES for t in s]))
     keys = np.unique(np.concatenate([np.asarray(best).astype(np.int64).view(np.uint64), named]))
-    held = rows.mapInArrow(_held(keys), "row long, label int, twin boolean, ats array<int>").toArrow()  # the bounded sample
-    weights, bias = fit(held, len(keys), swap_penalty, l1)
-    used = weights != 0
-    return Model(keys[used], weights[used], bias)
+    # The bounded sample meets in one task, and the driver gets the weights only.
+    held = rows.mapInArrow(_held(keys), "row long, label int, twin boolean, ats array<int>").repartition(1)
+    got = held.mapInArrow(_fitted(len(keys), swap_penalty, l1), "ats array<long>, weights array<double>, bias double").toArrow()
+    at, weights = (np.asarray(got[c].combine_chunks().flatten()) for c in ("ats", "weights"))
+    return Model(keys[at], weights, got["bias"][0].as_py())
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, score_col: str = "score") -> DataFrame:

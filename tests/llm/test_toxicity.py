@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -106,3 +107,18 @@ def test_fit_is_at_the_least_of_its_objective():
     assert np.allclose(gradient[w != 0], -l1 * np.sign(w[w != 0]), atol=1e-5) and w[0] > 0 and w[3] > 0 and (w == 0).any()
     none, _ = X.fit(rows.filter(pa.compute.invert(rows["twin"])), m, swap, 1.0)
     assert (none == 0).all()
+
+
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    driver, fit = os.getpid(), X.fit
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    monkeypatch.setattr(X, "fit", elsewhere)
+    docs = [(i, "you idiot of a man" if i % 3 == 0 else "a calm and kind woman") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = X.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    toxic, calm = model(pa.array([docs[0][1], docs[1][1]]))
+    assert len(model.keys) and toxic > 0.5 > calm
