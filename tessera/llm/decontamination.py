@@ -42,6 +42,9 @@ from .common import Words, mix, slices, small_batches
 
 ANSWER_WORDS = 6
 RUN_WORDS = 13
+HEAD = 512  # columns with the most passages, multiplied as a dense matrix
+PART_ROWS = 4096
+PART_WORDS = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,8 +128,11 @@ class Benchmark:
                 last[d, i] = at
 
     def weigh(self, frequency: np.ndarray, passages: int) -> None:
-        """The columns' inverse document frequencies."""
+        """The columns' inverse document frequencies; which columns are frequent, and their places among these."""
         self.idf = np.log((1 + passages) / (1 + frequency)) + 0.1
+        self.head = np.argsort(-frequency, kind="stable")[:HEAD]
+        self.slot = np.full(len(frequency), -1)
+        self.slot[self.head] = np.arange(len(self.head))
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Unit and column of each column word of the units."""
@@ -164,37 +170,65 @@ def _frequencies(bench: Benchmark):
             for part in slices(batch):
                 w = Words(lowered(part.column(0)))
                 block, col, base, _ = bench.blocks(w, word_hashes(w))
-                counts += np.bincount(np.unique(_whole(block, base) * n + col) % n, minlength=n)
+                cells = np.sort(_whole(block, base) * n + col)
+                counts += np.bincount(cells[_firsts(cells)] % n, minlength=n)
                 total += int((-(-np.diff(base) // 2)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([*range(n), -1], pa.int32()), pa.array([*counts, total], pa.int64())], names=["col", "n"])
 
     return run
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """The places in ascending values where another one begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def _summed(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values by row; rows ascending."""
-    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    at = _firsts(row)
     return row[at], np.add.reduceat(values, at, axis=0) if len(at) else values[:0]
 
 
-def _gram(row: np.ndarray, col: np.ndarray, idf: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
+def _parts(bench: Benchmark, row: np.ndarray, col: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (ascending), PART_ROWS at a time, and the sums of their columns' values.
+
+    Besides, how often each holds each frequent column, and row within the part and column of the other column words.
+    """
+    first = np.append(_firsts(row), len(row))
+    often = values[bench.head]
+    for i in range(0, len(first) - 1, PART_ROWS):
+        bounds = first[i : i + PART_ROWS + 1]
+        own, n = col[bounds[0] : bounds[-1]], len(bounds) - 1
+        nth, slot = np.repeat(np.arange(n), np.diff(bounds)), bench.slot[own]
+        dense = slot >= 0
+        counts = np.zeros((n, len(often)), np.float32)
+        np.add.at(counts.reshape(-1), nth[dense] * len(often) + slot[dense], np.float32(1))
+        sums = counts @ often
+        rare, other = nth[~dense], own[~dense]
+        at, more = _summed(rare, values[other])
+        sums[at] += more
+        yield row[bounds[:-1]], sums, counts, rare, other
+
+
+def _gram(bench: Benchmark, row: np.ndarray, col: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
     """Adds A'(A omega) of TF-IDF rows; row ascending. weighted: omega times the columns' idf."""
-    _, y = _summed(row, weighted[col])
-    nth = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]])) if len(row) else row
-    order = np.argsort(col, kind="stable")
-    cols, sums = _summed(col[order], y[nth[order]])
-    into[cols] += sums * idf[cols, None]
+    idf = bench.idf.astype(into.dtype)[:, None]
+    for _, y, counts, rare, other in _parts(bench, row, col, weighted):
+        into[bench.head] += counts.T @ y * idf[bench.head]
+        order = np.argsort(other, kind="stable")
+        cols, sums = _summed(other[order], y[rare[order]])
+        into[cols] += sums * idf[cols]
 
 
 def _sketch(bench: Benchmark, omega: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, total = bench.idf.astype(np.float32), np.zeros(omega.shape, np.float32)
-        weighted = omega * idf[:, None]
+        total = np.zeros(omega.shape, np.float32)
+        weighted = omega * bench.idf.astype(np.float32)[:, None]
         for batch in batches:
             for part in slices(batch):
                 w = Words(lowered(part.column(0)))
                 block, col, base, _ = bench.blocks(w, word_hashes(w))
-                _gram(_whole(block, base), col, idf, weighted, total)
+                _gram(bench, _whole(block, base), col, weighted, total)
         used = np.flatnonzero(total.any(axis=1))
         bounds = np.arange(len(used) + 1, dtype=np.int32) * omega.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(total[used].ravel()))], names=["col", "v"])
@@ -248,12 +282,22 @@ def prepared(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int
     for r in parts.collect():  # one row for each column of the benchmark
         gram[r["col"]] = r["v"]
     own = np.zeros(omega.shape)
-    _gram(*bench.rows(), bench.idf, omega * bench.idf[:, None], own)
+    _gram(bench, *bench.rows(), omega * bench.idf[:, None], own)
     weight = 10 * max(1.0, np.linalg.norm(gram)) / max(1e-9, np.linalg.norm(own))
     basis, _ = singular_vectors(gram + weight * own, omega.astype(np.float64))
     return bench, (basis * bench.idf[:, None]).astype(np.float32)
 
 
+def _set_bits(bits: np.ndarray, row: np.ndarray, col: np.ndarray) -> None:
+    np.bitwise_or.at(bits.reshape(-1), row * bits.shape[1] + (col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits the rows have in common."""
+    a &= b
+    return np.bitwise_count(a).sum(axis=1, dtype=np.int64)
+
+
 class Finder:
     """Finds the units that texts hold."""
 
@@ -263,15 +307,18 @@ class Finder:
         self.latent = np.zeros((len(bench.units), basis.shape[1]), np.float32)
         if len(bench.units):
             unit, col = bench.rows()
-            at, sums = _summed(unit, basis[col])
-            self.latent[at] = sums
+            for at, sums, *_ in _parts(bench, unit, col, basis):
+                self.latent[at] = sums
             self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-9)
         # the columns of each unit as bits, and how many of them texts must have in common with it
         self.unit_bits = np.zeros((len(bench.units), -(-len(bench.columns) // 64)), np.uint64)
         if len(bench.units):
-            np.bitwise_or.at(self.unit_bits, (unit, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+            _set_bits(self.unit_bits, unit, col)
+            self.cells, self.times = np.unique(unit * len(bench.columns) + col, return_counts=True)
         n, different = np.array([len(u) for u in bench.units], np.int64), np.array([len(np.unique(u)) for u in bench.units], np.int64)
         answers = np.array([len(a) > 0 for a in bench.answers], bool)
+        self.sizes = n
+        self.near_share, self.far_share = np.where(n < 8, 1, np.where(answers, min(share, weak_share), share)), np.where(n < 8, 2, wide_share)
         self.least, self.least_wide = (np.where(n >= 8, s * n, n) - (n - different) for s in (np.where(answers, weak_share, share), wide_share))
         self.masks, self.answer_masks = ([self._masks(u) for u in of] for of in (bench.units, bench.answers))
         self.col_masks = [self._masks(np.searchsorted(bench.columns, u)) for u in bench.units]
@@ -283,30 +330,38 @@ class Finder:
             out[x] = out.get(x, 0) | 1 << i
         return out
 
-    def holds(self, near: np.ndarray, wide: np.ndarray, words: np.ndarray, unit: int) -> float:
+    def holds(self, near: list[int], wide: list[int], words: np.ndarray, unit: int) -> float:
         """The share of the unit that a passage covers in order, or 0 if that is too little.
 
-        near and wide: the columns of the words around it, and of those in a wide stretch; words: the hashes of the former's stretch.
+        near and wide: the unit's columns among the words around it, and in a wide stretch; words: the hashes of the former's stretch.
         """
+        # words of other units never lengthen a subsequence
         n, answer, masks = len(self.bench.units[unit]), len(self.bench.answers[unit]), self.col_masks[unit]
-        least = self.share if n >= 8 else 1
-        # words of other units never lengthen a subsequence, and it is no longer than the words that are left
-        own = self._own(near, unit)
-        if len(own) / n >= (min(least, self.weak_share) if n >= 8 and answer else least):
-            share = covered(own.tolist(), masks, n) / n
-            if share >= least:
+        if near:
+            share = covered(near, masks, n) / n
+            if share >= (self.share if n >= 8 else 1):
                 return share
             if n >= 8 and answer and share >= self.weak_share and covered(words.tolist(), self.answer_masks[unit], answer) >= self.answer_share * answer:
                 return share
-        if n >= 8:
-            own = self._own(wide, unit)
-            if len(own) / n >= self.wide_share and (share := covered(own.tolist(), masks, n) / n) >= self.wide_share:
-                return share
+        if wide and (share := covered(wide, masks, n) / n) >= self.wide_share:
+            return share
         return 0.0
 
-    def _own(self, cols: np.ndarray, unit: int) -> np.ndarray:
-        """Those of the columns that the unit has."""
-        return cols[(self.unit_bits[unit][cols >> 6] >> (cols & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    def _own(self, col: np.ndarray, low: np.ndarray, high: np.ndarray, unit: np.ndarray, least: np.ndarray) -> list[list[int]]:
+        """For stretches of columns, those of a unit; none if they, each as often as in the unit at most, are a smaller share of it than least."""
+        count = high - low
+        pair = np.repeat(np.arange(len(unit)), count)
+        cols = col[np.arange(len(pair)) + np.repeat(low - np.cumsum(count) + count, count)]
+        of = unit[pair]
+        own = (self.unit_bits[of, cols >> 6] >> (cols & 63).astype(np.uint64)) & np.uint64(1) == 1
+        pair, cols, n = pair[own], cols[own], len(self.bench.columns)
+        cells = np.sort(pair * n + cols)
+        first = _firsts(cells)
+        cell, often = cells[first], np.diff(np.append(first, len(cells)))
+        often = np.minimum(often, self.times[np.searchsorted(self.cells, unit[cell // n] * n + cell % n)])
+        most = np.bincount(cell // n, often, len(unit)) / self.sizes[unit]
+        ends = np.searchsorted(pair, np.arange(len(unit) + 1)).tolist()
+        return [cols[a:b].tolist() if use else [] for a, b, use in zip(ends, ends[1:], (most >= least).tolist(), strict=False)]
 
     def __call__(self, texts: pa.Array) -> list[tuple[int, int, float]]:
         """Text, unit and covered share of what is found."""
@@ -330,12 +385,13 @@ class Finder:
         """Covered share by text and unit, of units that passages are near to."""
         bench, half = self.bench, self.bench.window // 2
         block, col, base, place = bench.blocks(w, h)
-        at, sums = _summed(block, self.basis[col])
+        parts = [part[:2] for part in _parts(bench, block, col, self.basis)]
+        if not parts:
+            return {}
+        at, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
         # a passage is a block and the next one of its text
         doc = np.searchsorted(base, at, "right") - 1
         passage = np.unique(np.concatenate([at, at[at > base[doc]] - 1]))
-        if not len(passage):
-            return {}
         end = base[np.searchsorted(base, passage, "right")]
         spots = [np.minimum(np.searchsorted(at, passage + step), len(at) - 1) for step in (0, 1)]
         there = [(at[spot] == passage + step) & (passage + step < end) for step, spot in enumerate(spots)]
@@ -343,35 +399,39 @@ class Finder:
         for spot, own in zip(spots, there, strict=True):
             z[own] += sums[spot[own]]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        # which columns each block holds, as bits; then each passage with one and with four blocks to either side
-        bits = np.zeros((int(base[-1]), self.unit_bits.shape[1]), np.uint64)
-        np.bitwise_or.at(bits, (block, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        # which columns each block holds, as bits, with five empty blocks around each text; then each passage with one and with four blocks to either side
         doc = np.searchsorted(base, passage, "right") - 1
-        low, high = base[doc], base[doc + 1]
-        around = []
-        for k in (1, 4):
-            own = np.zeros((len(passage), bits.shape[1]), np.uint64)
-            for step in range(-k, k + 2):
-                use = (passage + step >= low) & (passage + step < high)
-                own[use] |= bits[passage[use] + step]
-            around.append(own)
+        bits = np.zeros((int(base[-1]) + 5 * len(base), self.unit_bits.shape[1]), np.uint64)
+        _set_bits(bits, block + 5 * np.searchsorted(base, block, "right"), col)
+        spread = passage + 5 * doc + 5
+        two = bits[:-1] | bits[1:]
+        four = two[:-2] | two[2:]  # a passage's row is one lower here
+        ten = four[:-6] | four[4:-2] | two[8:]  # and four lower here
+        least = np.minimum(self.least, self.least_wide)
         found: dict[tuple[int, int], float] = {}
         for i in range(0, len(passage), 1024):
             p, unit = np.nonzero(z[i : i + 1024] @ self.latent.T >= self.cosine)
             # no subsequence is longer than what both have in common
-            common = [np.bitwise_count(own[i + p] & self.unit_bits[unit]).sum(axis=1, dtype=np.int64) for own in around]
-            use = (common[0] >= self.least[unit]) | (common[1] >= self.least_wide[unit])
+            row = spread[i + p]
+            far = _common(ten[row - 4], self.unit_bits[unit])
+            some = np.flatnonzero(far >= least[unit])
+            p, unit, row, far = p[some], unit[some], row[some], far[some]
+            use = (far >= self.least_wide[unit]) | (_common(four[row - 1], self.unit_bits[unit]) >= self.least[unit])
             spot, unit = i + p[use], unit[use]
             start, end = w.first[doc[spot]], w.first[doc[spot] + 1]
             first = start + (passage[spot] - base[doc[spot]]) * half
-            spans = [(np.maximum(start, first - k * half), np.minimum(end, first + (2 + k) * half)) for k in (1, 4)]
-            cuts = [np.searchsorted(place, x).tolist() for span in spans for x in span]
-            stretch = [x.tolist() for x in spans[0]]
-            for d, u, a, b, c, e, low_, high_ in zip(doc[spot].tolist(), unit.tolist(), *cuts, *stretch, strict=True):
-                if found.get((d, u), 0) == 1:
-                    continue
-                if share := self.holds(col[a:b], col[c:e], h[low_:high_], u):
-                    found[d, u] = max(share, found.get((d, u), 0))
+            (low, high), far = ((np.maximum(start, first - k * half), np.minimum(end, first + (2 + k) * half)) for k in (1, 4))
+            cuts = [np.searchsorted(place, x) for x in (low, high, *far)]
+            words = np.cumsum(cuts[3] - cuts[2])
+            at = 0
+            while at < len(spot):
+                to = max(at + 1, int(np.searchsorted(words, (words[at - 1] if at else 0) + PART_WORDS, "right")))
+                a, b, c, e, u, d, x, y = (v[at:to] for v in (*cuts, unit, doc[spot], low, high))
+                near, wide = self._own(col, a, b, u, self.near_share[u]), self._own(col, c, e, u, self.far_share[u])
+                for key, n, f, x_, y_ in zip(zip(d.tolist(), u.tolist(), strict=True), near, wide, x.tolist(), y.tolist(), strict=True):
+                    if (n or f) and found.get(key, 0) < 1 and (share := self.holds(n, f, h[x_:y_], key[1])):
+                        found[key] = max(share, found.get(key, 0))
+                at = to
         return found
 
 

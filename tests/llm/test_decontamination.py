@@ -154,3 +154,76 @@ def test_singular_vectors_of_a_low_rank_matrix():
     v, s = D.singular_vectors(a.T @ (a @ omega), omega)
     u, want, vt = np.linalg.svd(a, full_matrices=False)
     assert np.allclose(s[:6], want[:6], rtol=1e-4) and np.allclose(np.abs(v[:, :6].T @ vt[:6].T), np.eye(6), atol=1e-3)
+
+
+def test_finder_equals_a_search_without_bounds(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r, half, covered = random.Random(3), 8, D.covered
+    common = [f"c{i}" for i in range(12)]
+    draw = lambda n: [r.choice(common) if r.random() < 0.8 else f"w{r.randrange(300)}" for _ in range(n)]
+    items = [(i, " ".join(draw(20)) + ". " + " ".join(draw(n))) for i, n in enumerate((3, 7, 9, 30, 60))] + [(9, "c1 c2 w400")]
+    texts = [draw(r.randint(0, 250)) for _ in range(24)]
+    for text in texts[::3]:
+        copy = r.choice(items)[1].split()
+        copy = [w for x in copy for w in ([x, "x"] if r.random() < 0.1 else ["x"] if r.random() < 0.15 else [x])]
+        at = r.randrange(len(text) + 1)
+        text[at:at] = copy
+    bench = D.Benchmark(items, 2 * half)
+    frequency = np.array([r.randrange(9) for _ in bench.columns])
+    basis = np.random.default_rng(1).standard_normal((len(bench.columns), 5)).astype(np.float32)
+    arrow = pa.array([None, *(" ".join(t) for t in texts), ""])
+
+    def search():
+        bench.weigh(frequency, 99)
+        return D.Finder(bench, basis, -2, 0.6, 0.5, 0.8, 0.85)
+
+    want: dict = {}
+    finder = search()
+    w = D.Words(D.lowered(arrow))
+    h = D.word_hashes(w).tolist()
+    for d, (start, end) in enumerate(zip(w.first, w.first[1:], strict=False)):
+        for first in range(start, end, half):
+            if not any(x in bench.columns for x in h[first : min(end, first + 2 * half)]):
+                continue
+            near, wide = (h[max(start, first - k * half) : min(end, first + (2 + k) * half)] for k in (1, 4))
+            for u, unit in enumerate(bench.units):
+                n, answer = len(unit), len(bench.answers[u])
+                a, b = (covered(x, finder.masks[u], n) / n for x in (near, wide))
+                held = n >= 8 and answer and a >= 0.5 and covered(near, finder.answer_masks[u], answer) >= 0.8 * answer
+                if share := a if a >= (0.6 if n >= 8 else 1) or held else b if n >= 8 and b >= 0.85 else 0:
+                    want[d, u] = max(share, want.get((d, u), 0))
+    assert len(want) > 15 and finder._near_units(w, np.array(h, np.uint64)) == want
+    for name, value in (("HEAD", 3), ("PART_ROWS", 2), ("PART_WORDS", 40)):
+        monkeypatch.setattr(D, name, value)
+    assert search()._near_units(w, np.array(h, np.uint64)) == want
+
+
+def test_words_that_a_unit_has_once_cover_little_of_it(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    calls, covered = [0], D.covered
+    monkeypatch.setattr(D, "covered", lambda *x: calls.__setitem__(0, calls[0] + 1) or covered(*x))
+    bench = D.Benchmark([(1, "c1 c1 c1 c1 c1 c1 c2 c2 c2 c2 c2 c2 c2 c3 c4 c5")], 16)
+    bench.weigh(np.ones(len(bench.columns), np.int64), 9)
+    finder = D.Finder(bench, np.ones((len(bench.columns), 1), np.float32), -2, 0.6, 0.5, 0.8, 0.85)
+    assert finder(pa.array(["c1 c3 c3 c3 c3 c3 c4 c4 c4 c4 c4 c4 c2 c5 c5 c5"])) == [] and calls == [0]
+
+
+def test_gram_of_frequent_and_rare_columns(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(D, "HEAD", 4)
+    monkeypatch.setattr(D, "PART_ROWS", 3)
+    r = np.random.default_rng(2)
+    bench = D.Benchmark([(1, " ".join(f"w{i}" for i in range(11)))], 64)
+    bench.weigh(r.integers(0, 9, 11), 30)
+    row, col = np.sort(r.integers(0, 20, 90)), r.integers(0, 11, 90)
+    a, omega, got = np.zeros((20, 11)), r.standard_normal((11, 3)), np.zeros((11, 3))
+    np.add.at(a, (row, col), bench.idf[col])
+    D._gram(bench, row, col, omega * bench.idf[:, None], got)
+    assert np.allclose(got, a.T @ (a @ omega))
+    D._gram(bench, row[:0], col[:0], omega * bench.idf[:, None], got)
+    assert np.allclose(got, a.T @ (a @ omega))
