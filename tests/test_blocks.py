@@ -147,3 +147,20 @@ def test_forms_and_totals_by_blocks_of_arrays_too_large_for_the_driver(spark, a)
     assert block_totals(large + 1, (20_000, 25_000)).selectExpr("count(*)", "sum(total)").first()[:] == (2, 1_000_000_820)
     with pytest.raises(ValueError, match="compressed"):
         block_cells(x + 1, (4, 3), "csc")
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1 << 20])
+def test_dense_blocks_are_made_in_stacks(spark, monkeypatch, cells):
+    """Stacks of one block, of some, of all; blocks at the edges are shorter, and one block has no stored cell."""
+    from tessera.operators import realize as R
+
+    a = np.arange(77.0).reshape(11, 7) % 5
+    a[4:8, 3:6] = 0
+    monkeypatch.setattr(R, "STACK_CELLS", cells)
+    x = from_numpy(spark, a, ["i", "j"])
+    for y, want in ((x, a), (x + 1, a + 1)):
+        got = np.zeros(a.shape)
+        for r in R.block_cells(y, (4, 3), "dense").collect():
+            assert got[r.p0, r.p1] == 0
+            got[r.p0, r.p1] = r.value
+        assert (got == want).all()

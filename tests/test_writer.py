@@ -152,3 +152,21 @@ def test_sorts_are_bounded_and_of_columns(spark, x, a, tmp_path, monkeypatch, op
         else:
             keys = {(r.i, r.j): r.d for r in spark.createDataFrame(t[["i", "j"]].astype("int64")).select("i", "j", curve([F.col("i"), F.col("j")], 6).alias("d")).collect()}
             assert [keys[k] for k in zip(t.i, t.j)] == sorted(keys.values())
+
+
+@pytest.mark.parametrize("options", [{}, {"grid": (25, 8)}])
+def test_cells_are_made_once(spark, a, tmp_path, options):
+    """What makes the cells runs once for the values' type, the ranges and the sort; nothing of it is left."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cells = from_numpy(spark, a, ["i", "j"]).rows().mapInArrow(counted, "i long, j long, value double")
+    path, shared = str(tmp_path / "once"), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {n for n in os.listdir(shared) if n.startswith("cells-")}
+    write_coo(CoordArray.from_coo(cells, "value", {"i": range(1, 51), "j": range(1, 9)}), path, ["i", "j"], **options)
+    assert made.value == (a != 0).sum() and {n for n in os.listdir(shared) if n.startswith("cells-")} == before
+    assert (read_coo(spark, path).to_numpy() == a).all()
