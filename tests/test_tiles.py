@@ -240,3 +240,47 @@ def test_products_of_many_pairs_go_by_tiles(spark, monkeypatch):
     np.testing.assert_allclose((x @ x.T).to_numpy(), a @ a.T)
     with pytest.raises(ValueError, match="does not scale"):
         M.gram(x, "row", "join", limit=100)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("two", [False, True])
+def test_packed_cells_are_few_rows_and_hot_keys_go_in_pieces(monkeypatch, two, stored):
+    """Stretches of 64 cells; a key of more than 100 goes in pieces. All meet in their tiles, once, as few rows."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(14)
+    a = r.integers(1, 9, (50, 300)) * (r.random((50, 300)) < 0.03) * 1.0
+    a[7] = a[31] = np.arange(300) % 5 + 1
+    b = r.integers(1, 9, (50, 90)) * (r.random((50, 90)) < 0.2) * 1.0 if two else a
+    b[8] = 2
+    cells = sorted((int(k), bool(s), int(p), float(x[k, p])) for s, x in enumerate((a, b) if two else (a,)) for k, p in np.argwhere(x != 0))
+    monkeypatch.setattr(tiles, "STRETCH", 64)
+    monkeypatch.setattr(tiles, "HOT", 100)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("k", "right", "p", "v"), c)) for c in cells[i : i + 33]]) for i in range(0, len(cells), 33)]
+    found = list(tiles._stretched(iter(batches)))
+    assert {key for key, *_ in found} >= {None, 7, 31} and sum(len(x[0]) + len(y[0]) for _, x, y in found) == len(cells)
+    if stored:
+        rows = pa.Table.from_batches(tiles._stored(not two)(iter(batches)))
+        assert sum(p or 0 for p in rows["pairs"].to_pylist()) == sum((a[k] != 0).sum() * (b[k] != 0).sum() for k in range(50) if k not in {key for key, *_ in found})
+        found = tiles._restored(not two)(iter(rows.to_batches()))
+    shape, side = (300, b.shape[1]), 100
+    sent = [r for part in tiles._packed(side, shape, 1, not two)(iter(found)) for r in part.to_pylist()]
+    sent.sort(key=lambda x: (x["i"], x["j"], x["share"], -1 if x["key"] is None else x["key"]))
+    whole = pa.RecordBatch.from_pylist(sent)
+    got = np.zeros(shape)
+    for part in tiles._multiply(side, shape, not two, True)(tiles._unpacked(side)(iter([whole.slice(0, 5), whole.slice(5)]))):
+        for x in part.to_pylist():
+            assert not got[x["a"], x["bs"]].any()
+            got[x["a"], x["bs"]] = x["vs"]
+    np.testing.assert_allclose(got, a.T @ b)
+    assert len(sent) < len(cells) / 4
+
+
+def test_a_product_with_its_own_transpose_sends_cells_once(spark):
+    a = np.random.default_rng(15).integers(0, 4, (30, 9)).astype(float)
+    x, y = made(spark, a), made(spark, a)
+    assert M._own_transpose(x.T, x) and not M._own_transpose(x.T, y) and not M._own_transpose(x.T, x + 0 * x) and not M._own_transpose(x, x.T[:, :5])
+    got = (x.T @ x, M.tiled_matmul(x.T, x, 4))
+    assert [d.name for d in got[0].dims] == [d.name for d in got[1].dims] == ["c_a", "c_b"]
+    for g in got:
+        np.testing.assert_allclose(g.to_numpy(), a.T @ a)
