@@ -164,3 +164,29 @@ def test_dense_blocks_are_made_in_stacks(spark, monkeypatch, cells):
             assert got[r.p0, r.p1] == 0
             got[r.p0, r.p1] = r.value
         assert (got == want).all()
+
+
+@pytest.mark.parametrize("most", [64, 1 << 21])
+def test_dense_deviances_take_many_blocks_at_a_time(monkeypatch, most):
+    """A thousand blocks of few cells each: their terms come in a few calls, as sums over each block's own rows and columns."""
+    import pyarrow as pa
+
+    from tessera.operators import deviance as D
+    from tessera.operators import realize as R
+
+    r = np.random.default_rng(16)
+    at = np.unique(np.stack([r.integers(0, 1000, 5000), r.integers(0, 30, 5000), r.integers(0, 8, 5000)]), axis=1)
+    v, n = r.integers(1, 5, at.shape[1]).astype(float), (at[0] % 4 * 8 + at[2] + 6).astype(float)
+    names = ["g", "s", "w", "s_left", "w_left", "seen"]
+    calls, terms = [], D._terms
+    monkeypatch.setattr(R, "STACK_CELLS", most)
+    monkeypatch.setattr(D, "_terms", lambda *x: calls.append(x[0].size) or terms(*x))
+    table = pa.Table.from_arrays([pa.array(x) for x in (*at, v, n)], names=["block", "i", "j", "v", "n"])
+    got = pa.Table.from_batches(D._block_terms(30, 4, names, False)(iter(table.to_batches(700)))).to_pandas().groupby("__place").sum()
+    sparse = pa.Table.from_batches(D._block_terms(30, 4, names, True)(iter(table.to_batches(700)))).to_pandas().groupby("__place").sum()
+    np.testing.assert_allclose(got[["g", "s", "w"]], sparse[["g", "s", "w"]])
+    # dense blocks have empty cells too, which cancel out: what is left and what was seen differ by as much
+    for some in (got, sparse):
+        some["rest"] = some["seen"] - some["w_left"]
+    np.testing.assert_allclose(got[["s_left", "rest"]], sparse[["s_left", "rest"]])
+    assert len(calls) - 8 < (3 if most > 64 else 1001) and max(calls) < 100_000
