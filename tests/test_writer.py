@@ -170,3 +170,27 @@ def test_cells_are_made_once(spark, a, tmp_path, options):
     write_coo(CoordArray.from_coo(cells, "value", {"i": range(1, 51), "j": range(1, 9)}), path, ["i", "j"], **options)
     assert made.value == (a != 0).sum() and {n for n in os.listdir(shared) if n.startswith("cells-")} == before
     assert (read_coo(spark, path).to_numpy() == a).all()
+
+
+@pytest.mark.parametrize("bits", [1, 3, 4, 6, 9, 23])
+def test_hilbert_numbers_by_tables_are_those_bit_by_bit(spark, bits):
+    """A few looks into a table, in generated code, and no function that is interpreted for each bit and row."""
+    from pyspark.sql import functions as F
+
+    from tessera.sources.writer import hilbert
+
+    def number(x, y):
+        d = 0
+        for b in reversed(range(bits)):
+            side, right, up = 1 << b, x >> b & 1, y >> b & 1
+            d += side * side * ((3 * right) ^ up)
+            x, y = x & side - 1, y & side - 1
+            if not up:
+                x, y = (side - 1 - y, side - 1 - x) if right else (y, x)
+        return d
+
+    r = np.random.default_rng(bits)
+    at = [(int(x), int(y)) for x, y in r.integers(0, 2**bits, (300, 2))] + [(2**bits - 1, 0), (2**bits - 1, 2**bits - 1)]
+    df = spark.createDataFrame(at, "x long, y int").select("x", "y", hilbert([F.col("x"), F.col("y")], bits).alias("d"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [(x, y, number(x, y)) for x, y in at]
