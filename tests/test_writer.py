@@ -194,3 +194,21 @@ def test_hilbert_numbers_by_tables_are_those_bit_by_bit(spark, bits):
     df = spark.createDataFrame(at, "x long, y int").select("x", "y", hilbert([F.col("x"), F.col("y")], bits).alias("d"))
     assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in df.collect()] == [(x, y, number(x, y)) for x, y in at]
+
+
+@pytest.mark.parametrize("options", [{"single": True}, {"grid": (25, 8), "cluster_by": "hilbert"}])
+def test_sorts_are_of_ranges_and_columns(spark, x, a, tmp_path, monkeypatch, options):
+    """The last write sorts by columns, not by an expression: a single file in ranges of 40 rows."""
+    from tessera.sources import writer as W
+
+    plans, write = [], type(x.df).write.fget
+    monkeypatch.setattr(W, "SORT_ROWS", 40)
+    monkeypatch.setattr(type(x.df), "write", property(lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df)))
+    path = str(tmp_path / "d")
+    write_coo(x, path, ["i", "j"], **options)
+    lines = plans[-1].splitlines()
+    sort = next(line for line in lines if "Sort [" in line)
+    assert "aggregate(" not in sort and "split(" not in sort and "__curve" not in lines[0]
+    if "single" in options:
+        assert f", {-(-int((a != 0).sum()) // 40)}" in next(line for line in lines if "RepartitionByExpression" in line)
+    assert (read_coo(spark, path).to_numpy() == a).all()
