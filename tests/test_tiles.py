@@ -284,3 +284,15 @@ def test_a_product_with_its_own_transpose_sends_cells_once(spark):
     assert [d.name for d in got[0].dims] == [d.name for d in got[1].dims] == ["c_a", "c_b"]
     for g in got:
         np.testing.assert_allclose(g.to_numpy(), a.T @ a)
+
+
+def test_packed_cells_may_be_of_short_types(spark):
+    a = np.random.default_rng(17).integers(0, 3, (40, 6))
+    cells = spark.createDataFrame([(int(k), int(p), int(a[p, k])) for p, k in np.argwhere(a)], "k int, p int, v int")
+    stored = tiles.stretches(cells, None)
+    assert tiles.pairs(stored) == sum((a[:, k] != 0).sum() ** 2 for k in range(6))
+    for s in (None, stored):
+        got = np.zeros((40, 40))
+        for x in tiles.opened(tiles.product(cells, None, (40, 40), 8, partners=True, stored=s)).collect():
+            got[x.a, x.b] = x.value
+        assert (got == a @ a.T).all()
